@@ -185,11 +185,14 @@ for _name, _sig in _SIGNAL_QUERIES.items():
     _register_signal(_name, _sig)
 
 
-@query("g12_rules_help_candidate", with_sql("signals frames_fx", f"""SELECT video_id, frame_idx, n_page >= 4 AND ({any_sql('page_text', 'help')}
-  OR help_paytable_score >= 2.0 OR (help_quality_score >= 6 AND terms >= 2) OR (help_quality_score >= 3 AND top_score >= 3 AND terms >= 2)
-  OR (terms >= 4 AND (n_page_16 >= 5 OR n_page_num2 >= 5))) AND n_page >= 8 AS hit, terms
-  FROM (SELECT *, CAST({terms_sql('page_text', RULES_PAGE_TERMS)} AS BIGINT) AS terms FROM signals)
-  JOIN frames_fx USING (video_id, frame_idx)"""))
+RULES_PAGE_SQL = (f"n_page >= 8 AND ({any_sql('page_text', 'help')} OR {{paytable}} >= 2.0 OR ({{quality}} >= 6 AND {terms_sql('page_text', RULES_PAGE_TERMS)} >= 2) OR "
+                  f"({{quality}} >= 3 AND {{help}} >= 3 AND {terms_sql('page_text', RULES_PAGE_TERMS)} >= 2) OR ({terms_sql('page_text', RULES_PAGE_TERMS)} >= 4 "
+                  "AND (n_page_16 >= 5 OR n_page_num2 >= 5)))")
+
+
+@query("g12_rules_help_candidate", with_sql("signals frames_fx", f"""SELECT video_id, frame_idx,
+  {RULES_PAGE_SQL.format(quality='help_quality_score', help='top_score', paytable='help_paytable_score')} AS hit,
+  CAST({terms_sql('page_text', RULES_PAGE_TERMS)} AS BIGINT) AS terms FROM signals JOIN frames_fx USING (video_id, frame_idx)"""))
 def _(spark, sf):
     df = T.with_text(fx.frames(spark, sf))
     hit = S.rules_page(F.col("help_quality_score"), F.col("top_score"), F.col("help_paytable_score"))

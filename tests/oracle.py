@@ -68,7 +68,7 @@ def main(prefixes: list[str]) -> int:
     import __spark_entry__ as entry
     from framelens.session import build_session
     sf = os.environ.get("SF_DIR", "/root/testdata/sf0.001")
-    spark = build_session("oracle", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false",
+    spark = build_session("oracle", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
                                                   "spark.driver.memory": "12g"})
     spark.sparkContext.setLogLevel("ERROR")
     con, sqls, bad = connect(sf), entry.oracle_sql(), 0
