@@ -1,408 +1,376 @@
-"""Weighted threshold scores over measured columns and text signals.
+"""Weighted threshold scores over measured columns and text signals, as SQL text.
 
 A score is a list of ``Term``s (condition, weight, reason); ``total`` and
-``reasons`` turn the list into two columns.  Measured columns are named as in
-``plans.fixtures``; text tests read the columns of ``with_text``.
+``reasons`` turn the list into two expressions.  Measured columns are named as
+in ``plans.fixtures``; text tests read the columns of ``with_text``.
 """
 
 from __future__ import annotations
 
 from collections import namedtuple
-from functools import reduce
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 from . import rules as R
-from .signals import C, H, J, RC, W, pat, sig, within
-from .text import any_of, count_matches
+from .signals import n_lines, pat, spoken, line_has, some_line, across, down
+from .text import any_of, both, count_matches, count_terms, either, lit, regex, some_term
 
+_NOT_EMPTY = "i.norm <> ''"
 Term = namedtuple("Term", "when weight reason", defaults=(None,))
 
 
-def _m(name: str) -> Column:
-    return F.col(name)
-
-
-def coded(name: str, value: Column, fmt: str = "%.2f") -> Column:
-    return F.concat(F.lit(name + ":"), F.format_string(fmt, value))
+def num(value) -> str:
+    """Weights are numbers or expressions; numbers become double literals."""
+    return value if isinstance(value, str) else f"{float(value)}D"
 
 
-def counted(name: str, value: Column) -> Column:
-    return F.concat(F.lit(name + ":"), value.cast("string"))
+def coded(name: str, value: str, fmt: str = "%.2f") -> str:
+    return f"concat('{name}:', format_string('{fmt}', {value}))"
 
 
-def total(terms: list[Term]) -> Column:
-    def worth(t):
-        w = t.weight if isinstance(t.weight, Column) else F.lit(float(t.weight))
-        return F.when(t.when, w).otherwise(F.lit(0.0))
-    return reduce(lambda a, b: a + b, [worth(t) for t in terms])
+def counted(name: str, value: str) -> str:
+    return f"concat('{name}:', CAST({value} AS STRING))"
 
 
-def reasons(terms: list[Term]) -> Column:
-    """Reason codes of the terms that fired, in order."""
-    codes = [F.when(t.when, t.reason if isinstance(t.reason, Column) else F.lit(t.reason))
-             for t in terms if t.reason is not None]
-    return F.array_compact(F.array(*codes))
+def total(terms: list[Term]) -> str:
+    return "(" + " + ".join(f"CASE WHEN {t.when} THEN {num(t.weight)} ELSE 0.0D END" for t in terms) + ")"
 
 
-def n_lines(test) -> Column:
-    return F.size(F.filter("lines", test))
+def reasons(terms: list[Term]) -> str:
+    """Reason codes of the terms that fired, in order; plain names are literals."""
+    code = lambda r: r if "(" in r else lit(r)
+    return "array_compact(array(" + ", ".join(
+        f"CASE WHEN {t.when} THEN {code(t.reason)} END" for t in terms if t.reason is not None) + "))"
 
 
-# --- user-interface scores of a frame -------------------------------------------------
+# --- user-interface scores of a frame --------------------------------------------------
 def basegame_ui_terms() -> list[Term]:
-    dark, edge, circles = _m("dark_ratio"), _m("edge_ratio"), _m("circle_count")
-    words = reduce(lambda a, b: a + b, [J().contains(w).cast("int") for w in R.PHRASES["control_word"]])
-    money = pat(J(), "money") | pat(J(), "decimal")
-    signs = (C().contains("+") | J().contains("plus")) & (C().contains("-") | J().contains("minus"))
+    words = count_terms("joined", R.PHRASES["control_word"])
+    money = either([pat("joined", "money"), pat("joined", "decimal")])
+    signs = both("(contains(compact, '+') OR contains(joined, 'plus'))", "(contains(compact, '-') OR contains(joined, 'minus'))")
     return [
-        Term(dark >= 0.16, 0.8, coded("dark_control_band", dark)),
-        Term((edge >= 0.035) & (edge <= 0.16), 0.5, coded("lower_ui_edges", edge)),
-        Term(circles >= 2, 1.3, counted("round_buttons", circles)),
-        Term(circles == 1, 0.6, "round_button:1"),
-        Term(_m("center_blocks") > 0, 0.7, counted("spin_or_counter_block", _m("center_blocks"))),
-        Term(_m("spin_blocks") > 0, 1.2, counted("partial_center_spin", _m("spin_blocks"))),
-        Term(any_of(C(), "control_word"), 0.8, "ocr_control_words"),
-        Term(words >= 2, 0.8, counted("multiple_control_words", words)),
+        Term("dark_ratio >= 0.16D", 0.8, coded("dark_control_band", "dark_ratio")),
+        Term("edge_ratio BETWEEN 0.035D AND 0.16D", 0.5, coded("lower_ui_edges", "edge_ratio")),
+        Term("circle_count >= 2", 1.3, counted("round_buttons", "circle_count")),
+        Term("circle_count = 1", 0.6, "round_button:1"),
+        Term("center_blocks > 0", 0.7, counted("spin_or_counter_block", "center_blocks")),
+        Term("spin_blocks > 0", 1.2, counted("partial_center_spin", "spin_blocks")),
+        Term(spoken("control_word"), 0.8, "ocr_control_words"),
+        Term(f"{words} >= 2", 0.8, counted("multiple_control_words", words)),
         Term(money, 0.4, "money_or_bet_text"),
-        Term(any_of(C(), "buy_button") & ~any_of(C(), "buy_dialog"), 0.9, "persistent_feature_buy_button"),
-        Term(any_of(C(), "auto_turbo") & money, 0.8, "bottom_controls_with_money"),
+        Term(both(spoken("buy_button"), f"NOT {spoken('buy_dialog')}"), 0.9, "persistent_feature_buy_button"),
+        Term(both(spoken("auto_turbo"), money), 0.8, "bottom_controls_with_money"),
         Term(signs, 0.4, "plus_minus_controls"),
     ]
 
 
 def feature_ui_terms() -> list[Term]:
     """Needs ``sig_feature_running``."""
-    first, second = pat(J(), "left_number"), pat(J(), "number_left")
-    lower = n_lines(lambda i: (i["norm"] != "") & (i["cy"] >= H() * 0.48) & (i["h"] >= H() * 0.018)
-                    & any_of(i["compact"], "lower_terms"))
-    band = _m("bottom_dark_ratio")
+    first, second = pat("joined", "left_number"), pat("joined", "number_left")
+    lower = n_lines("i.norm <> ''", "i.cy >= roi_h * 0.48D", "i.h >= roi_h * 0.018D", line_has("lower_terms"))
     return [
-        Term(sig("feature_running"), 2.5, "feature_running_text"),
-        Term(any_of(C(), "explicit_remaining"), 2.5, "explicit_remaining_free_spin"),
+        Term("sig_feature_running", 2.5, "feature_running_text"),
+        Term(spoken("explicit_remaining"), 2.5, "explicit_remaining_free_spin"),
         Term(first, 1.2, "remaining_number_pattern"),
-        Term(~first & second, 1.2, "spin_number_remaining_pattern"),
-        Term(lower >= 2, 2.0, counted("lower_feature_ui_terms", lower)),
-        Term(lower == 1, 0.8, "lower_feature_ui_term:1"),
-        Term(band >= 0.12, 0.4, coded("bottom_ui_band", band)),
-        Term(J().rlike("[0-9]") & any_of(C(), "counter_words"), 0.5, "remaining_counter_digits"),
+        Term(both(f"NOT {first}", second), 1.2, "spin_number_remaining_pattern"),
+        Term(f"{lower} >= 2", 2.0, counted("lower_feature_ui_terms", lower)),
+        Term(f"{lower} = 1", 0.8, "lower_feature_ui_term:1"),
+        Term("bottom_dark_ratio >= 0.12D", 0.4, coded("bottom_ui_band", "bottom_dark_ratio")),
+        Term(both("joined RLIKE '[0-9]'", spoken("counter_words")), 0.5, "remaining_counter_digits"),
     ]
 
 
 def reel_board_terms() -> list[Term]:
-    v, h = _m("vertical_lines"), _m("horizontal_lines")
     return [
-        Term(_m("edge_ratio") >= 0.050, 1.2, coded("board_edges", _m("edge_ratio"), "%.3f")),
-        Term(_m("lap_var") >= 520.0, 0.9, coded("board_texture", _m("lap_var"), "%.0f")),
-        Term(_m("colour_ratio") >= 0.30, 0.7, coded("board_colour", _m("colour_ratio"))),
-        Term(v >= 3, 1.2, counted("vertical_reel_lines", v)),
-        Term(h >= 2, 0.8, counted("horizontal_reel_lines", h)),
-        Term((v >= 3) & (h >= 2), 1.0, "reel_grid_geometry"),
+        Term("edge_ratio >= 0.050D", 1.2, coded("board_edges", "edge_ratio", "%.3f")),
+        Term("lap_var >= 520.0D", 0.9, coded("board_texture", "lap_var", "%.0f")),
+        Term("colour_ratio >= 0.30D", 0.7, coded("board_colour", "colour_ratio")),
+        Term("vertical_lines >= 3", 1.2, counted("vertical_reel_lines", "vertical_lines")),
+        Term("horizontal_lines >= 2", 0.8, counted("horizontal_reel_lines", "horizontal_lines")),
+        Term("vertical_lines >= 3 AND horizontal_lines >= 2", 1.0, "reel_grid_geometry"),
     ]
 
 
-# --- image quality ------------------------------------------------------------------------
-def clear_score(scale: float, cap: float) -> Column:
-    return F.least(F.lit(cap), _m("blur_score") / scale)
+# --- image quality -------------------------------------------------------------------------
+def clear_score(scale: float, cap: float) -> str:
+    return f"least({cap}D, blur_score / {scale}D)"
 
 
 def overexposure_terms() -> list[Term]:
-    flare, blob = _m("flare_ratio"), _m("largest_ratio")
-    plain = (_m("edge_ratio") <= 0.045) | (_m("lap_var") <= 260.0)
-    judged = plain | ((flare >= 0.68) & (blob >= 0.42))
-    bright, neon = _m("bright_ratio"), _m("neon_ratio")
+    plain = "(edge_ratio <= 0.045D OR lap_var <= 260.0D)"
+    judged = f"({plain} OR (flare_ratio >= 0.68D AND largest_ratio >= 0.42D))"
     return [
-        Term(judged & (bright >= 0.50), 0.9, coded("bright_area", bright)),
-        Term(judged & (_m("very_bright_ratio") >= 0.26), 0.8, coded("very_bright_area", _m("very_bright_ratio"))),
-        Term(judged & (neon >= 0.40), 1.2, coded("neon_yellow_green", neon)),
-        Term(judged & (flare >= 0.56), 0.8, coded("flare_area", flare)),
-        Term(judged & (blob >= 0.32), 1.3, coded("large_flare_blob", blob)),
-        Term(plain & ((flare >= 0.56) | (blob >= 0.32)), 1.5, "low_detail_under_washout"),
+        Term(f"{judged} AND bright_ratio >= 0.50D", 0.9, coded("bright_area", "bright_ratio")),
+        Term(f"{judged} AND very_bright_ratio >= 0.26D", 0.8, coded("very_bright_area", "very_bright_ratio")),
+        Term(f"{judged} AND neon_ratio >= 0.40D", 1.2, coded("neon_yellow_green", "neon_ratio")),
+        Term(f"{judged} AND flare_ratio >= 0.56D", 0.8, coded("flare_area", "flare_ratio")),
+        Term(f"{judged} AND largest_ratio >= 0.32D", 1.3, coded("large_flare_blob", "largest_ratio")),
+        Term(f"{plain} AND (flare_ratio >= 0.56D OR largest_ratio >= 0.32D)", 1.5, "low_detail_under_washout"),
     ]
 
 
-def noise_score() -> tuple[Column, list[Term]]:
-    edge, mixed = _m("edge_ratio"), _m("mixed_ratio")
-    terms = [
-        Term(_m("yellow_green_ratio") >= 0.24, 1.0, coded("yellow_green_effect", _m("yellow_green_ratio"))),
-        Term(_m("saturated_ratio") >= 0.42, 0.8, coded("high_saturation", _m("saturated_ratio"))),
-        Term(_m("bright_ratio") >= 0.28, 0.6, coded("bright_effect", _m("bright_ratio"))),
-        Term(mixed >= 0.38, 0.8, coded("mixed_effect_area", mixed)),
-        Term(_m("largest_ratio") >= 0.18, 0.6, coded("large_effect_blob", _m("largest_ratio"))),
-        Term(edge >= 0.085, 0.9, coded("dense_edges", edge, "%.3f")),
-        Term(_m("lap_var") >= 950.0, 0.5, coded("high_texture", _m("lap_var"), "%.0f")),
-        Term(_m("contrast") >= 58.0, 0.4, coded("high_contrast", _m("contrast"), "%.1f")),
+def noise_terms() -> list[Term]:
+    return [
+        Term("yellow_green_ratio >= 0.24D", 1.0, coded("yellow_green_effect", "yellow_green_ratio")),
+        Term("saturated_ratio >= 0.42D", 0.8, coded("high_saturation", "saturated_ratio")),
+        Term("bright_ratio >= 0.28D", 0.6, coded("bright_effect", "bright_ratio")),
+        Term("mixed_ratio >= 0.38D", 0.8, coded("mixed_effect_area", "mixed_ratio")),
+        Term("largest_ratio >= 0.18D", 0.6, coded("large_effect_blob", "largest_ratio")),
+        Term("edge_ratio >= 0.085D", 0.9, coded("dense_edges", "edge_ratio", "%.3f")),
+        Term("lap_var >= 950.0D", 0.5, coded("high_texture", "lap_var", "%.0f")),
+        Term("contrast >= 58.0D", 0.4, coded("high_contrast", "contrast", "%.1f")),
     ]
-    base = total(terms)
-    combo = (F.round(base, 6) >= 2.4) & (edge >= 0.070) & (mixed >= 0.30)
-    return base + F.when(combo, 0.7).otherwise(0.0), terms
+
+
+def noise_score() -> str:
+    base = total(noise_terms())
+    return (f"({base} + CASE WHEN round({base}, 6) >= 2.4D AND edge_ratio >= 0.070D AND mixed_ratio >= 0.30D "
+            "THEN 0.7D ELSE 0.0D END)")
 
 
 def obstruction_terms() -> list[Term]:
-    blob, centre = _m("largest_ratio"), _m("central_ratio")
     return [
-        Term(blob >= 0.08, F.least(F.lit(4.0), blob * 28.0), coded("large_foreground_component", blob)),
-        Term(centre >= 0.16, F.least(F.lit(3.0), centre * 12.0), coded("central_bright_cover", centre)),
-        Term(_m("wide_components") >= 1, 2.0, counted("wide_reel_blocker", _m("wide_components"))),
+        Term("largest_ratio >= 0.08D", "least(4.0D, largest_ratio * 28.0D)", coded("large_foreground_component", "largest_ratio")),
+        Term("central_ratio >= 0.16D", "least(3.0D, central_ratio * 12.0D)", coded("central_bright_cover", "central_ratio")),
+        Term("wide_components >= 1", 2.0, counted("wide_reel_blocker", "wide_components")),
     ]
 
 
-# --- screen kinds ---------------------------------------------------------------------------
-def brand_splash() -> Column:
-    n = n_lines(lambda i: i["norm"] != "")
-    named = any_of(C(), "brand") | C().isin("fc", "fclogo")
-    return ((n >= 1) & (n <= 5) & ~any_of(C(), "brand_block") & named & (_m("plain_ratio") >= 0.65)
-            & (_m("logo_ratio") >= 0.04) & (_m("edge_ratio") <= 0.09))
+# --- screen kinds ------------------------------------------------------------------------------
+def brand_splash() -> str:
+    named = either([spoken("brand"), "compact IN ('fc', 'fclogo')"])
+    return both(named, f"NOT {spoken('brand_block')}", f"{n_lines(_NOT_EMPTY)} BETWEEN 1 AND 5",
+                "plain_ratio >= 0.65D", "logo_ratio >= 0.04D", "edge_ratio <= 0.09D")
 
 
-def payout_visual() -> Column:
-    dark = _m("centre_dark_ratio")
-    gold = (_m("gold_blocks") >= 2) & (_m("gold_ratio") >= 0.014) & (dark >= 0.12)
-    return gold | ((_m("wide_blocks") >= 2) & (dark >= 0.10))
+def payout_visual() -> str:
+    return ("((gold_blocks >= 2 AND gold_ratio >= 0.014D AND centre_dark_ratio >= 0.12D) "
+            "OR (wide_blocks >= 2 AND centre_dark_ratio >= 0.10D))")
 
 
-def loading_splash() -> Column:
+def loading_splash() -> str:
     """Needs ``sig_loading_cover``."""
-    buttons = n_lines(lambda i: any_of(i["compact"], "cover_button") & (i["cy"] >= H() * 0.48) & (i["w"] >= W() * 0.18))
-    footer = buttons + n_lines(lambda i: any_of(i["compact"], R.PHRASES["legal"] + ["fair"]) & (i["cy"] >= H() * 0.72))
-    titles = n_lines(lambda i: within(i["cy"], H(), 0.05, 0.55) & (i["w"] >= W() * 0.18) & (i["h"] >= H() * 0.025)
-                     & ~any_of(i["compact"], "balance_words"))
-    picking = any_of(C(), "jackpot") & any_of(C(), "jackpot_pick")
-    cover = any_of(C(), "cover_like")
-    shown = (_m("bar_flag") | ((footer >= 4) & (C().contains("ver") | C().contains("certified")))
-             | (cover & ((titles >= 1) | (buttons >= 1) | C().contains("getstarted")
-                         | C().contains("rightreserved") | C().contains("rightsreserved"))))
-    return sig("loading_cover") | (~picking & any_of(C(), "legal") & (~any_of(C(), "real_ui") | cover) & shown)
+    buttons = n_lines("i.cy >= roi_h * 0.48D", "i.w >= roi_w * 0.18D", line_has("cover_button"))
+    footer = f"({buttons} + {n_lines('i.cy >= roi_h * 0.72D', line_has(R.PHRASES['legal'] + ['fair']))})"
+    title = some_line(down(0.05, 0.55), "i.w >= roi_w * 0.18D", "i.h >= roi_h * 0.025D", f"NOT {line_has('balance_words')}")
+    cover = spoken("cover_like")
+    shown = either(["bar_flag", both(some_term("compact", ["ver", "certified"]), f"{footer} >= 4"),
+                    both(cover, either([some_term("compact", ["getstarted", "rightreserved", "rightsreserved"]), title, f"{buttons} >= 1"]))])
+    return either(["sig_loading_cover", both(f"NOT {both(spoken('jackpot'), spoken('jackpot_pick'))}", spoken("legal"),
+                                             either([f"NOT {spoken('real_ui')}", cover]), shown)])
 
 
-def help_scroll_shell() -> Column:
-    return ((_m("panel_dark_ratio") >= 0.62) & (_m("bottom_dark_ratio") >= 0.48) & (_m("button_ratio") >= 0.015))
+def help_scroll_shell() -> str:
+    return "(panel_dark_ratio >= 0.62D AND bottom_dark_ratio >= 0.48D AND button_ratio >= 0.015D)"
 
 
-# --- help pages -------------------------------------------------------------------------------
+# --- help pages ----------------------------------------------------------------------------------
 _NUMBER = r"\b\d{1,4}(?:[,.]\d+)?\b"
+_PAIR = r"\b\d{1,3}\s*-\s*\d{1,4}(?:[,.]\d+)?\b"
 
 
-def paytable_signal() -> Column:
+def paytable_signal() -> str:
     """Ladder of counts over the text lines; 0 when no rung holds."""
-    title = F.exists("lines", lambda i: any_of(i["compact"], "paytable_title"))
-    items = n_lines(lambda i: i["norm"].rlike(r"^\d{1,3}$"))
-    values = F.aggregate("lines", F.lit(0), lambda a, i: a + count_matches(i["norm"], _NUMBER))
-    pairs = n_lines(lambda i: (i["norm"] != "") & F.lower(i["raw"]).rlike(r"\b\d{1,3}\s*-\s*\d{1,4}(?:[,.]\d+)?\b"))
-    full = n_lines(lambda i: i["norm"].rlike(r"\bfull\b") & i["norm"].rlike(_NUMBER))
-    terms = n_lines(lambda i: any_of(i["compact"], "table_terms"))
-    cont = n_lines(lambda i: any_of(i["compact"], "continuation"))
-    wild = F.exists("lines", lambda i: any_of(i["compact"], "wild_scatter"))
-    paylines = F.exists("lines", lambda i: i["norm"].contains("paylines") | i["norm"].contains("pay lines"))
-    return (F.when(title & ((full >= 3) | (pairs >= 4)), 3.0)
-            .when(title & (((values >= 8) & (terms >= 1)) | (values >= 12)), 2.5)
-            .when(title & (items >= 20) & (terms >= 3), 3.0)
-            .when(title & (items >= 10) & (terms >= 10), 2.5)
-            .when(title & (items >= 8) & ((terms >= 2) | (cont >= 2)), 2.0)
-            .when(title & (cont >= 3), 1.5)
-            .when(paylines & (pairs >= 4) & wild, 2.0)
-            .when((pairs >= 6) & (wild | (terms >= 1)), 2.0)
-            .otherwise(0.0))
-
-
-def help_quality_terms(paytable: Column) -> list[Term]:
-    inside = lambda i: (i["cy"] >= H() * 0.03) & (i["cy"] <= H() * 0.97) & (F.length(i["norm"]) >= 3)
-    n = n_lines(inside)
-    long_ = n_lines(lambda i: inside(i) & (F.length(i["norm"]) >= 14))
-    numeric = n_lines(lambda i: inside(i) & i["norm"].rlike(r"\b\d+\b"))
-    ruled = n_lines(lambda i: inside(i) & any_of(i["compact"], "quality_terms"))
-    plain, dark = _m("dark_plain_ratio"), _m("dark_ratio")
-    colour, bright = _m("saturated_ratio"), _m("bright_ratio")
-    grid = paytable >= 2.0
-    vivid = (colour >= 0.34) & (n < 10) & ~grid
+    title = both(spoken("paytable_title"), some_line(line_has("paytable_title")))
+    items = n_lines(r"i.norm RLIKE r'^\d{1,3}$'")
+    values = f"aggregate(lines, 0, (a, i) -> a + {count_matches('i.norm', _NUMBER)})"
+    pairs = n_lines("i.norm <> ''", f"lower(i.raw) RLIKE {regex(_PAIR)}")
+    full = n_lines(r"i.norm RLIKE r'\bfull\b'", f"i.norm RLIKE {regex(_NUMBER)}")
+    terms, cont = n_lines(line_has("table_terms")), n_lines(line_has("continuation"))
+    wild = some_line(line_has("wild_scatter"))
+    paylines = some_line(some_term("i.norm", ["paylines", "pay lines"]))
+    rungs = [(both(title, f"({full} >= 3 OR {pairs} >= 4)"), 3.0),
+             (both(title, f"(({values} >= 8 AND {terms} >= 1) OR {values} >= 12)"), 2.5),
+             (both(title, f"{items} >= 20", f"{terms} >= 3"), 3.0),
+             (both(title, f"{items} >= 10", f"{terms} >= 10"), 2.5),
+             (both(title, f"{items} >= 8", f"({terms} >= 2 OR {cont} >= 2)"), 2.0),
+             (both(title, f"{cont} >= 3"), 1.5),
+             (both(f"{pairs} >= 4", paylines, wild), 2.0),
+             (both(f"{pairs} >= 6", f"({wild} OR {terms} >= 1)"), 2.0)]
+    return "CASE " + " ".join(f"WHEN {c} THEN {num(v)}" for c, v in rungs) + " ELSE 0.0D END"
+
+
+def help_quality_terms(paytable: str) -> list[Term]:
+    inside = "i.cy >= roi_h * 0.03D AND i.cy <= roi_h * 0.97D AND length(i.norm) >= 3"
+    n, long_ = n_lines(inside), n_lines(inside, "length(i.norm) >= 14")
+    numeric, ruled = n_lines(inside, r"i.norm RLIKE r'\b\d+\b'"), n_lines(inside, line_has("quality_terms"))
+    vivid = f"(saturated_ratio >= 0.34D AND {n} < 10 AND {paytable} < 2.0D)"
     return [
-        Term(plain >= 0.42, 4.0, coded("dark_plain_bg", plain)),
-        Term((plain < 0.42) & (dark >= 0.48), 2.0, coded("dark_bg", dark)),
-        Term(n >= 12, F.least(F.lit(4.0), n / 5.0), counted("text_lines", n)),
-        Term((n >= 7) & (n < 12), 1.2, counted("some_text_lines", n)),
-        Term(long_ >= 4, F.least(F.lit(3.0), long_ * 0.45), counted("long_rule_lines", long_)),
-        Term(ruled >= 4, F.least(F.lit(3.0), ruled * 0.4), counted("rule_terms", ruled)),
-        Term(numeric >= 4, 0.8, counted("numeric_rule_lines", numeric)),
-        Term(paytable >= 3.0, 7.0, "symbol_paytable_grid"),
-        Term(grid & (paytable < 3.0), 4.5, "symbol_paytable_continuation"),
-        Term((paytable > 0) & ~grid, 2.0, "paytable_rule_continuation"),
-        Term(vivid, -4.0, coded("colorful_game_area_penalty", colour)),
-        Term(~vivid & (colour >= 0.46) & ~grid, -2.0, coded("colorful_content_penalty", colour)),
-        Term((bright >= 0.24) & (plain < 0.36), -1.5, coded("bright_non_help_penalty", bright)),
+        Term("dark_plain_ratio >= 0.42D", 4.0, coded("dark_plain_bg", "dark_plain_ratio")),
+        Term("dark_plain_ratio < 0.42D AND dark_ratio >= 0.48D", 2.0, coded("dark_bg", "dark_ratio")),
+        Term(f"{n} >= 12", f"least(4.0D, {n} / 5.0D)", counted("text_lines", n)),
+        Term(f"{n} BETWEEN 7 AND 11", 1.2, counted("some_text_lines", n)),
+        Term(f"{long_} >= 4", f"least(3.0D, {long_} * 0.45D)", counted("long_rule_lines", long_)),
+        Term(f"{ruled} >= 4", f"least(3.0D, {ruled} * 0.4D)", counted("rule_terms", ruled)),
+        Term(f"{numeric} >= 4", 0.8, counted("numeric_rule_lines", numeric)),
+        Term(f"{paytable} >= 3.0D", 7.0, "symbol_paytable_grid"),
+        Term(f"{paytable} >= 2.0D AND {paytable} < 3.0D", 4.5, "symbol_paytable_continuation"),
+        Term(f"{paytable} > 0 AND {paytable} < 2.0D", 2.0, "paytable_rule_continuation"),
+        Term(vivid, -4.0, coded("colorful_game_area_penalty", "saturated_ratio")),
+        Term(f"NOT {vivid} AND saturated_ratio >= 0.46D AND {paytable} < 2.0D", -2.0, coded("colorful_content_penalty", "saturated_ratio")),
+        Term("bright_ratio >= 0.24D AND dark_plain_ratio < 0.36D", -1.5, coded("bright_non_help_penalty", "bright_ratio")),
     ]
 
 
-def paytable_visual_terms(height: Column) -> list[Term]:
-    icons, yellow = _m("component_count"), _m("yellow_ratio")
+def paytable_visual_terms(height: str) -> list[Term]:
     return [
-        Term((_m("dark_plain_ratio") >= 0.30) | (_m("dark_ratio") >= 0.42), 1.0,
-             coded("dark_help_bg", _m("dark_plain_ratio"))),
-        Term(icons >= 6, 3.0, counted("icon_components", icons)),
-        Term((icons >= 3) & (icons < 6), 1.5, counted("some_icon_components", icons)),
-        Term(yellow >= 0.012, 0.8, "yellow_payout_text"),
-        Term((_m("paragraph_rows") >= F.greatest(F.lit(24), F.floor(height * 0.10))) & (yellow < 0.020) & (icons < 3),
+        Term("dark_plain_ratio >= 0.30D OR dark_ratio >= 0.42D", 1.0, coded("dark_help_bg", "dark_plain_ratio")),
+        Term("component_count >= 6", 3.0, counted("icon_components", "component_count")),
+        Term("component_count BETWEEN 3 AND 5", 1.5, counted("some_icon_components", "component_count")),
+        Term("yellow_ratio >= 0.012D", 0.8, "yellow_payout_text"),
+        Term(f"paragraph_rows >= greatest(24, floor({height} * 0.10D)) AND yellow_ratio < 0.020D AND component_count < 3",
              -2.0, "paragraph_rules_layout"),
     ]
 
 
-def paytable_text_terms(text: Column) -> list[Term]:
+def paytable_text_terms(text: str) -> list[Term]:
     """Page text score over the amount-keeping normal form."""
-    some = lambda *words: reduce(lambda a, b: a | b, [text.contains(w) for w in words])
-    numbers = count_matches(text, _NUMBER)
-    pairs = count_matches(text, r"\b\d{1,3}\s*-\s*\d{1,4}(?:[,.]\d+)?\b")
+    numbers, pairs = count_matches(text, _NUMBER), count_matches(text, _PAIR)
     full = count_matches(text, r"\bfull\s+\d{1,4}(?:[,.]\d+)?\b")
-    multi = some("multiplier symbol")
+    multi = some_term(text, ["multiplier symbol"])
     return [
-        Term(some(*R.PAYOUT_TITLE_TERMS), 4.0, "symbol_payout_title"),
+        Term(some_term(text, R.PAYOUT_TITLE_TERMS), 4.0, "symbol_payout_title"),
         Term(multi, 3.0, "multiplier_symbols"),
-        Term(~multi & text.rlike(r"\bpay\s*table\b"), 1.0, "paytable_word"),
-        Term(some("wild", "scatter"), 1.5, "wild_scatter_terms"),
-        Term(some("paylines", "pay lines", "ways", "full"), 1.0, "payout_layout_terms"),
-        Term(numbers >= 10, F.least(F.lit(3.0), numbers / 8.0), counted("many_numbers", numbers)),
-        Term(pairs >= 3, 3.0, counted("payout_pairs", pairs)),
-        Term(full >= 2, 2.0, counted("full_values", full)),
+        Term(both(f"NOT {multi}", rf"{text} RLIKE r'\bpay\s*table\b'"), 1.0, "paytable_word"),
+        Term(some_term(text, ["wild", "scatter"]), 1.5, "wild_scatter_terms"),
+        Term(some_term(text, ["paylines", "pay lines", "ways", "full"]), 1.0, "payout_layout_terms"),
+        Term(f"{numbers} >= 10", f"least(3.0D, {numbers} / 8.0D)", counted("many_numbers", numbers)),
+        Term(f"{pairs} >= 3", 3.0, counted("payout_pairs", pairs)),
+        Term(f"{full} >= 2", 2.0, counted("full_values", full)),
     ]
 
 
-# --- feature, transition and big-win evidence -----------------------------------------------
-def feature_active_terms(help_score: Column, loading_score: Column, result_score: Column,
-                         help_quality: Column) -> list[Term]:
+# --- feature, transition and big-win evidence ---------------------------------------------------
+def feature_active_terms(help_score: str, loading_score: str, result_score: str, help_quality: str) -> list[Term]:
     """Needs the running, help, loading and cover signals."""
-    hits = lambda key: reduce(lambda a, b: a + b, [J().contains(n).cast("int") for n in
-                              [R.normalise_phrase(p) for p in R.PHRASES[key]]])
+    hits = lambda key: count_terms("joined", [R.normalise_phrase(p) for p in R.PHRASES[key]])
     active, touch = hits("active"), hits("interaction")
-    aimed = C().contains("tap") & (C().contains("shoot") | C().contains("pick") | C().contains("reveal"))
-    strong = help_quality >= 6.0
+    strong = f"{help_quality} >= 6.0D"
     return [
-        Term(sig("feature_running"), 8.0, "free_spins_running"),
-        Term(active > 0, F.least(F.lit(10.0), active * 2.0), counted("active_terms", active)),
-        Term(touch > 0, F.least(F.lit(6.0), touch * 2.5), counted("interaction", touch)),
-        Term(pat(J(), "fraction"), 2.5, "counter_fraction"),
-        Term(pat(J(), "times_number") | pat(J(), "number_times"), 2.5, "multiplier_value"),
-        Term(pat(J(), "win_colon"), 3.0, "feature_win_value"),
-        Term(aimed, 3.0, "tap_action"),
-        Term(sig("help_page") | strong, F.when(strong, -8.0).otherwise(-5.0), "help_page_penalty"),
-        Term(sig("loading_strong") | sig("loading_cover"), -8.0, "loading_penalty"),
-        Term(sig("transition_cover"), -5.0, "intro_penalty"),
-        Term((result_score >= 12.0) & ~any_of(C(), "result_keep"), -6.0, "result_penalty"),
-        Term(help_score >= 12.0, -3.0, "help_score_penalty"),
-        Term(loading_score >= 12.0, -3.0, "loading_score_penalty"),
+        Term("sig_feature_running", 8.0, "free_spins_running"),
+        Term(f"{active} > 0", f"least(10.0D, {active} * 2.0D)", counted("active_terms", active)),
+        Term(f"{touch} > 0", f"least(6.0D, {touch} * 2.5D)", counted("interaction", touch)),
+        Term(pat("joined", "fraction"), 2.5, "counter_fraction"),
+        Term(either([pat("joined", "times_number"), pat("joined", "number_times")]), 2.5, "multiplier_value"),
+        Term(pat("joined", "win_colon"), 3.0, "feature_win_value"),
+        Term(both("contains(compact, 'tap')", some_term("compact", ["shoot", "pick", "reveal"])), 3.0, "tap_action"),
+        Term(f"sig_help_page OR {strong}", f"CASE WHEN {strong} THEN -8.0D ELSE -5.0D END", "help_page_penalty"),
+        Term("sig_loading_strong OR sig_loading_cover", -8.0, "loading_penalty"),
+        Term("sig_transition_cover", -5.0, "intro_penalty"),
+        Term(both(f"{result_score} >= 12.0D", f"NOT {spoken('result_keep')}"), -6.0, "result_penalty"),
+        Term(f"{help_score} >= 12.0D", -3.0, "help_score_penalty"),
+        Term(f"{loading_score} >= 12.0D", -3.0, "loading_score_penalty"),
     ]
 
 
-def transition_keep_terms(transition_score: Column, base_ui: Column) -> list[Term]:
-    cover = sig("transition_cover")
-    ui = base_ui >= R.BASEGAME_UI_KEEP
+def transition_keep_terms(transition_score: str, base_ui: str) -> list[Term]:
+    plain = "NOT sig_transition_cover"
+    ui = f"{base_ui} >= {R.BASEGAME_UI_KEEP}D"
     return [
-        Term(F.lit(True), transition_score),
-        Term(cover, 30.0, "transition_cover_text_priority"),
-        Term(any_of(C(), "free_spin") & J().rlike("[0-9]"), 5.0, "free_spins_intro"),
-        Term(any_of(C(), "rule_intro"), 4.0, "feature_rule_intro"),
-        Term(any_of(C(), "start_overlay") & ~cover, -4.0, "start_overlay_penalty"),
-        Term(sig("start_button") & ~cover, -5.0, "large_start_button_penalty"),
-        Term(any_of(C(), "running_label"), -4.0, "feature_running_ui_penalty"),
-        Term(any_of(C(), "trigger_or_buy"), -5.0, "basegame_trigger_hint_penalty"),
+        Term("true", transition_score),
+        Term("sig_transition_cover", 30.0, "transition_cover_text_priority"),
+        Term(both(spoken("free_spin"), "joined RLIKE '[0-9]'"), 5.0, "free_spins_intro"),
+        Term(spoken("rule_intro"), 4.0, "feature_rule_intro"),
+        Term(both(spoken("start_overlay"), plain), -4.0, "start_overlay_penalty"),
+        Term(both("sig_start_button", plain), -5.0, "large_start_button_penalty"),
+        Term(spoken("running_label"), -4.0, "feature_running_ui_penalty"),
+        Term(spoken("trigger_or_buy"), -5.0, "basegame_trigger_hint_penalty"),
         Term(ui, -1.5, "basegame_ui_overlay_penalty"),
-        Term(ui & ~cover & any_of(C(), "buy_or_auto"), -12.0, "persistent_basegame_ui_penalty"),
+        Term(both(ui, plain, spoken("buy_or_auto")), -12.0, "persistent_basegame_ui_penalty"),
     ]
 
 
-def bigwin_keep_signal(bigwin_score: Column, visual_amount: Column) -> Column:
-    """Ladder of label and amount evidence, then caps for weaker explanations."""
-    strong, title, won = sig("bigwin_strong"), sig("bigwin_title"), sig("total_win")
-    label = strong | title
-    number = pat(J(), "big_amount")
-    amount = sig("center_payout") | visual_amount
-    rung = (F.when(label & amount, 14.0).when(label & number, 12.0)
-            .when(won & sig("large_result") & number, 11.0)
-            .when((bigwin_score >= 12.0) & strong, 10.0).otherwise(0.0))
-    bare = ~(strong | won)
-    caps = [(sig("jackpot_meter") & bare, 2.0), (amount & bare, 4.0),
-            (any_of(C(), "bigwin_other") & bare, 3.0), (sig("inline_banner") & bare, 2.0),
-            (pat(C(), "free_start") & ~pat(C(), "tier_win"), 6.0)]
-    return F.least(rung, *[F.when(c, cap).otherwise(99.0) for c, cap in caps])
+def bigwin_keep_rules(bigwin_score: str, visual_amount: str) -> tuple[list[tuple[str, float, str]], list[tuple[str, float, str]]]:
+    """Ladder of label and amount evidence, and caps for weaker explanations."""
+    label = "(sig_bigwin_strong OR sig_bigwin_title)"
+    bare = "NOT (sig_bigwin_strong OR sig_total_win)"
+    number = pat("joined", "big_amount")
+    amount = f"(sig_center_payout OR {visual_amount})"
+    rungs = [(both(label, amount), 14.0, "bigwin_label_with_large_amount"),
+             (both(label, number), 12.0, "bigwin_label_with_number_text"),
+             (both("sig_total_win", "sig_large_result", number), 11.0, "total_win_result_layout"),
+             (both(f"{bigwin_score} >= 12.0D", "sig_bigwin_strong"), 10.0, "bigwin_score_with_label")]
+    caps = [(both("sig_jackpot_meter", bare), 2.0, "jackpot_meter_not_bigwin"),
+            (both(amount, bare), 4.0, "large_amount_without_win_label"),
+            (both(spoken("bigwin_other"), bare), 3.0, "feature_intro_not_bigwin"),
+            (both("sig_inline_banner", bare), 2.0, "small_inline_win_not_bigwin"),
+            (both(pat("compact", "free_start"), f"NOT {pat('compact', 'tier_win')}"), 6.0, None)]
+    return rungs, caps
 
 
-# --- keep scores of records --------------------------------------------------------------------
-def basegame_keep_score() -> Column:
-    top = _m("top_score")
-    return (_m("basegame_ui_score") * 2.0 + clear_score(900.0, 3.0) - F.least(F.lit(3.0), _m("noise_score") * 0.6)
-            - F.least(F.lit(8.0), _m("obstruction_score") * 1.4)
-            - F.when(top >= 8.0, F.least(F.lit(4.0), (top - 6.0) * 0.35)).otherwise(0.0))
+def bigwin_keep_signal(bigwin_score: str, visual_amount: str) -> str:
+    rungs, caps = bigwin_keep_rules(bigwin_score, visual_amount)
+    ladder = "CASE " + " ".join(f"WHEN {c} THEN {num(v)}" for c, v, _ in rungs) + " ELSE 0.0D END"
+    return "least(" + ", ".join([ladder] + [f"CASE WHEN {c} THEN {num(v)} END" for c, v, _ in caps]) + ")"
 
 
-def feature_keep_score() -> Column:
+# --- keep scores of records -----------------------------------------------------------------------
+def basegame_keep_score() -> str:
+    return (f"(basegame_ui_score * 2.0D + {clear_score(900.0, 3.0)} - least(3.0D, noise_score * 0.6D)"
+            " - least(8.0D, obstruction_score * 1.4D)"
+            " - CASE WHEN top_score >= 8.0D THEN least(4.0D, (top_score - 6.0D) * 0.35D) ELSE 0.0D END)")
+
+
+def feature_keep_score() -> str:
     """Needs ``sig_record_spins_left``."""
-    active, block, quality = _m("feature_active_score"), _m("obstruction_score"), _m("help_quality_score")
-    penalty = F.when(active >= R.FEATURE_ACTIVE_KEEP, F.least(F.lit(3.0), block * 0.45)).otherwise(
-        F.least(F.lit(8.0), block * 1.8))
-    bonus = (F.when(sig("record_spins_left"), F.lit(28.0))
-             .when(quality >= R.HELP_QUALITY_MIN, quality * -2.2).otherwise(0.0))
-    return (_m("feature_ui_score") * 2.0 + active * 1.6 + clear_score(1000.0, 2.5)
-            - F.least(F.lit(3.0), _m("noise_score") * 0.55) - penalty + _m("top_score") * 0.05 + bonus)
+    return (f"(feature_ui_score * 2.0D + feature_active_score * 1.6D + {clear_score(1000.0, 2.5)} - least(3.0D, noise_score * 0.55D)"
+            f" - CASE WHEN feature_active_score >= {R.FEATURE_ACTIVE_KEEP}D THEN least(3.0D, obstruction_score * 0.45D)"
+            " ELSE least(8.0D, obstruction_score * 1.8D) END + top_score * 0.05D"
+            " + CASE WHEN sig_record_spins_left THEN 28.0D"
+            f" WHEN help_quality_score >= {R.HELP_QUALITY_MIN}D THEN help_quality_score * -2.2D ELSE 0.0D END)")
+
+
+def bigwin_keep_score() -> str:
+    return (f"(bigwin_keep_signal * 2.0D + top_score + {clear_score(1200.0, 3.0)} - least(4.0D, noise_score * 0.45D)"
+            f" + CASE WHEN bigwin_keep_signal >= {R.BIGWIN_KEEP_MIN}D THEN 20.0D ELSE 0.0D END)")
+
 
+def map_score(scores: str, category: str) -> str:
+    return f"coalesce(try_element_at({scores}, '{category}'), 0.0D)"
 
-def bigwin_keep_score() -> Column:
-    keep = _m("bigwin_keep_signal")
-    return (keep * 2.0 + _m("top_score") + clear_score(1200.0, 3.0) - F.least(F.lit(4.0), _m("noise_score") * 0.45)
-            + F.when(keep >= R.BIGWIN_KEEP_MIN, 20.0).otherwise(0.0))
 
+def competing_score(scores: str, base: bool = True) -> str:
+    names = ["BigWin", "Transition", "Feature game", "Feature Buy", "Result"] + (["Basegame"] if base else [])
+    return "greatest(" + ", ".join(map_score(scores, c) for c in names) + ")"
 
-def loading_keep_score(scores: Column, hits: Column) -> Column:
+
+def loading_keep_score(scores: str, hits: str) -> str:
     """``scores`` maps category to score, ``hits`` lists the loading reasons."""
-    of = lambda c: F.coalesce(F.try_element_at(scores, F.lit(c)), F.lit(0.0))
-    loading = of("loading")
-    competing = F.greatest(*[of(c) for c in ("BigWin", "Transition", "Feature game", "Feature Buy", "Result", "Basegame")])
-    frame = _m("frame_idx")
-    words = F.lower(F.array_join(hits, " "))
-    return (loading * 2.0 + F.when(words.contains("loading_splash_visual"), 14.0).otherwise(0.0)
-            + F.when(words.contains("cover") | words.contains("splash"), 4.0).otherwise(0.0)
-            + F.when(frame <= 900, F.greatest(F.lit(0.0), F.lit(9.0) - frame / 120.0)).otherwise(0.0)
-            - F.greatest(F.lit(0.0), competing - loading) * 0.45 - _m("feature_ui_score") * 0.25
-            - _m("basegame_ui_score") * 0.15 - F.greatest(F.lit(0.0), _m("noise_score") - 12.0) * 0.2)
-
-
-def help_keep_score(stats: Column) -> Column:
-    return (_m("help_quality_score") * 1.2 + _m("help_paytable_score") * 2.0 + stats["line_count"] * 0.8
-            + stats["token_count"] * 0.15 + stats["long_line_count"] * 1.0 + _m("blur_score") * 0.01
-            - _m("noise_score") * 0.6)
-
-
-# --- icons and regions -------------------------------------------------------------------------
-def icon_quality() -> Column:
-    w, h = _m("icon_w"), _m("icon_h")
-    size = F.least(F.lit(1.0), F.least(w, h) / 88.0)
-    edge = F.greatest(F.lit(0.0), F.lit(1.0) - _m("edge_touches") * 0.24)
-    sharp = F.least(F.lit(1.0), _m("sharpness") / 520.0)
-    area = (F.least(F.lit(1.0), _m("content_ratio") / 0.34) * 0.55 + F.least(F.lit(1.0), _m("bbox_fill") / 0.45) * 0.45)
-    pieces = F.greatest(F.lit(0.0), F.least(F.lit(0.22), (_m("components") - 3) * 0.055))
-    raw = size * 0.24 + edge * 0.34 + sharp * 0.18 + area * 0.24 - pieces
-    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)), 4)
-
-
-def icon_completeness() -> Column:
-    return (F.least(_m("icon_w") * _m("icon_h") / 9000.0, F.lit(1.4)) + _m("content_ratio")
-            + F.least((_m("x_margin") + _m("y_margin")) / 18.0, F.lit(1.0)) - _m("edge_density") * 1.8)
-
-
-def box_art_score() -> Column:
-    w, h = _m("icon_w"), _m("icon_h")
-    aspect = w / F.greatest(h, F.lit(1))
-    return (_m("colourful_ratio") * 2.25 + F.greatest(F.lit(0.0), F.lit(1.0) - F.abs(aspect - 1.0) / 2.2) * 0.28
-            + F.least(F.lit(1.0), F.greatest(w, h) / 96.0) * 0.24 + F.least(F.lit(0.55), w * h / 18000.0)
-            - (_m("white_ratio") * 0.55 + _m("yellow_text_ratio") * 0.45))
-
-
-def motion_region_score(x: Column, y: Column, w: Column, h: Column, frame_w: Column, frame_h: Column,
-                        area: Column | None = None) -> Column:
+    words, mine = f"lower(array_join({hits}, ' '))", map_score(scores, "loading")
+    return (f"({mine} * 2.0D + CASE WHEN contains({words}, 'loading_splash_visual') THEN 14.0D ELSE 0.0D END"
+            f" + CASE WHEN contains({words}, 'cover') OR contains({words}, 'splash') THEN 4.0D ELSE 0.0D END"
+            " + CASE WHEN frame_idx <= 900 THEN greatest(0.0D, 9.0D - frame_idx / 120.0D) ELSE 0.0D END"
+            f" - greatest(0.0D, {competing_score(scores)} - {mine}) * 0.45D - feature_ui_score * 0.25D"
+            " - basegame_ui_score * 0.15D - greatest(0.0D, noise_score - 12.0D) * 0.2D)")
+
+
+def help_keep_score(stats: str) -> str:
+    return (f"(help_quality_score * 1.2D + help_paytable_score * 2.0D + {stats}.line_count * 0.8D + {stats}.token_count * 0.15D"
+            f" + {stats}.long_line_count * 1.0D + blur_score * 0.01D - noise_score * 0.6D)")
+
+
+# --- icons and regions ------------------------------------------------------------------------------
+def icon_quality() -> str:
+    return ("round(greatest(0.0D, least(1.0D, least(1.0D, least(icon_w, icon_h) / 88.0D) * 0.24D"
+            " + greatest(0.0D, 1.0D - edge_touches * 0.24D) * 0.34D + least(1.0D, sharpness / 520.0D) * 0.18D"
+            " + (least(1.0D, content_ratio / 0.34D) * 0.55D + least(1.0D, bbox_fill / 0.45D) * 0.45D) * 0.24D"
+            " - greatest(0.0D, least(0.22D, (components - 3) * 0.055D)))), 4)")
+
+
+def icon_completeness() -> str:
+    return ("(least(icon_w * icon_h / 9000.0D, 1.4D) + content_ratio + least((x_margin + y_margin) / 18.0D, 1.0D)"
+            " - edge_density * 1.8D)")
+
+
+def box_art_score() -> str:
+    return ("(colourful_ratio * 2.25D + greatest(0.0D, 1.0D - abs(icon_w / greatest(icon_h, 1) - 1.0D) / 2.2D) * 0.28D"
+            " + least(1.0D, greatest(icon_w, icon_h) / 96.0D) * 0.24D + least(0.55D, icon_w * icon_h / 18000.0D)"
+            " - (white_ratio * 0.55D + yellow_text_ratio * 0.45D))")
+
+
+def motion_region_score(x: str, y: str, w: str, h: str, frame_w: float, frame_h: float) -> str:
     """Area weighted by centring, times a factor for game-shaped regions."""
-    size = w * h if area is None else F.greatest(area, w * h)
-    wr, hr = w / F.greatest(F.lit(1), frame_w), h / F.greatest(F.lit(1), frame_h)
-    aspect = w / F.greatest(F.lit(1), h)
-    centre = F.lit(1.0) - F.least(F.lit(0.75), F.abs(x + w / 2.0 - frame_w / 2.0) / F.greatest(F.lit(1), frame_w))
-    portrait = (wr >= 0.18) & (wr <= 0.50) & (hr >= 0.45) & (aspect <= 1.05)
-    landscape = (wr >= 0.42) & (wr <= 0.72) & (hr <= 0.70) & (aspect >= 1.10)
-    page = (wr >= 0.72) & (hr >= 0.55) & (y + h / 2.0 >= frame_h * 0.35)
-    factor = F.when(portrait, 3.0).when(landscape, 2.2).when(page, 0.18).otherwise(1.0)
-    return size * F.greatest(F.lit(0.25), centre) * factor
+    wr, hr, aspect = f"({w} / {frame_w}D)", f"({h} / {frame_h}D)", f"({w} / greatest(1.0D, {h}))"
+    centre = f"(1.0D - least(0.75D, abs({x} + {w} / 2.0D - {frame_w / 2}D) / {frame_w}D))"
+    return (f"({w} * {h} * greatest(0.25D, {centre}) * CASE"
+            f" WHEN {wr} BETWEEN 0.18D AND 0.50D AND {hr} >= 0.45D AND {aspect} <= 1.05D THEN 3.0D"
+            f" WHEN {wr} BETWEEN 0.42D AND 0.72D AND {hr} <= 0.70D AND {aspect} >= 1.10D THEN 2.2D"
+            f" WHEN {wr} >= 0.72D AND {hr} >= 0.55D AND {y} + {h} / 2.0D >= {frame_h * 0.35}D THEN 0.18D ELSE 1.0D END)")

@@ -1,350 +1,206 @@
-"""Boolean text and layout signals of a frame.
-
-Each signal is a Column over the text columns of ``with_text`` (``lines``,
-``joined``, ``compact``, ``record_*``), the ROI size and, for composed signals,
-the columns of the signals below it.  ``with_signals`` adds the requested ones
-level by level, so a shared test is evaluated once per row.
+"""Boolean text and layout signals of a frame, as SQL expression text.
+
+Signals read the text columns of ``with_text`` (``lines``, ``joined``,
+``compact``, ``record_*``), the ROI size (``roi_w``, ``roi_h``) and, for
+composed signals, the ``sig_`` columns below them.  ``with_signals`` adds the
+requested ones level by level, so a shared test is evaluated once per row.
+Tests over the lines stand behind the cheaper test over the joined text where
+the latter is implied, which skips the array walk for most frames.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-from .rules import (BIGWIN_TIERS, GAME_RULES_TERMS, HELP_RULE_TERMS, PATTERNS, PLAIN_TIERS,
-                    RULES_PAGE_TERMS, TIER_MEGA, TIER_SUPER, BIGWIN_TIER_LABELS)
-from .text import any_of, count_digits, count_matches, count_terms, has_any_pattern, text_stats_of_lines
-
-def _column(name: str):
-    """Column built on use, since a Column needs a running session."""
-    return lambda: F.col(name)
-
-
-J, C = _column("joined"), _column("compact")
-RJ, RC = _column("record_text"), _column("record_compact")
-W, H = _column("roi_w"), _column("roi_h")
-
-_REGISTRY: dict[str, tuple[tuple[str, ...], object]] = {}
-
-
-def signal(*needs: str):
-    def add(fn):
-        _REGISTRY[fn.__name__] = (needs, fn)
-        return fn
-    return add
-
-
-def pat(col: Column, key: str) -> Column:
-    return has_any_pattern(col, PATTERNS[key])
-
-
-def some_line(test) -> Column:
-    return F.exists("lines", test)
-
-
-def within(value: Column, size: Column, low: float, high: float) -> Column:
-    return (value >= size * low) & (value <= size * high)
-
+from pyspark.sql import DataFrame
 
-def sig(name: str) -> Column:
-    return F.col(f"sig_{name}")
+from .rules import (BIGWIN_TIER_LABELS, BIGWIN_TIERS, GAME_RULES_TERMS, HELP_RULE_TERMS, PATTERNS, PLAIN_TIERS,
+                    RULES_PAGE_TERMS, TIER_MEGA, TIER_SUPER)
+from .text import (any_of, both, count_digits, count_matches, count_terms, either, has_any_pattern, lit, some_term,
+                   text_stats_of_lines)
 
+_REGISTRY: dict[str, tuple[tuple[str, ...], str]] = {}
 
-# --- joined-text signals -------------------------------------------------------
-@signal()
-def loading_strong():
-    return any_of(C(), "loading")
 
+def _signal(name: str, sql: str, *needs: str) -> None:
+    _REGISTRY[name] = (needs, sql)
 
-@signal()
-def transition_cover():
-    award = any_of(C(), "award") & any_of(C(), "free_spin") & pat(J(), "short_number")
-    return any_of(C(), "cover") | award | pat(C(), "cover_compact") | pat(J(), "cover")
 
+def pat(e: str, key: str) -> str:
+    return has_any_pattern(e, key)
 
-@signal("loading_strong", "transition_cover")
-def loading_cover():
-    loading = sig("loading_strong") | any_of(C(), "download")
-    playing = (any_of(C(), "gameplay") | pat(J(), "win_number")
-               | (any_of(C(), ["multiplier"]) & pat(J(), "times_number")))
-    blocked = ~loading & (playing | sig("transition_cover"))
-    return (any_of(C(), "vendor") & ~blocked & (loading | any_of(C(), "marketing")) & ~any_of(C(), "cover_rules"))
 
+def spoken(key) -> str:
+    """Phrase test on the joined text of the frame."""
+    return any_of("compact", key)
 
-@signal()
-def feature_running():
-    words = any_of(C(), "remaining") & any_of(C(), "free_play")
-    glued = C().contains("freespin") & (C().contains("remaining") | C().contains("last") | C().contains("left"))
-    return words | glued | pat(J(), "running") | pat(C(), "running_compact")
 
+def some_line(*tests: str) -> str:
+    return f"exists(lines, i -> {both(*tests)})"
 
-@signal()
-def feature_intro():
-    return any_of(C(), "feature_intro") | pat(J(), "feature_intro")
 
+def n_lines(*tests: str) -> str:
+    return f"size(filter(lines, i -> {both(*tests)}))"
 
-@signal()
-def action_phrase():
-    return any_of(C(), "action")
 
+def across(low: float, high: float) -> str:
+    """Horizontal centre of line ``i`` within shares of the ROI width."""
+    return f"i.cx BETWEEN roi_w * {low}D AND roi_w * {high}D"
 
-@signal()
-def result_strong():
-    only_multiplier = any_of(C(), "win_multiplier") & ~any_of(C(), "won_or_collect")
-    return ~only_multiplier & any_of(C(), "result")
 
+def down(low: float, high: float) -> str:
+    return f"i.cy BETWEEN roi_h * {low}D AND roi_h * {high}D"
 
-@signal()
-def bigwin_strong():
-    return any_of(C(), "bigwin") | pat(C(), "bigwin_compact")
 
+def line_has(key) -> str:
+    return any_of("i.compact", key)
 
-@signal()
-def bigwin_title():
-    return C().contains("sensational") | (J().rlike(r"\bnice\b") & J().rlike("[0-9]"))
 
+# --- joined-text signals ---------------------------------------------------------
+_signal("loading_strong", spoken("loading"))
+_signal("transition_cover", either([
+    spoken("cover"), both(spoken("award"), spoken("free_spin"), pat("joined", "short_number")),
+    pat("compact", "cover_compact"), pat("joined", "cover")]))
+_LOADING = either(["sig_loading_strong", spoken("download")])
+_PLAYING = either([spoken("gameplay"), pat("joined", "win_number"), both(spoken(["multiplier"]), pat("joined", "times_number"))])
+_signal("loading_cover", both(
+    spoken("vendor"), either([_LOADING, f"NOT {either([_PLAYING, 'sig_transition_cover'])}"]),
+    either([_LOADING, spoken("marketing")]), f"NOT {spoken('cover_rules')}"), "loading_strong", "transition_cover")
+_signal("feature_running", either([
+    both(spoken("remaining"), spoken("free_play")),
+    both("contains(compact, 'freespin')", some_term("compact", ["remaining", "last", "left"])),
+    pat("joined", "running"), pat("compact", "running_compact")]))
+_signal("feature_intro", either([spoken("feature_intro"), pat("joined", "feature_intro")]))
+_signal("action_phrase", spoken("action"))
+_signal("result_strong", both(spoken("result"), f"NOT {both(spoken('win_multiplier'), 'NOT ' + spoken('won_or_collect'))}"))
+_signal("bigwin_strong", either([spoken("bigwin"), pat("compact", "bigwin_compact")]))
+_signal("bigwin_title", either(["contains(compact, 'sensational')", both(r"joined RLIKE r'\bnice\b'", "joined RLIKE '[0-9]'")]))
+_signal("jackpot_meter", both(spoken("jackpot"), f"{count_matches('joined', PATTERNS['big_amount'][0])} >= 2"))
+_signal("total_win", spoken("total_win"))
 
-@signal()
-def jackpot_meter():
-    return any_of(C(), "jackpot") & (count_matches(J(), PATTERNS["big_amount"][0]) >= 2)
+# --- layout signals ------------------------------------------------------------------
+_signal("start_button", both("contains(joined, 'start')", some_line(
+    "contains(i.norm, 'start')", "i.cy >= roi_h * 0.5D", across(0.15, 0.85), "(i.h >= 28 OR i.w >= 95)")))
+_OVERLAY = both(across(0.10, 0.90), down(0.16, 0.70), "(i.h >= roi_h * 0.038D OR i.w >= roi_w * 0.16D)")
+_LABEL = both(spoken("total_win"), some_line(line_has("total_win"), "(i.h >= roi_h * 0.045D OR i.w >= roi_w * 0.30D)"))
+_SPLIT = both("contains(joined, 'total')", some_line("i.norm = 'total'", _OVERLAY), some_line("i.norm = 'win'", _OVERLAY))
+_NUMBER = some_line(f"{count_digits('i.norm')} >= 3", "i.h >= roi_h * 0.07D", "i.w >= roi_w * 0.25D", down(0.20, 0.82))
+_TITLED = either([_LABEL, _SPLIT])
+_signal("large_result", either([both(_TITLED, _NUMBER), both("contains(joined, 'collect')", some_line("contains(i.norm, 'collect')"),
+                                                             either([_TITLED, _NUMBER]))]))
+_signal("collect_button", some_line(
+    "i.norm IN ('collect', 'collec', 'colect')", across(0.20, 0.80), down(0.48, 0.90), "i.w >= roi_w * 0.14D", "i.h >= roi_h * 0.030D"))
+_signal("blocking_modal", both(spoken("modal"), f"{n_lines(line_has('modal_word'), across(0.15, 0.85), down(0.18, 0.82))} >= 2"))
+_AREA = both(across(0.18, 0.82), down(0.16, 0.68), "i.h >= roi_h * 0.030D")
+_BUY_TITLE = some_line(line_has("feature_buy"), _AREA, "i.w >= roi_w * 0.22D")
+_BUY_SPLIT = both(some_line("i.norm = 'buy'", _AREA, "i.w >= roi_w * 0.10D"),
+                  some_line(line_has("buy_title"), _AREA, "i.w >= roi_w * 0.10D"))
+_PAIR = "(" + " + ".join(f"CAST({some_line('i.cy >= roi_h * 0.42D', t)} AS INT)" for t in (
+    "contains(i.norm, 'cancel')", "contains(i.norm, 'start')", r"i.norm RLIKE r'\bbuy\b'")) + " >= 2)"
+_signal("feature_buy", both(spoken("feature_buy"), spoken("purchase"), either([pat("joined", "amount"), _PAIR]),
+                            either([_BUY_TITLE, _BUY_SPLIT, _PAIR])))
+PAGE_LINES = "filter(transform(lines, i -> i.norm), t -> length(t) >= 3)"
+PAGE_TEXT = f"array_join({PAGE_LINES}, ' ')"
+_PAGE_GLUED = f"replace({PAGE_TEXT}, ' ', '')"
 
 
-@signal()
-def total_win():
-    return any_of(C(), "total_win")
+def _count(test: str) -> str:
+    return f"size(filter({PAGE_LINES}, t -> {test}))"
 
 
-# --- layout signals ---------------------------------------------------------------
-@signal()
-def start_button():
-    return some_line(lambda i: i["norm"].contains("start") & (i["cy"] >= H() * 0.5)
-                     & within(i["cx"], W(), 0.15, 0.85) & ((i["h"] >= 28) | (i["w"] >= 95)))
+_OVER_UI = both("contains(compact, 'symbolspay')", spoken("overlay_ui"), f"NOT {spoken('overlay_help')}")
+_OVER_UI_LINES = both(f"contains({_PAGE_GLUED}, 'symbolspay')", any_of(_PAGE_GLUED, "overlay_ui_items"),
+                      f"NOT {any_of(_PAGE_GLUED, 'overlay_help_items')}")
+_RULES = both(f"size({PAGE_LINES}) >= 12", f"NOT {_OVER_UI_LINES}", f"{count_terms(PAGE_TEXT, HELP_RULE_TERMS)} >= 4",
+              either([_count(r"t RLIKE r'\b\d+\b'") + " >= 5", _count("length(t) >= 14") + " >= 5"]))
+_signal("help_page", both(f"NOT {_OVER_UI}", either([spoken("help"), both("size(lines) >= 12", _RULES)])))
 
 
-@signal()
-def large_result():
-    overlay = lambda i: (within(i["cx"], W(), 0.10, 0.90) & within(i["cy"], H(), 0.16, 0.70)
-                         & ((i["h"] >= H() * 0.038) | (i["w"] >= W() * 0.16)))
-    label = some_line(lambda i: any_of(i["compact"], "total_win") & ((i["h"] >= H() * 0.045) | (i["w"] >= W() * 0.30)))
-    split = (some_line(lambda i: overlay(i) & (i["norm"] == "total"))
-             & some_line(lambda i: overlay(i) & (i["norm"] == "win")))
-    number = some_line(lambda i: (count_digits(i["norm"]) >= 3) & (i["h"] >= H() * 0.07)
-                       & (i["w"] >= W() * 0.25) & within(i["cy"], H(), 0.20, 0.82))
-    collect = some_line(lambda i: i["norm"].contains("collect"))
-    titled = label | split
-    return (titled & number) | (collect & (titled | number))
-
-
-@signal()
-def collect_button():
-    return some_line(lambda i: i["norm"].isin("collect", "collec", "colect")
-                     & within(i["cx"], W(), 0.20, 0.80) & within(i["cy"], H(), 0.48, 0.90)
-                     & (i["w"] >= W() * 0.14) & (i["h"] >= H() * 0.030))
-
-
-@signal()
-def blocking_modal():
-    centred = F.filter("lines", lambda i: any_of(i["compact"], "modal_word")
-                       & within(i["cx"], W(), 0.15, 0.85) & within(i["cy"], H(), 0.18, 0.82))
-    return any_of(C(), "modal") & (F.size(centred) >= 2)
-
-
-@signal()
-def feature_buy():
-    area = lambda i: within(i["cx"], W(), 0.18, 0.82) & within(i["cy"], H(), 0.16, 0.68) & (i["h"] >= H() * 0.030)
-    title = some_line(lambda i: any_of(i["compact"], "feature_buy") & area(i) & (i["w"] >= W() * 0.22))
-    small = lambda i: area(i) & (i["w"] >= W() * 0.10)
-    split = (some_line(lambda i: small(i) & (i["norm"] == "buy"))
-             & some_line(lambda i: small(i) & any_of(i["compact"], "buy_title")))
-    low = lambda i: i["cy"] >= H() * 0.42
-    actions = reduce(lambda a, b: a + b, [some_line(t).cast("int") for t in (
-        lambda i: low(i) & i["norm"].contains("cancel"),
-        lambda i: low(i) & i["norm"].contains("start"),
-        lambda i: low(i) & i["norm"].rlike(r"\bbuy\b"))])
-    pair = actions >= 2
-    flow = any_of(C(), "purchase") & (pair | pat(J(), "amount"))
-    return any_of(C(), "feature_buy") & flow & (title | split | pair)
-
-
-def _page_lines() -> Column:
-    return F.filter(F.transform("lines", lambda i: i["norm"]), lambda t: F.length(t) >= 3)
-
-
-def _count(lines: Column, test) -> Column:
-    return F.size(F.filter(lines, test))
-
-
-@signal()
-def help_page():
-    lines = _page_lines()
-    text = F.array_join(lines, " ")
-    glued = F.replace(text, F.lit(" "), F.lit(""))
-    overlay = (C().contains("symbolspay") & any_of(C(), "overlay_ui") & ~any_of(C(), "overlay_help"))
-    overlay_lines = (glued.contains("symbolspay") & any_of(glued, "overlay_ui_items")
-                     & ~any_of(glued, "overlay_help_items"))
-    rules = ((F.size(lines) >= 12) & ~overlay_lines & (count_terms(text, HELP_RULE_TERMS) >= 4)
-             & ((_count(lines, lambda t: t.rlike(r"\b\d+\b")) >= 5)
-                | (_count(lines, lambda t: F.length(t) >= 14) >= 5)))
-    return ~overlay & (any_of(C(), "help") | rules)
-
-
-def rules_page(help_quality: Column, help_score: Column, paytable_score: Column) -> Column:
+def rules_page(help_quality: str, help_score: str, paytable_score: str) -> str:
     """Rule page test; the three scores come from the caller's stage."""
-    lines = _page_lines()
-    text = F.array_join(lines, " ")
-    terms = count_terms(text, RULES_PAGE_TERMS)
-    dense = ((_count(lines, lambda t: F.length(t) >= 16) >= 5)
-             | (_count(lines, lambda t: t.rlike(r"\b\d+(?:[,.]\d+)?\b")) >= 5))
-    scored = ((help_quality >= 6.0) & (terms >= 2)) | ((help_quality >= 3.0) & (help_score >= 3.0) & (terms >= 2))
-    phrase = any_of(F.replace(text, F.lit(" "), F.lit("")), "help")
-    return (F.size(lines) >= 8) & (phrase | (paytable_score >= 2.0) | scored | ((terms >= 4) & dense))
+    terms = count_terms(PAGE_TEXT, RULES_PAGE_TERMS)
+    dense = either([_count("length(t) >= 16") + " >= 5", _count(r"t RLIKE r'\b\d+(?:[,.]\d+)?\b'") + " >= 5"])
+    scored = both(f"({help_quality} >= 6.0D OR ({help_quality} >= 3.0D AND {help_score} >= 3.0D))", f"{terms} >= 2")
+    return both("size(lines) >= 8", f"size({PAGE_LINES}) >= 8", either([
+        any_of(_PAGE_GLUED, "help"), f"{paytable_score} >= 2.0D", scored, both(f"{terms} >= 4", dense)]))
 
 
-def base_control(reasons: Column) -> Column:
-    """Explicit base-game control, from words or from ``name:value`` reason codes."""
-    starts = lambda p: F.exists(reasons, lambda r: r.startswith(p))
-    equals = lambda v: F.array_contains(reasons, v)
-    centre = starts("spin_or_counter_block") | starts("partial_center_spin")
-    money = equals("money_or_bet_text") | pat(J(), "decimal")
-    buttons = starts("round_buttons")
-    signs = (C().contains("+") | J().contains("plus")) & (C().contains("-") | J().contains("minus"))
-    return (any_of(C(), "control") | equals("plus_minus_controls") | equals("bottom_controls_with_money") | signs
-            | (centre & (reason_count(reasons, "round_buttons") >= 3))
-            | (centre & money & any_of(C(), "money_word"))
-            | (centre & money & (equals("persistent_feature_buy_button") | buttons)))
-
-
-def reason_count(reasons: Column, prefix: str) -> Column:
+def reason_count(reasons: str, prefix: str) -> str:
     """Number after ``prefix…:``; 1 when the reason has none; 0 when absent."""
-    first = F.filter(reasons, lambda r: r.startswith(prefix))
-    value = F.regexp_extract(F.try_element_at(first, F.lit(1)), r":(\d+)", 1)
-    return F.when(F.size(first) == 0, 0).when(value == "", 1).otherwise(value.cast("int"))
-
+    first = f"try_element_at(filter({reasons}, r -> startswith(r, {lit(prefix)})), 1)"
+    value = f"regexp_extract({first}, r':(\\d+)', 1)"
+    return f"CASE WHEN {first} IS NULL THEN 0 WHEN {value} = '' THEN 1 ELSE CAST({value} AS INT) END"
 
-@signal("action_phrase", "feature_intro", "feature_running", "start_button")
-def transition_strong():
-    return sig("action_phrase") | (sig("feature_intro") & ~sig("feature_running")) | sig("start_button")
 
-
-@signal()
-def inline_banner():
-    return some_line(lambda i: ~any_of(i["compact"], "banner_block") & pat(i["norm"], "banner")
-                     & (i["cy"] <= H() * 0.72) & (i["w"] >= W() * 0.16))
-
-
-@signal()
-def center_payout():
-    return some_line(lambda i: (count_digits(i["norm"]) >= 4) & pat(i["raw"], "payout_text")
-                     & within(i["cx"], W(), 0.12, 0.88) & within(i["cy"], H(), 0.16, 0.62)
-                     & ((i["w"] >= W() * 0.22) | (i["h"] >= H() * 0.055)))
-
-
-# --- record signals: text of all items, without the score limit ----------------------
-@signal()
-def record_spins_left():
-    return (RC().contains("freespinsleft") | RC().contains("freespinleft")
-            | (any_of(RC(), "free_spin_any") & RJ().contains("left") & pat(RJ(), "short_number")))
-
-
-@signal()
-def record_feature_text():
-    return pat(RJ(), "feature_text") | pat(RC(), "counter_of") | any_of(RC(), "feature_words")
-
-
-@signal()
-def record_strong_counter():
-    return pat(RC(), "counter_compact") | pat(RJ(), "counter")
-
-
-@signal()
-def record_start_intro():
-    return any_of(RC(), "start_intro")
-
-
-@signal()
-def record_result_text():
-    return any_of(RC(), "result") | (RC().contains("total") & RC().contains("win") & pat(RJ(), "big_amount"))
-
-
-@signal("record_start_intro", "record_result_text")
-def record_counter_over_board():
-    counter = any_of(RC(), "free_spin_any") & pat(RJ(), "short_number")
-    return (counter & ~sig("record_start_intro") & ~sig("record_result_text")
-            & ~any_of(RC(), "counter_block") & (F.col("feature_board_score") >= 3.0))
-
-
-@signal()
-def record_base_text():
-    return any_of(RC(), "base_words")
-
-
-@signal()
-def record_web_chrome():
-    return any_of(RC(), "browser") & any_of(RC(), "browser_page")
-
-
-@signal()
-def record_award():
-    return any_of(RC(), "award_words") & any_of(RC(), "free_spin_any")
-
-
-@signal()
-def record_settings():
-    return any_of(RC(), "settings_words")
-
-
-@signal()
-def record_intro():
-    return any_of(RC(), "feature_intro") | pat(RJ(), "feature_intro")
-
-
-def record_stats() -> Column:
-    return text_stats_of_lines(F.filter("record_lines", lambda t: F.length(t) >= 2))
-
-
-@signal()
-def plain_rule_help():
-    stats = record_stats()
-    body = F.replace(F.array_join(F.filter("record_lines", lambda t: F.length(t) >= 2), " "), F.lit(" "), F.lit(""))
-    wordy = (stats["line_count"] >= 6) & ((stats["token_count"] >= 22) | (stats["long_line_count"] >= 3))
-    context = any_of(body, "help") | (F.col("help_paytable_score") >= 1.0) | (stats["long_line_count"] >= 4)
-    return wordy & context & (F.col("help_quality_score") >= 2.5)
+def base_control(reasons: str) -> str:
+    """Explicit base-game control, from words or from ``name:value`` reason codes."""
+    starts = lambda p: f"exists({reasons}, r -> startswith(r, {lit(p)}))"
+    equals = lambda v: f"array_contains({reasons}, {lit(v)})"
+    centre = either([starts("spin_or_counter_block"), starts("partial_center_spin")])
+    money = either([equals("money_or_bet_text"), pat("joined", "decimal")])
+    signs = both("(contains(compact, '+') OR contains(joined, 'plus'))", "(contains(compact, '-') OR contains(joined, 'minus'))")
+    support = either([spoken("money_word"), equals("persistent_feature_buy_button"), starts("round_buttons")])
+    return either([spoken("control"), equals("plus_minus_controls"), equals("bottom_controls_with_money"), signs,
+                   both(centre, either([f"{reason_count(reasons, 'round_buttons')} >= 3", both(money, support)]))])
+
+
+_signal("transition_strong", "(sig_action_phrase OR (sig_feature_intro AND NOT sig_feature_running) OR sig_start_button)",
+        "action_phrase", "feature_intro", "feature_running", "start_button")
+_signal("inline_banner", both("contains(joined, 'win')", some_line(
+    f"NOT {line_has('banner_block')}", pat("i.norm", "banner"), "i.cy <= roi_h * 0.72D", "i.w >= roi_w * 0.16D")))
+_signal("center_payout", both("joined RLIKE '[0-9]'", some_line(
+    across(0.12, 0.88), down(0.16, 0.62), "(i.w >= roi_w * 0.22D OR i.h >= roi_h * 0.055D)",
+    f"{count_digits('i.norm')} >= 4", pat("i.raw", "payout_text"))))
+
+# --- record signals: text of all items, without the score limit -----------------------
+recorded = lambda key: any_of("record_compact", key)
+_signal("record_spins_left", either([
+    "contains(record_compact, 'freespinsleft')", "contains(record_compact, 'freespinleft')",
+    both(recorded("free_spin_any"), "contains(record_text, 'left')", pat("record_text", "short_number"))]))
+_signal("record_feature_text", either([recorded("feature_words"), pat("record_text", "feature_text"), pat("record_compact", "counter_of")]))
+_signal("record_strong_counter", either([pat("record_compact", "counter_compact"), pat("record_text", "counter")]))
+_signal("record_start_intro", recorded("start_intro"))
+_signal("record_result_text", either([recorded("result"), both(
+    "contains(record_compact, 'total')", "contains(record_compact, 'win')", pat("record_text", "big_amount"))]))
+_signal("record_counter_over_board", both(
+    recorded("free_spin_any"), pat("record_text", "short_number"), "NOT sig_record_start_intro", "NOT sig_record_result_text",
+    f"NOT {recorded('counter_block')}", "feature_board_score >= 3.0D"), "record_start_intro", "record_result_text")
+_signal("record_base_text", recorded("base_words"))
+_signal("record_web_chrome", both(recorded("browser"), recorded("browser_page")))
+_signal("record_award", both(recorded("award_words"), recorded("free_spin_any")))
+_signal("record_settings", recorded("settings_words"))
+_signal("record_intro", either([recorded("feature_intro"), pat("record_text", "feature_intro")]))
+RULE_LINES = "filter(record_lines, t -> length(t) >= 2)"
+RECORD_STATS = text_stats_of_lines(RULE_LINES)
+_signal("plain_rule_help", both(
+    "help_quality_score >= 2.5D", f"size({RULE_LINES}) >= 6",
+    f"({RECORD_STATS}.token_count >= 22 OR {RECORD_STATS}.long_line_count >= 3)",
+    either([any_of(f"replace(array_join({RULE_LINES}, ' '), ' ', '')", "help"), "help_paytable_score >= 1.0D",
+            f"{RECORD_STATS}.long_line_count >= 4"])))
+
+
+def game_rules_text(paytable_text: str) -> str:
+    return some_term(paytable_text, GAME_RULES_TERMS)
+
+
+# --- big-win tiers -----------------------------------------------------------------------
+def bigwin_tier(compact: str) -> str:
+    """Tier key of corrected, space-free text; empty when none applies."""
+    great, mega = some_term(compact, TIER_SUPER), some_term(compact, TIER_MEGA)
+    has = lambda w: f"contains({compact}, '{w}')"
+    rungs = [(f"NOT {has('wi')}", ""), (both(great, mega), "super_mega_win"), (has("jumbo"), "jumbo_win"), (mega, "mega_win"),
+             (great, "super_win"), (some_term(compact, ["big", "bis"]), "big_win"), (has("huge"), "huge_win"),
+             (has("massive"), "massive_win"), (has("epic"), "epic_win")]
+    return "CASE " + " ".join(f"WHEN {c} THEN '{t}'" for c, t in rungs) + " ELSE '' END"
 
 
-def game_rules_text(paytable_text: Column) -> Column:
-    return reduce(lambda a, b: a | b, [paytable_text.contains(t) for t in GAME_RULES_TERMS])
+def bigwin_tier_label(tier: str) -> str:
+    rows = ", ".join(f"'{t}', '{BIGWIN_TIER_LABELS[t]}'" for t in BIGWIN_TIERS)
+    return f"coalesce(try_element_at(map({rows}), {tier}), 'Unlabeled BigWin')"
 
 
-# --- big-win tiers ----------------------------------------------------------------------
-def bigwin_tier(compact: Column) -> Column:
-    """Tier key of corrected, space-free text; empty when none applies."""
-    some = lambda words: reduce(lambda a, b: a | b, [compact.contains(w) for w in words])
-    big, mega = some(TIER_SUPER), some(TIER_MEGA)
-    return (F.when(~compact.contains("wi"), "")
-            .when(big & mega, "super_mega_win")
-            .when(compact.contains("jumbo"), "jumbo_win")
-            .when(mega, "mega_win")
-            .when(big, "super_win")
-            .when(some(["big", "bis"]), "big_win")
-            .when(compact.contains("huge"), "huge_win")
-            .when(compact.contains("massive"), "massive_win")
-            .when(compact.contains("epic"), "epic_win")
-            .otherwise(""))
-
-
-def bigwin_tier_label(tier: Column) -> Column:
-    mapping = F.create_map(*[F.lit(x) for t in BIGWIN_TIERS for x in (t, BIGWIN_TIER_LABELS[t])])
-    return F.coalesce(F.try_element_at(mapping, tier), F.lit("Unlabeled BigWin"))
-
-
-def bigwin_tier_plain(plain_compact: Column) -> Column:
+def bigwin_tier_plain(plain_compact: str) -> str:
     """First of the ordered phrases in uncorrected, space-free text."""
-    chain = F
-    for phrase, label in PLAIN_TIERS:
-        chain = chain.when(plain_compact.contains(phrase.replace(" ", "")), label)
-    return chain.otherwise("BigWin")
+    return "CASE " + " ".join(f"WHEN contains({plain_compact}, {lit(p.replace(' ', ''))}) THEN {lit(name)}"
+                              for p, name in PLAIN_TIERS) + " ELSE 'BigWin' END"
 
 
 SIGNALS = list(_REGISTRY)
@@ -361,8 +217,9 @@ def with_signals(df: DataFrame, *names: str) -> DataFrame:
 
     for name in names or SIGNALS:
         depth(name)
+    present = set(df.columns)
     for step in range(max(level.values()) + 1):
-        todo = {f"sig_{n}": _REGISTRY[n][1]() for n, d in level.items() if d == step and f"sig_{n}" not in df.columns}
+        todo = [f"{_REGISTRY[n][1]} AS sig_{n}" for n, d in level.items() if d == step and f"sig_{n}" not in present]
         if todo:
-            df = df.withColumns(todo)
+            df = df.selectExpr("*", *todo)
     return df

@@ -1,42 +1,63 @@
-"""Text normal forms, phrase tests and per-frame text columns (all JVM-side)."""
+"""Text normal forms, phrase tests and per-frame text columns.
+
+Functions take and return Spark SQL expression text, for ``selectExpr`` or
+``expr``.  A rule pack with hundreds of phrases then costs one call to build,
+and everything stays in built-in, JVM-side expressions.
+"""
 
 from __future__ import annotations
 
-from functools import reduce
+from pyspark.sql import DataFrame
+
+from .rules import DEFAULT_PACK, MIN_TEXT_SCORE, PATTERNS, PHRASES, RulePack, normalise_phrase
+
+
+def lit(text: str) -> str:
+    """SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+def regex(pattern: str) -> str:
+    return "r'" + pattern + "'"
 
-from .rules import DEFAULT_PACK, MIN_TEXT_SCORE, PHRASES, RulePack, normalise_phrase
 
+def either(tests) -> str:
+    tests = list(tests)
+    return "(" + " OR ".join(tests) + ")" if tests else "false"
 
-def normalize_plain(col: Column) -> Column:
+
+def both(*tests: str) -> str:
+    return "(" + " AND ".join(tests) + ")"
+
+
+def normalize_plain(e: str) -> str:
     """Lower case; everything outside a-z and 0-9 becomes one blank."""
-    return F.trim(F.regexp_replace(F.lower(col), "[^a-z0-9]+", " "))
+    return f"trim(regexp_replace(lower({e}), '[^a-z0-9]+', ' '))"
 
 
-def normalize_text(col: Column, pack: RulePack = DEFAULT_PACK) -> Column:
+def normalize_text(e: str, pack: RulePack = DEFAULT_PACK) -> str:
     """Plain normal form with one pass of word corrections.
 
-    The hash set test keeps the map lookup off the path of the words that need
-    no correction, which is nearly all of them.
+    The hash set test of ``IN`` keeps the map lookup off the path of the words
+    that need no correction, which is nearly all of them.
     """
     table = {k: v for k, v in pack.corrections.items() if k.isalnum()}
     if not table:
-        return normalize_plain(col)
-    mapping = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
-    fix = lambda w: F.when(w.isin(list(table)), F.element_at(mapping, w)).otherwise(w)
-    return F.array_join(F.transform(F.split(normalize_plain(col), " "), fix), " ")
+        return normalize_plain(e)
+    mapping = "map(" + ", ".join(f"{lit(k)}, {lit(v)}" for k, v in table.items()) + ")"
+    names = ", ".join(lit(k) for k in table)
+    return (f"array_join(transform(split({normalize_plain(e)}, ' '), "
+            f"w -> CASE WHEN w IN ({names}) THEN {mapping}[w] ELSE w END), ' ')")
 
 
-def normalize_paytable(col: Column) -> Column:
+def normalize_paytable(e: str) -> str:
     """Normal form that keeps amounts readable: a-z, digits and ``.$/%+-``."""
-    kept = F.regexp_replace(F.lower(F.coalesce(col, F.lit(""))), r"[^a-z0-9.$/%+\-\s]", " ")
-    return F.trim(F.regexp_replace(kept, r"\s+", " "))
+    pattern = regex(r"[^a-z0-9.$/%+\-\s]")
+    return f"trim(regexp_replace(regexp_replace(lower(coalesce({e}, '')), {pattern}, ' '), r'\\s+', ' '))"
 
 
-def squeeze(col: Column) -> Column:
-    return F.replace(col, F.lit(" "), F.lit(""))
+def squeeze(e: str) -> str:
+    return f"replace({e}, ' ', '')"
 
 
 def minimal_needles(phrases, pack: RulePack = DEFAULT_PACK) -> list[str]:
@@ -45,7 +66,7 @@ def minimal_needles(phrases, pack: RulePack = DEFAULT_PACK) -> list[str]:
     A spaced match implies the space-free match, and a match of a longer needle
     implies the match of any needle inside it, so this set decides ``has_any``.
     """
-    needles = sorted({normalise_phrase(p, pack.corrections).replace(" ", "") for p in phrases} - {""}, key=len)
+    needles = sorted({normalise_phrase(p, pack.corrections).replace(" ", "") for p in phrases} - {""}, key=lambda n: (len(n), n))
     kept: list[str] = []
     for n in needles:
         if not any(k in n for k in kept):
@@ -53,83 +74,86 @@ def minimal_needles(phrases, pack: RulePack = DEFAULT_PACK) -> list[str]:
     return kept
 
 
-def any_of(compact: Column, phrases, pack: RulePack = DEFAULT_PACK) -> Column:
-    """``has_any`` on a space-free text column; ``phrases`` is a list or a rule key."""
+def any_of(compact: str, phrases, pack: RulePack = DEFAULT_PACK) -> str:
+    """``has_any`` on a space-free text; ``phrases`` is a list or a rule key."""
     if isinstance(phrases, str):
         phrases = PHRASES[phrases]
-    tests = [compact.contains(n) for n in minimal_needles(phrases, pack)]
-    return reduce(lambda a, b: a | b, tests) if tests else F.lit(False)
+    return either(f"contains({compact}, {lit(n)})" for n in minimal_needles(phrases, pack))
+
+
+def has_any(e: str, phrases, pack: RulePack = DEFAULT_PACK) -> str:
+    """True when a phrase occurs in ``e``, spaced or with all blanks removed."""
+    return any_of(squeeze(e), phrases, pack)
 
 
-def has_any(col: Column, phrases, pack: RulePack = DEFAULT_PACK) -> Column:
-    """True when a phrase occurs in ``col``, spaced or with all blanks removed."""
-    return any_of(squeeze(col), phrases, pack)
+def has_any_pattern(e: str, patterns) -> str:
+    if isinstance(patterns, str):
+        patterns = PATTERNS[patterns]
+    return either(f"{e} RLIKE {regex(p)}" for p in patterns)
 
 
-def has_any_pattern(col: Column, patterns) -> Column:
-    return reduce(lambda a, b: a | b, [col.rlike(p) for p in patterns])
+def some_term(e: str, terms) -> str:
+    """Any plain substring of ``terms``."""
+    return either(f"contains({e}, {lit(t)})" for t in terms)
 
 
-def count_terms(col: Column, terms) -> Column:
-    """Number of plain substrings of ``terms`` that occur in ``col``."""
-    return reduce(lambda a, b: a + b, [col.contains(t).cast("int") for t in terms])
+def count_terms(e: str, terms) -> str:
+    """Number of plain substrings of ``terms`` that occur in ``e``."""
+    return "(" + " + ".join(f"CAST(contains({e}, {lit(t)}) AS INT)" for t in terms) + ")"
 
 
-def count_matches(col: Column, pattern: str) -> Column:
-    return F.regexp_count(col, F.lit(pattern))
+def count_matches(e: str, pattern: str) -> str:
+    return f"regexp_count({e}, {regex(pattern)})"
 
 
-def count_digits(col: Column) -> Column:
-    return count_matches(col, "[0-9]")
+def count_digits(e: str) -> str:
+    return count_matches(e, "[0-9]")
 
 
-def box_bounds(points: Column) -> Column:
+def box_bounds(points: str) -> str:
     """Bounds of a polygon of points; zeros when it is missing or empty."""
-    low = lambda n: F.coalesce(F.array_min(F.transform(points, lambda p: p[n])), F.lit(0.0))
-    high = lambda n: F.coalesce(F.array_max(F.transform(points, lambda p: p[n])), F.lit(0.0))
-    return F.struct(low("x").alias("x1"), low("y").alias("y1"), high("x").alias("x2"), high("y").alias("y2"))
+    edge = lambda fn, f: f"coalesce({fn}(transform({points}, p -> p.{f})), 0.0D)"
+    return (f"named_struct('x1', {edge('array_min', 'x')}, 'y1', {edge('array_min', 'y')}, "
+            f"'x2', {edge('array_max', 'x')}, 'y2', {edge('array_max', 'y')})")
 
 
-def keep_scored(items: Column, min_score: float = MIN_TEXT_SCORE) -> Column:
-    return F.filter(items, lambda i: i["score"] >= min_score)
+def keep_scored(items: str, min_score: float = MIN_TEXT_SCORE) -> str:
+    return f"filter({items}, i -> i.score >= {min_score}D)"
 
 
-def flatten_items(nested: Column) -> Column:
+def flatten_items(nested: str) -> str:
     """One list of well-formed items from a list of item lists; texts trimmed."""
-    shaped = F.transform(F.flatten(nested), lambda i: F.struct(
-        i["box"].alias("box"), F.trim(i["text"]).alias("text"), i["score"].try_cast("double").alias("score")))
-    return F.filter(shaped, lambda i: i["text"].isNotNull() & i["score"].isNotNull())
+    return (f"filter(transform(flatten({nested}), i -> named_struct('box', i.box, 'text', trim(i.text), "
+            "'score', try_cast(i.score AS DOUBLE))), i -> i.text IS NOT NULL AND i.score IS NOT NULL)")
 
 
-def rescale_boxes(items: Column, factor: float) -> Column:
-    return F.transform(items, lambda i: i.withField("x1", i["x1"] * factor).withField("y1", i["y1"] * factor)
-                       .withField("x2", i["x2"] * factor).withField("y2", i["y2"] * factor))
+def rescale_boxes(items: str, factor: float) -> str:
+    return (f"transform({items}, i -> named_struct('line_no', i.line_no, 'text', i.text, 'x1', i.x1 * {factor}D, "
+            f"'y1', i.y1 * {factor}D, 'x2', i.x2 * {factor}D, 'y2', i.y2 * {factor}D, 'score', i.score))")
 
 
-def joined_text(items: Column, min_score: float | None = MIN_TEXT_SCORE, pack: RulePack = DEFAULT_PACK) -> Column:
+def joined_text(items: str, min_score: float | None = MIN_TEXT_SCORE, pack: RulePack = DEFAULT_PACK) -> str:
     """Normal forms of the item texts joined by a blank, in item order."""
     kept = items if min_score is None else keep_scored(items, min_score)
-    return F.array_join(F.transform(kept, lambda i: normalize_text(i["text"], pack)), " ")
+    return f"array_join(transform({kept}, t -> {normalize_text('t.text', pack)}), ' ')"
 
 
-def token_set(texts: Column, pack: RulePack = DEFAULT_PACK) -> Column:
+def token_set(texts: str, pack: RulePack = DEFAULT_PACK) -> str:
     """Distinct tokens of length >= 3 that are not numbers, from texts of length >= 3."""
-    norm = F.filter(F.transform(texts, lambda t: normalize_text(t, pack)), lambda t: F.length(t) >= 3)
-    words = F.flatten(F.transform(norm, lambda t: F.split(t, " ")))
-    return F.array_distinct(F.filter(words, lambda w: (F.length(w) >= 3) & ~w.rlike("^[0-9]+$")))
+    lines = f"filter(transform({texts}, t -> {normalize_text('t', pack)}), t -> length(t) >= 3)"
+    words = f"flatten(transform({lines}, t -> split(t, ' ')))"
+    return f"array_distinct(filter({words}, v -> length(v) >= 3 AND NOT v RLIKE '^[0-9]+$'))"
 
 
-def text_stats(texts: Column, pack: RulePack = DEFAULT_PACK) -> Column:
+def text_stats(texts: str, pack: RulePack = DEFAULT_PACK) -> str:
     """Line count (length >= 2), distinct tokens and lines of 18 or more characters."""
-    lines = F.filter(F.transform(texts, lambda t: normalize_text(t, pack)), lambda t: F.length(t) >= 2)
-    return text_stats_of_lines(lines)
+    return text_stats_of_lines(f"filter(transform({texts}, t -> {normalize_text('t', pack)}), t -> length(t) >= 2)")
 
 
-def text_stats_of_lines(lines: Column) -> Column:
-    words = F.filter(F.flatten(F.transform(lines, lambda t: F.split(t, " "))), lambda w: w != "")
-    return F.struct(F.size(lines).alias("line_count"),
-                    F.size(F.array_distinct(words)).alias("token_count"),
-                    F.size(F.filter(lines, lambda t: F.length(t) >= 18)).alias("long_line_count"))
+def text_stats_of_lines(lines: str) -> str:
+    words = f"filter(flatten(transform({lines}, t -> split(t, ' '))), v -> v <> '')"
+    return (f"named_struct('line_count', size({lines}), 'token_count', size(array_distinct({words})), "
+            f"'long_line_count', size(filter({lines}, t -> length(t) >= 18)))")
 
 
 def with_text(df: DataFrame, pack: RulePack = DEFAULT_PACK) -> DataFrame:
@@ -139,17 +163,13 @@ def with_text(df: DataFrame, pack: RulePack = DEFAULT_PACK) -> DataFrame:
     ``joined`` / ``compact``  their joined normal forms, spaced and space-free
     ``record_lines`` / ``record_text`` / ``record_compact``  the same without the score limit
     """
-    df = df.withColumn("_norm", F.transform("items", lambda i: F.struct(
-        i["text"].alias("raw"), normalize_text(i["text"], pack).alias("norm"), i["score"].alias("score"),
-        ((i["x1"] + i["x2"]) / 2.0).alias("cx"), ((i["y1"] + i["y2"]) / 2.0).alias("cy"),
-        F.greatest(F.lit(0.0), i["x2"] - i["x1"]).alias("w"), F.greatest(F.lit(0.0), i["y2"] - i["y1"]).alias("h"))))
-    df = df.withColumns({
-        "lines": F.transform(F.filter("_norm", lambda i: i["score"] >= MIN_TEXT_SCORE),
-                             lambda i: i.withField("compact", squeeze(i["norm"]))),
-        "record_lines": F.transform("_norm", lambda i: i["norm"]),
-    }).drop("_norm")
-    df = df.withColumns({
-        "joined": F.array_join(F.transform("lines", lambda i: i["norm"]), " "),
-        "record_text": F.array_join("record_lines", " "),
-    })
-    return df.withColumns({"compact": squeeze(F.col("joined")), "record_compact": squeeze(F.col("record_text"))})
+    shaped = (f"transform(items, i -> named_struct('raw', i.text, 'norm', {normalize_text('i.text', pack)}, 'score', i.score, "
+              "'cx', (i.x1 + i.x2) / 2.0D, 'cy', (i.y1 + i.y2) / 2.0D, "
+              "'w', greatest(0.0D, i.x2 - i.x1), 'h', greatest(0.0D, i.y2 - i.y1))) AS shaped_items")
+    keep = [f"`{c}`" for c in df.columns]
+    df = df.selectExpr(*keep, shaped)
+    df = df.selectExpr(*keep, f"transform(filter(shaped_items, i -> i.score >= {MIN_TEXT_SCORE}D), i -> named_struct('raw', i.raw, "
+                       "'norm', i.norm, 'compact', replace(i.norm, ' ', ''), 'cx', i.cx, 'cy', i.cy, 'w', i.w, 'h', i.h)) AS lines",
+                       "transform(shaped_items, i -> i.norm) AS record_lines")
+    df = df.selectExpr("*", "array_join(transform(lines, i -> i.norm), ' ') AS joined", "array_join(record_lines, ' ') AS record_text")
+    return df.selectExpr("*", "replace(joined, ' ', '') AS compact", "replace(record_text, ' ', '') AS record_compact")

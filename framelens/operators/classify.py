@@ -2,22 +2,20 @@
 
 Everything is row-wise: one scan, no shuffle.  Keyword hits come from one pass
 of a literal rule array; signals are columns; bonuses, stages and overrides are
-ordered lists whose entries each become a few columns.  Projections whose
-columns are used more than once are kept apart by the optimiser, so the
-expression tree stays linear in the number of rules.
+ordered lists whose entries each become a few columns.  The optimiser keeps
+projections apart whose columns are used more than once, so the expression tree
+stays linear in the number of rules.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from ..functions import rules as R
 from ..functions import scores as V
-from ..functions.signals import C, J, base_control, pat, rules_page, sig, with_signals
-from ..functions.text import any_of, with_text
+from ..functions.scores import num
+from ..functions.signals import base_control, pat, rules_page, spoken, with_signals
+from ..functions.text import both, count_terms, either, lit, with_text
 
 # score columns by category; a null score means that the category has no entry
 SLUG = {"loading": "s_loading", "BigWin": "s_bigwin", "Transition": "s_transition", "Feature game": "s_feature",
@@ -28,340 +26,293 @@ TEXT_SIGNALS = ["loading_strong", "transition_cover", "loading_cover", "feature_
                 "start_button", "large_result", "collect_button", "blocking_modal", "feature_buy", "help_page",
                 "transition_strong", "inline_banner", "center_payout"]
 
-
-def s(category: str) -> Column:
-    return F.col(SLUG[category])
+_TRACE_TYPE = "array<struct<category:string,reason:string>>"
 
 
-# --- keyword scores -----------------------------------------------------------------------
-def keyword_hits(joined: Column, pack: R.RulePack = R.DEFAULT_PACK) -> Column:
+# --- keyword scores ------------------------------------------------------------------------
+def keyword_hits(joined: str, pack: R.RulePack = R.DEFAULT_PACK) -> str:
     """Rules whose keyword occurs in ``joined``, in rule order."""
-    table = F.array(*[F.struct(F.lit(c).alias("category"), F.lit(k).alias("keyword"), F.lit(n).alias("norm"),
-                               F.lit(w).alias("weight")) for c, _, k, n, w in pack.keyword_rows()])
-    return F.filter(table, lambda r: joined.contains(r["norm"]))
+    rows = ", ".join(f"named_struct('category', {lit(c)}, 'keyword', {lit(k)}, 'norm', {lit(n)}, 'weight', {num(w)})"
+                     for c, _, k, n, w in pack.keyword_rows())
+    return f"filter(array({rows}), r -> contains({joined}, r.norm))"
 
 
-def keyword_score(hits: Column, category: str, digits: Column) -> Column:
+def keyword_score(hits: str, category: str, digits: str) -> str:
     """Sum of hit weights plus 0.5 per hit; Result gains 1.5 when the text has a digit."""
-    mine = F.filter(hits, lambda r: r["category"] == category)
-    score = F.aggregate(mine, F.lit(0.0), lambda a, r: a + r["weight"] + 0.5)
-    if category == "Result":
-        score = score + F.when(digits, 1.5).otherwise(0.0)
-    return F.round(score, 2)
+    score = f"aggregate({hits}, 0.0D, (a, r) -> CASE WHEN r.category = {lit(category)} THEN a + r.weight + 0.5D ELSE a END)"
+    return f"({score} + CASE WHEN {digits} THEN 1.5D ELSE 0.0D END)" if category == "Result" else score
 
 
-def add_scores(base: Column, extra: Column) -> Column:
+def add_scores(base: str, extra: str) -> str:
     """Sum of two score maps over all their keys."""
-    return F.map_zip_with(base, extra, lambda _, a, b: F.round(F.coalesce(a, F.lit(0.0)) + F.coalesce(b, F.lit(0.0)), 2))
+    return f"map_zip_with({base}, {extra}, (k, a, b) -> round(coalesce(a, 0.0D) + coalesce(b, 0.0D), 2))"
 
 
-# --- bonuses --------------------------------------------------------------------------------
-def bonus_table() -> list[tuple[Column, str, float, str]]:
+# --- bonuses -----------------------------------------------------------------------------------
+def bonus_table() -> list[tuple[str, str, float, str]]:
     """(condition, category, amount, reason) in the published order of the rules."""
-    digits = J().rlike("[0-9]")
-    strong, cover, intro = sig("loading_strong"), sig("loading_cover"), sig("transition_cover")
-    running, result = sig("feature_running"), sig("large_result")
-    multi = any_of(C(), "multiplier_intro") & ~result
-    start = sig("start_button") & ~strong
-    teaser = sig("feature_intro") & ~running
-    helped = sig("help_page") & ~cover
+    calm = "NOT sig_loading_strong"
+    cover, intro = both(calm, "sig_loading_cover"), both(calm, "sig_transition_cover")
+    helped = "(sig_help_page AND NOT sig_loading_cover)"
+    multi = both(spoken("multiplier_intro"), "NOT sig_large_result")
+    start, teaser = both(calm, "sig_start_button"), "(sig_feature_intro AND NOT sig_feature_running)"
     return [
-        (strong, "loading", 10, "loading_strong"), (strong, "Transition", -8, "loading_not_transition"),
-        (~strong & cover, "loading", 14, "loading_cover_text"), (~strong & cover, "Help", -10, "loading_cover_not_help"),
-        (~strong & cover, "Transition", -6, "loading_cover_not_transition"),
-        (intro & ~strong, "Transition", 16, "transition_cover_text"),
-        (intro & ~strong, "loading", -12, "transition_cover_not_loading"),
-        (intro & ~strong, "Help", -8, "transition_cover_not_help"),
+        ("sig_loading_strong", "loading", 10, "loading_strong"), ("sig_loading_strong", "Transition", -8, "loading_not_transition"),
+        (cover, "loading", 14, "loading_cover_text"), (cover, "Help", -10, "loading_cover_not_help"),
+        (cover, "Transition", -6, "loading_cover_not_transition"),
+        (intro, "Transition", 16, "transition_cover_text"), (intro, "loading", -12, "transition_cover_not_loading"),
+        (intro, "Help", -8, "transition_cover_not_help"),
         (helped, "Help", 16, "help_strong"), (helped, "Transition", -8, "help_not_transition"),
         (helped, "Feature game", -6, "help_not_feature_game"),
-        (sig("feature_buy"), "Feature Buy", 16, "feature_buy_modal"),
-        (sig("feature_buy"), "Transition", -6, "feature_buy_not_transition"),
-        (sig("feature_buy"), "Basegame", -6, "feature_buy_not_basegame"),
-        (sig("bigwin_strong"), "BigWin", 12, "bigwin_strong"),
-        (sig("result_strong"), "Result", 8, "result_strong"),
-        (result, "Result", 14, "large_result_layout"), (result, "Transition", -6, "result_not_transition"),
+        ("sig_feature_buy", "Feature Buy", 16, "feature_buy_modal"), ("sig_feature_buy", "Transition", -6, "feature_buy_not_transition"),
+        ("sig_feature_buy", "Basegame", -6, "feature_buy_not_basegame"),
+        ("sig_bigwin_strong", "BigWin", 12, "bigwin_strong"), ("sig_result_strong", "Result", 8, "result_strong"),
+        ("sig_large_result", "Result", 14, "large_result_layout"), ("sig_large_result", "Transition", -6, "result_not_transition"),
         (multi, "Transition", 12, "feature_intro_multiplier"), (multi, "Result", -14, "multiplier_not_result"),
-        (running, "Feature game", 10, "feature_running"),
-        (teaser, "Transition", 14, "feature_intro_as_transition"),
-        (teaser, "Feature game", -8, "intro_not_running_penalty"),
-        (sig("action_phrase"), "Transition", 10, "transition_action"),
-        (start, "Transition", 14, "large_lower_start_button"),
-        (start, "Feature game", -6, "start_button_not_running_penalty"),
-        (J().contains("start") & digits & ~strong, "Transition", 2, "start_digits"),
-        (any_of(C(), "feature_terms") & ~running, "Transition", 6, "feature_intro_terms"),
+        ("sig_feature_running", "Feature game", 10, "feature_running"),
+        (teaser, "Transition", 14, "feature_intro_as_transition"), (teaser, "Feature game", -8, "intro_not_running_penalty"),
+        ("sig_action_phrase", "Transition", 10, "transition_action"),
+        (start, "Transition", 14, "large_lower_start_button"), (start, "Feature game", -6, "start_button_not_running_penalty"),
+        (both("contains(joined, 'start')", "joined RLIKE '[0-9]'", calm), "Transition", 2, "start_digits"),
+        (both(spoken("feature_terms"), "NOT sig_feature_running"), "Transition", 6, "feature_intro_terms"),
     ]
 
 
-def bonus_total(category: str) -> Column:
-    parts = [F.when(c, float(a)).otherwise(0.0) for c, cat, a, _ in bonus_table() if cat == category]
-    return reduce(lambda a, b: a + b, parts) if parts else F.lit(0.0)
+def bonus_total(category: str) -> str:
+    terms = [V.Term(c, a) for c, cat, a, _ in bonus_table() if cat == category]
+    return V.total(terms) if terms else "0.0D"
 
 
-def _trace(rows: list[tuple[Column, str | Column, str | Column]]) -> Column:
-    as_col = lambda v: v if isinstance(v, Column) else F.lit(v)
-    return F.array_compact(F.array(*[
-        F.when(cond, F.struct(as_col(cat).alias("category"), as_col(code).alias("reason"))) for cond, cat, code in rows]))
+def _trace(rows: list[tuple[str, str, str]]) -> str:
+    """Fired (category, reason) entries; categories and reasons are expressions."""
+    return "array_compact(array(" + ", ".join(
+        f"CASE WHEN {cond} THEN named_struct('category', {cat}, 'reason', {why}) END" for cond, cat, why in rows) + "))"
 
 
-# --- text classification -----------------------------------------------------------------------
+# --- text classification -----------------------------------------------------------------------------
 def text_scores(df: DataFrame, pack: R.RulePack = R.DEFAULT_PACK) -> DataFrame:
     """Keyword scores plus bonuses as ``s_*`` columns, hits as ``trace``; needs the text signals."""
-    df = df.withColumns({"kw": keyword_hits(J(), pack), "digits": J().rlike("[0-9]")})
-    raw = {SLUG[c]: F.round(keyword_score(F.col("kw"), c, F.col("digits")) + bonus_total(c), 2) for c in R.SCORED_CATEGORIES}
-    raw[SLUG["Basegame"]] = F.when(sig("feature_buy"), -6.0)
-    df = df.withColumns(raw)
-    clamp = ~sig("feature_buy") & (s("Feature Buy") > 0)
-    number = lambda r: F.regexp_replace(r["weight"].cast("string"), r"\.0$", "")
-    hits = F.transform("kw", lambda r: F.struct(r["category"].alias("category"),
-                                                F.concat(r["keyword"], F.lit(":"), number(r)).alias("reason")))
-    result_hit = F.exists("kw", lambda r: r["category"] == "Result")
-    more = _trace([(F.col("digits") & result_hit, "Result", "result_digits:+1.5")]
-                  + [(c, cat, f"{why}:{a:+g}") for c, cat, a, why in bonus_table()]
-                  + [(clamp, "Feature Buy", "feature_buy_button_only_clamped")])
-    return df.withColumns({"trace": F.concat(hits, more),
-                           SLUG["Feature Buy"]: F.when(clamp, F.least(s("Feature Buy"), F.lit(2.0))).otherwise(s("Feature Buy"))})
-
-
-def priority_stage() -> Column:
+    df = df.selectExpr("*", f"{keyword_hits('joined', pack)} AS kw", "joined RLIKE '[0-9]' AS digits")
+    df = df.selectExpr("*", *[f"round({keyword_score('kw', c, 'digits')} + {bonus_total(c)}, 2) AS {SLUG[c]}" for c in R.SCORED_CATEGORIES],
+                       "CASE WHEN sig_feature_buy THEN -6.0D END AS s_base")
+    clamp = "(NOT sig_feature_buy AND s_buy > 0)"
+    hits = ("transform(kw, r -> named_struct('category', r.category, 'reason', "
+            "concat(r.keyword, ':', regexp_replace(CAST(r.weight AS STRING), '[.]0$', ''))))")
+    more = _trace([("digits AND exists(kw, r -> r.category = 'Result')", "'Result'", "'result_digits:+1.5'")]
+                  + [(c, lit(cat), lit(f"{why}:{a:+g}")) for c, cat, a, why in bonus_table()]
+                  + [(clamp, "'Feature Buy'", "'feature_buy_button_only_clamped'")])
+    keep = [f"`{c}`" for c in df.columns if c not in ("s_buy", "kw", "digits")]
+    return df.selectExpr(*keep, f"CASE WHEN {clamp} THEN least(s_buy, 2.0D) ELSE s_buy END AS s_buy", f"concat({hits}, {more}) AS trace")
+
+
+def priority_stage() -> str:
     """(category, score, reason) of the first stage that holds; null when none does."""
-    claimed = sig("result_strong") | sig("large_result")
-    ok = lambda c: s(c) >= R.MIN_CATEGORY_SCORE
+    claimed = "(sig_result_strong OR sig_large_result)"
     stages = [
-        ("loading", sig("loading_strong") & ok("loading") & (s("Result") < s("loading") + 4) & (s("BigWin") < s("loading") + 4),
-         "priority_loading"),
-        ("Help", sig("help_page") & ok("Help"), "priority_help"),
-        ("Feature Buy", sig("feature_buy") & ok("Feature Buy"), "priority_feature_buy"),
-        ("BigWin", sig("bigwin_strong") & ok("BigWin"), "priority_bigwin"),
-        ("Feature game", sig("feature_running") & ok("Feature game"), "priority_feature_running"),
-        ("Result", claimed & ok("Result") & (s("Result") > s("Transition") + 4), "priority_result"),
-        ("Transition", sig("transition_strong") & ok("Transition"), "priority_transition"),
-        ("Result", claimed & ok("Result"), "priority_result"),
+        ("loading", both("sig_loading_strong", "s_result < s_loading + 4", "s_bigwin < s_loading + 4"), "priority_loading"),
+        ("Help", "sig_help_page", "priority_help"), ("Feature Buy", "sig_feature_buy", "priority_feature_buy"),
+        ("BigWin", "sig_bigwin_strong", "priority_bigwin"), ("Feature game", "sig_feature_running", "priority_feature_running"),
+        ("Result", both(claimed, "s_result > s_transition + 4"), "priority_result"),
+        ("Transition", "sig_transition_strong", "priority_transition"), ("Result", claimed, "priority_result"),
     ]
-    return F.coalesce(*[F.when(cond, F.struct(F.lit(c).alias("category"), s(c).alias("score"), F.lit(why).alias("reason")))
-                        for c, cond, why in stages])
+    return "CASE " + " ".join(
+        f"WHEN {cond} AND {SLUG[c]} >= {R.MIN_CATEGORY_SCORE}D THEN named_struct('category', {lit(c)}, 'score', {SLUG[c]}, 'reason', {lit(why)})"
+        for c, cond, why in stages) + " END"
 
 
-def argmax_category(scores: dict[str, Column], floor: float = R.MIN_CATEGORY_SCORE, default: str = "Basegame") -> Column:
+def argmax_category(scores: dict[str, str], floor: float = R.MIN_CATEGORY_SCORE, default: str = "Basegame") -> str:
     """Largest positive score, first in order on ties; ``default`` below the floor."""
-    best = F.greatest(F.lit(0.0), *scores.values())
-    pick = reduce(lambda acc, kv: acc.when(kv[1] == best, kv[0]), scores.items(), F)
-    return F.struct(F.when(best < floor, default).otherwise(pick.otherwise(default)).alias("category"), best.alias("score"))
+    best = f"greatest(0.0D, {', '.join(scores.values())})"
+    pick = " ".join(f"WHEN {v} = {best} THEN {lit(c)}" for c, v in scores.items())
+    return f"named_struct('category', CASE WHEN {best} < {floor}D THEN {lit(default)} {pick} ELSE {lit(default)} END, 'score', {best})"
 
 
 def classify_text(df: DataFrame, pack: R.RulePack = R.DEFAULT_PACK) -> DataFrame:
     """Category and score of each frame from its text alone."""
     df = text_scores(with_signals(df, *TEXT_SIGNALS), pack)
-    df = df.withColumns({"stage": priority_stage(), "best": argmax_category({c: s(c) for c in R.SCORED_CATEGORIES})})
-    return df.withColumns({
-        "category": F.coalesce(F.col("stage.category"), F.col("best.category")),
-        "top_score": F.coalesce(F.col("stage.score"), F.col("best.score")),
-        "trace": F.concat("trace", _trace([(F.col("stage").isNotNull(), F.col("stage.category"), F.col("stage.reason"))])),
-    }).drop("stage", "best")
+    keep = [f"`{c}`" for c in df.columns if c != "trace"]
+    df = df.selectExpr("*", f"{priority_stage()} AS stage", f"{argmax_category({c: SLUG[c] for c in R.SCORED_CATEGORIES})} AS best")
+    return df.selectExpr(*keep, "coalesce(stage.category, best.category) AS category", "coalesce(stage.score, best.score) AS top_score",
+                         f"concat(trace, {_trace([('stage IS NOT NULL', 'stage.category', 'stage.reason')])}) AS trace")
 
 
-def feature_subtype(joined: Column, pack: R.RulePack = R.DEFAULT_PACK) -> tuple[Column, Column]:
+def feature_subtype(joined: str, pack: R.RulePack = R.DEFAULT_PACK) -> tuple[str, str]:
     """(subtype, map of hit counts); the first largest count wins."""
-    counts = {k: reduce(lambda a, b: a + b, [joined.contains(R.normalise_phrase(t)).cast("int") for t in terms])
-              for k, terms in pack.subtypes.items()}
-    best = F.greatest(*counts.values())
-    pick = reduce(lambda acc, kv: acc.when(kv[1] == best, kv[0]), counts.items(), F.when(best == 0, "unknown_feature"))
-    return pick, F.create_map(*[x for k, v in counts.items() for x in (F.lit(k), v)])
+    counts = {k: count_terms(joined, [R.normalise_phrase(t, pack.corrections) for t in terms]) for k, terms in pack.subtypes.items()}
+    table = "map(" + ", ".join(f"{lit(k)}, {v}" for k, v in counts.items()) + ")"
+    best = f"greatest({', '.join(counts.values())})"
+    pick = " ".join(f"WHEN {v} = {best} THEN {lit(k)}" for k, v in counts.items())
+    return f"CASE WHEN {best} = 0 THEN 'unknown_feature' {pick} END", table
 
 
-# --- frame classification ------------------------------------------------------------------------
+# --- frame classification ----------------------------------------------------------------------------------
 def _overrides() -> list[dict]:
-    """Ordered rules: when, category, top (replace or raise), score floors, reason."""
-    cat, top = F.col("category"), F.col("top_score")
-    base, feat, board = F.col("ui_base"), F.col("ui_feature"), F.col("board")
-    has_base, has_feat = base >= R.BASEGAME_UI_MIN, feat >= R.FEATURE_UI_KEEP
-    real_result = sig("large_result") | sig("collect_button")
-    start_intro = sig("start_button") | any_of(C(), "start_action")
-    rule_intro = F.col("rule_intro")
-    hint, free_text = any_of(C(), "trigger_hint"), any_of(C(), "free_game_text")
-    action_text = any_of(C(), "transition_action_text")
-    intro_text, tcover = sig("feature_intro"), sig("transition_cover")
-    helped, ruled, buy = sig("help_page"), F.col("rules_page"), sig("feature_buy")
-    overlay, pick = F.col("bigwin_overlay"), F.col("jackpot_pick")
-    claim = F.col("claim") & (has_base | has_feat)
-    counter = any_of(C(), "free_spin_any") & pat(J(), "short_number")
-    is_ = lambda c: cat == c
-    two = lambda v: F.format_string("%.2f", v)
-    tag = lambda name, v=base: F.concat(F.lit(name + ":"), two(v))
-    guard_transition = (is_("Transition") & ~tcover & ~start_intro & ~has_feat & ~rule_intro & ~(intro_text & ~hint)
-                        & ~free_text & ~action_text)
-    label = sig("bigwin_strong") | sig("total_win")
-    plain_game = sig("loading_strong") | sig("loading_cover")
+    """Ordered rules: condition, new category, values that raise the top score, score floors, reason."""
+    base, feat = f"ui_base >= {R.BASEGAME_UI_MIN}D", f"ui_feature >= {R.FEATURE_UI_KEEP}D"
+    no_feat = f"ui_feature < {R.FEATURE_UI_KEEP}D"
+    real = "(sig_large_result OR sig_collect_button)"
+    start = either(["sig_start_button", spoken("start_action")])
+    hint, free, act = spoken("trigger_hint"), spoken("free_game_text"), spoken("transition_action_text")
+    claim = both("claim", f"({base} OR {feat})")
+    counter = both(spoken("free_spin_any"), pat("joined", "short_number"))
+    is_ = lambda c: f"category = {lit(c)}"
+    no = lambda *xs: " AND ".join(f"NOT {x}" for x in xs)
+    tag = lambda name, v="ui_base": V.coded(name, v)
+    teaser = f"(sig_feature_intro AND NOT {hint})"
+    swap = lambda a, b: f"CASE WHEN {feat} THEN {a} ELSE {b} END"
+    text = lit
     return [
-        dict(when=sig("blocking_modal"), to="Other", top=[6.0], floors={"Other": 6.0}, why="blocking_modal"),
-        dict(when=F.col("brand_splash"), to="Other", top=[8.0], floors={"Other": 8.0}, why="brand_logo_splash"),
-        dict(when=pick, to="Feature game", top=[board, 12.0], floors={"Feature game": 12.0}, caps={"loading": 2.0},
-             why=tag("jackpot_pick_bonus", board)),
-        dict(when=(F.col("splash") | sig("loading_cover")) & ~tcover & ~buy & ~overlay & ~pick, to="loading", top=[12.0],
-             floors={"loading": 12.0}, why=F.when(sig("loading_cover"), "loading_cover_text").otherwise("loading_splash_visual")),
-        dict(when=tcover & ~sig("loading_strong"), to="Transition", top=[s("Transition"), 16.0], floors={"Transition": 16.0},
-             why="priority_transition_cover_text"),
-        dict(when=(F.col("active") >= 8.0) & ~helped & ~ruled & ~plain_game & ~buy & ~overlay, to="Feature game",
-             top=[F.col("active")], floors={"Feature game": F.col("active")}, why="priority_feature_active"),
-        dict(when=overlay, to="BigWin", top=[s("BigWin"), 12.0], floors={"BigWin": 12.0}, why="priority_bigwin_overlay"),
-        dict(when=(helped | ruled) & ~sig("loading_cover"), to="Help", top=[s("Help"), 12.0], floors={"Help": 12.0},
-             why=F.when(helped, "priority_help_page").otherwise("priority_rules_help_page")),
-        dict(when=is_("Help") & has_base & ~ruled & (F.col("paytable") < 2.0) & ~any_of(C(), "help"), to="Basegame",
-             set_top=F.greatest(base, F.coalesce(s("Basegame"), F.lit(0.0))), floors={"Basegame": base},
-             why=tag("basegame_ui_over_weak_help")),
-        dict(when=buy & ~is_("Help"), to="Feature Buy", top=[s("Feature Buy"), 12.0], floors={"Feature Buy": 12.0},
-             why="priority_feature_buy_modal"),
-        dict(when=claim & is_("Result") & ~real_result & ~sig("total_win"),
-             to=F.when(has_feat, "Feature game").otherwise("Basegame"), top=[feat, base],
-             why=F.concat(F.lit("protected_ui_not_result:base="), two(base), F.lit(",feature="), two(feat))),
-        dict(when=claim & guard_transition, to="Basegame", top=[base],
-             why=tag("protected_basegame_ui_not_transition")),
-        dict(when=claim & is_("Transition") & (rule_intro | (intro_text & ~hint)), to=None,
-             note="Transition", why="protected_feature_rule_intro"),
-        dict(when=is_("Transition") & has_base & (rule_intro | intro_text) & ~tcover & ~start_intro & ~has_feat
-             & any_of(C(), "buy_or_auto"), to="Basegame", top=[base], floors={"Basegame": base},
-             why=tag("feature_rule_overlay_on_basegame_not_transition")),
-        dict(when=cat.isin("Help", "Feature Buy", "Result", "Transition") & has_base & ~helped & ~buy & ~real_result & ~tcover
-             & ~start_intro & ~has_feat & ~rule_intro & (top <= base + 1.5), to="Basegame", top=[base],
+        dict(when="sig_blocking_modal", to="'Other'", top=["6.0D"], floors={"s_other": "6.0D"}, why=text("blocking_modal")),
+        dict(when="brand_splash", to="'Other'", top=["8.0D"], floors={"s_other": "8.0D"}, why=text("brand_logo_splash")),
+        dict(when="jackpot_pick", to="'Feature game'", top=["board", "12.0D"], floors={"s_feature": "12.0D"}, caps={"s_loading": "2.0D"},
+             why=tag("jackpot_pick_bonus", "board")),
+        dict(when=both("(splash OR sig_loading_cover)", no("sig_transition_cover", "sig_feature_buy", "bigwin_overlay", "jackpot_pick")),
+             to="'loading'", top=["12.0D"], floors={"s_loading": "12.0D"},
+             why="CASE WHEN sig_loading_cover THEN 'loading_cover_text' ELSE 'loading_splash_visual' END"),
+        dict(when=both("sig_transition_cover", no("sig_loading_strong")), to="'Transition'", top=["s_transition", "16.0D"],
+             floors={"s_transition": "16.0D"}, why=text("priority_transition_cover_text")),
+        dict(when=both("active >= 8.0D", no("sig_help_page", "rules_page", "sig_loading_strong", "sig_loading_cover", "sig_feature_buy", "bigwin_overlay")),
+             to="'Feature game'", top=["active"], floors={"s_feature": "active"}, why=text("priority_feature_active")),
+        dict(when="bigwin_overlay", to="'BigWin'", top=["s_bigwin", "12.0D"], floors={"s_bigwin": "12.0D"}, why=text("priority_bigwin_overlay")),
+        dict(when=both("(sig_help_page OR rules_page)", no("sig_loading_cover")), to="'Help'", top=["s_help", "12.0D"], floors={"s_help": "12.0D"},
+             why="CASE WHEN sig_help_page THEN 'priority_help_page' ELSE 'priority_rules_help_page' END"),
+        dict(when=both(is_("Help"), base, "paytable < 2.0D", no("rules_page", spoken("help"))), to="'Basegame'",
+             set_top="greatest(ui_base, s_base)", floors={"s_base": "ui_base"}, why=tag("basegame_ui_over_weak_help")),
+        dict(when=both("sig_feature_buy", "category <> 'Help'"), to="'Feature Buy'", top=["s_buy", "12.0D"], floors={"s_buy": "12.0D"},
+             why=text("priority_feature_buy_modal")),
+        dict(when=both(claim, is_("Result"), no(real, "sig_total_win")), to=swap("'Feature game'", "'Basegame'"), top=["ui_feature", "ui_base"],
+             why="format_string('protected_ui_not_result:base=%.2f,feature=%.2f', ui_base, ui_feature)"),
+        dict(when=both(claim, is_("Transition"), no_feat, no("sig_transition_cover", start, "rule_intro", teaser, free, act)), to="'Basegame'",
+             top=["ui_base"], why=tag("protected_basegame_ui_not_transition")),
+        dict(when=both(claim, is_("Transition"), either(["rule_intro", teaser])), note="'Transition'", why=text("protected_feature_rule_intro")),
+        dict(when=both(is_("Transition"), base, "(rule_intro OR sig_feature_intro)", no_feat, no("sig_transition_cover", start), spoken("buy_or_auto")),
+             to="'Basegame'", top=["ui_base"], floors={"s_base": "ui_base"}, why=tag("feature_rule_overlay_on_basegame_not_transition")),
+        dict(when=both("category IN ('Help', 'Feature Buy', 'Result', 'Transition')", base, no_feat, "top_score <= ui_base + 1.5D",
+                       no("sig_help_page", "sig_feature_buy", real, "sig_transition_cover", start, "rule_intro")), to="'Basegame'", top=["ui_base"],
              why=tag("protected_basegame_ui_low_confidence")),
-        dict(when=is_("Basegame") & sig("inline_banner"), to="Other", top=[4.0], floors={"Other": 4.0},
-             why="inline_win_banner_not_basegame"),
-        dict(when=is_("Basegame") & ~base_control(F.col("ui_base_reasons")), to="Other", top=[base], floors={"Other": base},
+        dict(when=both(is_("Basegame"), "sig_inline_banner"), to="'Other'", top=["4.0D"], floors={"s_other": "4.0D"},
+             why=text("inline_win_banner_not_basegame")),
+        dict(when=both(is_("Basegame"), f"NOT {base_control('ui_base_reasons')}"), to="'Other'", top=["ui_base"], floors={"s_other": "ui_base"},
              why=tag("basegame_missing_explicit_spin_control")),
-        dict(when=is_("Basegame") & sig("center_payout") & ~sig("total_win") & ~(has_base & sig("jackpot_meter") & ~label),
-             to="BigWin", top=[6.0], floors={"BigWin": 6.0}, why="large_center_payout_text"),
-        dict(when=is_("Basegame") & has_base & sig("jackpot_meter"), to=None, note="Basegame",
-             why="jackpot_meter_protected_as_basegame"),
-        dict(when=is_("Basegame") & free_text & ~hint & (rule_intro | has_feat | any_of(C(), "running_or_won")),
-             to=F.when(has_feat, "Feature game").otherwise("Transition"),
-             top=[F.when(has_feat, s("Feature game")).otherwise(s("Transition")), feat], why="free_game_text_not_basegame"),
-        dict(when=is_("Transition") & counter & (board >= 3.0) & ~tcover & ~start_intro & ~rule_intro & ~action_text
-             & ~real_result & ~sig("total_win"), to="Feature game", top=[board, feat, 10.0], floors={"Feature game": 10.0},
-             why=tag("free_spin_counter_over_reel_board", board)),
-        dict(when=is_("Basegame") & has_base, to="Basegame", top=[base], sets={"Basegame": F.round(base, 2)},
-             why="priority_basegame_ui"),
-        dict(when=is_("Basegame") & ~has_base, to="Other", top=[base], why=tag("basegame_ui_too_weak")),
+        dict(when=both(is_("Basegame"), "sig_center_payout", "NOT sig_total_win",
+                       f"NOT ({base} AND sig_jackpot_meter AND NOT (sig_bigwin_strong OR sig_total_win))"), to="'BigWin'", top=["6.0D"],
+             floors={"s_bigwin": "6.0D"}, why=text("large_center_payout_text")),
+        dict(when=both(is_("Basegame"), base, "sig_jackpot_meter"), note="'Basegame'", why=text("jackpot_meter_protected_as_basegame")),
+        dict(when=both(is_("Basegame"), free, f"NOT {hint}", either(["rule_intro", feat, spoken("running_or_won")])),
+             to=swap("'Feature game'", "'Transition'"), top=[swap("s_feature", "s_transition"), "ui_feature"], why=text("free_game_text_not_basegame")),
+        dict(when=both(is_("Transition"), counter, "board >= 3.0D", no("sig_transition_cover", start, "rule_intro", act, real, "sig_total_win")),
+             to="'Feature game'", top=["board", "ui_feature", "10.0D"], floors={"s_feature": "10.0D"},
+             why=tag("free_spin_counter_over_reel_board", "board")),
+        dict(when=both(is_("Basegame"), base), to="'Basegame'", top=["ui_base"], sets={"s_base": "round(ui_base, 2)"}, why=text("priority_basegame_ui")),
+        dict(when=both(is_("Basegame"), f"NOT {base}"), to="'Other'", top=["ui_base"], why=tag("basegame_ui_too_weak")),
     ]
 
 
 def _apply(df: DataFrame, n: int, rule: dict) -> DataFrame:
     """One override: its flag first, then the state columns it writes."""
-    fired = f"fired_{n}"
-    df = df.withColumn(fired, F.coalesce(rule["when"], F.lit(False)))
-    f, out = F.col(fired), {}
-    lit = lambda v: v if isinstance(v, Column) else F.lit(v)
-    if rule.get("to") is not None:
-        out["category"] = F.when(f, lit(rule["to"])).otherwise(F.col("category"))
+    f, out = f"fired_{n}", {}
+    if "to" in rule:
+        out["category"] = f"CASE WHEN {f} THEN {rule['to']} ELSE category END"
     if "set_top" in rule:
-        out["top_score"] = F.when(f, rule["set_top"]).otherwise(F.col("top_score"))
+        out["top_score"] = f"CASE WHEN {f} THEN {rule['set_top']} ELSE top_score END"
     elif "top" in rule:
-        out["top_score"] = F.when(f, F.greatest(F.col("top_score"), *[lit(v) for v in rule["top"]])).otherwise(F.col("top_score"))
+        out["top_score"] = f"CASE WHEN {f} THEN greatest(top_score, {', '.join(rule['top'])}) ELSE top_score END"
     for c, v in rule.get("floors", {}).items():
-        out[SLUG[c]] = F.when(f, F.greatest(F.coalesce(s(c), F.lit(0.0)), lit(v))).otherwise(s(c))
+        out[c] = f"CASE WHEN {f} THEN greatest(coalesce({c}, 0.0D), {v}) ELSE {c} END"
     for c, v in rule.get("caps", {}).items():
-        out[SLUG[c]] = F.when(f, F.least(F.coalesce(s(c), F.lit(0.0)), lit(v))).otherwise(s(c))
+        out[c] = f"CASE WHEN {f} THEN least({c}, {v}) ELSE {c} END"
     for c, v in rule.get("sets", {}).items():
-        out[SLUG[c]] = F.when(f, v).otherwise(s(c))
-    target = rule.get("note") or (lit(rule["to"]) if rule.get("to") is not None else F.lit(None))
-    code = lit(rule["why"])
-    out[f"note_{n}"] = F.when(f, F.struct(lit(target).alias("category"), code.alias("reason")))
-    return df.withColumns(out)
+        out[c] = f"CASE WHEN {f} THEN {v} ELSE {c} END"
+    out[f"note_{n}"] = f"CASE WHEN {f} THEN named_struct('category', {rule.get('note') or rule['to']}, 'reason', {rule['why']}) END"
+    keep = [f"`{c}`" for c in df.columns if c not in out]
+    return (df.selectExpr("*", f"coalesce({rule['when']}, false) AS {f}")
+            .selectExpr(*keep, *[f"{e} AS {c}" for c, e in out.items()]))
 
 
 def classify_frames(df: DataFrame, pack: R.RulePack = R.DEFAULT_PACK, rules: list[int] | None = None) -> DataFrame:
     """Classify frames with ``items``, ROI size and measured columns.
 
     Adds ``category``, ``top_score``, ``category_scores``, ``matched_keywords``,
-    ``feature_subtype`` with its scores and the interface scores.  ``rules``
-    limits the overrides to the given positions.
+    ``feature_subtype`` with its scores, the interface scores and the text
+    columns.  Stored scores of the same frames do not enter.  ``rules`` limits
+    the overrides to the given positions.
     """
-    keep = [c for c in df.columns if c not in ("category", "top_score")]
-    # stored scores of the same frames do not enter a new classification
-    df = classify_text(with_text(df.select(*keep)), pack)
-    subtype, subtype_scores = feature_subtype(J(), pack)
+    keep = [f"`{c}`" for c in df.columns if c not in ("category", "top_score")]
+    df = classify_text(with_text(df.selectExpr(*keep), pack), pack)
+    subtype, subtype_scores = feature_subtype("joined", pack)
     base, feature, board = V.basegame_ui_terms(), V.feature_ui_terms(), V.reel_board_terms()
-    df = df.withColumns({
-        "ui_base": V.total(base), "ui_base_reasons": V.reasons(base),
-        "ui_feature": V.total(feature), "ui_feature_reasons": V.reasons(feature),
-        "board": V.total(board), "board_reasons": V.reasons(board),
-        "paytable": V.paytable_signal(), "splash": V.loading_splash(), "brand_splash": V.brand_splash(),
-        "payout_visual": V.payout_visual(), "feature_subtype": subtype, "feature_subtype_scores": subtype_scores,
-        "claim": F.col("category").isin("Result", "Transition"),
-        "rule_intro": any_of(C(), "rule_intro") & any_of(C(), "free_spin"),
-    })
-    active = V.feature_active_terms(s("Help"), s("loading"), s("Result"), F.lit(0.0))
-    df = df.withColumns({
-        "active": F.round(F.greatest(F.lit(0.0), V.total(active)), 2), "active_reasons": V.reasons(active),
-        "rules_page": rules_page(F.lit(0.0), s("Help"), F.col("paytable")) & ~sig("feature_buy"),
-        "bigwin_overlay": ((sig("bigwin_strong") | sig("bigwin_title"))
-                           & (sig("center_payout") | F.col("payout_visual") | sig("feature_running"))),
-        SLUG["Other"]: F.lit(None).cast("double"),
-    })
-    df = df.withColumn("jackpot_pick", (F.col("feature_subtype") == "pick") & (F.col("board") >= 3.0) & any_of(C(), "jackpot")
-                       & any_of(C(), "jackpot_pick") & ~sig("help_page") & ~F.col("rules_page"))
+    df = df.selectExpr(
+        "*", f"{V.total(base)} AS ui_base", f"{V.reasons(base)} AS ui_base_reasons", f"{V.total(feature)} AS ui_feature",
+        f"{V.reasons(feature)} AS ui_feature_reasons", f"{V.total(board)} AS board", f"{V.reasons(board)} AS board_reasons",
+        f"{V.paytable_signal()} AS paytable", f"{V.loading_splash()} AS splash", f"{V.brand_splash()} AS brand_splash",
+        f"{V.payout_visual()} AS payout_visual", f"{subtype} AS feature_subtype", f"{subtype_scores} AS feature_subtype_scores",
+        "category IN ('Result', 'Transition') AS claim", f"{both(spoken('rule_intro'), spoken('free_spin'))} AS rule_intro",
+        "CAST(NULL AS DOUBLE) AS s_other")
+    active = V.feature_active_terms("s_help", "s_loading", "s_result", "0.0D")
+    df = df.selectExpr(
+        "*", f"round(greatest(0.0D, {V.total(active)}), 2) AS active", f"{V.reasons(active)} AS active_reasons",
+        f"({rules_page('0.0D', 's_help', 'paytable')} AND NOT sig_feature_buy) AS rules_page",
+        "((sig_bigwin_strong OR sig_bigwin_title) AND (sig_center_payout OR payout_visual OR sig_feature_running)) AS bigwin_overlay")
+    df = df.selectExpr("*", both("feature_subtype = 'pick'", "board >= 3.0D", spoken("jackpot"), spoken("jackpot_pick"),
+                                 "NOT sig_help_page", "NOT rules_page") + " AS jackpot_pick")
     chain = _overrides()
-    used = range(len(chain)) if rules is None else rules
+    used = list(range(len(chain))) if rules is None else list(rules)
     for n in used:
         df = _apply(df, n, chain[n])
-    df = df.withColumn("bigwin_keep", F.round(V.bigwin_keep_signal(s("BigWin"), F.col("payout_visual")), 2))
-    return df.withColumns({"category_scores": _score_map(), "matched_keywords": _reason_map(list(used))}).select(
-        *keep, "category", "top_score", "category_scores", "matched_keywords", "feature_subtype", "feature_subtype_scores",
-        F.col("ui_base").alias("basegame_ui"), F.col("ui_feature").alias("feature_ui"), F.col("board").alias("feature_board"),
-        F.col("active").alias("feature_active"), F.col("paytable").alias("paytable_signal"), "bigwin_keep",
-        "joined", "compact", "lines", "record_lines", "record_text", "record_compact",
-        *[f"sig_{n}" for n in TEXT_SIGNALS])
+    rungs, caps = V.bigwin_keep_rules("s_bigwin", "payout_visual")
+    first_rung = "CASE " + " ".join(f"WHEN {c} THEN {lit(why)}" for c, _, why in rungs) + " END"
+    why_keep = f"array_compact(array({first_rung}, " + ", ".join(f"CASE WHEN {c} THEN {lit(w)} END" for c, _, w in caps if w) + "))"
+    df = df.selectExpr("*", f"round({V.bigwin_keep_signal('s_bigwin', 'payout_visual')}, 2) AS bigwin_keep", f"{why_keep} AS keep_reasons")
+    return df.selectExpr(
+        *keep, "category", "top_score", f"{_score_map()} AS category_scores", f"{_reason_map(used)} AS matched_keywords", "feature_subtype",
+        "feature_subtype_scores", "ui_base", "ui_feature", "board", "active", "paytable", "bigwin_keep",
+        "joined", "compact", "lines", "record_lines", "record_text", "record_compact", *[f"sig_{n}" for n in TEXT_SIGNALS])
 
 
-def _score_map() -> Column:
+def _score_map() -> str:
     """Categories and auxiliary scores that have an entry."""
-    entries = {**{c: s(c) for c in SLUG}, "BasegameUI": F.round("ui_base", 2), "FeatureUI": F.round("ui_feature", 2),
-               "FeatureBoard": F.round("board", 2), "FeatureActive": F.col("active"),
-               "HelpPaytable": F.when(F.col("paytable") > 0, F.round("paytable", 2)), "BigWinKeep": F.col("bigwin_keep")}
-    return F.map_filter(F.create_map(*[x for k, v in entries.items() for x in (F.lit(k), v)]), lambda _, v: v.isNotNull())
-
-
-def _reason_map(used: list[int]) -> Column:
-    tagged = lambda cat, col, prefix="": F.transform(col, lambda r: F.struct(
-        F.lit(cat).alias("category"), F.concat(F.lit(prefix), r).alias("reason")))
-    every = F.concat(F.col("trace"), tagged("Basegame", "ui_base_reasons"), tagged("Feature game", "ui_feature_reasons"),
-                     tagged("Feature game", "board_reasons"), tagged("Feature game", "active_reasons", "feature_active:"),
-                     _trace([(F.lit(True), "Feature game", F.concat(F.lit("feature_subtype:"), F.col("feature_subtype"))),
-                             (F.col("paytable") > 0, "Help", V.coded("paytable_signal", F.col("paytable")))]),
-                     F.array_compact(F.array(*[F.col(f"note_{n}") for n in used])) if used else F.array().cast("array<struct<category:string,reason:string>>"))
-    return F.map_from_arrays(
-        F.array(*[F.lit(c) for c in R.CATEGORIES]),
-        F.array(*[F.transform(F.filter(every, lambda t, c=c: t["category"] == c), lambda t: t["reason"]) for c in R.CATEGORIES]))
-
-
-# --- confidence ---------------------------------------------------------------------------------
-def confidence(category: Column, top: Column, scores: Column, hits: Column) -> Column:
+    entries = {**SLUG, "BasegameUI": "round(ui_base, 2)", "FeatureUI": "round(ui_feature, 2)", "FeatureBoard": "round(board, 2)",
+               "FeatureActive": "active", "HelpPaytable": "CASE WHEN paytable > 0 THEN round(paytable, 2) END", "BigWinKeep": "bigwin_keep"}
+    return "map_filter(map(" + ", ".join(f"{lit(k)}, {v}" for k, v in entries.items()) + "), (k, v) -> v IS NOT NULL)"
+
+
+def _reason_map(used: list[int]) -> str:
+    tagged = lambda cat, codes, fmt="r": f"transform({codes}, r -> named_struct('category', {lit(cat)}, 'reason', {fmt}))"
+    notes = f"array_compact(array({', '.join(f'note_{n}' for n in used)}))" if used else f"CAST(array() AS {_TRACE_TYPE})"
+    every = ", ".join([
+        "trace", tagged("Basegame", "ui_base_reasons"), tagged("Feature game", "ui_feature_reasons"), tagged("Feature game", "board_reasons"),
+        tagged("Feature game", "active_reasons", "concat('feature_active:', r)"),
+        _trace([("true", "'Feature game'", "concat('feature_subtype:', feature_subtype)"), ("paytable > 0", "'Help'", V.coded("paytable_signal", "paytable"))]),
+        notes, tagged("BigWin", "filter(keep_reasons, r -> category = 'BigWin')", "concat(r, format_string(':%.2f', bigwin_keep))")])
+    names = "array(" + ", ".join(lit(c) for c in R.CATEGORIES) + ")"
+    return (f"map_from_arrays({names}, transform({names}, c -> transform(filter(concat({every}), t -> t.category = c), t -> t.reason)))")
+
+
+# --- confidence ----------------------------------------------------------------------------------------------
+def confidence(category: str, top: str, scores: str, hits: str) -> str:
     """(level, score) from the margin of the two best map values and priority hits."""
-    ranked = F.sort_array(F.map_values(scores), asc=False)
-    at = lambda n: F.coalesce(F.try_element_at(ranked, F.lit(n)), F.lit(0.0))
-    best, margin = at(1), at(1) - at(2)
-    ui = F.coalesce(F.try_element_at(scores, F.lit("BasegameUI")), F.lit(0.0))
-    priority = F.exists(F.flatten(F.map_values(hits)), lambda r: r.contains("priority_"))
-    base, other = category == "Basegame", category == "Other"
-    high = ((top >= 14.0) & ((margin >= 8.0) | priority)) | ((top >= 10.0) & (margin >= 5.0))
-    medium = ((top >= 7.0) & (margin >= 3.0)) | ((top >= 10.0) & (margin >= 2.0)) | (priority & (top >= 5.0))
-    level = (F.when(base, F.when((ui >= 4.0) & (margin >= 3.0), "medium").otherwise("low"))
-             .when(other, F.when(best >= 6.0, "medium").otherwise("low"))
-             .when(high, "high").when(medium, "medium").otherwise("low"))
-    raw = (F.when(base, ui * 0.1 + margin * 0.05).when(other, best * 0.05)
-           .otherwise(top * 0.04 + margin * 0.03 + F.when(priority, 0.15).otherwise(0.0)))
-    return F.struct(level.alias("level"), F.round(F.least(F.lit(1.0), raw), 3).alias("score"))
-
-
-def needs_review(level: Column) -> Column:
-    return level.isin("medium", "low")
-
-
-def map_top_n(scores: Column, n: int = 3, allowed: list[str] | None = None) -> Column:
-    """The n largest of the allowed categories (missing ones count 0), stable in their order."""
-    names = allowed or REVIEW_ORDER
-    rows = F.array(*[F.struct((-F.coalesce(F.try_element_at(scores, F.lit(c)), F.lit(0.0))).alias("neg"),
-                              F.lit(i).alias("pos"), F.lit(c).alias("category")) for i, c in enumerate(names)])
-    return F.transform(F.slice(F.array_sort(rows), 1, n), lambda r: F.struct(r["category"].alias("category"), (-r["neg"]).alias("score")))
+    at = lambda n: f"coalesce(try_element_at(sort_array(map_values({scores}), false), {n}), 0.0D)"
+    best, margin, ui = at(1), f"({at(1)} - {at(2)})", V.map_score(scores, "BasegameUI")
+    priority = f"exists(flatten(map_values({hits})), r -> contains(r, 'priority_'))"
+    high = f"(({top} >= 14.0D AND ({margin} >= 8.0D OR {priority})) OR ({top} >= 10.0D AND {margin} >= 5.0D))"
+    medium = f"(({top} >= 7.0D AND {margin} >= 3.0D) OR ({top} >= 10.0D AND {margin} >= 2.0D) OR ({priority} AND {top} >= 5.0D))"
+    level = (f"CASE WHEN {category} = 'Basegame' THEN CASE WHEN {ui} >= 4.0D AND {margin} >= 3.0D THEN 'medium' ELSE 'low' END "
+             f"WHEN {category} = 'Other' THEN CASE WHEN {best} >= 6.0D THEN 'medium' ELSE 'low' END "
+             f"WHEN {high} THEN 'high' WHEN {medium} THEN 'medium' ELSE 'low' END")
+    raw = (f"CASE WHEN {category} = 'Basegame' THEN {ui} * 0.1D + {margin} * 0.05D WHEN {category} = 'Other' THEN {best} * 0.05D "
+           f"ELSE {top} * 0.04D + {margin} * 0.03D + CASE WHEN {priority} THEN 0.15D ELSE 0.0D END END")
+    return f"named_struct('level', {level}, 'score', round(least(1.0D, {raw}), 3))"
+
+
+def needs_review(level: str) -> str:
+    return f"{level} IN ('medium', 'low')"
 
 
 # fixed values: order of the categories on review cards
 REVIEW_ORDER = ["Basegame", "Feature game", "Feature Buy", "BigWin", "Transition", "Help", "loading", "Result", "Other"]
+
+
+def map_top_n(scores: str, n: int = 3, allowed: list[str] | None = None) -> str:
+    """The n largest of the allowed categories (missing ones count 0), stable in their order."""
+    rows = ", ".join(f"named_struct('neg', -{V.map_score(scores, c)}, 'pos', {i}, 'category', {lit(c)})" for i, c in enumerate(allowed or REVIEW_ORDER))
+    return f"transform(slice(array_sort(array({rows})), 1, {n}), r -> named_struct('category', r.category, 'score', -r.neg))"

@@ -2,14 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
-
-def clamp_roi(x: Column, y: Column, w: Column, h: Column, frame_w: Column, frame_h: Column) -> list[Column]:
+def clamp_roi(x: str, y: str, w: str, h: str, frame_w: str, frame_h: str) -> list[str]:
     """ROI clipped to the frame, at least one pixel wide and high."""
-    cx = F.greatest(F.lit(0), F.least(x, frame_w - 1))
-    cy = F.greatest(F.lit(0), F.least(y, frame_h - 1))
-    return [cx.alias("x"), cy.alias("y"),
-            F.greatest(F.lit(1), F.least(w, frame_w - cx)).alias("w"),
-            F.greatest(F.lit(1), F.least(h, frame_h - cy)).alias("h")]
+    cx = f"greatest(0, least({x}, {frame_w} - 1))"
+    cy = f"greatest(0, least({y}, {frame_h} - 1))"
+    return [f"{cx} AS x", f"{cy} AS y", f"greatest(1, least({w}, {frame_w} - {cx})) AS w", f"greatest(1, least({h}, {frame_h} - {cy})) AS h"]

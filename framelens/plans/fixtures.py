@@ -8,7 +8,6 @@ are valid in Spark SQL and in DuckDB and are shared by queries and oracles.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 ROI_W, ROI_H = 400, 900
 
@@ -104,41 +103,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frames with keys, category, scores, measured metrics, ROI size and text items.
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores when the scan yields fewer splits than there are.
 
-    Unused columns are pruned by the optimiser before they are computed.
+    Text rules cost far more than moving the rows.  A table of many splits, the
+    case on a cluster, passes through without a shuffle.
     """
-    cols = {**_KEYS, "category": CATEGORY, **SCORES, **METRICS}
-    events = table(spark, sf_dir, "events")
-    df = events.select(*[F.expr(e).alias(n) for n, e in cols.items()])
-    return df.withColumns({"roi_w": F.lit(ROI_W), "roi_h": F.lit(ROI_H), "items": _items()})
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+_ITEM = """named_struct('line_no', n,
+  'text', array({texts})[CAST((frame_idx * 3 + n * 7 + video_id) % 20 AS INT)],
+  'x1', CAST((frame_idx * 37 + n * 11) % 300 AS DOUBLE), 'y1', CAST((frame_idx * 53 + n * 97) % 800 AS DOUBLE),
+  'x2', CAST((frame_idx * 37 + n * 11) % 300 + 40 + (frame_idx * 7 + n) % 160 AS DOUBLE),
+  'y2', CAST((frame_idx * 53 + n * 97) % 800 + 14 + (frame_idx * 5 + n) % 60 AS DOUBLE),
+  'score', CAST((frame_idx * 13 + n * 29) % 100 AS DOUBLE) / 100)""".replace("{texts}", ", ".join(f"'{t}'" for t in OCR_TEXTS))
 
 
-def _items():
-    texts = F.array(*[F.lit(t) for t in OCR_TEXTS])
-    f = F.col("frame_idx")
+def frames(spark: SparkSession, sf_dir: str, parallel: bool = True) -> DataFrame:
+    """Frames with keys, category, scores, measured metrics, ROI size and text items.
+
+    Unused columns are pruned by the optimiser before they are computed.
+    """
+    cols = {**_KEYS, "category": CATEGORY, **SCORES, **METRICS, "roi_w": ROI_W, "roi_h": ROI_H}
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    df = (spread(events) if parallel else events).selectExpr(*[f"{e} AS {n}" for n, e in cols.items()])
+    return df.selectExpr("*", f"transform(sequence(0, 5), n -> {_ITEM}) AS items")
 
-    def item(n):
-        x1 = (f * 37 + n * 11) % 300
-        y1 = (f * 53 + n * 97) % 800
-        return F.struct(
-            n.alias("line_no"), F.get(texts, ((f * 3 + n * 7 + F.col("video_id")) % 20).cast("int")).alias("text"),
-            x1.cast("double").alias("x1"), y1.cast("double").alias("y1"),
-            (x1 + 40 + (f * 7 + n) % 160).cast("double").alias("x2"),
-            (y1 + 14 + (f * 5 + n) % 60).cast("double").alias("y2"),
-            (((f * 13 + n * 29) % 100).cast("double") / 100).alias("score"))
 
-    return F.transform(F.array(*[F.lit(i) for i in range(6)]), item)
+def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frames without their text items."""
+    return frames(spark, sf_dir, parallel=False).drop("items")
 
 
 def ocr_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long form of the text items: one row per line."""
-    return (frames(spark, sf_dir).select("video_id", "frame_idx", F.explode("items").alias("i"))
-            .select("video_id", "frame_idx", F.col("i.line_no").cast("int").alias("line_no"), F.col("i.text").alias("text"),
-                    F.col("i.score").alias("ocr_score"), "i.x1", "i.y1", "i.x2", "i.y2"))
+    return frames(spark, sf_dir).selectExpr("video_id", "frame_idx", "inline(items)").withColumnRenamed("score", "ocr_score")
 
 
 def icons(spark: SparkSession, sf_dir: str) -> DataFrame:
     cols = {**_KEYS, **ICONS}
-    return table(spark, sf_dir, "events").select(*[F.expr(e).alias(n) for n, e in cols.items()])
+    return table(spark, sf_dir, "events").selectExpr(*[f"{e} AS {n}" for n, e in cols.items()])

@@ -11,6 +11,7 @@ from ..functions import text as T
 from ..operators import classify as K
 from . import fixtures as fx
 from .registry import query
+from .q_text import docs
 from .sqlkit import CTES, any_sql, cte, dbl, norm_sql, pat_sql, q, substr_sql, with_sql
 
 KEYS = ["video_id", "frame_idx"]
@@ -20,8 +21,8 @@ def text_frames(spark, sf):
     return T.with_text(fx.frames(spark, sf))
 
 
-def r6(col, name):
-    return F.round(col, 6).alias(name)
+def r6(expr, name):
+    return f"round({expr}, 6) AS {name}"
 
 
 # --- SQL twins of the scores ---------------------------------------------------------------
@@ -108,42 +109,40 @@ cte("measured", "text_class metrics_fx", "SELECT * EXCLUDE (m_category) FROM (SE
 def _(spark, sf):
     """Rule rows of the active pack with the number of documents each keyword occurs in."""
     pack = R.DEFAULT_PACK.with_files(spark, keywords_path=f"{sf}/keyword_rules.yaml")
-    d = fx.table(spark, sf, "documents").select(T.normalize_text(F.col("text"), pack).alias("joined"))
-    hits = d.select(F.explode(K.keyword_hits(F.col("joined"), pack)).alias("r")).groupBy("r.category", "r.keyword").count()
+    d = docs(spark, sf).selectExpr(f"{T.normalize_text('text', pack)} AS joined")
+    hits = d.selectExpr(f"inline({K.keyword_hits('joined', pack)})").groupBy("category", "keyword").count()
     rules = spark.createDataFrame(pack.keyword_rows(), "category string, ordinal int, keyword string, norm string, weight double")
-    return rules.join(hits, ["category", "keyword"], "left").select(
-        "category", "ordinal", "keyword", "weight", F.coalesce("count", F.lit(0)).cast("long").alias("n_docs"))
+    return rules.join(hits, ["category", "keyword"], "left").selectExpr(
+        "category", "ordinal", "keyword", "weight", "coalesce(count, 0L) AS n_docs")
 
 
 @query("c2_keyword_score", with_sql("kw", "SELECT video_id, frame_idx, " + ", ".join(f"k{K.SLUG[c][1:]}" for c in R.SCORED_CATEGORIES) + " FROM kw"))
 def _(spark, sf):
-    df = text_frames(spark, sf).withColumns({"kw": K.keyword_hits(F.col("joined")), "digits": F.col("joined").rlike("[0-9]")})
-    return df.select(*KEYS, *[K.keyword_score(F.col("kw"), c, F.col("digits")).alias("k" + K.SLUG[c][1:]) for c in R.SCORED_CATEGORIES])
+    df = text_frames(spark, sf).selectExpr(*KEYS, f"{K.keyword_hits('joined')} AS kw", "joined RLIKE '[0-9]' AS digits")
+    return df.selectExpr(*KEYS, *[f"{K.keyword_score('kw', c, 'digits')} AS k{K.SLUG[c][1:]}" for c in R.SCORED_CATEGORIES])
 
 
 @query("c2_keyword_score_documents", "SELECT doc_id, " + ", ".join(f"{kw_sql(c, 'n')} AS k{K.SLUG[c][1:]}" for c in R.SCORED_CATEGORIES)
        + f" FROM (SELECT doc_id, {norm_sql('text')} AS n FROM documents)")
 def _(spark, sf):
-    df = fx.table(spark, sf, "documents").select("doc_id", T.normalize_text(F.col("text")).alias("n"))
-    df = df.withColumns({"kw": K.keyword_hits(F.col("n")), "digits": F.col("n").rlike("[0-9]")})
-    return df.select("doc_id", *[K.keyword_score(F.col("kw"), c, F.col("digits")).alias("k" + K.SLUG[c][1:]) for c in R.SCORED_CATEGORIES])
+    df = docs(spark, sf).selectExpr("doc_id", f"{T.normalize_text('text')} AS n")
+    df = df.selectExpr("doc_id", f"{K.keyword_hits('n')} AS kw", "n RLIKE '[0-9]' AS digits")
+    return df.selectExpr("doc_id", *[f"{K.keyword_score('kw', c, 'digits')} AS k{K.SLUG[c][1:]}" for c in R.SCORED_CATEGORIES])
 
 
 @query("c3_add_score", with_sql("frames_fx", """SELECT video_id, frame_idx, round(top_score + noise_score, 2) AS help, round(feature_ui_score, 2) AS feature,
   round(-8.0 + noise_score, 2) AS transition FROM frames_fx"""))
 def _(spark, sf):
-    d = fx.frames(spark, sf)
-    base = F.create_map(F.lit("Help"), F.col("top_score"), F.lit("Feature game"), F.col("feature_ui_score"))
-    extra = F.create_map(F.lit("Help"), F.col("noise_score"), F.lit("Transition"), F.col("noise_score") - 8.0)
-    m = d.select(*KEYS, K.add_scores(base, extra).alias("m"))
-    return m.select(*KEYS, F.col("m")["Help"].alias("help"), F.col("m")["Feature game"].alias("feature"), F.col("m")["Transition"].alias("transition"))
+    m = K.add_scores("map('Help', top_score, 'Feature game', feature_ui_score)", "map('Help', noise_score, 'Transition', noise_score - 8.0D)")
+    d = fx.scores(spark, sf).selectExpr(*KEYS, f"{m} AS m")
+    return d.selectExpr(*KEYS, "m['Help'] AS help", "m['Feature game'] AS feature", "m['Transition'] AS transition")
 
 
 @query("c4_rule_bonuses", with_sql("signals", "SELECT video_id, frame_idx, " + ", ".join(f"{dbl(BONUS_SQL[c])} AS b{K.SLUG[c][1:]}" for c in R.SCORED_CATEGORIES)
                                    + " FROM signals"))
 def _(spark, sf):
     df = S.with_signals(text_frames(spark, sf), *K.TEXT_SIGNALS)
-    return df.select(*KEYS, *[K.bonus_total(c).cast("double").alias("b" + K.SLUG[c][1:]) for c in R.SCORED_CATEGORIES])
+    return df.selectExpr(*KEYS, *[f"{K.bonus_total(c)} AS b{K.SLUG[c][1:]}" for c in R.SCORED_CATEGORIES])
 
 
 def _scored(spark, sf):
@@ -157,13 +156,13 @@ def _(spark, sf):
 
 @query("c6_priority_choice", with_sql("text_class", "SELECT video_id, frame_idx, coalesce(stage,'none') AS stage FROM text_class"))
 def _(spark, sf):
-    return _scored(spark, sf).select(*KEYS, F.coalesce(K.priority_stage()["category"], F.lit("none")).alias("stage"))
+    return _scored(spark, sf).selectExpr(*KEYS, f"coalesce(({K.priority_stage()}).category, 'none') AS stage")
 
 
 @query("c7_argmax_category", with_sql("scored", f"SELECT video_id, frame_idx, {_PICK} AS category, {_BEST}::DOUBLE AS best FROM scored"))
 def _(spark, sf):
-    b = _scored(spark, sf).select(*KEYS, K.argmax_category({c: K.s(c) for c in R.SCORED_CATEGORIES}).alias("b"))
-    return b.select(*KEYS, "b.category", F.col("b.score").alias("best"))
+    b = _scored(spark, sf).selectExpr(*KEYS, f"{K.argmax_category({c: K.SLUG[c] for c in R.SCORED_CATEGORIES})} AS b")
+    return b.selectExpr(*KEYS, "b.category", "b.score AS best")
 
 
 @query("c8_classify_text", with_sql("text_class", "SELECT video_id, frame_idx, category, top_score::DOUBLE AS top_score, s_help, s_transition, s_result FROM text_class"))
@@ -268,25 +267,21 @@ _MAP_VALUES = ("list_filter(list_value(s_loading, s_bigwin, s_transition, s_feat
   round(list_sum({_MAP_VALUES}),6)::DOUBLE AS score_sum FROM classified"""))
 def _(spark, sf):
     df = K.classify_frames(fx.frames(spark, sf))
-    values = F.map_values("category_scores")
-    return df.select(*KEYS, "category", r6(F.col("top_score"), "top_score"), "bigwin_keep", r6(F.col("basegame_ui"), "ui_base"),
-                     r6(F.col("feature_ui"), "ui_feature"), F.col("feature_active").alias("active"), "feature_subtype",
-                     F.size(values).cast("long").alias("n_scores"),
-                     r6(F.aggregate(values, F.lit(0.0), lambda a, v: a + v), "score_sum"))
+    return df.selectExpr(*KEYS, "category", r6("top_score", "top_score"), "bigwin_keep", r6("ui_base", "ui_base"), r6("ui_feature", "ui_feature"),
+                         "active", "feature_subtype", "CAST(size(category_scores) AS BIGINT) AS n_scores",
+                         r6("aggregate(map_values(category_scores), 0.0D, (a, v) -> a + v)", "score_sum"))
 
 
 @query("c10_feature_subtype", with_sql("measured", f"SELECT video_id, frame_idx, {_SUBTYPE} AS subtype, list_max(subtype_counts)::INTEGER AS hits FROM measured"))
 def _(spark, sf):
-    sub, counts = K.feature_subtype(F.col("joined"))
-    d = text_frames(spark, sf).select(*KEYS, sub.alias("subtype"), counts.alias("c"))
-    return d.select(*KEYS, "subtype", F.array_max(F.map_values("c")).alias("hits"))
+    sub, counts = K.feature_subtype("joined")
+    return text_frames(spark, sf).selectExpr(*KEYS, f"{sub} AS subtype", f"array_max(map_values({counts})) AS hits")
 
 
 @query("c11_feature_active_score", with_sql("frame_in", "SELECT video_id, frame_idx, active FROM frame_in"))
 def _(spark, sf):
-    df = _scored(spark, sf)
-    score = V.total(V.feature_active_terms(K.s("Help"), K.s("loading"), K.s("Result"), F.lit(0.0)))
-    return df.select(*KEYS, F.round(F.greatest(F.lit(0.0), score), 2).alias("active"))
+    score = V.total(V.feature_active_terms("s_help", "s_loading", "s_result", "0.0D"))
+    return _scored(spark, sf).selectExpr(*KEYS, f"round(greatest(0.0D, {score}), 2) AS active")
 
 
 @query("c12_transition_keep_score", with_sql("scored frames_fx", "SELECT video_id, frame_idx, round(s_transition + " + whens(
@@ -296,18 +291,18 @@ def _(spark, sf):
     (f"basegame_ui_score >= 3.0 AND NOT transition_cover AND {any_sql('joined', 'buy_or_auto')}", -12)) + """,6)::DOUBLE AS keep_score
   FROM scored JOIN frames_fx USING (video_id, frame_idx)"""))
 def _(spark, sf):
-    score = V.total(V.transition_keep_terms(K.s("Transition"), F.col("basegame_ui_score")))
-    return _scored(spark, sf).select(*KEYS, r6(score, "keep_score"))
+    score = V.total(V.transition_keep_terms("s_transition", "basegame_ui_score"))
+    return _scored(spark, sf).selectExpr(*KEYS, r6(score, "keep_score"))
 
 
 @query("c13_bigwin_keep_signal", with_sql("measured", f"SELECT video_id, frame_idx, {BIGWIN_KEEP_SQL} AS keep_signal FROM measured"))
 def _(spark, sf):
-    return _scored(spark, sf).select(*KEYS, V.bigwin_keep_signal(K.s("BigWin"), V.payout_visual()).alias("keep_signal"))
+    return _scored(spark, sf).selectExpr(*KEYS, f"{V.bigwin_keep_signal('s_bigwin', V.payout_visual())} AS keep_signal")
 
 
 @query("c14_paytable_signal", with_sql("signals", "SELECT video_id, frame_idx, paytable_signal AS score FROM signals"))
 def _(spark, sf):
-    return text_frames(spark, sf).select(*KEYS, V.paytable_signal().alias("score"))
+    return text_frames(spark, sf).selectExpr(*KEYS, f"{V.paytable_signal()} AS score")
 
 
 _PT = r"trim(regexp_replace(regexp_replace(lower(text),'[^a-z0-9.$/%+\-\s]',' ','g'),'\s+',' ','g'))"
@@ -321,13 +316,13 @@ PAGE_TEXT_SQL = whens((substr_sql("pt", R.PAYOUT_TITLE_TERMS), 4), ("contains(pt
 
 
 def page_text(df):
-    text = F.array_join(F.transform(T.keep_scored(F.col("items"), 0.45), lambda i: T.normalize_paytable(i["text"])), " ")
-    return df.withColumn("page_text", text)
+    """Add the amount-keeping page text of the items at or above 0.45."""
+    return df.selectExpr("*", f"array_join(transform({T.keep_scored('items', 0.45)}, t -> {T.normalize_paytable('t.text')}), ' ') AS page_text")
 
 
 @query("c15_paytable_text_score", with_sql("page_counts", f"SELECT video_id, frame_idx, round({PAGE_TEXT_SQL},6)::DOUBLE AS score FROM page_counts"))
 def _(spark, sf):
-    return page_text(fx.frames(spark, sf)).select(*KEYS, r6(V.total(V.paytable_text_terms(F.col("page_text"))), "score"))
+    return page_text(fx.frames(spark, sf)).selectExpr(*KEYS, r6(V.total(V.paytable_text_terms("page_text")), "score"))
 
 
 _MARGIN = "(v[1] - v[2])"
@@ -342,22 +337,21 @@ cte("confident", "frames_fx", f"""SELECT *, {CONF_LEVEL_SQL} AS level, {CONF_SCO
   basegame_ui_score, feature_ui_score, feature_active_score, bigwin_keep_signal)) AS v FROM frames_fx)""")
 
 
-def score_map():
-    """Score map of the fixture frames: the category's own score and four auxiliary entries."""
-    return F.create_map(F.col("category"), F.col("top_score"), F.lit("BasegameUI"), F.col("basegame_ui_score"), F.lit("FeatureUI"),
-                        F.col("feature_ui_score"), F.lit("FeatureActive"), F.col("feature_active_score"), F.lit("BigWinKeep"), F.col("bigwin_keep_signal"))
+# score map of the fixture frames: the category's own score and four auxiliary entries
+SCORE_MAP = ("map(category, top_score, 'BasegameUI', basegame_ui_score, 'FeatureUI', feature_ui_score, 'FeatureActive', feature_active_score, "
+             "'BigWinKeep', bigwin_keep_signal)")
 
 
 def with_confidence(df):
-    hits = F.create_map(F.col("category"), F.when(F.col("frame_idx") % 3 == 0, F.array(F.lit("priority_rule"))).otherwise(F.array(F.lit("kw:1"))))
-    df = df.withColumns({"category_scores": score_map(), "matched_keywords": hits})
-    df = df.withColumn("conf", K.confidence(F.col("category"), F.col("top_score"), F.col("category_scores"), F.col("matched_keywords")))
-    return df.withColumns({"level": F.col("conf.level"), "conf_score": F.col("conf.score")}).drop("conf")
+    df = df.selectExpr("*", f"{SCORE_MAP} AS category_scores",
+                       "map(category, array(CASE WHEN frame_idx % 3 = 0 THEN 'priority_rule' ELSE 'kw:1' END)) AS matched_keywords")
+    df = df.selectExpr("*", f"{K.confidence('category', 'top_score', 'category_scores', 'matched_keywords')} AS conf")
+    return df.selectExpr("*", "conf.level AS level", "conf.score AS conf_score").drop("conf")
 
 
 @query("c16_confidence", with_sql("confident", "SELECT video_id, frame_idx, level, conf_score FROM confident"))
 def _(spark, sf):
-    return with_confidence(fx.frames(spark, sf)).select(*KEYS, "level", "conf_score")
+    return with_confidence(fx.scores(spark, sf)).selectExpr(*KEYS, "level", "conf_score")
 
 
 @query("c17_reason_codes", with_sql("metrics_fx signals", """SELECT video_id, frame_idx, concat_ws('|', CASE WHEN feature_running THEN 'running' END,
@@ -365,29 +359,25 @@ def _(spark, sf):
   FROM metrics_fx JOIN signals USING (video_id, frame_idx)"""))
 def _(spark, sf):
     df = S.with_signals(text_frames(spark, sf), "feature_running")
-    terms = [V.Term(S.sig("feature_running"), 0, "running"), V.Term(F.col("circle_count") >= 2, 0, V.counted("round_buttons", F.col("circle_count"))),
-             V.Term(F.col("bar_flag"), 0, "bar")]
-    return df.select(*KEYS, F.array_join(V.reasons(terms), "|").alias("codes"))
+    terms = [V.Term("sig_feature_running", 0, "running"), V.Term("circle_count >= 2", 0, V.counted("round_buttons", "circle_count")), V.Term("bar_flag", 0, "bar")]
+    return df.selectExpr(*KEYS, f"array_join({V.reasons(terms)}, '|') AS codes")
 
 
 @query("c18_reason_count", with_sql("metrics_fx", """SELECT video_id, frame_idx, CASE WHEN component_count >= 3 THEN component_count WHEN circle_count = 1 THEN 1 ELSE 0 END::INTEGER AS n
   FROM metrics_fx"""))
 def _(spark, sf):
-    codes = F.array_compact(F.array(F.lit("other:9"), F.when(F.col("component_count") >= 3, V.counted("icon_components", F.col("component_count"))),
-                                    F.when((F.col("component_count") < 3) & (F.col("circle_count") == 1), F.lit("icon_components"))))
-    return fx.frames(spark, sf).select(*KEYS, S.reason_count(codes, "icon_components").alias("n"))
+    codes = """array_compact(array('other:9', CASE WHEN component_count >= 3 THEN concat('icon_components:', component_count)
+      WHEN circle_count = 1 THEN 'icon_components' END)) AS codes"""
+    return fx.scores(spark, sf).selectExpr(*KEYS, codes).selectExpr(*KEYS, f"{S.reason_count('codes', 'icon_components')} AS n")
 
 
 @query("c19_map_top_n", with_sql("frames_fx", """SELECT video_id, frame_idx, rnk, name, score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY video_id, frame_idx ORDER BY score DESC, pos) AS INTEGER) AS rnk
   FROM (SELECT video_id, frame_idx, p.pos, p.name, CASE WHEN p.name = category THEN top_score WHEN p.name = 'Result' AND category <> 'Result' THEN noise_score ELSE 0.0 END::DOUBLE AS score
    FROM frames_fx JOIN (VALUES """ + ",".join(f"({i},{q(c)})" for i, c in enumerate(K.REVIEW_ORDER)) + """) p(pos, name) ON TRUE)) WHERE rnk <= 3"""))
 def _(spark, sf):
-    d = fx.frames(spark, sf)
-    m = F.map_filter(F.map_concat(F.create_map(F.col("category"), F.col("top_score")),
-                                  F.create_map(F.when(F.col("category") == "Result", "none").otherwise("Result"), F.col("noise_score"))),
-                     lambda k, v: v.isNotNull())
-    top = d.select(*KEYS, F.posexplode(K.map_top_n(m)).alias("p", "t"))
-    return top.select(*KEYS, (F.col("p") + 1).alias("rnk"), F.col("t.category").alias("name"), F.abs("t.score").alias("score"))
+    m = "map_concat(map(category, top_score), map(CASE WHEN category = 'Result' THEN 'none' ELSE 'Result' END, noise_score)) AS m"
+    top = fx.scores(spark, sf).selectExpr(*KEYS, m).selectExpr(*KEYS, f"posexplode({K.map_top_n('m')}) AS (p, t)")
+    return top.selectExpr(*KEYS, "p + 1 AS rnk", "t.category AS name", "abs(t.score) AS score")
 
 
 # --- V: metric scores -------------------------------------------------------------------------------
@@ -397,7 +387,7 @@ def _term_query(name, terms, sql_score, deps, sig_names=()):
         df = text_frames(spark, sf)
         if sig_names:
             df = S.with_signals(df, *sig_names)
-        return df.select(*KEYS, r6(V.total(terms()), "score"))
+        return df.selectExpr(*KEYS, r6(V.total(terms()), "score"))
 
 
 _term_query("v1_basegame_ui", V.basegame_ui_terms, "ui_base", "measured")
@@ -407,7 +397,7 @@ _term_query("v3_reel_board", V.reel_board_terms, "board", "measured")
 
 @query("v4_clear_score", with_sql("frames_fx", """SELECT video_id, frame_idx, blur_score AS sharpness, round(least(3.0, blur_score/900),6) AS clear_score FROM frames_fx"""))
 def _(spark, sf):
-    return fx.frames(spark, sf).select(*KEYS, F.col("blur_score").alias("sharpness"), r6(V.clear_score(900.0, 3.0), "clear_score"))
+    return fx.scores(spark, sf).selectExpr(*KEYS, "blur_score AS sharpness", r6(V.clear_score(900.0, 3.0), "clear_score"))
 
 
 _PLAIN, _JUDGED = "(edge_ratio <= 0.045 OR lap_var <= 260)", "(edge_ratio <= 0.045 OR lap_var <= 260 OR (flare_ratio >= 0.68 AND largest_ratio >= 0.42))"
@@ -422,7 +412,7 @@ _NOISE = whens(("yellow_green_ratio >= 0.24", 1.0), ("saturated_ratio >= 0.42",
 @query("v6_transition_noise", with_sql("metrics_fx", f"""SELECT video_id, frame_idx, round(n + CASE WHEN n >= 2.4 AND edge_ratio >= 0.07 AND mixed_ratio >= 0.3 THEN 0.7 ELSE 0 END,6)::DOUBLE AS score
   FROM (SELECT *, {_NOISE} AS n FROM metrics_fx)"""))
 def _(spark, sf):
-    return fx.frames(spark, sf).select(*KEYS, r6(V.noise_score()[0], "score"))
+    return fx.scores(spark, sf).selectExpr(*KEYS, r6(V.noise_score(), "score"))
 
 
 _term_query("v7_board_obstruction", V.obstruction_terms, whens(("largest_ratio >= 0.08", "least(4.0, largest_ratio*28)"),
@@ -435,7 +425,7 @@ def _flag_query(name, expr, sql, deps, sig_names=()):
         df = text_frames(spark, sf)
         if sig_names:
             df = S.with_signals(df, *sig_names)
-        return df.select(*KEYS, expr().alias("hit"))
+        return df.selectExpr(*KEYS, f"{expr()} AS hit")
 
 
 _flag_query("v8_brand_splash", V.brand_splash, "brand_splash", "measured")
@@ -452,19 +442,19 @@ QUALITY_SQL = whens(
 
 @query("v12_help_page_quality", with_sql("measured", f"SELECT video_id, frame_idx, round({QUALITY_SQL},2)::DOUBLE AS score FROM measured"))
 def _(spark, sf):
-    df = text_frames(spark, sf).withColumn("paytable", V.paytable_signal())
-    return df.select(*KEYS, F.round(V.total(V.help_quality_terms(F.col("paytable"))), 2).alias("score"))
+    df = text_frames(spark, sf).selectExpr("*", f"{V.paytable_signal()} AS paytable")
+    return df.selectExpr(*KEYS, f"round({V.total(V.help_quality_terms('paytable'))}, 2) AS score")
 
 
 VISUAL_SQL = whens(("dark_plain_ratio >= 0.30 OR dark_ratio >= 0.42", 1), ("component_count >= 6", 3), ("component_count BETWEEN 3 AND 5", 1.5), ("yellow_ratio >= 0.012", 0.8),
                    ("paragraph_rows >= 90 AND yellow_ratio < 0.02 AND component_count < 3", -2))
-_term_query("v13_paytable_visual", lambda: V.paytable_visual_terms(F.lit(900)), VISUAL_SQL, "metrics_fx")
+_term_query("v13_paytable_visual", lambda: V.paytable_visual_terms("roi_h"), VISUAL_SQL, "metrics_fx")
 
 
 def _icon_query(name, expr, sql):
     @query(name, with_sql("icons_fx", f"SELECT video_id, frame_idx, {sql}::DOUBLE AS score FROM icons_fx"))
     def _(spark, sf):
-        return fx.icons(spark, sf).select(*KEYS, F.round(expr(), 6).alias("score"))
+        return fx.icons(spark, sf).selectExpr(*KEYS, r6(expr(), "score"))
 
 
 ICON_QUALITY_SQL = """round(greatest(0.0, least(1.0, least(1.0, least(icon_w,icon_h)/88.0)*0.24 + greatest(0.0, 1.0 - edge_touches*0.24)*0.34 + least(1.0, sharpness/520.0)*0.18
@@ -484,11 +474,10 @@ _PARTS = "(frame_idx*3 + line_no*17) % 350 AS area, (frame_idx*7 + line_no) % 35
   FROM (SELECT *, {_PARTS} FROM ocr_fx) GROUP BY 1,2,3) GROUP BY 1,2"""))
 def _(spark, sf):
     from ..operators.icons import payout_stack_score
-    f, n = F.col("frame_idx"), F.col("line_no")
-    parts = fx.ocr_lines(spark, sf).select(
-        *KEYS, F.col("x1").alias("x"), ((f * 7 + n) % 35).alias("w"), ((f * 5 + n) % 40).alias("h"), ((f * 3 + n * 17) % 350).alias("area"),
-        F.lit(400).alias("icon_w"), F.lit(900).alias("icon_h"), ((f % 40).cast("double") / 100).alias("density"))
-    return payout_stack_score(parts, KEYS).select(*KEYS, r6(F.col("score"), "score"))
+    parts = fx.ocr_lines(spark, sf).selectExpr(
+        *KEYS, "x1 AS x", "(frame_idx * 7 + line_no) % 35 AS w", "(frame_idx * 5 + line_no) % 40 AS h", "(frame_idx * 3 + line_no * 17) % 350 AS area",
+        "400 AS icon_w", "900 AS icon_h", "CAST(frame_idx % 40 AS DOUBLE) / 100 AS density")
+    return payout_stack_score(parts, KEYS).selectExpr(*KEYS, r6("score", "score"))
 
 
 _MW, _MH = "(x2-x1)", "(y2-y1)"
@@ -500,7 +489,7 @@ _MSCORE = (f"{_MW}*{_MH}*greatest(0.25, 1.0 - least(0.75, abs(x1+{_MW}/2.0-200)/
 @query("v18_motion_region_score", with_sql("ocr_fx", f"""SELECT video_id, frame_idx, line_no, round(s,6)::DOUBLE AS score FROM (SELECT *, {_MSCORE} AS s FROM ocr_fx)
   QUALIFY row_number() OVER (PARTITION BY video_id, frame_idx ORDER BY s DESC, line_no) = 1"""))
 def _(spark, sf):
-    score = V.motion_region_score(F.col("x1"), F.col("y1"), F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"), F.lit(400.0), F.lit(900.0))
-    best = (fx.ocr_lines(spark, sf).withColumn("s", score).groupBy(*KEYS)
-            .agg(F.max_by(F.struct("line_no", "s"), F.struct("s", -F.col("line_no"))).alias("b")))
-    return best.select(*KEYS, "b.line_no", r6(F.col("b.s"), "score"))
+    score = V.motion_region_score("x1", "y1", "(x2 - x1)", "(y2 - y1)", 400.0, 900.0)
+    best = fx.ocr_lines(spark, sf).selectExpr(*KEYS, "line_no", f"{score} AS s").groupBy(*KEYS).agg(
+        F.expr("max_by(named_struct('line_no', line_no, 's', s), named_struct('s', s, 'first', -line_no)) AS b"))
+    return best.selectExpr(*KEYS, "b.line_no", r6("b.s", "score"))
\ No newline at end of file

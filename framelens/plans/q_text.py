@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..functions import signals as S
 from ..functions import text as T
 from ..functions.rules import RULES_PAGE_TERMS
@@ -12,24 +10,27 @@ from .registry import query
 from .sqlkit import any_sql, norm_sql, pat_sql, plain_sql, q, terms_sql, with_sql
 
 
+KEYS = ["video_id", "frame_idx"]
+
+
 def docs(spark, sf):
-    return fx.table(spark, sf, "documents")
+    return fx.spread(fx.table(spark, sf, "documents").select("doc_id", "text"))
 
 
 @query("t1_normalize_text", f"SELECT doc_id, {norm_sql('text')} AS norm FROM documents")
 def _(spark, sf):
-    return docs(spark, sf).select("doc_id", T.normalize_text(F.col("text")).alias("norm"))
+    return docs(spark, sf).selectExpr("doc_id", f"{T.normalize_text('text')} AS norm")
 
 
 @query("t2_normalize_plain", f"SELECT doc_id, {plain_sql('text')} AS norm FROM documents")
 def _(spark, sf):
-    return docs(spark, sf).select("doc_id", T.normalize_plain(F.col("text")).alias("norm"))
+    return docs(spark, sf).selectExpr("doc_id", f"{T.normalize_plain('text')} AS norm")
 
 
 @query("t3_normalize_paytable", r"""SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text),
   '[^a-z0-9.$/%+\-\s]', ' ', 'g'), '\s+', ' ', 'g')) AS norm FROM documents""")
 def _(spark, sf):
-    return docs(spark, sf).select("doc_id", T.normalize_paytable(F.col("text")).alias("norm"))
+    return docs(spark, sf).selectExpr("doc_id", f"{T.normalize_paytable('text')} AS norm")
 
 
 @query("t4_load_corrections")
@@ -37,9 +38,7 @@ def _(spark, sf):
     """Corrections from a rule file replace the built-in table; a missing file keeps it."""
     from ..functions.rules import DEFAULT_PACK
     pack = DEFAULT_PACK.with_files(spark, corrections_path=f"{sf}/word_corrections.json")
-    d = docs(spark, sf).select("doc_id", T.normalize_plain(F.col("text")).alias("plain"),
-                               T.normalize_text(F.col("text"), pack).alias("norm"))
-    return d.select("doc_id", (F.col("plain") != F.col("norm")).alias("corrected"))
+    return docs(spark, sf).selectExpr("doc_id", f"{T.normalize_plain('text')} <> {T.normalize_text('text', pack)} AS corrected")
 
 
 _NATURAL = ["lettre", "the other", "sch er", "elle ment", "wild symbol"]
@@ -47,8 +46,8 @@ _NATURAL = ["lettre", "the other", "sch er", "elle ment", "wild symbol"]
 
 @query("t5_has_any", f"SELECT doc_id, {any_sql('n', _NATURAL)} AS hit FROM (SELECT doc_id, {norm_sql('text')} AS n FROM documents)")
 def _(spark, sf):
-    d = docs(spark, sf).select("doc_id", T.normalize_text(F.col("text")).alias("n"))
-    return d.select("doc_id", T.has_any(F.col("n"), _NATURAL).alias("hit"))
+    d = docs(spark, sf).selectExpr("doc_id", f"{T.squeeze(T.normalize_text('text'))} AS n")
+    return d.selectExpr("doc_id", f"{T.any_of('n', _NATURAL)} AS hit")
 
 
 _DOC_PATTERNS = [r"\b\d{4}\b", r"en\s+der", r"\bth\w*ing\b"]
@@ -57,23 +56,22 @@ _DOC_PATTERNS = [r"\b\d{4}\b", r"en\s+der", r"\bth\w*ing\b"]
 @query("t6_has_any_pattern", "SELECT doc_id, " + " OR ".join(f"regexp_matches(n,{q(p)})" for p in _DOC_PATTERNS)
        + f" AS hit FROM (SELECT doc_id, {plain_sql('text')} AS n FROM documents)")
 def _(spark, sf):
-    d = docs(spark, sf).select("doc_id", T.normalize_plain(F.col("text")).alias("n"))
-    return d.select("doc_id", T.has_any_pattern(F.col("n"), _DOC_PATTERNS).alias("hit"))
+    d = docs(spark, sf).selectExpr("doc_id", f"{T.normalize_plain('text')} AS n")
+    return d.selectExpr("doc_id", f"{T.has_any_pattern('n', _DOC_PATTERNS)} AS hit")
 
 
 @query("t7_joined_text", with_sql("text_fx", "SELECT video_id, frame_idx, joined FROM text_fx"))
 def _(spark, sf):
-    return fx.frames(spark, sf).select("video_id", "frame_idx", T.joined_text(F.col("items")).alias("joined"))
+    return fx.frames(spark, sf).selectExpr(*KEYS, f"{T.joined_text('items')} AS joined")
 
 
 @query("t8_box_bounds", with_sql("ocr_fx", """SELECT video_id, frame_idx, line_no, least(x1,x2) AS bx1,
   least(y1,y2) AS by1, greatest(x1,x2) AS bx2, greatest(y1,y2) AS by2 FROM ocr_fx"""))
 def _(spark, sf):
-    pt = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
-    b = fx.ocr_lines(spark, sf).withColumn(
-        "b", T.box_bounds(F.array(pt("x1", "y1"), pt("x2", "y1"), pt("x2", "y2"), pt("x1", "y2"))))
-    return b.select("video_id", "frame_idx", "line_no", F.col("b.x1").alias("bx1"), F.col("b.y1").alias("by1"),
-                    F.col("b.x2").alias("bx2"), F.col("b.y2").alias("by2"))
+    corner = lambda x, y: f"named_struct('x', {x}, 'y', {y})"
+    points = f"array({corner('x1', 'y1')}, {corner('x2', 'y1')}, {corner('x2', 'y2')}, {corner('x1', 'y2')})"
+    b = fx.ocr_lines(spark, sf).selectExpr(*KEYS, "line_no", f"{T.box_bounds(points)} AS b")
+    return b.selectExpr(*KEYS, "line_no", *[f"b.{c} AS b{c}" for c in ("x1", "y1", "x2", "y2")])
 
 
 @query("t9_token_set", f"""WITH w AS (SELECT DISTINCT doc_id, tok FROM (SELECT doc_id, unnest(string_split({norm_sql('text')},' ')) AS tok,
@@ -81,8 +79,8 @@ def _(spark, sf):
   SELECT d.doc_id, count(tok) AS n_tokens, coalesce(string_agg(tok,' ' ORDER BY tok),'') AS tokens
   FROM documents d LEFT JOIN w USING (doc_id) GROUP BY 1""")
 def _(spark, sf):
-    d = docs(spark, sf).select("doc_id", T.token_set(F.array("text")).alias("t"))
-    return d.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.array_join(F.array_sort("t"), " ").alias("tokens"))
+    d = docs(spark, sf).selectExpr("doc_id", f"{T.token_set('array(text)')} AS t")
+    return d.selectExpr("doc_id", "CAST(size(t) AS BIGINT) AS n_tokens", "array_join(array_sort(t), ' ') AS tokens")
 
 
 @query("t10_text_stats", f"""WITH l AS (SELECT doc_id, {norm_sql('line')} AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)),
@@ -92,8 +90,8 @@ def _(spark, sf):
    count(*) FILTER (len(k.n) >= 18) AS long_line_count
   FROM documents d LEFT JOIN k USING (doc_id) LEFT JOIN t USING (doc_id) GROUP BY 1""")
 def _(spark, sf):
-    d = docs(spark, sf).select("doc_id", T.text_stats(F.split("text", "\n")).alias("s"))
-    return d.select("doc_id", *[F.col(f"s.{c}").cast("long").alias(c) for c in ("line_count", "token_count", "long_line_count")])
+    d = docs(spark, sf).selectExpr("doc_id", f"{T.text_stats('split(text, chr(10))')} AS s")
+    return d.selectExpr("doc_id", *[f"CAST(s.{c} AS BIGINT) AS {c}" for c in ("line_count", "token_count", "long_line_count")])
 
 
 @query("t12_row_ocr_items", with_sql("ocr_fx", """SELECT video_id, frame_idx, line_no, trim(text) AS text,
@@ -101,20 +99,16 @@ def _(spark, sf):
 def _(spark, sf):
     """Text/score pairs from stored text: empty texts dropped, unreadable scores read as 0."""
     from ..sources.results import row_items
-    rows = fx.ocr_lines(spark, sf).select(
-        "video_id", "frame_idx", "line_no",
-        F.when((F.col("frame_idx") % 7 == 0) & (F.col("line_no") == 2), " ").otherwise(F.concat(F.lit(" "), "text")).alias("t"),
-        F.when(F.col("frame_idx") % 9 == 0, "n/a").otherwise(F.col("ocr_score").cast("string")).alias("s"))
-    stored = rows.select("video_id", "frame_idx", "line_no", F.format_string("[('%s', '%s')]", "t", "s").alias("raw_texts"))
-    return (stored.select("video_id", "frame_idx", "line_no", F.explode(row_items(F.col("raw_texts"))).alias("i"))
-            .select("video_id", "frame_idx", "line_no", "i.text", "i.score"))
+    stored = fx.ocr_lines(spark, sf).selectExpr(*KEYS, "line_no", """format_string("[('%s', '%s')]",
+      CASE WHEN frame_idx % 7 = 0 AND line_no = 2 THEN ' ' ELSE concat(' ', text) END,
+      CASE WHEN frame_idx % 9 = 0 THEN 'n/a' ELSE CAST(ocr_score AS STRING) END) AS raw_texts""")
+    return stored.selectExpr(*KEYS, "line_no", f"inline({row_items('raw_texts')})")
 
 
 @query("t13_count_digits", """SELECT doc_id, CAST(len(regexp_replace(text,'[^0-9]','','g')) AS BIGINT) AS n_digits,
   regexp_matches(text,'[0-9]') AS has_digit FROM documents""")
 def _(spark, sf):
-    n = T.count_digits(F.col("text"))
-    return docs(spark, sf).select("doc_id", n.cast("long").alias("n_digits"), (n > 0).alias("has_digit"))
+    return docs(spark, sf).selectExpr("doc_id", f"CAST({T.count_digits('text')} AS BIGINT) AS n_digits", "text RLIKE '[0-9]' AS has_digit")
 
 
 # --- filters over text items -----------------------------------------------------------
@@ -124,37 +118,30 @@ def _(spark, sf):
   greatest(1, least(y2, 900 - greatest(0, least(y1-50, 899)))) AS h FROM ocr_fx"""))
 def _(spark, sf):
     from ..operators.sampling import clamp_roi
-    d = fx.ocr_lines(spark, sf).withColumns({"rx": F.col("x1") - 50, "ry": F.col("y1") - 50})
-    return d.select("video_id", "frame_idx", "line_no",
-                    *clamp_roi(F.col("rx"), F.col("ry"), F.col("x2"), F.col("y2"), F.lit(400.0), F.lit(900.0)))
+    return fx.ocr_lines(spark, sf).selectExpr(*KEYS, "line_no", *clamp_roi("x1 - 50", "y1 - 50", "x2", "y2", "400.0D", "900.0D"))
 
 
 @query("f11_score_threshold", with_sql("ocr_fx", """SELECT video_id, frame_idx, count(*) FILTER (ocr_score >= 0.6) AS n_kept,
   coalesce(round(sum(ocr_score) FILTER (ocr_score >= 0.6), 6), 0.0) AS score_sum FROM ocr_fx GROUP BY 1, 2"""))
 def _(spark, sf):
-    d = fx.frames(spark, sf).select("video_id", "frame_idx", T.keep_scored(F.col("items")).alias("k"))
-    total = F.aggregate("k", F.lit(0.0), lambda a, i: a + i["score"])
-    return d.select("video_id", "frame_idx", F.size("k").cast("long").alias("n_kept"), F.round(total, 6).alias("score_sum"))
+    d = fx.frames(spark, sf).selectExpr(*KEYS, f"{T.keep_scored('items')} AS k")
+    return d.selectExpr(*KEYS, "CAST(size(k) AS BIGINT) AS n_kept", "round(aggregate(k, 0.0D, (a, i) -> a + i.score), 6) AS score_sum")
 
 
 @query("f12_flatten_items")
 def _(spark, sf):
     """Items wrapped in an extra list level, with a malformed score every fifth frame."""
-    raw = fx.frames(spark, sf).select("video_id", "frame_idx", F.array(F.transform("items", lambda i: F.struct(
-        F.array(F.struct(i["x1"].alias("x"), i["y1"].alias("y")), F.struct(i["x2"].alias("x"), i["y2"].alias("y"))).alias("box"),
-        F.concat(F.lit("  "), i["text"], F.lit(" ")).alias("text"),
-        F.when((F.col("frame_idx") % 5 == 0) & (i["line_no"] == 3), "broken").otherwise(i["score"].cast("string")).alias("score")
-    ))).alias("nested"))
-    flat = raw.select("video_id", "frame_idx", F.explode(T.flatten_items(F.col("nested"))).alias("i"))
-    return flat.select("video_id", "frame_idx", "i.text", F.round("i.score", 6).alias("score"))
+    raw = fx.frames(spark, sf).selectExpr(*KEYS, """array(transform(items, i -> named_struct(
+      'box', array(named_struct('x', i.x1, 'y', i.y1), named_struct('x', i.x2, 'y', i.y2)), 'text', concat('  ', i.text, ' '),
+      'score', CASE WHEN frame_idx % 5 = 0 AND i.line_no = 3 THEN 'broken' ELSE CAST(i.score AS STRING) END))) AS nested""")
+    return raw.selectExpr(*KEYS, f"inline({T.flatten_items('nested')})").selectExpr(*KEYS, "text", "round(score, 6) AS score")
 
 
 @query("f13_rescale_boxes", with_sql("ocr_fx", """SELECT video_id, frame_idx, line_no, round(x1*1.6,6) AS x1, round(y1*1.6,6) AS y1,
   round(x2*1.6,6) AS x2, round(y2*1.6,6) AS y2 FROM ocr_fx"""))
 def _(spark, sf):
-    d = fx.frames(spark, sf).select("video_id", "frame_idx", F.explode(T.rescale_boxes(F.col("items"), 1.6)).alias("i"))
-    return d.select("video_id", "frame_idx", F.col("i.line_no").alias("line_no"),
-                    *[F.round(f"i.{c}", 6).alias(c) for c in ("x1", "y1", "x2", "y2")])
+    d = fx.frames(spark, sf).selectExpr(*KEYS, f"inline({T.rescale_boxes('items', 1.6)})")
+    return d.selectExpr(*KEYS, "line_no", *[f"round({c}, 6) AS {c}" for c in ("x1", "y1", "x2", "y2")])
 
 
 # --- signals --------------------------------------------------------------------------------
@@ -178,7 +165,7 @@ def _register_signal(name: str, sig: str) -> None:
     @query(name, with_sql("signals", f"SELECT video_id, frame_idx, {sig} AS hit FROM signals"))
     def _(spark, sf):
         df = S.with_signals(T.with_text(fx.frames(spark, sf)), sig)
-        return df.select("video_id", "frame_idx", F.col(f"sig_{sig}").alias("hit"))
+        return df.selectExpr(*KEYS, f"sig_{sig} AS hit")
 
 
 for _name, _sig in _SIGNAL_QUERIES.items():
@@ -194,40 +181,34 @@ RULES_PAGE_SQL = (f"n_page >= 8 AND ({any_sql('page_text', 'help')} OR {{paytabl
   {RULES_PAGE_SQL.format(quality='help_quality_score', help='top_score', paytable='help_paytable_score')} AS hit,
   CAST({terms_sql('page_text', RULES_PAGE_TERMS)} AS BIGINT) AS terms FROM signals JOIN frames_fx USING (video_id, frame_idx)"""))
 def _(spark, sf):
-    df = T.with_text(fx.frames(spark, sf))
-    hit = S.rules_page(F.col("help_quality_score"), F.col("top_score"), F.col("help_paytable_score"))
-    page = F.array_join(F.filter(F.transform("lines", lambda i: i["norm"]), lambda t: F.length(t) >= 3), " ")
-    return df.select("video_id", "frame_idx", hit.alias("hit"), T.count_terms(page, RULES_PAGE_TERMS).cast("long").alias("terms"))
-
-
-_REASONS = "list_value('round_buttons:' || (frame_idx % 5), 'spin_or_counter_block:1', CASE WHEN frame_idx % 3 = 0 THEN 'money_or_bet_text' ELSE 'x' END)"
+    return T.with_text(fx.frames(spark, sf)).selectExpr(
+        *KEYS, f"{S.rules_page('help_quality_score', 'top_score', 'help_paytable_score')} AS hit",
+        f"CAST({T.count_terms(S.PAGE_TEXT, RULES_PAGE_TERMS)} AS BIGINT) AS terms")
 
 
 @query("g13_explicit_basegame_control", with_sql("signals", f"""SELECT video_id, frame_idx, {any_sql('joined', 'control')}
   OR frame_idx % 5 >= 3 OR ((frame_idx % 3 = 0 OR {pat_sql('joined', 'decimal')}) AND TRUE)
   OR (contains(joined,'plus') AND contains(joined,'minus')) AS hit FROM signals"""))
 def _(spark, sf):
-    reasons = F.array(F.concat(F.lit("round_buttons:"), (F.col("frame_idx") % 5).cast("string")), F.lit("spin_or_counter_block:1"),
-                      F.when(F.col("frame_idx") % 3 == 0, "money_or_bet_text").otherwise("x"))
-    df = T.with_text(fx.frames(spark, sf)).withColumn("reasons", reasons)
-    return df.select("video_id", "frame_idx", S.base_control(F.col("reasons")).alias("hit"))
+    reasons = """array(concat('round_buttons:', CAST(frame_idx % 5 AS STRING)), 'spin_or_counter_block:1',
+      CASE WHEN frame_idx % 3 = 0 THEN 'money_or_bet_text' ELSE 'x' END) AS reasons"""
+    df = T.with_text(fx.frames(spark, sf)).selectExpr("*", reasons)
+    return df.selectExpr(*KEYS, f"{S.base_control('reasons')} AS hit")
 
 
 @query("g24_record_counter_over_board", with_sql("signals frames_fx", """SELECT video_id, frame_idx, record_counter AND NOT record_start_intro
   AND NOT record_result_text AND obstruction_score >= 3.0 AS hit FROM signals JOIN frames_fx USING (video_id, frame_idx)"""))
 def _(spark, sf):
-    df = fx.frames(spark, sf).withColumn("feature_board_score", F.col("obstruction_score"))
-    df = S.with_signals(T.with_text(df), "record_counter_over_board")
-    return df.select("video_id", "frame_idx", F.col("sig_record_counter_over_board").alias("hit"))
+    df = T.with_text(fx.frames(spark, sf).withColumnRenamed("obstruction_score", "feature_board_score"))
+    return S.with_signals(df, "record_counter_over_board").selectExpr(*KEYS, "sig_record_counter_over_board AS hit")
 
 
 @query("g29_game_rules_text", with_sql("ocr_fx", r"""SELECT video_id, frame_idx, bool_or(regexp_matches(trim(regexp_replace(regexp_replace(lower(text),
   '[^a-z0-9.$/%+\-\s]',' ','g'),'\s+',' ','g')), 'game rules|tap to|wallet balance|bet amount|auto spin|turbo spin|more settings|game history|sound on|sound off')) AS hit
   FROM ocr_fx GROUP BY 1, 2"""))
 def _(spark, sf):
-    text = F.array_join(F.transform("items", lambda i: T.normalize_paytable(i["text"])), " ")
-    df = fx.frames(spark, sf).select("video_id", "frame_idx", text.alias("t"))
-    return df.select("video_id", "frame_idx", S.game_rules_text(F.col("t")).alias("hit"))
+    df = fx.frames(spark, sf).selectExpr(*KEYS, f"array_join(transform(items, i -> {T.normalize_paytable('i.text')}), ' ') AS t")
+    return df.selectExpr(*KEYS, f"{S.game_rules_text('t')} AS hit")
 
 
 RULE_HELP_SQL = (f"(n_rule >= 6 AND (n_rule_tokens >= 22 OR n_rule_long >= 3) AND ({any_sql('rule_text', 'help')} OR help_paytable_score >= 1.0 "
@@ -236,26 +217,23 @@ RULE_HELP_SQL = (f"(n_rule >= 6 AND (n_rule_tokens >= 22 OR n_rule_long >= 3) AN
 
 @query("g30_plain_rule_help", with_sql("signals frames_fx", f"SELECT video_id, frame_idx, {RULE_HELP_SQL} AS hit FROM signals JOIN frames_fx USING (video_id, frame_idx)"))
 def _(spark, sf):
-    df = S.with_signals(T.with_text(fx.frames(spark, sf)), "plain_rule_help")
-    return df.select("video_id", "frame_idx", F.col("sig_plain_rule_help").alias("hit"))
+    return S.with_signals(T.with_text(fx.frames(spark, sf)), "plain_rule_help").selectExpr(*KEYS, "sig_plain_rule_help AS hit")
 
 
 @query("g31_bigwin_tier", with_sql("signals", "SELECT video_id, frame_idx, tier FROM signals"))
 def _(spark, sf):
-    df = T.with_text(fx.frames(spark, sf))
-    return df.select("video_id", "frame_idx", S.bigwin_tier(F.col("record_compact")).alias("tier"))
+    return T.with_text(fx.frames(spark, sf)).selectExpr(*KEYS, f"{S.bigwin_tier('record_compact')} AS tier")
 
 
 @query("g32_bigwin_tier_label", with_sql("signals", """SELECT video_id, frame_idx, CASE tier WHEN 'big_win' THEN 'Big Win' WHEN 'super_win' THEN 'Super Win'
   WHEN 'mega_win' THEN 'Mega Win' WHEN 'super_mega_win' THEN 'Super Mega Win' WHEN 'jumbo_win' THEN 'Jumbo Win' WHEN 'huge_win' THEN 'Huge Win'
   WHEN 'massive_win' THEN 'Massive Win' WHEN 'epic_win' THEN 'Epic Win' ELSE 'Unlabeled BigWin' END AS tier_label FROM signals"""))
 def _(spark, sf):
-    df = T.with_text(fx.frames(spark, sf))
-    return df.select("video_id", "frame_idx", S.bigwin_tier_label(S.bigwin_tier(F.col("record_compact"))).alias("tier_label"))
+    df = T.with_text(fx.frames(spark, sf)).selectExpr(*KEYS, f"{S.bigwin_tier('record_compact')} AS tier")
+    return df.selectExpr(*KEYS, f"{S.bigwin_tier_label('tier')} AS tier_label")
 
 
 @query("g33_bigwin_tier_plain", with_sql("signals", "SELECT video_id, frame_idx, tier_plain AS tier FROM signals"))
 def _(spark, sf):
-    text = F.array_join(F.transform("items", lambda i: T.normalize_plain(i["text"])), "")
-    df = fx.frames(spark, sf).select("video_id", "frame_idx", T.squeeze(text).alias("t"))
-    return df.select("video_id", "frame_idx", S.bigwin_tier_plain(F.col("t")).alias("tier"))
+    text = f"replace(array_join(transform(items, i -> {T.normalize_plain('i.text')}), ''), ' ', '') AS t"
+    return fx.frames(spark, sf).selectExpr(*KEYS, text).selectExpr(*KEYS, f"{S.bigwin_tier_plain('t')} AS tier")
\ No newline at end of file

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 # --- fixed values: column order of the result table ---------------------------
 RESULT_COLUMNS = ["video_name", "frame_idx", "final_category", "diff_score", "blur_score", "top_score",
@@ -11,41 +10,33 @@ RESULT_COLUMNS = ["video_name", "frame_idx", "final_category", "diff_score", "bl
                   "matched_keywords", "roi", "save_path", "confidence_level", "confidence_score"]
 
 
-def _bracketed(col: Column) -> Column:
-    """Tuples of a literal text become lists; JSON then reads the single quotes."""
-    return F.translate(col, "()", "[]")
+def parse_literal(e: str, ddl: str, default: str | None = None) -> str:
+    """Literal text (maps, lists, tuples) as a typed expression; ``default`` on failure.
 
+    Tuples become lists; JSON then reads the single quotes.
+    """
+    parsed = f"from_json(translate({e}, '()', '[]'), '{ddl}', map('allowSingleQuotes', 'true', 'mode', 'PERMISSIVE'))"
+    return parsed if default is None else f"coalesce({parsed}, {default})"
 
-def parse_literal(col: Column, ddl: str, default: Column | None = None) -> Column:
-    """Literal text (maps, lists, tuples) as a typed column; ``default`` on failure."""
-    parsed = F.from_json(_bracketed(col), ddl, {"allowSingleQuotes": "true", "mode": "PERMISSIVE"})
-    return parsed if default is None else F.coalesce(parsed, default)
 
-
-def row_items(col: Column) -> Column:
+def row_items(e: str) -> str:
     """Text/score pairs of a stored row: blank texts dropped, unreadable scores 0."""
-    pairs = parse_literal(col, "array<array<string>>", F.array().cast("array<array<string>>"))
-    shaped = F.transform(F.filter(pairs, lambda p: F.size(p) >= 2), lambda p: F.struct(
-        F.trim(p[0]).alias("text"), F.coalesce(p[1].try_cast("double"), F.lit(0.0)).alias("score")))
-    return F.filter(shaped, lambda i: i["text"] != "")
+    pairs = parse_literal(e, "array<array<string>>", "CAST(array() AS array<array<string>>)")
+    return (f"filter(transform(filter({pairs}, p -> size(p) >= 2), p -> named_struct('text', trim(p[0]), "
+            "'score', coalesce(try_cast(p[1] AS DOUBLE), 0.0D))), i -> i.text <> '')")
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
     """Result CSV (UTF-8 with byte order mark) with typed scalars and parsed maps and lists."""
     schema = ", ".join(f"{c} STRING" for c in RESULT_COLUMNS)
     raw = spark.read.csv(path, schema=schema, header=True, multiLine=True, escape='"', quote='"', encoding="UTF-8")
-    empty_map = F.create_map().cast("map<string,double>")
-    return raw.select(
-        "video_name", F.col("frame_idx").try_cast("long").alias("frame_idx"), "final_category",
-        *[F.col(c).try_cast("double").alias(c) for c in ("diff_score", "blur_score", "top_score")],
-        "feature_subtype",
-        parse_literal(F.col("feature_subtype_scores"), "map<string,double>", empty_map).alias("feature_subtype_scores"),
-        row_items(F.col("raw_texts")).alias("raw_texts"),
-        parse_literal(F.col("category_scores"), "map<string,double>", empty_map).alias("category_scores"),
-        parse_literal(F.col("matched_keywords"), "map<string,array<string>>",
-                      F.create_map().cast("map<string,array<string>>")).alias("matched_keywords"),
-        parse_literal(F.col("roi"), "array<int>").alias("roi"),
-        "save_path", "confidence_level", F.col("confidence_score").try_cast("double").alias("confidence_score"))
+    doubles = ["diff_score", "blur_score", "top_score"]
+    return raw.selectExpr(
+        "video_name", "try_cast(frame_idx AS BIGINT) AS frame_idx", "final_category", *[f"try_cast({c} AS DOUBLE) AS {c}" for c in doubles],
+        "feature_subtype", f"{parse_literal('feature_subtype_scores', 'map<string,double>', 'map()')} AS feature_subtype_scores",
+        f"{row_items('raw_texts')} AS raw_texts", f"{parse_literal('category_scores', 'map<string,double>', 'map()')} AS category_scores",
+        f"{parse_literal('matched_keywords', 'map<string,array<string>>', 'map()')} AS matched_keywords",
+        f"{parse_literal('roi', 'array<int>')} AS roi", "save_path", "confidence_level", "try_cast(confidence_score AS DOUBLE) AS confidence_score")
 
 
 def write_records(df: DataFrame, path: str, mode: str = "append") -> None:
@@ -53,16 +44,20 @@ def write_records(df: DataFrame, path: str, mode: str = "append") -> None:
     df.write.mode(mode).partitionBy("video_id", "category").parquet(path)
 
 
-def literal_map(col: Column) -> Column:
-    """Map column as single-quoted literal text, keys in order."""
-    entries = F.transform(F.array_sort(F.map_entries(col)), lambda e: F.concat(F.lit("'"), e["key"], F.lit("': "), e["value"].cast("string")))
-    return F.concat(F.lit("{"), F.array_join(entries, ", "), F.lit("}"))
+def literal_map(e: str) -> str:
+    """Map of numbers as single-quoted literal text, keys in order."""
+    return (f"concat('{{', array_join(transform(array_sort(map_entries({e})), m -> concat('\\'', m.key, '\\': ', CAST(m.value AS STRING))), ', '), '}}')")
+
+
+def literal_lists(e: str) -> str:
+    """Map of string lists as literal text."""
+    items = "transform(m.value, v -> concat('\\'', replace(v, '\\'', '’'), '\\''))"
+    return (f"concat('{{', array_join(transform(array_sort(map_entries({e})), m -> concat('\\'', m.key, '\\': [', array_join({items}, ', '), ']')), ', '), '}}')")
 
 
-def literal_texts(items: Column) -> Column:
-    rows = F.transform(items, lambda i: F.concat(F.lit("('"), F.regexp_replace(i["text"], "'", "’"), F.lit("', "),
-                                                 i["score"].cast("string"), F.lit(")")))
-    return F.concat(F.lit("["), F.array_join(rows, ", "), F.lit("]"))
+def literal_texts(items: str) -> str:
+    """Text/score pairs as a literal list of tuples."""
+    return f"concat('[', array_join(transform({items}, i -> concat('(\\'', replace(i.text, '\\'', '’'), '\\', ', CAST(i.score AS STRING), ')')), ', '), ']')"
 
 
 def write_result_csv(df: DataFrame, path: str) -> None:
