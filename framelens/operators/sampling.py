@@ -2,9 +2,56 @@
 
 from __future__ import annotations
 
+from ..functions import rules as R
+from ..functions.text import lit
+from .windows import running
+
 
 def clamp_roi(x: str, y: str, w: str, h: str, frame_w: str, frame_h: str) -> list[str]:
     """ROI clipped to the frame, at least one pixel wide and high."""
     cx = f"greatest(0, least({x}, {frame_w} - 1))"
     cy = f"greatest(0, least({y}, {frame_h} - 1))"
     return [f"{cx} AS x", f"{cy} AS y", f"greatest(1, least({w}, {frame_w} - {cx})) AS w", f"greatest(1, least({h}, {frame_h} - {cy})) AS h"]
+
+
+def dense_window_sample(df, interval: int = R.FRAME_INTERVAL, step: int = R.DENSE_STEP, lengths: dict[str, int] | None = None):
+    """Stride sampling plus every ``step``-th frame inside the windows that categories open.
+
+    One pass over known categories: a window is open while the running maximum
+    of ``frame_idx + length`` over the earlier frames reaches the frame.
+    """
+    lengths = lengths or R.DENSE_AFTER
+    opens = "CASE category " + " ".join(f"WHEN {lit(c)} THEN frame_idx + {n}" for c, n in lengths.items()) + " END"
+    df = running(df, ["video_id"], "frame_idx", opens, "max", "dense_until", inclusive=False)
+    return df.where(f"frame_idx % {interval} = 0 OR (frame_idx <= dense_until AND frame_idx % {step} = 0)")
+
+
+def exposure_keep(score: str, dense: str) -> str:
+    """Washed-out frames go; inside a dense window the limit is two points higher."""
+    return f"{score} < {R.EXPOSURE_MAX}D + CASE WHEN {dense} THEN {R.EXPOSURE_DENSE_EXTRA}D ELSE 0.0D END"
+
+
+def noise_keep() -> str:
+    """Noisy frames go unless category or a protective interface score keeps them."""
+    margin = R.NOISE_UI_MARGIN
+    weak_feature = (f"(category = 'Feature game' AND feature_ui_score < {R.FEATURE_UI_KEEP + margin}D "
+                    f"AND feature_active_score < {R.FEATURE_ACTIVE_KEEP}D)")
+    weak_base = f"(category = 'Basegame' AND basegame_ui_score < {R.BASEGAME_UI_KEEP + margin}D)"
+    return f"NOT (noise_score >= {R.NOISE_MAX}D AND (category = 'Other' OR {weak_feature} OR {weak_base}))"
+
+
+def choose_crop(primary, alternate, keys: list[str]):
+    """Replace a help frame's crop by the full page when the page is larger and help-like or forced.
+
+    ``primary`` has category, w, h, frame_w, frame_h, help_score; ``alternate``
+    adds alt_category, alt_w, alt_h, alt_quality, alt_help, alt_rules, alt_help_score.
+    """
+    larger = "(alt_w > w * 1.35D OR alt_h > h * 1.05D) AND frame_w / greatest(1, frame_h) >= 1.25D"
+    forced = "(w / greatest(1, h) <= 0.85D AND frame_w / greatest(1, frame_h) >= 1.25D AND alt_quality >= 2.0D)"
+    help_like = "(alt_category = 'Help' OR alt_help OR alt_rules)"
+    excused = "(alt_category = 'Result' AND alt_rules AND alt_quality >= 6.0D)"
+    clear = "alt_category NOT IN ('Feature Buy', 'BigWin', 'Result', 'loading')"
+    take = f"(category = 'Help' AND {larger} AND ({help_like} OR {forced}) AND ({clear} OR {excused} OR {forced}))"
+    joined = primary.join(alternate, keys, "left").selectExpr("*", f"coalesce({take}, false) AS replaced")
+    return joined.selectExpr(*keys, "category", "replaced", "CASE WHEN replaced THEN alt_w ELSE w END AS w", "CASE WHEN replaced THEN alt_h ELSE h END AS h",
+                             "CASE WHEN replaced THEN greatest(alt_help_score, 12.0D) ELSE help_score END AS help_score")
