@@ -217,20 +217,22 @@ def export_icons(df: DataFrame, keys: list[str], row_id: str, same: str) -> Data
 
     ``df`` has the measured columns, ``hash`` and ``active_rows``.
     """
-    rows = df.selectExpr("*", f"{icon_quality()} AS icon_score").selectExpr(
-        "*", f"{text_only_reason()} AS text_filter", f"{quality_reason()} AS raw_quality")
-    rows = rows.selectExpr("*", f"{allow_override('raw_quality')} AS quality_filter").where(f"text_filter = 'ok' AND ({accepted('quality_filter')} OR {TRUSTED_BOX}) "
-                                                                                            f"AND NOT ({TRUSTED_BOX} AND icon_score < 0.35D)")
-    rows = rows.selectExpr("*", f"CASE WHEN crop_kind = 'mahjong_tile' AND crop_top <= 1 THEN 'final_mahjong_tile_source_edge_clipped' ELSE {final_reason()} END AS raw_final")
-    rows = rows.selectExpr("*", f"{allow_override('raw_final')} AS gated")
-    context = (f"CASE WHEN {payout_bleed('active_rows')} THEN 'final_payout_text_bleed' WHEN NOT {accepted(full_page_reason())} THEN {full_page_reason()} "
-               f"ELSE {portrait_reason()} END")
-    rows = rows.selectExpr("*", f"CASE WHEN {accepted('gated')} THEN {context} ELSE gated END AS context_reason")
-    tile_ok = ("crop_kind = 'mahjong_tile' AND context_reason IN ('final_payout_text_bleed', 'final_full_page_text_dominant_panel', "
+    kept = dict.fromkeys(re.findall(r"\br\.(\w+)", same))
+    rows = df.selectExpr("*", f"{icon_quality()} AS icon_score")
+    rows = rows.selectExpr(
+        "*", f"{text_only_reason()} AS text_filter", f"{quality_reason()} AS raw_quality", f"{full_page_reason()} AS page_filter",
+        f"{portrait_reason()} AS portrait_filter", f"{payout_bleed('active_rows')} AS bleeds", f"{TRUSTED_BOX} AS trusted",
+        f"CASE WHEN crop_kind = 'mahjong_tile' AND crop_top <= 1 THEN 'final_mahjong_tile_source_edge_clipped' ELSE {final_reason()} END AS raw_final")
+    rows = rows.selectExpr("*", f"{allow_override('raw_quality')} AS quality_filter", f"{allow_override('raw_final')} AS gated",
+                           f"CASE WHEN bleeds THEN 'final_payout_text_bleed' WHEN NOT {accepted('page_filter')} THEN page_filter ELSE portrait_filter END AS context")
+    # all reasons are columns of one pass; filters come after the narrow table is written,
+    # so that they are not pushed below the rules with every rule expanded
+    rows = durable(rows.selectExpr(*keys, row_id, "hash", "icon_score", "content_ratio", f"round({quality_rank()}, 9) AS completeness", "crop_kind",
+                                   "text_filter", "quality_filter", "gated", "context", "trusted", *kept))
+    tile_ok = ("crop_kind = 'mahjong_tile' AND context IN ('final_payout_text_bleed', 'final_full_page_text_dominant_panel', "
                "'final_full_page_payout_text_panel', 'final_full_page_text_fragment')")
-    final = rows.where(f"{accepted('context_reason')} OR ({accepted('gated')} AND {tile_ok})").selectExpr(
-        *keys, row_id, "hash", "icon_score", "content_ratio", f"round({quality_rank()}, 9) AS completeness", *dict.fromkeys(re.findall(r"\br\.(\w+)", same)))
-    final = durable(final)
+    candidates = rows.where(f"text_filter = 'ok' AND ({accepted('quality_filter')} OR trusted) AND NOT (trusted AND icon_score < 0.35D)")
+    final = candidates.where(f"{accepted('gated')} AND ({accepted('context')} OR ({tile_ok}))")
     groups = near_duplicate_groups(final, keys, row_id, ["completeness DESC", "icon_score DESC", "content_ratio DESC", f"{row_id} DESC"], same)
     return groups.join(final.select(*keys, row_id, "icon_score"), [*keys, row_id])
 

@@ -81,10 +81,12 @@ def strong_symbol_page() -> str:
 def select_pages(scored: DataFrame, max_pages: int = 72) -> DataFrame:
     """Pages per video: an even backbone of primary pages plus reserved room for strong secondary ones.
 
-    ``scored`` has video_id, pos (unique integer order), name, secondary, page_score, page_reasons, icons.
+    ``scored`` has video_id, pos (unique integer order), name, secondary, page (decision), page_score, page_reasons, icons.
     """
-    # the choice reads these rows in several branches: write the narrow table once
-    scored = durable(scored.selectExpr("video_id", "pos", "name", "secondary", f"{strong_secondary()} AS strong", f"{strong_symbol_page()} AS repeatable"))
+    # Written once in narrow form: the choice reads it in several branches, and a filter
+    # on ``page`` would otherwise be pushed down with all the rules behind it expanded.
+    scored = durable(scored.selectExpr("video_id", "pos", "name", "secondary", "page", f"{strong_secondary()} AS strong",
+                                       f"{strong_symbol_page()} AS repeatable")).where("page")
     sizes = scored.groupBy("video_id").agg(F.expr("count_if(NOT secondary)").alias("n_primary"), F.expr("count_if(secondary AND strong)").alias("n_strong"))
     room = max(8, max_pages // 3)
     plan = sizes.selectExpr("video_id", f"least(n_strong, {room}) AS take_second",

@@ -49,8 +49,8 @@ def _(spark, sf):
 
 
 def scored_pages(spark, sf):
-    return pages(spark, sf).where(P.is_paytable_page()).selectExpr(
-        "video_id", "frame_idx AS pos", "CAST(frame_idx % 50 AS STRING) AS name", "frame_idx % 3 = 0 AS secondary", "round(text_score + visual_score, 6) AS page_score",
+    return pages(spark, sf).selectExpr(
+        f"{P.is_paytable_page()} AS page", "video_id", "frame_idx AS pos", "CAST(frame_idx % 50 AS STRING) AS name", "frame_idx % 3 = 0 AS secondary", "round(text_score + visual_score, 6) AS page_score",
         "concat(text_reasons, visual_reasons) AS page_reasons", "icons")
 
 
