@@ -261,8 +261,8 @@ def _(spark, sf):
     return SU.category_counts(fx.scores(spark, sf).select("video_id", "category"))
 
 
-@query("a2_infer_title", with_sql("ocr_fx", f"""SELECT v.video_id, coalesce(t.title,'Unknown Game') AS title FROM (SELECT DISTINCT video_id FROM ocr_fx) v LEFT JOIN (SELECT video_id, text AS title FROM (SELECT video_id, text, count(*) AS n, min(rn*10+line_no) AS at FROM (SELECT *, dense_rank() OVER (PARTITION BY video_id ORDER BY frame_idx) AS rn FROM ocr_fx)
-  WHERE rn <= 80 AND len(text) >= 3 AND ocr_score >= 0.65 AND NOT regexp_matches(text,'[0-9]') AND NOT {substr_sql(plain_sql('text'), IGNORED_TITLE_WORDS)} GROUP BY 1,2) QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY n DESC, at) = 1) t USING (video_id)"""))
+@query("a2_infer_title", with_sql("ocr_fx", f"""SELECT v.video_id, coalesce(t.title,'Unknown Game') AS title FROM (SELECT DISTINCT video_id FROM ocr_fx) v LEFT JOIN (SELECT video_id, text AS title FROM (SELECT video_id, text, count(*) AS n, min(rn*10+line_no) AS first_at FROM (SELECT *, dense_rank() OVER (PARTITION BY video_id ORDER BY frame_idx) AS rn FROM ocr_fx)
+  WHERE rn <= 80 AND len(text) >= 3 AND ocr_score >= 0.65 AND NOT regexp_matches(text,'[0-9]') AND NOT {substr_sql(plain_sql('text'), IGNORED_TITLE_WORDS)} GROUP BY 1,2) QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY n DESC, first_at) = 1) t USING (video_id)"""))
 def _(spark, sf):
     return SU.infer_title(fx.frames(spark, sf))
 
@@ -321,8 +321,8 @@ def _(spark, sf):
     return SU.flow_layout(fx.scores(spark, sf).select("video_id", "category"), _TIERS).select("video_id", "node_id", "label", "category", "row_no")
 
 
-@query("a8_node_images", with_sql("frames_fx", """SELECT video_id, 'basegame' AS node_id, frame_idx, pos AS place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY video_id, category ORDER BY frame_idx) AS INTEGER) AS pos FROM frames_fx) WHERE category = 'Basegame' AND pos <= 2
-  UNION ALL SELECT video_id, 'bigwin_' || pos, frame_idx, pos FROM (SELECT *, CAST(row_number() OVER (PARTITION BY video_id, category ORDER BY frame_idx) AS INTEGER) AS pos FROM frames_fx) WHERE category = 'BigWin' AND pos <= 3"""))
+@query("a8_node_images", with_sql("frames_fx", """SELECT video_id, 'basegame' AS node_id, category, frame_idx, pos AS place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY video_id, category ORDER BY frame_idx) AS INTEGER) AS pos FROM frames_fx) WHERE category = 'Basegame' AND pos <= 2
+  UNION ALL SELECT video_id, 'bigwin_' || pos, category, frame_idx, pos FROM (SELECT *, CAST(row_number() OVER (PARTITION BY video_id, category ORDER BY frame_idx) AS INTEGER) AS pos FROM frames_fx) WHERE category = 'BigWin' AND pos <= 3"""))
 def _(spark, sf):
     from ..sources.listing import first_n
     d = fx.scores(spark, sf).select(*KEYS, "category")
