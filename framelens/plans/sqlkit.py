@@ -65,28 +65,28 @@ def count(cond: str) -> str:
 
 
 _A = lambda key: any_sql("norm", key, "cnorm")  # noqa: E731  phrase test on one line
-_BOX = "cx BETWEEN 400*0.18 AND 400*0.82 AND cy BETWEEN 900*0.16 AND 900*0.68 AND h >= 900*0.030"
-_OVER = "cx BETWEEN 400*0.10 AND 400*0.90 AND cy BETWEEN 900*0.16 AND 900*0.70 AND (h >= 900*0.038 OR w >= 400*0.16)"
+_BOX = "cx BETWEEN (400 * 0.18::DOUBLE) AND (400 * 0.82::DOUBLE) AND cy BETWEEN (900 * 0.16::DOUBLE) AND (900 * 0.68::DOUBLE) AND h >= (900 * 0.030::DOUBLE)"
+_OVER = "cx BETWEEN (400 * 0.10::DOUBLE) AND (400 * 0.90::DOUBLE) AND cy BETWEEN (900 * 0.16::DOUBLE) AND (900 * 0.70::DOUBLE) AND (h >= (900 * 0.038::DOUBLE) OR w >= (400 * 0.16::DOUBLE))"
 
 LINE_FLAGS = {
-    "f_start": some("contains(norm,'start') AND cy >= 450 AND cx BETWEEN 60 AND 340 AND (h >= 28 OR w >= 95)"),
-    "f_result_label": some(f"{_A('total_win')} AND (h >= 900*0.045 OR w >= 400*0.30)"),
+    "f_start": some("contains(norm,'start') AND cy >= (900 * 0.50::DOUBLE) AND cx BETWEEN (400 * 0.15::DOUBLE) AND (400 * 0.85::DOUBLE) AND (h >= 28 OR w >= 95)"),
+    "f_result_label": some(f"{_A('total_win')} AND (h >= (900 * 0.045::DOUBLE) OR w >= (400 * 0.30::DOUBLE))"),
     "f_total": some(f"norm = 'total' AND {_OVER}"),
     "f_win": some(f"norm = 'win' AND {_OVER}"),
-    "f_number": some("len(regexp_replace(norm,'[^0-9]','','g')) >= 3 AND h >= 63 AND w >= 100 AND cy BETWEEN 180 AND 738"),
+    "f_number": some("len(regexp_replace(norm,'[^0-9]','','g')) >= 3 AND h >= (900 * 0.07::DOUBLE) AND w >= (400 * 0.25::DOUBLE) AND cy BETWEEN (900 * 0.20::DOUBLE) AND (900 * 0.82::DOUBLE)"),
     "f_collect_word": some("contains(norm,'collect')"),
-    "f_collect": some("norm IN ('collect','collec','colect') AND cx BETWEEN 80 AND 320 AND cy BETWEEN 432 AND 810"
-                      " AND w >= 56 AND h >= 27"),
-    "n_modal": count(f"{_A('modal_word')} AND cx BETWEEN 60 AND 340 AND cy BETWEEN 162 AND 738"),
-    "f_buy_large": some(f"{_A('feature_buy')} AND {_BOX} AND w >= 400*0.22"),
-    "f_buy_word": some(f"norm = 'buy' AND {_BOX} AND w >= 40"),
-    "f_buy_spins": some(f"{_A('buy_title')} AND {_BOX} AND w >= 40"),
-    "f_act_cancel": some("cy >= 900*0.42 AND contains(norm,'cancel')"),
-    "f_act_start": some("cy >= 900*0.42 AND contains(norm,'start')"),
-    "f_act_buy": some("cy >= 900*0.42 AND regexp_matches(norm,'\\bbuy\\b')"),
-    "f_banner": some(f"NOT {_A('banner_block')} AND {pat_sql('norm', 'banner')} AND cy <= 648 AND w >= 64"),
+    "f_collect": some("norm IN ('collect','collec','colect') AND cx BETWEEN (400 * 0.20::DOUBLE) AND (400 * 0.80::DOUBLE) AND cy BETWEEN (900 * 0.48::DOUBLE) AND (900 * 0.90::DOUBLE)"
+                      " AND w >= (400 * 0.14::DOUBLE) AND h >= (900 * 0.030::DOUBLE)"),
+    "n_modal": count(f"{_A('modal_word')} AND cx BETWEEN (400 * 0.15::DOUBLE) AND (400 * 0.85::DOUBLE) AND cy BETWEEN (900 * 0.18::DOUBLE) AND (900 * 0.82::DOUBLE)"),
+    "f_buy_large": some(f"{_A('feature_buy')} AND {_BOX} AND w >= (400 * 0.22::DOUBLE)"),
+    "f_buy_word": some(f"norm = 'buy' AND {_BOX} AND w >= (400 * 0.10::DOUBLE)"),
+    "f_buy_spins": some(f"{_A('buy_title')} AND {_BOX} AND w >= (400 * 0.10::DOUBLE)"),
+    "f_act_cancel": some("cy >= (900 * 0.42::DOUBLE) AND contains(norm,'cancel')"),
+    "f_act_start": some("cy >= (900 * 0.42::DOUBLE) AND contains(norm,'start')"),
+    "f_act_buy": some("cy >= (900 * 0.42::DOUBLE) AND regexp_matches(norm,'\\bbuy\\b')"),
+    "f_banner": some(f"NOT {_A('banner_block')} AND {pat_sql('norm', 'banner')} AND cy <= (900 * 0.72::DOUBLE) AND w >= (400 * 0.16::DOUBLE)"),
     "f_payout": some(f"len(regexp_replace(norm,'[^0-9]','','g')) >= 4 AND {pat_sql('text', 'payout_text')}"
-                     " AND cx BETWEEN 48 AND 352 AND cy BETWEEN 144 AND 558 AND (w >= 88 OR h >= 49.5)"),
+                     " AND cx BETWEEN (400 * 0.12::DOUBLE) AND (400 * 0.88::DOUBLE) AND cy BETWEEN (900 * 0.16::DOUBLE) AND (900 * 0.62::DOUBLE) AND (w >= (400 * 0.22::DOUBLE) OR h >= (900 * 0.055::DOUBLE))"),
     "n_page": count("len(norm) >= 3"),
     "n_page_num": count("len(norm) >= 3 AND regexp_matches(norm,'\\b\\d+\\b')"),
     "n_page_num2": count("len(norm) >= 3 AND regexp_matches(norm,'\\b\\d+(?:[,.]\\d+)?\\b')"),
@@ -103,17 +103,17 @@ LINE_FLAGS = {
     "f_pt_lines": some("contains(norm,'paylines') OR contains(norm,'pay lines')"),
     "n_pt_cont": count(_A("continuation")),
     # lower feature terms, vendor footer, cover titles and buttons
-    "n_lower": count(f"norm <> '' AND cy >= 900*0.48 AND h >= 900*0.018 AND {_A('lower_terms')}"),
-    "n_legal": count(f"{any_sql('norm', PHRASES['legal'] + ['fair'], 'cnorm')} AND cy >= 900*0.72"),
-    "n_title": count(f"cy BETWEEN 900*0.05 AND 900*0.55 AND w >= 400*0.18 AND h >= 900*0.025"
+    "n_lower": count(f"norm <> '' AND cy >= (900 * 0.48::DOUBLE) AND h >= (900 * 0.018::DOUBLE) AND {_A('lower_terms')}"),
+    "n_legal": count(f"{any_sql('norm', PHRASES['legal'] + ['fair'], 'cnorm')} AND cy >= (900 * 0.72::DOUBLE)"),
+    "n_title": count(f"cy BETWEEN (900 * 0.05::DOUBLE) AND (900 * 0.55::DOUBLE) AND w >= (400 * 0.18::DOUBLE) AND h >= (900 * 0.025::DOUBLE)"
                      f" AND NOT {_A('balance_words')}"),
-    "n_button": count(f"{_A('cover_button')} AND cy >= 900*0.48 AND w >= 400*0.18"),
+    "n_button": count(f"{_A('cover_button')} AND cy >= (900 * 0.48::DOUBLE) AND w >= (400 * 0.18::DOUBLE)"),
     "n_text": count("norm <> ''"),
     # page quality: lines inside the vertical margins
-    "n_q": count("cy >= 27 AND cy <= 873 AND len(norm) >= 3"),
-    "n_q_long": count("cy >= 27 AND cy <= 873 AND len(norm) >= 14"),
-    "n_q_num": count("cy >= 27 AND cy <= 873 AND len(norm) >= 3 AND regexp_matches(norm,'\\b\\d+\\b')"),
-    "n_q_rules": count(f"cy >= 27 AND cy <= 873 AND len(norm) >= 3 AND {_A('quality_terms')}"),
+    "n_q": count("cy >= (900 * 0.03::DOUBLE) AND cy <= (900 * 0.97::DOUBLE) AND len(norm) >= 3"),
+    "n_q_long": count("cy >= (900 * 0.03::DOUBLE) AND cy <= (900 * 0.97::DOUBLE) AND len(norm) >= 14"),
+    "n_q_num": count("cy >= (900 * 0.03::DOUBLE) AND cy <= (900 * 0.97::DOUBLE) AND len(norm) >= 3 AND regexp_matches(norm,'\\b\\d+\\b')"),
+    "n_q_rules": count(f"cy >= (900 * 0.03::DOUBLE) AND cy <= (900 * 0.97::DOUBLE) AND len(norm) >= 3 AND {_A('quality_terms')}"),
 }
 
 SIGNALS_A = {
