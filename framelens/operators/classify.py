@@ -208,8 +208,44 @@ def _overrides() -> list[dict]:
     ]
 
 
+STATE_FREE = 8  # the first rules read signals only, never the category they change
+
+
+def _note(n: int, rule: dict) -> str:
+    return f"CASE WHEN fired_{n} THEN named_struct('category', {rule.get('note') or rule['to']}, 'reason', {rule['why']}) END AS note_{n}"
+
+
+def _scores_after(n: int, rule: dict, current: dict[str, str]) -> None:
+    """Fold the score writes of one rule into the expressions of the score columns."""
+    f = f"fired_{n}"
+    for c, v in rule.get("floors", {}).items():
+        old = current.get(c, c)
+        current[c] = f"CASE WHEN {f} THEN greatest(coalesce({old}, 0.0D), {v}) ELSE {old} END"
+    for c, v in rule.get("caps", {}).items():
+        old = current.get(c, c)
+        current[c] = f"CASE WHEN {f} THEN least({old}, {v}) ELSE {old} END"
+    for c, v in rule.get("sets", {}).items():
+        current[c] = f"CASE WHEN {f} THEN {v} ELSE {current.get(c, c)} END"
+
+
+def _select(df: DataFrame, flags: list[str], out: dict[str, str], notes: list[str]) -> DataFrame:
+    """One projection: flags first, then the columns that read them."""
+    keep = [f"`{c}`" for c in df.columns if c not in out and not c.startswith("fired_")]
+    return df.selectExpr(*keep, *flags, *[f"{e} AS {c}" for c, e in out.items()], *notes)
+
+
+def _apply_block(df: DataFrame, rules: list[tuple[int, dict]]) -> DataFrame:
+    """Rules that do not read the category, as one step: the last fired one names it."""
+    flags = [f"coalesce({r['when']}, false) AS fired_{n}" for n, r in rules]
+    out = {"category": "CASE " + " ".join(f"WHEN fired_{n} THEN {r['to']}" for n, r in reversed(rules)) + " ELSE category END",
+           "top_score": "greatest(top_score, " + ", ".join(f"CASE WHEN fired_{n} THEN greatest(top_score, {', '.join(r['top'])}) END" for n, r in rules) + ")"}
+    for n, r in rules:
+        _scores_after(n, r, out)
+    return _select(df, flags, out, [_note(n, r) for n, r in rules])
+
+
 def _apply(df: DataFrame, n: int, rule: dict) -> DataFrame:
-    """One override: its flag first, then the state columns it writes."""
+    """One override on the state left by the rules before it."""
     f, out = f"fired_{n}", {}
     if "to" in rule:
         out["category"] = f"CASE WHEN {f} THEN {rule['to']} ELSE category END"
@@ -217,16 +253,8 @@ def _apply(df: DataFrame, n: int, rule: dict) -> DataFrame:
         out["top_score"] = f"CASE WHEN {f} THEN {rule['set_top']} ELSE top_score END"
     elif "top" in rule:
         out["top_score"] = f"CASE WHEN {f} THEN greatest(top_score, {', '.join(rule['top'])}) ELSE top_score END"
-    for c, v in rule.get("floors", {}).items():
-        out[c] = f"CASE WHEN {f} THEN greatest(coalesce({c}, 0.0D), {v}) ELSE {c} END"
-    for c, v in rule.get("caps", {}).items():
-        out[c] = f"CASE WHEN {f} THEN least({c}, {v}) ELSE {c} END"
-    for c, v in rule.get("sets", {}).items():
-        out[c] = f"CASE WHEN {f} THEN {v} ELSE {c} END"
-    out[f"note_{n}"] = f"CASE WHEN {f} THEN named_struct('category', {rule.get('note') or rule['to']}, 'reason', {rule['why']}) END"
-    keep = [f"`{c}`" for c in df.columns if c not in out]
-    return (df.selectExpr("*", f"coalesce({rule['when']}, false) AS {f}")
-            .selectExpr(*keep, *[f"{e} AS {c}" for c, e in out.items()]))
+    _scores_after(n, rule, out)
+    return _select(df, [f"coalesce({rule['when']}, false) AS {f}"], out, [_note(n, rule)])
 
 
 def classify_frames(df: DataFrame, pack: R.RulePack = R.DEFAULT_PACK, rules: list[int] | None = None) -> DataFrame:
@@ -257,8 +285,12 @@ def classify_frames(df: DataFrame, pack: R.RulePack = R.DEFAULT_PACK, rules: lis
                                  "NOT sig_help_page", "NOT rules_page") + " AS jackpot_pick")
     chain = _overrides()
     used = list(range(len(chain))) if rules is None else list(rules)
+    block = [(n, chain[n]) for n in used if n < STATE_FREE]
+    if block:
+        df = _apply_block(df, block)
     for n in used:
-        df = _apply(df, n, chain[n])
+        if n >= STATE_FREE:
+            df = _apply(df, n, chain[n])
     rungs, caps = V.bigwin_keep_rules("s_bigwin", "payout_visual")
     first_rung = "CASE " + " ".join(f"WHEN {c} THEN {lit(why)}" for c, _, why in rungs) + " END"
     why_keep = f"array_compact(array({first_rung}, " + ", ".join(f"CASE WHEN {c} THEN {lit(w)} END" for c, _, w in caps if w) + "))"

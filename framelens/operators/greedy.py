@@ -52,12 +52,15 @@ def greedy_keep(df: DataFrame, keys: list[str], row_id: str, order: list[str], p
         best = top_k(pending, keys, sort, batch, "rank_")
         lists = best.groupBy(*keys).agg(F.expr("array_sort(collect_list(struct(rank_, r)))").alias("walk"),
                                         F.first("cap_").alias("cap_"), F.first("kept_before_").alias("kept_before_"))
-        kept = lists.selectExpr(*keys, "cap_", "kept_before_", "aggregate(transform(walk, w -> w.r), "
+        kept = lists.selectExpr(*keys, "cap_", "kept_before_", f"size(walk) >= {batch} AS more_", "aggregate(transform(walk, w -> w.r), "
                                 f"{empty}, (kept, r) -> CASE WHEN size(kept) + kept_before_ >= cap_ OR {clash} THEN kept ELSE concat(kept, array(r)) END) AS kept")
         kept = durable(kept)
         rows = kept.selectExpr(*keys, "kept_before_", "posexplode(kept) AS (p_, r)").selectExpr(*keys, f"r.{row_id} AS {row_id}", "kept_before_ + p_ + 1 AS keep_rank")
         found = rows if found is None else found.unionByName(rows)
-        open_groups = kept.where("size(kept) + kept_before_ < cap_").selectExpr(*keys, "kept", "kept_before_ + size(kept) AS now_")
+        # only a group that filled its batch can have rows left
+        open_groups = kept.where("more_ AND size(kept) + kept_before_ < cap_").selectExpr(*keys, "kept", "kept_before_ + size(kept) AS now_")
+        if open_groups.isEmpty():
+            return found
         rest = join_small(pending.drop("kept_before_"), open_groups, keys, "id_")
         pending = durable(rest.where(f"NOT {clash}").selectExpr(*keys, *[f"o{i}_" for i in range(len(order))], "id_", "r", "cap_", "now_ AS kept_before_"))
         if pending.isEmpty():

@@ -288,12 +288,12 @@ _UNIQUE = """SELECT {g}, doc_id, CAST(pos AS INTEGER) AS pos, line, CAST(row_num
 
 @query("t11_unique_lines", with_sql("doc_lines", _UNIQUE.format(g="source", n=30)))
 def _(spark, sf):
-    return SU.unique_lines(fx.table(spark, sf, "documents").select("source", "doc_id", "text"), ["source"], "doc_id", "text", 30)
+    return SU.unique_lines(fx.spread(fx.table(spark, sf, "documents").select("source", "doc_id", "text")), ["source"], "doc_id", "text", 30)
 
 
 @query("a5_help_lines", with_sql("doc_lines", _UNIQUE.format(g="source", n=80)))
 def _(spark, sf):
-    return SU.unique_lines(fx.table(spark, sf, "documents").select("source", "doc_id", "text"), ["source"], "doc_id", "text", 80)
+    return SU.unique_lines(fx.spread(fx.table(spark, sf, "documents").select("source", "doc_id", "text")), ["source"], "doc_id", "text", 80)
 
 
 def analysis(spark, sf):

@@ -19,6 +19,9 @@ def build_session(app: str = "framelens", master: str | None = None, **conf) ->
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # larger generated methods are not compiled to machine code; beyond this size
+        # Spark evaluates operator by operator with small compiled methods instead
+        "spark.sql.codegen.hugeMethodLimit": "8000",
     }
     settings.update(conf)
     for key, value in settings.items():
