@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir
 
 WORD = r"[^\x20\x09-\x0D]+"
+FILE_ROWS = 50_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,10 +27,10 @@ class Scratch:
     def path(self, kind: str = "table") -> str:
         return f"{self.spark.sparkContext.getCheckpointDir()}/{kind}-{uuid.uuid4().hex}"
 
-    def keep(self, df: DataFrame) -> DataFrame:
-        """Write ``df`` and continue from the written table."""
+    def keep(self, df: DataFrame, rows: int | None = None) -> DataFrame:
+        """Write ``df`` and continue from the written table; with a bound on its narrow rows, in as few files as they need."""
         path = self.path()
-        df.write.parquet(path)
+        (df if rows is None else df.coalesce(rows // FILE_ROWS + 1)).write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = (out, path)
         return out
@@ -59,27 +60,32 @@ def global_rank(df: DataFrame, order: list[str], scratch: Scratch, out: str = "r
     return local.join(offsets, "part_").withColumn(out, F.expr("base_ + local_")).drop("part_", "base_", "local_")
 
 
-def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, nodes: int) -> DataFrame:
     """``(node, root)`` for every node of ``edges(a, b)``; root is the smallest node its links reach.
 
-    Large-star and small-star steps in turn: every step re-links nodes to the
-    smallest neighbour.  A step is one pre-aggregated minimum per node and one
-    join, so a node of any degree is no single group anywhere.
+    ``nodes`` is the number of nodes there are at most.  Large-star and small-star
+    steps in turn: every step re-links nodes to the smallest neighbour.  A step is
+    one pre-aggregated minimum per node and one join, so a node of any degree is
+    no single group anywhere.
     """
-    star = scratch.keep(edges.where("a <> b").selectExpr("greatest(a, b) AS hi", "least(a, b) AS lo").distinct())
+    def state(df):
+        return df.selectExpr("count(*)", "coalesce(bit_xor(xxhash64(hi, lo)), 0)").first()
+
+    star = scratch.keep(edges.where("a <> b").selectExpr("greatest(a, b) AS hi", "least(a, b) AS lo").distinct(), nodes)
+    now = state(star)
     while True:
         # large star: every larger neighbour of a node links to the node's smallest neighbour
         both = star.selectExpr("hi AS u", "lo AS v").unionAll(star.selectExpr("lo AS u", "hi AS v"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = scratch.keep(both.where("v > u").join(least, "u").selectExpr("v AS hi", "m AS lo").where("hi <> lo").distinct())
+        large = scratch.keep(both.where("v > u").join(least, "u").selectExpr("v AS hi", "m AS lo").where("hi <> lo").distinct(), now[0])
         # small star: a node and its smaller neighbours link to the smallest of them
         low = large.groupBy("hi").agg(F.min("lo").alias("m"))
         linked = large.join(low, "hi")
-        small = scratch.keep(linked.selectExpr("lo AS hi", "m AS lo").unionAll(low.selectExpr("hi", "m AS lo")).where("hi <> lo").distinct())
-        same = star.exceptAll(small).isEmpty() and small.exceptAll(star).isEmpty()
+        small = scratch.keep(linked.selectExpr("lo AS hi", "m AS lo").unionAll(low.selectExpr("hi", "m AS lo")).where("hi <> lo").distinct(), now[0])
+        before, now = now, state(small)
         scratch.free(star, large)
         star = small
-        if same:
+        if before == now:
             break
     roots = star.select("lo").distinct()
     return star.selectExpr("hi AS node", "lo AS root").unionAll(roots.selectExpr("lo AS node", "lo AS root"))

@@ -182,12 +182,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, spread: fl
     """``(vec_id, n_links, component_id, kept)`` for every row of ``vectors``."""
     scratch = Scratch(vectors.sparkSession)
     found = scratch.keep(nodes(vectors))
-    cells = max(1, min(MAX_CELLS, found.count() // CELL_ROWS))
+    n_nodes = found.count()
+    cells = max(1, min(MAX_CELLS, n_nodes // CELL_ROWS))
     members = scratch.keep(memberships(found, kmeans(found, cells), threshold, spread))
     # one count per cell: at most MAX_CELLS for each vector length
     sizes = {(r.d, r.cell): r["count"] for r in members.groupBy("d", "cell").count().collect()}
     linked = scratch.keep(cell_links(members, sizes, threshold))
-    roots = components(linked.selectExpr("node AS a", "root AS b"), scratch).withColumnRenamed("node", "r_")
+    roots = components(linked.selectExpr("node AS a", "root AS b"), scratch, n_nodes).withColumnRenamed("node", "r_")
     totals = linked.groupBy("node").agg(F.sum("links").alias("links")).withColumnRenamed("node", "t_")
     per = (found.join(totals, F.expr("node = t_"), "left").join(roots, F.expr("node = r_"), "left")
            .selectExpr("embedding AS e_", "coalesce(links, 0) + w - 1 AS links_", "coalesce(root, node) AS root_"))

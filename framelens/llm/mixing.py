@@ -18,34 +18,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch, global_rank, order_sql, range_parts, table
+from .common import WORD, Scratch, global_rank, order_sql, table
 from .registry import query
 
 WEIGHTS = (5, 2, 1)
 # slope of each weight's schedule: the rate at time t is target * (1 + slope * (2t - 1))
 SLOPES = (-0.5, 0.0, 0.5)
 MAX_REPEAT = 3
+BUCKET_ROWS = 4096
 
 
 def sizes(docs: DataFrame) -> DataFrame:
     return docs.selectExpr("doc_id", "source", f"CAST(coalesce(regexp_count(text, r'{WORD}'), 0) AS BIGINT) AS size", "md5(CAST(doc_id AS STRING)) AS okey")
 
 
+def in_buckets(sized: DataFrame, rows: int) -> DataFrame:
+    """``bucket`` cuts each source's order into ranges of about ``BUCKET_ROWS`` rows at most: the order key is uniform, so its first digits do."""
+    bits = max(0, (rows // BUCKET_ROWS).bit_length())
+    return sized.withColumn("bucket", F.expr(f"shiftright(CAST(conv(substring(coalesce(okey, '{'0' * 32}'), 1, 8), 16, 10) AS BIGINT), {32 - min(bits, 32)})"))
+
+
 def _pick(values) -> str:
     cases = " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values))
     return f"CASE rank % {len(values)} {cases} END"
 
 
-def source_targets(parts: DataFrame, scratch: Scratch, weights=WEIGHTS, slopes=SLOPES, max_repeat: int = MAX_REPEAT) -> DataFrame:
+def source_targets(sized: DataFrame, rows: int, scratch: Scratch, weights=WEIGHTS, slopes=SLOPES, max_repeat: int = MAX_REPEAT) -> DataFrame:
     """``(source, source_size, target, quota, slope)``: shares by weight, none above ``max_repeat`` times its source.
 
     Each round closes the sources above their limit and shares what they leave
     among the rest; a round is one aggregate over the table of sources, and only
     three totals reach the driver.
     """
-    per = scratch.keep(parts.groupBy("source").agg(F.sum("size").alias("source_size")))
+    per = scratch.keep(sized.groupBy("source").agg(F.sum("size").alias("source_size")), rows)
     ranked = scratch.keep(global_rank(per, ["source"], scratch).selectExpr(
-        "source", "source_size", f"CAST({_pick(weights)} AS BIGINT) AS w", f"CAST({_pick(slopes)} AS DOUBLE) AS slope"))
+        "source", "source_size", f"CAST({_pick(weights)} AS BIGINT) AS w", f"CAST({_pick(slopes)} AS DOUBLE) AS slope"), rows)
     total, open_w = ranked.selectExpr("coalesce(sum(source_size), 0)", "coalesce(sum(w), 1)").first()
     rest, closed = total, "false"
     while True:
@@ -63,14 +70,16 @@ def source_targets(parts: DataFrame, scratch: Scratch, weights=WEIGHTS, slopes=S
 def mix(docs: DataFrame, weights=WEIGHTS, slopes=SLOPES, max_repeat: int = MAX_REPEAT) -> DataFrame:
     """Per row: doc_id, source, size, source_size, target, taken, and the time ``position`` of its first copy (null if none)."""
     scratch = Scratch(docs.sparkSession)
-    parts = range_parts(sizes(docs), ["source", "okey", "doc_id", "size"], scratch)
-    targets = source_targets(parts, scratch, weights, slopes, max_repeat)
-    sums = parts.groupBy("source", "part_").agg(F.sum("size").alias("sum_"))
-    offsets = sums.selectExpr("source AS s_", "part_ AS p_",
-                              "coalesce(sum(sum_) OVER (PARTITION BY source ORDER BY part_ ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base_")
+    sized = scratch.keep(sizes(docs))
+    rows = sized.count()
+    targets = source_targets(sized, rows, scratch, weights, slopes, max_repeat)
+    parts = in_buckets(sized, rows)
+    sums = parts.groupBy("source", "bucket").agg(F.sum("size").alias("sum_"))
+    offsets = sums.selectExpr("source AS s_", "bucket AS b_",
+                              "coalesce(sum(sum_) OVER (PARTITION BY source ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base_")
     # words of the source's order before each document
-    local = parts.selectExpr("*", f"sum(size) OVER (PARTITION BY source, part_ ORDER BY {order_sql(['okey', 'doc_id', 'size'])} ROWS UNBOUNDED PRECEDING) - size AS before_")
-    placed = local.join(offsets, F.expr("source <=> s_ AND part_ = p_")).withColumn("before", F.expr("base_ + before_"))
+    local = parts.selectExpr("*", f"sum(size) OVER (PARTITION BY source, bucket ORDER BY {order_sql(['okey', 'doc_id', 'size'])} ROWS UNBOUNDED PRECEDING) - size AS before_")
+    placed = local.join(offsets, F.expr("source <=> s_ AND bucket = b_")).withColumn("before", F.expr("base_ + before_"))
     t = targets.withColumnRenamed("source", "t_")
     joined = placed.join(t, F.expr("source <=> t_"))
     u = "(CAST(before AS DOUBLE) / quota)"

@@ -151,7 +151,7 @@ def small_links(fps: np.ndarray, ids: np.ndarray, group: np.ndarray, radius: int
     return out_a, out_b
 
 
-def links(fps: DataFrame, scratch: Scratch, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
+def links(fps: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
     """``(a, b)`` links whose connected groups are those of all pairs of ``fps(fp, node)`` within the radius of at most 4."""
     segs = [f"(shiftrightunsigned(fp, {at}) & {(1 << width) - 1})" for at, width in SEGMENTS]
     keys = ", ".join(f"{c}L * 4194304 + {segs[i]} * 2048 + {segs[j]}" for c, (i, j) in enumerate(combinations(range(len(segs)), 2)))
@@ -200,8 +200,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``(doc_id, fingerprint, component_id)`` for every row of ``docs``."""
     scratch = Scratch(docs.sparkSession)
     own = scratch.keep(with_fingerprints(docs))
-    fps = scratch.keep(own.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("node")))
-    roots = components(links(fps, scratch, radius), scratch).withColumnRenamed("node", "n_")
+    fps = scratch.keep(own.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("node")), own.count())
+    roots = components(links(fps, radius), scratch, fps.count()).withColumnRenamed("node", "n_")
     of = fps.join(roots, F.expr("node = n_"), "left").selectExpr("fp", "coalesce(root, node) AS component_")
     return own.join(of, "fp", "left").selectExpr(
         "doc_id", "lower(lpad(hex(fp), 16, '0')) AS fingerprint", "IF(doc_id IS NULL, NULL, component_) AS component_id")

@@ -46,7 +46,7 @@ def test_dense_group_of_many_chunks(spark):
     df = spark.createDataFrame([(int(f), n) for n, f in enumerate(arr.view(np.int64))], "fp long, node long")
     from framelens.llm.common import Scratch, components
     scratch = Scratch(spark)
-    got = {r.node: r.root for r in components(S.links(df, scratch, chunk=100), scratch).collect()}
+    got = {r.node: r.root for r in components(S.links(df, chunk=100), scratch, df.count()).collect()}
     root = np.arange(len(arr))
     while True:
         new = np.array([root[np.bitwise_count(arr ^ f) <= 4].min() for f in arr])
