@@ -42,18 +42,18 @@ class Scratch:
             where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def range_parts(df: DataFrame, order: list[str], scratch: Scratch) -> DataFrame:
+def range_parts(df: DataFrame, order: list[str], scratch: Scratch, rows: int) -> DataFrame:
     """``df`` cut into ranges of ``order``; ``part_`` numbers the ranges in that order and is fixed by the written table."""
-    return scratch.keep(df.repartitionByRange(*[F.expr(o).asc_nulls_last() for o in order]).withColumn("part_", F.spark_partition_id()))
+    return scratch.keep(df.repartitionByRange(*[F.expr(o).asc_nulls_last() for o in order]).withColumn("part_", F.spark_partition_id()), rows)
 
 
 def order_sql(order: list[str]) -> str:
     return ", ".join(f"{o} NULLS LAST" for o in order)
 
 
-def global_rank(df: DataFrame, order: list[str], scratch: Scratch, out: str = "rank") -> DataFrame:
+def global_rank(df: DataFrame, order: list[str], scratch: Scratch, rows: int, out: str = "rank") -> DataFrame:
     """Zero-based rank over the whole table (nulls last), without a window over all of it."""
-    parts = range_parts(df, order, scratch)
+    parts = range_parts(df, order, scratch, rows)
     offsets = parts.groupBy("part_").count().selectExpr(
         "part_", "coalesce(sum(count) OVER (ORDER BY part_ ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base_")
     local = parts.selectExpr("*", f"row_number() OVER (PARTITION BY part_ ORDER BY {order_sql(order)}) - 1 AS local_")

@@ -51,7 +51,7 @@ def source_targets(sized: DataFrame, rows: int, scratch: Scratch, weights=WEIGHT
     three totals reach the driver.
     """
     per = scratch.keep(sized.groupBy("source").agg(F.sum("size").alias("source_size")), rows)
-    ranked = scratch.keep(global_rank(per, ["source"], scratch).selectExpr(
+    ranked = scratch.keep(global_rank(per, ["source"], scratch, rows).selectExpr(
         "source", "source_size", f"CAST({_pick(weights)} AS BIGINT) AS w", f"CAST({_pick(slopes)} AS DOUBLE) AS slope"), rows)
     total, open_w = ranked.selectExpr("coalesce(sum(source_size), 0)", "coalesce(sum(w), 1)").first()
     rest, closed = total, "false"
