@@ -33,6 +33,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 from .registry import query
@@ -250,6 +251,14 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>, text string")
 
 
+def with_pieces(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """All columns of ``docs`` with ``text`` as its pieces decode, and ``ids`` (in place of a column of that name)."""
+    others = [f"`{c}`" for c in docs.columns if c != "text"]
+    rows = docs.selectExpr(f"struct({', '.join(others)}) AS doc_id" if others else "0 AS doc_id", "text")
+    done = decode(encode(rows, path), path)
+    return done.select(*[F.col("text") if c == "text" else F.col("doc_id").getField(c).alias(c) for c in docs.columns if c != "ids"], "ids")
+
+
 @query("op1_pieces")
 def op1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every document and the digest of the text they decode to."""
