@@ -187,11 +187,12 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) -> D
                           .select("doc_id", "tkey", "n").distinct(), own.count())
     left = own.join(copies.select("doc_id", "tkey"), ["doc_id", "tkey"], "left_anti").where("size(mins) > 0")
     listed = left.selectExpr("doc_id", "tkey", "explode(mins) AS m")
-    shared = listed.groupBy("m").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("m")
+    # written, as are the sources below, so that both sides of the join are dealt anew and a hot key can be split
+    shared = scratch.keep(listed.groupBy("m").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("m"))
     wanted = listed.join(shared, "m").groupBy("doc_id", "tkey").agg(F.collect_list("m").alias("mins"))
     edges = scratch.keep(_edges(docs, wanted, window, kmer))
-    sources = (edges.groupBy("h", "check").agg(F.min("doc_id").alias("src"), F.max("doc_id").alias("last_"), F.min_by("pos", "doc_id").alias("src_pos"))
-               .where("src < last_").drop("last_"))
+    sources = scratch.keep(edges.groupBy("h", "check").agg(F.min("doc_id").alias("src"), F.max("doc_id").alias("last_"), F.min_by("pos", "doc_id").alias("src_pos"))
+                           .where("src < last_").drop("last_"))
     later = edges.join(sources, ["h", "check"]).where("doc_id > src")
     # an occurrence continues the path of the one before it if their source does
     line = "PARTITION BY doc_id, tkey ORDER BY pos"
@@ -200,7 +201,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) -> D
         F.min("pos").alias("a"), F.expr(f"max(pos) + {window - 1}").alias("b"))
     spans = paths.groupBy("doc_id", "tkey").agg(F.collect_list("a").alias("first"), F.collect_list("b").alias("last"))
     out = scratch.keep(spans.unionByName(copies.selectExpr("doc_id", "tkey", "array(0) AS first", "array(n - 1) AS last")))
-    scratch.free(edges, own, copies)
+    scratch.free(edges, own, copies, shared, sources)
     return out
 
 
