@@ -26,7 +26,7 @@ from .common import Scratch, range_parts, table
 from .registry import query
 
 PARAGRAPH = 200
-CELLS, GROWTH, LEVELS = 24, 4, 11
+CELLS, GROWTH, LEVELS, ROUNDS = 24, 4, 9, 24
 _PIECE = rf"[^\n]{{1,{PARAGRAPH}}}"
 _EMPTY = "named_struct('n', 0, 'x', 0L, 'c', 0L)"
 
@@ -38,24 +38,22 @@ def let(value: str, name: str, body: str) -> str:
 
 def paragraphs(text: str) -> str:
     """Distinct digests of a text's paragraphs, sorted."""
-    return f"array_sort(array_distinct(transform(regexp_extract_all({text}, r'{_PIECE}', 0), p -> xxhash64(p))))"
-
-
-def _places(cells: str) -> list[str]:
-    """Cell of the digest ``e.key`` in each row of the sketch; a larger sketch places anew."""
-    return [f"CAST(pmod(xxhash64(e.key, {j}, {cells}), {cells} DIV 3) + {j} * ({cells} DIV 3) AS INT)" for j in range(3)]
+    return f"sort_array(array_distinct(transform(regexp_extract_all({text}, r'{_PIECE}', 0), p -> xxhash64(p))))"
 
 
 def sketch(signed: str, cells: str) -> str:
-    """Dense cells ``(n, x, c)`` of an array of ``(key, sign)``: counts, XOR of keys, XOR of checks.
+    """Dense cells ``(n, x, c)`` of an array of ``(key, sign, c)``: counts, XOR of keys, XOR of checks.
 
-    The entries are sorted by cell, so each cell is one range of them; the work
-    grows with entries and cells, not with their product.
+    Each row of the sketch takes its own 21 bits of a digest as the place, cut to
+    the row's size, a power of two.  The entries are sorted by cell, so each cell is
+    one range of them; the work grows with entries and cells, not with their product.
     """
-    placed = ("array_sort(flatten(transform(" + signed + ", e -> array("
-              + ", ".join(f"named_struct('p', {p}, 'key', e.key, 'sign', e.sign)" for p in _places(cells)) + "))))")
+    row = f"CAST({cells} DIV 3 AS INT)"
+    places = [f"(CAST(shiftrightunsigned(e.key, {21 * j}) & ({cells} DIV 3 - 1) AS INT) + {j} * {row})" for j in range(3)]
+    placed = ("sort_array(flatten(transform(" + signed + ", e -> array("
+              + ", ".join(f"named_struct('p', {p}, 'key', e.key, 'sign', e.sign, 'c', e.c)" for p in places) + "))))")
     cell = f"""aggregate(slice(es, b + 1, IF(k + 1 < size(bs), bs[k + 1], size(es)) - b), {_EMPTY},
-      (a, e) -> named_struct('n', a.n + e.sign, 'x', a.x ^ e.key, 'c', a.c ^ xxhash64(e.key)))"""
+      (a, e) -> named_struct('n', a.n + e.sign, 'x', a.x ^ e.key, 'c', a.c ^ e.c))"""
     filled = f"""concat(flatten(transform(bs, (b, k) ->
       concat(array_repeat({_EMPTY}, es[b].p - IF(k = 0, -1, es[bs[k - 1]].p) - 1), array({cell})))),
       array_repeat({_EMPTY}, {cells} - 1 - es[size(es) - 1].p))"""
@@ -71,19 +69,19 @@ def peel(difference: str, cells: str) -> str:
     """``(ok, found)``: how many digests peeling a difference sketch recovers, and whether nothing is left.
 
     A round takes every digest that stands alone in a cell and subtracts their
-    sketch.  A sketch of m cells gives up at most m digests, so m rounds are enough;
-    rounds after one that finds nothing only hand the state on.
+    sketch; rounds after one that finds nothing only hand the state on.  A sketch
+    that needs more than ``ROUNDS`` rounds is nearly full and counts as stuck.
     """
     alone = "filter(s.cells, x -> (x.n = 1 OR x.n = -1) AND x.c = xxhash64(x.x))"
-    taken = f"array_distinct(transform({alone}, x -> named_struct('key', x.x, 'sign', x.n)))"
+    taken = f"array_distinct(transform({alone}, x -> named_struct('key', x.x, 'sign', x.n, 'c', x.c)))"
     after = f"named_struct('cells', {subtracted('s.cells', sketch('got', cells))}, 'found', s.found + size(got), 'go', true)"
     one = let(taken, "got", f"IF(size(got) = 0, named_struct('cells', s.cells, 'found', s.found, 'go', false), {after})")
-    return (f"aggregate(sequence(1, {cells}), named_struct('cells', {difference}, 'found', 0, 'go', true), (s, r) -> IF(s.go, {one}, s),"
+    return (f"aggregate(sequence(1, {ROUNDS}), named_struct('cells', {difference}, 'found', 0, 'go', true), (s, r) -> IF(s.go, {one}, s),"
             " s -> named_struct('ok', forall(s.cells, x -> x.n = 0 AND x.x = 0 AND x.c = 0), 'found', s.found))")
 
 
 def signed(keys: str, sign: int = 1) -> str:
-    return f"transform({keys}, k -> named_struct('key', k, 'sign', {sign}))"
+    return f"transform({keys}, k -> named_struct('key', k, 'sign', {sign}, 'c', xxhash64(k)))"
 
 
 def difference(own: str, other: str, own_cells: str, other_cells: str) -> str:
