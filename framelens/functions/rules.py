@@ -368,11 +368,11 @@ class RulePack:
 
 
 def _read_text(spark, path: str) -> str:
-    """Whole rule file as text; rule files are configuration of a few kilobytes."""
-    try:
-        return "\n".join(r.value for r in spark.read.text(path, wholetext=True).take(1))
-    except Exception:
+    """Whole rule file as text, empty if there is none; rule files are configuration of a few kilobytes."""
+    from ..session import path_exists
+    if not path_exists(spark, path):
         return ""
+    return "\n".join(r.value for r in spark.read.text(path, wholetext=True).take(1))
 
 
 def _parse_keywords(raw: str) -> dict[str, dict[str, float]]:

@@ -15,12 +15,13 @@ def squared_distance(a: str, b: str) -> str:
 
 
 def correlation(a: str, b: str) -> str:
-    """Pearson correlation of two arrays of equal length; 1 when either is constant and both agree."""
+    """Pearson correlation of two arrays of equal length; 1 when either is constant.  Means are taken once, outside the loop."""
     total = lambda e: f"aggregate({e}, 0.0D, (s, v) -> s + v)"
     mean = lambda e: f"({total(f'transform({e}, v -> CAST(v AS DOUBLE))')} / size({e}))"
-    cross = total(f"zip_with({a}, {b}, (x, y) -> (x - {mean(a)}) * (y - {mean(b)}))")
-    spread = lambda e: total(f"transform({e}, v -> (v - {mean(e)}) * (v - {mean(e)}))")
-    return f"CASE WHEN {spread(a)} * {spread(b)} > 0 THEN {cross} / sqrt({spread(a)} * {spread(b)}) ELSE 1.0D END"
+    cross = total(f"zip_with({a}, {b}, (x, y) -> (x - m.a) * (y - m.b))")
+    spread = lambda e, m: total(f"transform({e}, v -> (v - {m}) * (v - {m}))")
+    sums = f"named_struct('c', {cross}, 's', {spread(a, 'm.a')} * {spread(b, 'm.b')})"
+    return (f"transform(transform(array(named_struct('a', {mean(a)}, 'b', {mean(b)})), m -> {sums}), t -> CASE WHEN t.s > 0 THEN t.c / sqrt(t.s) ELSE 1.0D END)[0]")
 
 
 def visually_same(gray_a: str, gray_b: str, hist_a: str, hist_b: str) -> str:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import lit
+from ..sources.naming import unique_targets
 from .classify import map_top_n
 
 LEVELS = ("high", "medium", "low")
@@ -13,9 +14,10 @@ CORRECTION = "array<struct<frame_idx:bigint,action:string,save_path:string,origi
 
 
 def read_corrections(df: DataFrame, payload: str, default_dir: str = "") -> DataFrame:
-    """Correction payloads as rows; a missing output folder takes the session default."""
+    """Correction payloads as rows, ``seq`` being the place in the payload; a missing output folder takes the session default."""
     parsed = df.selectExpr(f"from_json({payload}, 'struct<video_id:string,output_dir:string,corrections:{CORRECTION}>') AS p")
-    return parsed.selectExpr("p.video_id", f"coalesce(nullif(p.output_dir, ''), {lit(default_dir)}) AS output_dir", "inline(p.corrections)")
+    rows = parsed.selectExpr("p.video_id", f"coalesce(nullif(p.output_dir, ''), {lit(default_dir)}) AS output_dir", "posexplode(p.corrections) AS (seq, c_)")
+    return rows.selectExpr("video_id", "output_dir", "CAST(seq AS BIGINT) AS seq", "c_.*")
 
 
 def review_cards(records: DataFrame, files: DataFrame, include_high: bool = False) -> DataFrame:
@@ -41,26 +43,41 @@ def review_stats(cards: DataFrame) -> DataFrame:
         F.expr("count_if(level <> 'high')").alias("to_review"))
 
 
-def checked_corrections(corrections: DataFrame, files: DataFrame) -> DataFrame:
-    """Corrections with their outcome: moved, missing_file, no_category or ignored."""
+def checked_corrections(corrections: DataFrame, files: DataFrame, order: str) -> DataFrame:
+    """Corrections with their outcome: moved, missing_file, no_category or ignored.
+
+    ``order`` is the sequence column.  The first move of a path takes the file
+    away, so later corrections of that path find none.
+    """
     known = files.select("path").distinct().selectExpr("path AS save_path", "true AS exists_")
-    outcome = ("CASE WHEN action IS NULL OR action NOT IN ('reclassify', 'exclude') THEN 'ignored' WHEN exists_ IS NULL THEN 'missing_file' "
-               "WHEN action = 'reclassify' AND coalesce(new_category, '') = '' THEN 'no_category' ELSE 'moved' END")
-    return corrections.join(known, "save_path", "left").selectExpr(*[f"`{c}`" for c in corrections.columns], f"{outcome} AS outcome")
+    would = ("CASE WHEN action IS NULL OR action NOT IN ('reclassify', 'exclude') THEN 'ignored' WHEN exists_ IS NULL THEN 'missing_file' "
+             "WHEN action = 'reclassify' AND coalesce(new_category, '') = '' THEN 'no_category' ELSE 'moved' END")
+    judged = corrections.join(known, "save_path", "left").withColumn("outcome_", F.expr(would))
+    first = judged.where("outcome_ = 'moved'").groupBy("save_path").agg(F.min(order).alias("first_"))
+    outcome = f"CASE WHEN outcome_ IN ('moved', 'no_category') AND {order} > coalesce(first_, {order}) THEN 'missing_file' ELSE outcome_ END"
+    return judged.join(first, "save_path", "left").selectExpr(*[f"`{c}`" for c in corrections.columns], f"{outcome} AS outcome")
 
 
-def apply_corrections(records: DataFrame, corrections: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """New version of the records: the last moved correction of each key sets category and path.
+def apply_corrections(records: DataFrame, corrections: DataFrame, files: DataFrame, keys: list[str], order: str, row_order: str | None = None) -> DataFrame:
+    """New version of the records: each key's last moved correction sets category and path.
 
-    ``order`` is the sequence column of the corrections.  Where the records hold
-    a key more than once, the caller passes the last one only.
+    A moved file goes to ``output_dir/category/name``, or to the first free
+    numbered name there.  ``files`` lists the existing paths.  Where a key has
+    several records, ``row_order`` names the column by which the last one is
+    the one that changes; without it keys are taken to be unique.
     """
-    last = corrections.where("outcome = 'moved'").groupBy(*keys).agg(F.expr(f"max_by(struct(action, new_category), {order})").alias("c_"))
-    target = "CASE WHEN c_.action = 'exclude' THEN 'Excluded' WHEN c_.action = 'reclassify' THEN c_.new_category ELSE category END"
-    folder = "CASE WHEN c_.action = 'exclude' THEN 'excluded' ELSE c_.new_category END"
-    path = f"CASE WHEN c_ IS NULL THEN save_path ELSE regexp_replace(save_path, '[^/]+/([^/]+)$', concat({folder}, '/$1')) END"
+    moved = corrections.where("outcome = 'moved'").selectExpr(
+        *keys, order, "CASE WHEN action = 'exclude' THEN 'Excluded' ELSE new_category END AS to_",
+        "concat_ws('/', output_dir, CASE WHEN action = 'exclude' THEN 'excluded' ELSE new_category END, element_at(split(save_path, '/'), -1)) AS target_")
+    placed = unique_targets(moved, "target_", order, files.selectExpr("path AS target_"))
+    last = placed.groupBy(*keys).agg(F.expr(f"max_by(struct(to_, unique_target), {order})").alias("c_"))
+    if row_order is None:
+        joined = records.join(last, keys, "left")
+    else:
+        newest = records.groupBy(*keys).agg(F.max(row_order).alias("newest_")).join(last, keys)
+        joined = records.join(newest.withColumnRenamed("newest_", row_order), [*keys, row_order], "left")
     rest = [f"`{c}`" for c in records.columns if c not in ("category", "save_path")]
-    return records.join(last, keys, "left").selectExpr(*rest, f"{target} AS category", f"{path} AS save_path", "c_ IS NOT NULL AS corrected")
+    return joined.selectExpr(*rest, "coalesce(c_.to_, category) AS category", "coalesce(c_.unique_target, save_path) AS save_path", "c_ IS NOT NULL AS corrected")
 
 
 def correction_summary(checked: DataFrame) -> DataFrame:

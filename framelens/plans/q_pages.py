@@ -229,11 +229,12 @@ def _(spark, sf):
     return P.round_robin(fx.icons(spark, sf).select(*KEYS, "page_no"), ["video_id"], "page_no", "frame_idx", 120).select(*KEYS, "page_no", "collect_rank")
 
 
-@query("p23_sequential_budget", """WITH i AS (SELECT event_id % 10 AS vid, CAST(floor(event_id/200) AS BIGINT) AS page_no, event_id FROM events WHERE event_type <> 'error'), c AS (SELECT *, count(*) OVER (PARTITION BY vid, page_no) AS n FROM i),
+# pages of uneven size: an odd event counts for the page after its own
+@query("p23_sequential_budget", """WITH i AS (SELECT event_id % 10 AS vid, CAST(floor(event_id/200) AS BIGINT) + CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS page_no, event_id FROM events), c AS (SELECT *, count(*) OVER (PARTITION BY vid, page_no) AS n FROM i),
   e AS (SELECT *, bool_or(n % 2 = 0 AND n >= 8) OVER (PARTITION BY vid) AS has_even FROM c)
   SELECT vid, page_no, event_id, CAST(row_number() OVER (PARTITION BY vid ORDER BY page_no, event_id) AS INTEGER) AS collect_rank FROM e WHERE NOT has_even OR (n % 2 = 0 AND n >= 8) QUALIFY collect_rank <= 40""")
 def _(spark, sf):
-    d = fx.table(spark, sf, "events").where("event_type <> 'error'").selectExpr("event_id % 10 AS vid", "CAST(floor(event_id / 200) AS BIGINT) AS page_no", "event_id")
+    d = fx.table(spark, sf, "events").selectExpr("event_id % 10 AS vid", "CAST(floor(event_id / 200) AS BIGINT) + IF(event_type = 'error', 1, 0) AS page_no", "event_id")
     return P.sequential_budget(d, ["vid"], "page_no", "event_id", 40)
 
 

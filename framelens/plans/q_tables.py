@@ -66,12 +66,13 @@ def _(spark, sf):
                         "confidence_level AS level", "confidence_score AS conf_score", "CAST(size(raw_texts) AS BIGINT) AS n_texts", "roi[3] AS roi_h")
 
 
-@query("io10_parse_literal", with_sql("frames_fx", """SELECT video_id, frame_idx, CASE WHEN frame_idx % 11 = 0 THEN NULL ELSE top_score END AS help, CASE WHEN frame_idx % 11 = 0 THEN 0 ELSE 2 END::BIGINT AS n FROM frames_fx"""))
+@query("io10_parse_literal", with_sql("frames_fx", """SELECT video_id, frame_idx, CASE WHEN frame_idx % 11 = 0 OR frame_idx % 13 = 0 THEN NULL ELSE top_score END AS help, CASE WHEN frame_idx % 11 = 0 THEN 0 ELSE 2 END::BIGINT AS n,
+  CASE WHEN frame_idx % 11 = 0 THEN NULL ELSE noise_score END AS quoted FROM frames_fx"""))
 def _(spark, sf):
-    """Literal score maps; every eleventh text is malformed and becomes the default."""
-    d = fx.scores(spark, sf).selectExpr(*KEYS, "CASE WHEN frame_idx % 11 = 0 THEN 'nonsense[' ELSE concat('{\\'Help\\': ', top_score, ', \\'BigWin\\': ', noise_score, '}') END AS lit")
+    """Literal score maps with brackets, quotes and None in them; every eleventh text is malformed and becomes the default."""
+    d = fx.scores(spark, sf).selectExpr(*KEYS, r"""CASE WHEN frame_idx % 11 = 0 THEN 'nonsense[' ELSE concat('{\'Help\': ', IF(frame_idx % 13 = 0, 'None', CAST(top_score AS STRING)), ', \'it\\\'s (x2) "None"\': ', noise_score, '}') END AS lit""")
     m = d.selectExpr(*KEYS, f"{RE.parse_literal('lit', 'map<string,double>', 'map()')} AS m")
-    return m.selectExpr(*KEYS, "try_element_at(m, 'Help') AS help", "CAST(size(m) AS BIGINT) AS n")
+    return m.selectExpr(*KEYS, "try_element_at(m, 'Help') AS help", "CAST(size(m) AS BIGINT) AS n", """try_element_at(m, 'it\\'s (x2) "None"') AS quoted""")
 
 
 @query("io11_write_records", with_sql("frames_fx", "SELECT video_id, category, count(*) AS n, max(frame_idx) AS last_frame FROM frames_fx GROUP BY 1, 2"))
@@ -97,21 +98,30 @@ def _(spark, sf):
 
 
 def payloads(spark, sf):
-    """One correction payload per labelled document."""
+    """One correction payload per labelled document; every fifth corrects its file a second time.  File names repeat across folders."""
     return fx.table(spark, sf, "labels").join(fx.table(spark, sf, "documents").select("doc_id", "lang"), "doc_id").selectExpr(
-        """to_json(named_struct('video_id', lang, 'output_dir', CASE WHEN doc_id % 2 = 0 THEN 'out' ELSE '' END, 'corrections', array(named_struct('frame_idx', doc_id,
-        'action', CASE WHEN toxic = 1 THEN 'exclude' WHEN quality = 0 THEN 'reclassify' ELSE 'accept' END, 'save_path', concat('out/', lang, '/', doc_id, '.jpg'),
-        'original_category', lang, 'new_category', CASE WHEN doc_id % 13 = 0 THEN '' ELSE 'junk' END)))) AS payload""")
+        """to_json(named_struct('video_id', lang, 'output_dir', CASE WHEN doc_id % 2 = 0 THEN 'out' ELSE '' END, 'corrections', concat(array(named_struct('frame_idx', doc_id,
+        'action', CASE WHEN toxic = 1 THEN 'exclude' WHEN quality = 0 THEN 'reclassify' ELSE 'accept' END, 'save_path', concat('out/', lang, '/', doc_id, '/f', doc_id % 50, '.jpg'),
+        'original_category', lang, 'new_category', CASE WHEN doc_id % 13 = 0 THEN '' ELSE 'junk' END)), IF(doc_id % 5 = 0, array(named_struct('frame_idx', doc_id, 'action', 'reclassify',
+        'save_path', concat('out/', lang, '/', doc_id, '/f', doc_id % 50, '.jpg'), 'original_category', lang, 'new_category', 'late')), array())))) AS payload""")
 
 
-cte("corr", "", """SELECT doc_id AS frame_idx, lang, CASE WHEN toxic = 1 THEN 'exclude' WHEN quality = 0 THEN 'reclassify' ELSE 'accept' END AS action, 'out/' || lang || '/' || doc_id || '.jpg' AS save_path,
-  CASE WHEN doc_id % 13 = 0 THEN '' ELSE 'junk' END AS new_category, CASE WHEN doc_id % 2 = 0 THEN 'out' ELSE 'session' END AS output_dir, doc_id % 7 <> 0 AS has_file FROM labels JOIN documents USING (doc_id)""")
-cte("outcomes", "corr", """SELECT *, CASE WHEN action = 'accept' THEN 'ignored' WHEN NOT has_file THEN 'missing_file' WHEN action = 'reclassify' AND new_category = '' THEN 'no_category' ELSE 'moved' END AS outcome FROM corr""")
+cte("corr", "", """SELECT doc_id AS frame_idx, lang, seq, CASE WHEN seq = 1 THEN 'reclassify' WHEN toxic = 1 THEN 'exclude' WHEN quality = 0 THEN 'reclassify' ELSE 'accept' END AS action,
+  'out/' || lang || '/' || doc_id || '/f' || (doc_id % 50) || '.jpg' AS save_path, 'f' || (doc_id % 50) AS stem,
+  CASE WHEN seq = 1 THEN 'late' WHEN doc_id % 13 = 0 THEN '' ELSE 'junk' END AS new_category, CASE WHEN doc_id % 2 = 0 THEN 'out' ELSE 'session' END AS output_dir, doc_id % 7 <> 0 AS has_file
+  FROM labels JOIN documents USING (doc_id) JOIN (VALUES (0::BIGINT), (1::BIGINT)) q(seq) ON seq = 0 OR doc_id % 5 = 0""")
+cte("outcomes", "corr", """SELECT *, CASE WHEN action = 'accept' THEN 'ignored' WHEN NOT has_file THEN 'missing_file' WHEN seq = 1 AND frame_idx IN
+  (SELECT frame_idx FROM corr WHERE seq = 0 AND has_file AND (action = 'exclude' OR action = 'reclassify' AND new_category <> '')) THEN 'missing_file'
+  WHEN action = 'reclassify' AND new_category = '' THEN 'no_category' ELSE 'moved' END AS outcome FROM corr""")
+# a moved file takes the first free name of its folder; out/junk/f3_1.jpg and out/junk/f4.jpg exist before
+cte("moves", "outcomes", """SELECT *, CASE WHEN n = 0 THEN folder || '/' || stem || '.jpg' ELSE folder || '/' || stem || '_' || (n + CASE WHEN folder = 'out/junk' AND stem = 'f3' THEN 1 ELSE 0 END) || '.jpg' END AS new_path FROM (
+  SELECT *, row_number() OVER (PARTITION BY folder, stem ORDER BY frame_idx, seq) - 1 + CASE WHEN folder = 'out/junk' AND stem = 'f4' THEN 1 ELSE 0 END AS n FROM (
+  SELECT *, output_dir || '/' || CASE WHEN action = 'exclude' THEN 'excluded' ELSE new_category END AS folder FROM outcomes WHERE outcome = 'moved'))""")
 
 
-@query("io14_read_corrections", with_sql("corr", "SELECT frame_idx, lang AS video_id, output_dir, action, save_path, new_category FROM corr"))
+@query("io14_read_corrections", with_sql("corr", "SELECT frame_idx, lang AS video_id, output_dir, seq, action, save_path, new_category FROM corr"))
 def _(spark, sf):
-    return RV.read_corrections(payloads(spark, sf), "payload", "session").select("frame_idx", "video_id", "output_dir", "action", "save_path", "new_category")
+    return RV.read_corrections(payloads(spark, sf), "payload", "session").select("frame_idx", "video_id", "output_dir", "seq", "action", "save_path", "new_category")
 
 
 @query("io15_write_analysis")
@@ -143,12 +153,13 @@ def _(spark, sf):
     return fx.scores(spark, sf).selectExpr(*KEYS, f"{NA.output_path(chr(39) + 'root' + chr(39), 'concat(' + chr(39) + 'v' + chr(39) + ', video_id)', 'category', chr(39) + 'clip' + chr(39), 'frame_idx')} AS path")
 
 
-@query("io19_unique_target", """SELECT doc_id, CASE WHEN n = 0 THEN b || '.jpg' ELSE b || '_' || n || '.jpg' END AS unique_target FROM (SELECT doc_id, b, row_number() OVER (PARTITION BY b ORDER BY doc_id) - 1 + CASE WHEN b IN (SELECT DISTINCT 'page_' || source || '_en' FROM documents) THEN 1 ELSE 0 END AS n
-  FROM (SELECT doc_id, 'page_' || source || '_' || lang AS b FROM documents))""")
+# plain names of en are taken, and the first numbered name of de
+@query("io19_unique_target", """SELECT doc_id, CASE WHEN n = 0 THEN b || '.jpg' ELSE b || '_' || (n + CASE WHEN lang = 'de' THEN 1 ELSE 0 END) || '.jpg' END AS unique_target FROM (SELECT doc_id, lang, b, row_number() OVER (PARTITION BY b ORDER BY doc_id) - 1 + CASE WHEN b IN (SELECT DISTINCT 'page_' || source || '_en' FROM documents) THEN 1 ELSE 0 END AS n
+  FROM (SELECT doc_id, lang, 'page_' || source || '_' || lang AS b FROM documents))""")
 def _(spark, sf):
     d = fx.table(spark, sf, "documents")
     rows = d.selectExpr("doc_id", "concat('page_', source, '_', lang, '.jpg') AS target")
-    taken = d.selectExpr("concat('page_', source, '_en.jpg') AS target")
+    taken = d.selectExpr("explode(array(concat('page_', source, '_en.jpg'), concat('page_', source, '_de_1.jpg'))) AS target")
     return NA.unique_targets(rows, "target", "doc_id", taken).select("doc_id", "unique_target")
 
 
@@ -183,10 +194,9 @@ def _(spark, sf):
     return AR.match_sources(videos, wanted, "k").select("k", "stem", "by_cleaned")
 
 
-@query("io24_archive_manifest")
+@query("io24_archive_manifest", r"""SELECT seen, planned, seen - planned AS skipped, '{"seen":' || seen || ',"planned":' || planned || '}' AS record FROM (SELECT count(*) AS seen, count(*) FILTER (NOT list_contains(list_transform(regexp_split_to_array(url, '[\\/]+'), lambda s: lower(s)), 'en') AND NOT ends_with(lower(url), '7')) AS planned FROM pages)""")
 def _(spark, sf):
-    pages = fx.table(spark, sf, "pages").select("page_id", "url")
-    return AR.manifest(AR.archive_plan(pages, "url", ("en",), ()), pages)
+    return AR.manifest(fx.table(spark, sf, "pages").select("page_id", "url"), "url", ("en",), ("7",))
 
 
 @query("io25_next_number", """SELECT p_brand, CAST(coalesce(max(CASE WHEN p_partkey % 3 = 0 THEN p_partkey END),0) + 1 AS INTEGER) AS next_no, 'symbol_manual_' || lpad((coalesce(max(CASE WHEN p_partkey % 3 = 0 THEN p_partkey END),0)+1)::VARCHAR, greatest(3, len((coalesce(max(CASE WHEN p_partkey % 3 = 0 THEN p_partkey END),0)+1)::VARCHAR))::INTEGER, '0')
@@ -231,17 +241,21 @@ def _(spark, sf):
     return RV.review_cards(*review_input(spark, sf)).groupBy("category").agg(F.count(F.lit(1)).alias("queued")).orderBy("category")
 
 
+def image_files(spark, sf):
+    files = fx.table(spark, sf, "documents").where("doc_id % 7 <> 0").selectExpr("concat('out/', lang, '/', doc_id, '/f', doc_id % 50, '.jpg') AS path")
+    return files.unionAll(spark.sql("SELECT explode(array('out/junk/f3_1.jpg', 'out/junk/f4.jpg')) AS path"))
+
+
 def corrections(spark, sf):
-    files = fx.table(spark, sf, "documents").where("doc_id % 7 <> 0").selectExpr("concat('out/', lang, '/', doc_id, '.jpg') AS path")
-    return RV.checked_corrections(RV.read_corrections(payloads(spark, sf), "payload", "session"), files)
+    rows = RV.read_corrections(payloads(spark, sf), "payload", "session").withColumn("turn", F.expr("frame_idx * 2 + seq"))
+    return RV.checked_corrections(rows, image_files(spark, sf), "turn")
 
 
-@query("r4_apply_corrections", with_sql("outcomes", """SELECT d.doc_id AS frame_idx, CASE WHEN o.action = 'exclude' THEN 'Excluded' WHEN o.action = 'reclassify' THEN o.new_category ELSE d.lang END AS category,
-  CASE WHEN o.action = 'exclude' THEN 'out/excluded/' || d.doc_id || '.jpg' WHEN o.action = 'reclassify' THEN 'out/junk/' || d.doc_id || '.jpg' ELSE 'out/' || d.lang || '/' || d.doc_id || '.jpg' END AS save_path, o.frame_idx IS NOT NULL AS corrected
-  FROM documents d LEFT JOIN (SELECT * FROM outcomes WHERE outcome = 'moved') o ON o.frame_idx = d.doc_id"""))
+@query("r4_apply_corrections", with_sql("moves", """SELECT d.doc_id AS frame_idx, CASE WHEN o.action = 'exclude' THEN 'Excluded' WHEN o.action = 'reclassify' THEN o.new_category ELSE d.lang END AS category,
+  coalesce(o.new_path, 'out/' || d.lang || '/' || d.doc_id || '/f' || (d.doc_id % 50) || '.jpg') AS save_path, o.frame_idx IS NOT NULL AS corrected FROM documents d LEFT JOIN moves o ON o.frame_idx = d.doc_id"""))
 def _(spark, sf):
-    records = fx.table(spark, sf, "documents").selectExpr("doc_id AS frame_idx", "lang AS category", "concat('out/', lang, '/', doc_id, '.jpg') AS save_path")
-    return RV.apply_corrections(records, corrections(spark, sf), ["frame_idx"], "frame_idx")
+    records = fx.table(spark, sf, "documents").selectExpr("doc_id AS frame_idx", "lang AS category", "concat('out/', lang, '/', doc_id, '/f', doc_id % 50, '.jpg') AS save_path")
+    return RV.apply_corrections(records, corrections(spark, sf), image_files(spark, sf), ["frame_idx"], "turn")
 
 
 @query("r5_correction_summary", with_sql("outcomes", "SELECT count(*) FILTER (outcome='moved') AS moved, count(*) FILTER (outcome IN ('missing_file','no_category')) AS skipped, coalesce(bool_or(outcome='moved'),FALSE) AS updated FROM outcomes"))
@@ -249,9 +263,9 @@ def _(spark, sf):
     return RV.correction_summary(corrections(spark, sf))
 
 
-@query("r5_correction_outcomes", with_sql("outcomes", "SELECT frame_idx, outcome FROM outcomes"))
+@query("r5_correction_outcomes", with_sql("outcomes", "SELECT frame_idx, seq, outcome FROM outcomes"))
 def _(spark, sf):
-    return corrections(spark, sf).select("frame_idx", "outcome")
+    return corrections(spark, sf).select("frame_idx", "seq", "outcome")
 
 
 # --- summaries -------------------------------------------------------------------------------------------------
@@ -321,13 +335,19 @@ def _(spark, sf):
     return SU.flow_layout(fx.scores(spark, sf).select("video_id", "category"), _TIERS).select("video_id", "node_id", "label", "category", "row_no")
 
 
-@query("a8_node_images", with_sql("frames_fx", """SELECT video_id, 'basegame' AS node_id, category, frame_idx, pos AS place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY video_id, category ORDER BY frame_idx) AS INTEGER) AS pos FROM frames_fx) WHERE category = 'Basegame' AND pos <= 2
-  UNION ALL SELECT video_id, 'bigwin_' || pos, category, frame_idx, pos FROM (SELECT *, CAST(row_number() OVER (PARTITION BY video_id, category ORDER BY frame_idx) AS INTEGER) AS pos FROM frames_fx) WHERE category = 'BigWin' AND pos <= 3"""))
+_SHOWN = {"loading": ("loading", 1), "basegame": ("Basegame", 2), "feature_buy": ("Feature Buy", 1), "transition": ("Transition", 1), "bigwin_fg": ("BigWin", 1), "result": ("Result", 1)}
+
+
+@query("a8_node_images", with_sql("frames_fx", """, place AS (SELECT *, CAST(row_number() OVER (PARTITION BY video_id, category ORDER BY frame_idx) AS INTEGER) AS pos FROM frames_fx),
+  has AS (SELECT video_id, bool_or(category = 'Feature game') AS game, bool_or(category IN ('Feature game', 'Other')) AS feature FROM frames_fx GROUP BY 1) """
+       + " UNION ALL ".join(f"SELECT p.video_id, '{node}' AS node_id, category, frame_idx, pos AS place FROM place p JOIN has USING (video_id) WHERE category = '{c}' AND pos <= {n}"
+                            + (" AND feature" if node in ("transition", "bigwin_fg", "result") else "") for node, (c, n) in _SHOWN.items())
+       + " UNION ALL SELECT video_id, 'bigwin_' || pos, category, frame_idx, pos FROM place WHERE category = 'BigWin' AND pos <= 3"
+       + " UNION ALL SELECT p.video_id, 'featuregame', category, frame_idx, pos FROM place p JOIN has USING (video_id) WHERE feature AND category = CASE WHEN game THEN 'Feature game' ELSE 'Other' END AND pos <= 2"))
 def _(spark, sf):
     from ..sources.listing import first_n
     d = fx.scores(spark, sf).select(*KEYS, "category")
-    layout = SU.flow_layout(d, _TIERS).where("node_id = 'basegame' OR node_id LIKE 'bigwin_%' AND node_id <> 'bigwin_fg'")
-    return SU.node_images(layout, first_n(d, ["video_id", "category"], "frame_idx", 6))
+    return SU.node_images(SU.flow_layout(d, _TIERS), first_n(d, ["video_id", "category"], "frame_idx", 6))
 
 
 @query("a9_motion_map", """SELECT label, CAST(cell AS INTEGER) AS cell, round(avg(abs(v - pv)),6) AS motion, round(avg(v),6) AS average FROM (SELECT label, cell, v, lag(v) OVER (PARTITION BY label, cell ORDER BY vec_id) AS pv FROM (SELECT label, vec_id, unnest(embedding)::DOUBLE AS v, unnest(range(64)) AS cell FROM embeddings)) GROUP BY 1,2""")

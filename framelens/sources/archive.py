@@ -12,11 +12,15 @@ BUNDLED = (".png", ".jpg", ".jpeg", ".gif", ".webp", ".svg", ".bmp")
 SKIPPED_LINK = "(?i)^(#|data:|https?:|mailto:|javascript:|file:)"
 
 
-def archive_plan(df: DataFrame, path: str, excluded_dirs=(), excluded_exts=()) -> DataFrame:
-    """Files without an excluded path segment (any depth, any case) or extension."""
+def _planned(path: str, excluded_dirs, excluded_exts) -> str:
     dirs = ", ".join(lit(d.lower()) for d in excluded_dirs) or "''"
     exts = " OR ".join(f"endswith(lower({path}), {lit(e.lower())})" for e in excluded_exts) or "false"
-    return df.where(f"NOT exists(split({path}, r'[\\\\/]+'), s -> lower(s) IN ({dirs})) AND NOT ({exts})")
+    return f"(NOT exists(split({path}, r'[\\\\/]+'), s -> lower(s) IN ({dirs})) AND NOT ({exts}))"
+
+
+def archive_plan(df: DataFrame, path: str, excluded_dirs=(), excluded_exts=()) -> DataFrame:
+    """Files without an excluded path segment (any depth, any case) or extension."""
+    return df.where(_planned(path, excluded_dirs, excluded_exts))
 
 
 def asset_refs(df: DataFrame, key: str, html: str, keep_rooted: bool = False) -> DataFrame:
@@ -52,8 +56,7 @@ def match_sources(videos: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     return direct.withColumn("by_cleaned", F.lit(False)).unionByName(rest.join(stems, "stem_key").withColumn("by_cleaned", F.lit(True))).drop("stem_key")
 
 
-def manifest(plan: DataFrame, total: DataFrame) -> DataFrame:
-    """One record of what is planned."""
-    planned = plan.agg(F.count(F.lit(1)).alias("planned"))
-    return total.agg(F.count(F.lit(1)).alias("seen")).join(planned).selectExpr(
-        "seen", "planned", "seen - planned AS skipped", "to_json(named_struct('seen', seen, 'planned', planned)) AS record")
+def manifest(df: DataFrame, path: str, excluded_dirs=(), excluded_exts=()) -> DataFrame:
+    """One record of what is planned among the files, in one pass."""
+    both = df.agg(F.count(F.lit(1)).alias("seen"), F.expr(f"count_if({_planned(path, excluded_dirs, excluded_exts)})").alias("planned"))
+    return both.selectExpr("seen", "planned", "seen - planned AS skipped", "to_json(named_struct('seen', seen, 'planned', planned)) AS record")

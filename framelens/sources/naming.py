@@ -22,19 +22,30 @@ def output_path(root: str, video: str, category: str, prefix: str, frame: str) -
     return f"concat_ws('/', {root}, {video}, {category}, concat({prefix}, '_frame_', {number}, '.jpg'))"
 
 
+_STEM, _EXT = "regexp_extract({}, '^(.*?)([.][^./]*)?$', 1)", "regexp_extract({}, '^(.*?)([.][^./]*)?$', 2)"
+
+
 def unique_targets(df: DataFrame, target: str, row_id: str, taken: DataFrame) -> DataFrame:
-    """Add ``_1``, ``_2``, … where a target repeats or is taken already.
+    """Add ``_1``, ``_2``, … where a target repeats or is taken already, passing over numbered names that exist.
 
     ``row_id`` is a unique integer and gives the order; ``taken`` has one column
-    with the name of ``target``.
+    with the name of ``target``.  Plain targets of other rows count as taken for
+    numbered names.
     """
     placed = position(df, [target], row_id, "nth_")
-    marks = taken.select(target).distinct().withColumn("taken_", F.lit(1))
-    number = "nth_ + coalesce(taken_, 0)"
-    return placed.join(marks, target, "left").selectExpr(
+    exists = taken.select(target).distinct()
+    marks = exists.withColumn("taken_", F.lit(1))
+    # numbered names that are in the way, as the numbers of their plain name
+    numbered = exists.unionAll(df.select(target)).distinct().selectExpr(
+        f"concat(regexp_extract({_STEM.format(target)}, '^(.*)_([1-9][0-9]*)$', 1), {_EXT.format(target)}) AS {target}",
+        f"try_cast(nullif(regexp_extract({_STEM.format(target)}, '^(.*)_([1-9][0-9]*)$', 2), '') AS BIGINT) AS used_")
+    used = numbered.where("used_ IS NOT NULL").groupBy(target).agg(F.array_sort(F.collect_set("used_")).alias("used_"))
+    n = "(nth_ + coalesce(taken_, 0))"
+    # the n-th free number: every used number at or below it shifts it by one
+    free = f"({n} + size(filter(transform(coalesce(used_, array()), (u, i) -> u - i), v -> v <= {n})))"
+    return placed.join(marks, target, "left").join(used, target, "left").selectExpr(
         *[f"`{c}`" for c in df.columns],
-        f"CASE WHEN {number} = 0 THEN {target} ELSE concat(regexp_extract({target}, '^(.*?)([.][^./]*)?$', 1), '_', {number}, "
-        f"regexp_extract({target}, '^(.*?)([.][^./]*)?$', 2)) END AS unique_target")
+        f"CASE WHEN {n} = 0 THEN {target} ELSE concat({_STEM.format(target)}, '_', {free}, {_EXT.format(target)}) END AS unique_target")
 
 
 def next_number(df: DataFrame, keys: list[str], name: str, prefix: str, label: str) -> DataFrame:

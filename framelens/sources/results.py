@@ -10,12 +10,27 @@ RESULT_COLUMNS = ["video_name", "frame_idx", "final_category", "diff_score", "bl
                   "matched_keywords", "roi", "save_path", "confidence_level", "confidence_score"]
 
 
-def parse_literal(e: str, ddl: str, default: str | None = None) -> str:
-    """Literal text (maps, lists, tuples) as a typed expression; ``default`` on failure.
+def _json_text(e: str) -> str:
+    """Python literal text as JSON text: brackets, None, True and False change outside quotes only; null for unbalanced quotes."""
+    single, double = r"'(?:[^'\\]|\\.)*'", r'"(?:[^"\\]|\\.)*"'
+    token = f"{single}|{double}|[^'\"]+".replace("'", "\\x27").replace('"', "\\x22")
+    tokens = f"regexp_extract_all({e}, r'{token}', 0)"
+    body = "substring(t, 2, length(t) - 2)"
+    quoted = f"concat('\"', replace(replace({body}, r'\\\x27', '\\''), '\"', r'\\\"'), '\"')"
+    # an escaped quote of either kind: \' has no escape in JSON, \" keeps its own
+    quoted = ("concat(chr(34), regexp_replace(replace(" + body + ", concat(chr(92), chr(39)), chr(39)), r'(?<!\\\\)\x22', concat(repeat(chr(92), 3), chr(34))), chr(34))")
+    plain = "translate(t, '()', '[]')"
+    for word, json_word in (("None", "null"), ("True", "true"), ("False", "false")):
+        plain = f"regexp_replace({plain}, r'\\b{word}\\b', '{json_word}')"
+    plain = f"regexp_replace({plain}, r',\\s*\\]', ']')"
+    turned = f"transform({tokens}, t -> CASE WHEN startswith(t, chr(39)) THEN {quoted} WHEN startswith(t, chr(34)) THEN replace(t, concat(chr(92), chr(39)), chr(39)) ELSE {plain} END)"
+    whole = f"aggregate({tokens}, 0, (n, t) -> n + length(t)) = length({e})"
+    return f"IF({whole}, array_join({turned}, ''), NULL)"
+
 
-    Tuples become lists; JSON then reads the single quotes.
-    """
-    parsed = f"from_json(translate({e}, '()', '[]'), '{ddl}', map('allowSingleQuotes', 'true', 'mode', 'PERMISSIVE'))"
+def parse_literal(e: str, ddl: str, default: str | None = None) -> str:
+    """Literal text (maps, lists, tuples) as a typed expression; ``default`` on failure.  Tuples become lists."""
+    parsed = f"from_json({_json_text(e)}, '{ddl}', map('mode', 'PERMISSIVE'))"
     return parsed if default is None else f"coalesce({parsed}, {default})"
 
 
@@ -49,15 +64,20 @@ def literal_map(e: str) -> str:
     return (f"concat('{{', array_join(transform(array_sort(map_entries({e})), m -> concat('\\'', m.key, '\\': ', CAST(m.value AS STRING))), ', '), '}}')")
 
 
+def _quoted(e: str) -> str:
+    """A string as a single-quoted literal; backslashes and quotes are escaped."""
+    return f"concat(chr(39), replace(replace({e}, chr(92), concat(chr(92), chr(92))), chr(39), concat(chr(92), chr(39))), chr(39))"
+
+
 def literal_lists(e: str) -> str:
     """Map of string lists as literal text."""
-    items = "transform(m.value, v -> concat('\\'', replace(v, '\\'', '’'), '\\''))"
+    items = f"transform(m.value, v -> {_quoted('v')})"
     return (f"concat('{{', array_join(transform(array_sort(map_entries({e})), m -> concat('\\'', m.key, '\\': [', array_join({items}, ', '), ']')), ', '), '}}')")
 
 
 def literal_texts(items: str) -> str:
     """Text/score pairs as a literal list of tuples."""
-    return f"concat('[', array_join(transform({items}, i -> concat('(\\'', replace(i.text, '\\'', '’'), '\\', ', CAST(i.score AS STRING), ')')), ', '), ']')"
+    return f"concat('[', array_join(transform({items}, i -> concat('(', {_quoted('i.text')}, ', ', coalesce(CAST(i.score AS STRING), 'None'), ')')), ', '), ']')"
 
 
 def write_result_csv(df: DataFrame, path: str) -> None:

@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..operators.fold import EMPTY, OUTPUT, STATE, SampleConfig, fold_input, walk
+from ..session import path_exists
 from ..sources.cache import cache_split
 
 
@@ -62,20 +64,21 @@ def stream_append_results(df: DataFrame, path: str, checkpoint: str, partition_b
     return df.writeStream.foreachBatch(_write_table(path, partition_by or [])).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stream_cache_fill(items: DataFrame, key: list[str], recognise: Callable[[DataFrame], DataFrame], path: str, checkpoint: str):
-    """Recognise the items of each micro-batch that the cache table does not hold yet and add them."""
+def stream_cache_fill(items: DataFrame, key: list[str], recognise: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, run: str = "0"):
+    """Recognise the items of each micro-batch that the cache table does not hold yet and add them.
+
+    Each run writes under its own name, so a new checkpoint on an old cache reads
+    all of it and overwrites nothing but its own repeated batches.
+    """
     schema = recognise(items).schema
 
     def fill(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        target = f"{path}/batch={batch_id}"
-        try:
-            cache = spark.read.schema(schema).parquet(path).where(f"batch <> {batch_id}") if batch_id else None
-        except Exception:
-            cache = None
         fresh = batch.dropDuplicates(key)
-        todo = fresh if cache is None else cache_split(fresh, cache.select(*key), key)[1]
-        recognise(todo).write.mode("overwrite").parquet(target)
+        if path_exists(spark, path):
+            cache = spark.read.schema(StructType([*schema.fields, StructField("run", StringType()), StructField("batch", LongType())])).parquet(path)
+            fresh = cache_split(fresh, cache.where(f"NOT (run = '{run}' AND batch = {batch_id})").select(*key), key)[1]
+        recognise(fresh).write.mode("overwrite").parquet(f"{path}/run={run}/batch={batch_id}")
 
     return items.writeStream.foreachBatch(fill).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -1,10 +1,13 @@
 """Rule tables: one text that fires and one that does not per signal, and override order."""
 
+import ast
+
 from framelens.functions import rules as R
 from framelens.functions import signals as S
 from framelens.functions import text as T
 from framelens.operators import classify as K
 from framelens.operators import review as RV
+from framelens.sources import naming as NA
 from framelens.sources import results as RE
 
 ITEM = "struct<line_no:int,text:string,x1:double,y1:double,x2:double,y2:double,score:double>"
@@ -142,22 +145,42 @@ def test_rule_files_replace_tables(spark, tmp_path):
 
 
 def test_literal_parsing(spark):
-    df = spark.sql("""SELECT "{'Help': 12.5, 'x': 1}" AS a, "[('it', 0.9), ('', 0.1), ('x', 'bad')]" AS b, "nonsense[" AS c""")
+    df = spark.sql("""SELECT "{'Help': 12.5, 'x': 1}" AS a, "[('it', 0.9), ('', 0.1), ('x', 'bad'), ('Wild (x2)', None)]" AS b, "nonsense[" AS c""")
     r = df.selectExpr(f"{RE.parse_literal('a', 'map<string,double>')} AS a", f"{RE.row_items('b')} AS b", f"{RE.parse_literal('c', 'map<string,double>', 'map()')} AS c").first()
-    assert r.a == {"Help": 12.5, "x": 1.0} and [(i.text, i.score) for i in r.b] == [("it", 0.9), ("x", 0.0)] and r.c == {}
+    assert r.a == {"Help": 12.5, "x": 1.0} and [(i.text, i.score) for i in r.b] == [("it", 0.9), ("x", 0.0), ("Wild (x2)", 0.0)] and r.c == {}
+
+
+def test_literals_read_as_python_reads_them(spark):
+    values = ["Wild (x2)", "it's [x]", 'say "hi"', "both ' and \"", "back\\slash", "None", "a, b: {c}", "日本", ""]
+    df = spark.createDataFrame([(n, [(v, 0.5)], {"k": [v, "z"]}, repr([(v, 0.5)])) for n, v in enumerate(values)], "n int, items array<struct<text:string,score:double>>, hits map<string,array<string>>, py string")
+    rows = df.selectExpr("*", f"{RE.literal_texts('items')} AS t", f"{RE.literal_lists('hits')} AS h").selectExpr(
+        "*", f"{RE.row_items('t')} AS back", f"{RE.row_items('py')} AS python", f"{RE.parse_literal('h', 'map<string,array<string>>')} AS hits_back").orderBy("n").collect()
+    for r, v in zip(rows, values):
+        assert ast.literal_eval(r.t) == [(v, 0.5)] and ast.literal_eval(r.h) == {"k": [v, "z"]}
+        assert [i.text for i in r.back] == [i.text for i in r.python] == ([v] if v else []) and r.hits_back == {"k": [v, "z"]}
 
 
-def test_corrections_are_idempotent_and_last_wins(spark):
-    records = spark.createDataFrame([(n, "Help", f"out/Help/{n}.jpg") for n in range(4)], "frame_idx bigint, category string, save_path string")
+def test_first_correction_of_a_file_wins(spark):
+    paths = {0: "out/Help/0.jpg", 1: "out/Help/1.jpg", 2: "out/Help/2.jpg", 3: "out/Help/3.jpg", 4: "out/BigWin/1.jpg"}
+    records = spark.createDataFrame([(n, n, "Help", p) for n, p in paths.items()] + [(10, 0, "Help", "out/Help/old.jpg"), (-1, 0, "Help", "out/Help/older.jpg")], "line bigint, frame_idx bigint, category string, save_path string")
     payload = """{"video_id":"v","corrections":[{"frame_idx":0,"action":"exclude","save_path":"out/Help/0.jpg"},{"frame_idx":1,"action":"reclassify","save_path":"out/Help/1.jpg","new_category":"Other"},
-      {"frame_idx":2,"action":"reclassify","save_path":"out/Help/2.jpg","new_category":""},{"frame_idx":3,"action":"dance","save_path":"out/Help/3.jpg"}]}"""
+      {"frame_idx":2,"action":"reclassify","save_path":"out/Help/2.jpg","new_category":""},{"frame_idx":3,"action":"dance","save_path":"out/Help/3.jpg"},
+      {"frame_idx":1,"action":"exclude","save_path":"out/Help/1.jpg"},{"frame_idx":4,"action":"reclassify","save_path":"out/BigWin/1.jpg","new_category":"Other"}]}"""
     rows = RV.read_corrections(spark.createDataFrame([(payload,)], "p string"), "p", "session")
     assert {r.output_dir for r in rows.collect()} == {"session"}
-    checked = RV.checked_corrections(rows, records.selectExpr("save_path AS path"))
-    once = RV.apply_corrections(records, checked, ["frame_idx"], "frame_idx")
-    twice = RV.apply_corrections(once.drop("corrected"), checked, ["frame_idx"], "frame_idx")
-    want = [(0, "Excluded", "out/excluded/0.jpg"), (1, "Other", "out/Other/1.jpg"), (2, "Help", "out/Help/2.jpg"), (3, "Help", "out/Help/3.jpg")]
-    for df in (once, twice):
-        assert sorted((r.frame_idx, r.category, r.save_path) for r in df.collect()) == want
+    files = records.selectExpr("save_path AS path")
+    checked = RV.checked_corrections(rows, files, "seq")
+    assert [r.outcome for r in checked.orderBy("seq").collect()] == ["moved", "moved", "no_category", "ignored", "missing_file", "moved"]
+    out = RV.apply_corrections(records, checked, files, ["frame_idx"], "seq", "line")
+    assert sorted((r.line, r.category, r.save_path) for r in out.collect()) == [
+        (-1, "Help", "out/Help/older.jpg"), (0, "Help", "out/Help/0.jpg"), (1, "Other", "session/Other/1.jpg"), (2, "Help", "out/Help/2.jpg"),
+        (3, "Help", "out/Help/3.jpg"), (4, "Other", "session/Other/1_1.jpg"), (10, "Excluded", "session/excluded/0.jpg")]
     s = RV.correction_summary(checked).first()
-    assert (s.moved, s.skipped, s.updated) == (2, 1, True)
+    assert (s.moved, s.skipped, s.updated) == (3, 2, True)
+
+
+def test_numbered_names_pass_over_taken_ones(spark):
+    df = spark.createDataFrame([(n, "o/a.jpg") for n in range(4)] + [(9, "o/b.jpg")], "id bigint, target string")
+    taken = spark.createDataFrame([("o/a.jpg",), ("o/a_1.jpg",), ("o/a_3.jpg",)], "target string")
+    got = [r.unique_target for r in NA.unique_targets(df, "target", "id", taken).orderBy("id").collect()]
+    assert got == ["o/a_2.jpg", "o/a_4.jpg", "o/a_5.jpg", "o/a_6.jpg", "o/b.jpg"]
