@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import functions as F
 
 from ..functions import scores as V
@@ -12,17 +10,12 @@ from ..functions.rules import GAME_RULES_TERMS, PAYOUT_TITLE_TERMS
 from ..operators import icons as I
 from ..operators import pages as P
 from . import fixtures as fx
+from . import icon_sql as SQL
 from .q_classify import ICON_QUALITY_SQL, KEYS, PAGE_TEXT_SQL, VISUAL_SQL, page_text, r6
 from .registry import query
 from .sqlkit import cte, q, substr_sql, with_sql
 
 
-def duck(expr: str) -> str:
-    """The same rule list in DuckDB spelling."""
-    expr = re.sub(r"(?<![\w.])(\d+(?:\.\d+)?)D\b", r"\1::DOUBLE", expr)
-    return re.sub(r"startswith\(", "starts_with(", expr)
-
-
 def pages(spark, sf):
     return P.with_page_scores(page_text(fx.frames(spark, sf)))
 
@@ -132,18 +125,21 @@ def _(spark, sf):
     return fx.icons(spark, sf).selectExpr(*KEYS, f"{I.LARGE_PAGE} AS large_page", f"{I.TRUSTED_BOX} AS trusted")
 
 
-def _reason_query(name, expr):
-    @query(name, with_sql("icon_scored", f"SELECT video_id, frame_idx, {duck(expr)} AS reason FROM icon_scored"))
+cte("icon_measures", "icon_scored", SQL.MEASURES)
+
+
+def _reason_query(name, expr, sql):
+    @query(name, with_sql("icon_measures", f"SELECT video_id, frame_idx, {sql} FROM icon_measures"))
     def _(spark, sf):
         return scored_icons(spark, sf).selectExpr(*KEYS, f"{expr} AS reason")
 
 
-_reason_query("p10_candidate_validity", I.candidate_reason())
-_reason_query("p10_text_only", I.text_only_reason())
-_reason_query("p11_quality_reject", I.quality_reason())
-_reason_query("p12_final_reject", I.final_reason())
-_reason_query("p13_portrait_fragment", I.portrait_reason())
-_reason_query("p13_full_page_text", I.full_page_reason())
+_reason_query("p10_candidate_validity", I.candidate_reason(), SQL.CANDIDATE)
+_reason_query("p10_text_only", I.text_only_reason(), SQL.TEXT_ONLY)
+_reason_query("p11_quality_reject", I.quality_reason(), SQL.QUALITY)
+_reason_query("p12_final_reject", I.final_reason(), SQL.FINAL)
+_reason_query("p13_portrait_fragment", I.portrait_reason(), SQL.PORTRAIT)
+_reason_query("p13_full_page_text", I.full_page_reason(), SQL.FULL_PAGE)
 
 
 @query("p13_payout_bleed", with_sql("icons_fx", """SELECT video_id, frame_idx, icon_w >= 42 AND icon_h >= 54 AND lower_text >= 0.035 AND upper_art >= 0.045 AND coalesce(len2,FALSE) AS bleed FROM icons_fx LEFT JOIN (
@@ -157,7 +153,7 @@ def _(spark, sf):
 ACTIVE_ROWS = "transform(sequence(0, 11), r -> (frame_idx * (r + 3)) % 5 = 1)"
 
 
-@query("p14_allow_overrides", with_sql("icon_scored", f"SELECT video_id, frame_idx, raw, {duck(I.allow_override('raw'))} AS gated FROM (SELECT *, {duck(I.final_reason())} AS raw FROM icon_scored)"))
+@query("p14_allow_overrides", with_sql("icon_measures", f"SELECT video_id, frame_idx, raw, {SQL.GATED} FROM (SELECT *, reason AS raw FROM (SELECT *, {SQL.FINAL} FROM icon_measures))"))
 def _(spark, sf):
     return scored_icons(spark, sf).selectExpr("*", f"{I.final_reason()} AS raw").selectExpr(*KEYS, "raw", f"{I.allow_override('raw')} AS gated")
 
