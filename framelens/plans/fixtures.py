@@ -11,10 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 ROI_W, ROI_H = 400, 900
 
-OCR_TEXTS = ["PAYTABLE", "Remaining Free Spins 8", "MEGAWIN", "TOTAL WIN", "12,500.00", "Tap to Start",
-             "Loading resource", "Buy Feature", "Current Cost 200", "AUTO", "Turbo", "Balance 1000.00",
-             "Wild Symbol", "Scatter symbol pays 3 - 50", "Congratulations", "You have won 10 free spins",
-             "COLLECT", "jackpot grand 5000 major 200", "win 25", "Super Mega Win"]
+# 37 phrases; a frame's lines step through them by seven, so pairs that a rule needs together stand seven apart
+OCR_TEXTS = ["PAYTABLE", "Remaining Free Spins 8", "MEGAWIN", "TOTAL WIN", "12,500.00", "Tap to Start", "PG Soft", "Transaction ID",
+             "Loading resource", "Buy Feature", "Sensational", "free spins left 7", "AUTO", "featuring wild", "Transaction ACCEPT", "Turbo",
+             "Current Cost 200", "Wild Symbol", "Scatter symbol pays 3 - 50 4 - 100 5 - 200 6 - 300", "Congratulations", "You have won 10 free spins", "free spins 7", "Balance 1000.00", "COLLECT",
+             "jackpot grand 5000 major 200", "https www game com", "wild symbol substitutes for all but scatter 5", "win 25", "Super Mega Win", "multiplier x25 of bonus rules", "nice 40", "search all pages of the game in chrome",
+             "entertain beyond boundaries", "symbol payout values 1 - 25 2 - 50 3 - 75", "20 paylines full 5 full 8", "wild symbol pays 5 - 10 6 - 20 7 - 30", "huge win"]
+# lines per frame: few, the usual six, and enough for the rules about pages
+LINES = "CASE frame_idx % 10 WHEN 0 THEN 24 WHEN 1 THEN 9 WHEN 2 THEN 1 ELSE 6 END"
 
 CATEGORY = """CASE event_type WHEN 'view' THEN 'Basegame'
   WHEN 'click' THEN CASE WHEN event_id % 2 = 0 THEN 'Feature game' ELSE 'Help' END
@@ -94,9 +98,9 @@ OCR_SQL = (
     " CAST((f.frame_idx * 37 + o.line_no * 11) % 300 + 40 + (f.frame_idx * 7 + o.line_no) % 160 AS DOUBLE) AS x2,"
     " CAST((f.frame_idx * 53 + o.line_no * 97) % 800 + 14 + (f.frame_idx * 5 + o.line_no) % 60 AS DOUBLE) AS y2"
     " FROM (SELECT user_id % 15 AS video_id, event_id AS frame_idx FROM events) f"
-    " JOIN (VALUES (0),(1),(2),(3),(4),(5)) AS o(line_no) ON TRUE"
+    " JOIN (VALUES " + ",".join(f"({n})" for n in range(24)) + f") AS o(line_no) ON o.line_no < {LINES}"
     " JOIN (VALUES " + ",".join(f"({k},'{t}')" for k, t in enumerate(OCR_TEXTS)) + ") AS p(k, txt)"
-    " ON p.k = (f.frame_idx * 3 + o.line_no * 7 + f.video_id) % 20")
+    " ON p.k = (f.frame_idx * 3 + o.line_no * 7 + f.video_id) % 37")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -114,7 +118,7 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 _ITEM = """named_struct('line_no', n,
-  'text', array({texts})[CAST((frame_idx * 3 + n * 7 + video_id) % 20 AS INT)],
+  'text', array({texts})[CAST((frame_idx * 3 + n * 7 + video_id) % 37 AS INT)],
   'x1', CAST((frame_idx * 37 + n * 11) % 300 AS DOUBLE), 'y1', CAST((frame_idx * 53 + n * 97) % 800 AS DOUBLE),
   'x2', CAST((frame_idx * 37 + n * 11) % 300 + 40 + (frame_idx * 7 + n) % 160 AS DOUBLE),
   'y2', CAST((frame_idx * 53 + n * 97) % 800 + 14 + (frame_idx * 5 + n) % 60 AS DOUBLE),
@@ -129,7 +133,7 @@ def frames(spark: SparkSession, sf_dir: str, parallel: bool = True) -> DataFrame
     cols = {**_KEYS, "category": CATEGORY, **SCORES, **METRICS, "roi_w": ROI_W, "roi_h": ROI_H}
     events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
     df = (spread(events) if parallel else events).selectExpr(*[f"{e} AS {n}" for n, e in cols.items()])
-    return df.selectExpr("*", f"transform(sequence(0, 5), n -> {_ITEM}) AS items")
+    return df.selectExpr("*", f"transform(sequence(0, {LINES} - 1), n -> {_ITEM}) AS items")
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -81,18 +81,27 @@ _INTER = "(greatest(0,least(a.x2,b.x2)-greatest(a.x1,b.x1))*greatest(0,least(a.y
 _AA, _AB = "((a.x2-a.x1)*(a.y2-a.y1))", "((b.x2-b.x1)*(b.y2-b.y1))"
 
 
-@query("p6_box_iou", with_sql("ocr_fx", f"""SELECT a.video_id, a.frame_idx, a.line_no, round({_INTER}/({_AA}+{_AB}-{_INTER}),6)::DOUBLE AS iou, round({_INTER}/greatest(1.0,least({_AA},{_AB})),6)::DOUBLE AS overlap
-  FROM ocr_fx a JOIN ocr_fx b ON a.video_id = b.video_id AND a.frame_idx = b.frame_idx AND b.line_no = a.line_no + 1"""))
+# boxes of a frame moved together, so that many overlap
+_CROWDED = {"x1": "floor(x1 / 150) * 60", "y1": "floor(y1 / 400) * 30", "x2": "floor(x1 / 150) * 60 + 50 + x1 % 100", "y2": "floor(y1 / 400) * 30 + 40 + y1 % 60"}
+cte("box_fx", "ocr_fx", "SELECT video_id, frame_idx, line_no, ocr_score, " + ", ".join(f"CAST({e} AS DOUBLE) AS {c}" for c, e in _CROWDED.items()) + " FROM ocr_fx")
+
+
+def crowded(spark, sf):
+    return fx.ocr_lines(spark, sf).selectExpr(*KEYS, "line_no", "ocr_score", "text", *[f"CAST({e} AS DOUBLE) AS {c}" for c, e in _CROWDED.items()])
+
+
+@query("p6_box_iou", with_sql("box_fx", f"""SELECT a.video_id, a.frame_idx, a.line_no, round({_INTER}/({_AA}+{_AB}-{_INTER}),6)::DOUBLE AS iou, round({_INTER}/greatest(1.0,least({_AA},{_AB})),6)::DOUBLE AS overlap
+  FROM box_fx a JOIN box_fx b ON a.video_id = b.video_id AND a.frame_idx = b.frame_idx AND b.line_no = a.line_no + 1"""))
 def _(spark, sf):
     """Each box against the next one of its frame."""
-    box = fx.ocr_lines(spark, sf).selectExpr(*KEYS, "line_no", "named_struct('x1', x1, 'y1', y1, 'x2', x2, 'y2', y2) AS a")
+    box = crowded(spark, sf).selectExpr(*KEYS, "line_no", "named_struct('x1', x1, 'y1', y1, 'x2', x2, 'y2', y2) AS a")
     nxt = box.selectExpr(*KEYS, "line_no - 1 AS line_no", "a AS b")
     return box.join(nxt, [*KEYS, "line_no"]).selectExpr(*KEYS, "line_no", r6(X.box_iou("a", "b"), "iou"), r6(X.box_overlap_min("a", "b"), "overlap"))
 
 
 @query("p7_suppress_boxes")
 def _(spark, sf):
-    return P.suppress_boxes(fx.ocr_lines(spark, sf), KEYS, "line_no").select(*KEYS, "line_no", "keep_rank")
+    return P.suppress_boxes(crowded(spark, sf), KEYS, "line_no").select(*KEYS, "line_no", "keep_rank")
 
 
 _T = "CASE WHEN a.y <= b.y THEN a.{c} ELSE b.{c} END"
@@ -143,14 +152,14 @@ _reason_query("p13_full_page_text", I.full_page_reason(), SQL.FULL_PAGE)
 
 
 @query("p13_payout_bleed", with_sql("icons_fx", """SELECT video_id, frame_idx, icon_w >= 42 AND icon_h >= 54 AND lower_text >= 0.035 AND upper_art >= 0.045 AND coalesce(len2,FALSE) AS bleed FROM icons_fx LEFT JOIN (
-  SELECT video_id, frame_idx, bool_or(a AND b) AS len2 FROM (SELECT video_id, frame_idx, a, lead(a) OVER (PARTITION BY video_id, frame_idx ORDER BY r) AS b FROM (SELECT video_id, frame_idx, r, (frame_idx * (r + 3)) % 5 = 1 AS a
+  SELECT video_id, frame_idx, bool_or(a AND b) AS len2 FROM (SELECT video_id, frame_idx, a, lead(a) OVER (PARTITION BY video_id, frame_idx ORDER BY r) AS b FROM (SELECT video_id, frame_idx, r, (frame_idx * (r + 3)) % 5 < 2 AS a
    FROM icons_fx, range(12) t(r))) GROUP BY 1,2) USING (video_id, frame_idx)"""))
 def _(spark, sf):
     df = scored_icons(spark, sf).selectExpr("*", f"{ACTIVE_ROWS} AS active_rows")
     return df.selectExpr(*KEYS, f"{I.payout_bleed('active_rows')} AS bleed")
 
 
-ACTIVE_ROWS = "transform(sequence(0, 11), r -> (frame_idx * (r + 3)) % 5 = 1)"
+ACTIVE_ROWS = "transform(sequence(0, 11), r -> (frame_idx * (r + 3)) % 5 < 2)"
 
 
 @query("p14_allow_overrides", with_sql("icon_measures", f"SELECT video_id, frame_idx, raw, {SQL.GATED} FROM (SELECT *, reason AS raw FROM (SELECT *, {SQL.FINAL} FROM icon_measures))"))
@@ -185,11 +194,12 @@ def _(spark, sf):
 
 
 @query("p18_pixel_same", """SELECT vec_id, same FROM (SELECT a.vec_id, list_avg(list_transform(list_zip(a.embedding[1:48], b.embedding[1:48]), lambda p: abs(p[1]::DOUBLE-p[2]::DOUBLE))) <= CASE WHEN a.label % 2 = 0 AND b.label % 2 = 0 THEN 0.014 ELSE 0.055 END
-  AND list_avg(list_transform(list_zip(a.embedding[49:64], b.embedding[49:64]), lambda p: abs(p[1]::DOUBLE-p[2]::DOUBLE)))*0.1 <= 0.018 AS same FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)""")
+  AND list_avg(list_transform(list_zip(a.embedding[49:64], b.embedding[49:64]), lambda p: abs(p[1]::DOUBLE-p[2]::DOUBLE)))*0.1 <= 0.018 AS same FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + CASE WHEN a.vec_id % 3 = 0 THEN 0 ELSE 1 END)""")
 def _(spark, sf):
     e = fx.table(spark, sf, "embeddings").selectExpr("vec_id", "slice(embedding, 1, 48) AS rgb", "transform(slice(embedding, 49, 16), v -> CAST(v AS DOUBLE) * 0.1D) AS alpha",
                                                      "CASE WHEN label % 2 = 0 THEN 'portrait_paytable_card' ELSE 'standard' END AS kind")
-    j = e.join(e.selectExpr("vec_id - 1 AS vec_id", "rgb AS rgb2", "alpha AS alpha2", "kind AS kind2"), "vec_id")
+    # every third with itself
+    j = e.withColumn("partner", F.expr("vec_id + IF(vec_id % 3 = 0, 0, 1)")).join(e.selectExpr("vec_id AS partner", "rgb AS rgb2", "alpha AS alpha2", "kind AS kind2"), "partner")
     return j.selectExpr("vec_id", f"{I.pixel_same('rgb', 'rgb2', 'kind', 'kind2', 'alpha', 'alpha2')} AS same")
 
 

@@ -123,13 +123,14 @@ def _(spark, sf):
     return L.union_prefer_first(d.where("lang = 'en'").drop("lang"), d.where("lang <> 'en'").drop("lang"), ["source"], "n_chars", "doc_id", 30)
 
 
-@query("io6_topup_from_fallback", with_sql("frames_fx", """, p AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY frame_idx) AS rn FROM frames_fx WHERE category = 'loading'
+@query("io6_topup_from_fallback", with_sql("frames_fx", """, p AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY frame_idx) AS rn FROM frames_fx WHERE category = CASE WHEN video_id % 3 = 0 THEN 'no such' ELSE 'loading' END
    QUALIFY rn <= 12), c AS (SELECT video_id, count(*) AS n FROM p GROUP BY 1),
   f AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY frame_idx) AS rn FROM frames_fx WHERE category = 'Other')
   SELECT video_id, frame_idx, category FROM p UNION ALL SELECT video_id, frame_idx, category FROM f LEFT JOIN c USING (video_id) WHERE coalesce(n,0) < 4 AND rn + coalesce(n,0) <= 12""".replace(", p AS", "SELECT * FROM (WITH p AS", 1) + ")"))
 def _(spark, sf):
+    # every third video has no rows of the first category
     d = fx.scores(spark, sf).select(*KEYS, "category")
-    return L.topup_from_fallback(d.where("category = 'loading'"), d.where("category = 'Other'"), ["video_id"], "frame_idx").select(*KEYS, "category")
+    return L.topup_from_fallback(d.where("category = IF(video_id % 3 = 0, 'no such', 'loading')"), d.where("category = 'Other'"), ["video_id"], "frame_idx").select(*KEYS, "category")
 
 
 @query("io7_even_sample", """WITH d AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS p, count(*) OVER (PARTITION BY source) AS n FROM documents),
@@ -269,9 +270,9 @@ def _(spark, sf):
     return SE.select_bigwin(d, GAP).select(*KEYS, "tier", "keep_rank")
 
 
-@query("k13_help_group", with_sql("records", f"""SELECT video_id, frame_idx, grp FROM (SELECT *, max(CASE WHEN best = 1 THEN grp END) OVER (PARTITION BY video_id) AS bg FROM (SELECT *,
+@query("k13_help_group", with_sql("records", f"""SELECT video_id, frame_idx, grp FROM (SELECT *, max(CASE WHEN best = 1 THEN grp END) OVER (PARTITION BY video_id) AS bg, count(*) FILTER (ok AND record_web_chrome) OVER (PARTITION BY video_id) AS n_web FROM (SELECT *,
   row_number() OVER (PARTITION BY video_id ORDER BY n_ok DESC, round(q, 9) DESC, n DESC, grp, frame_idx) AS best FROM (SELECT *, count(*) FILTER (ok) OVER (PARTITION BY video_id, grp) AS n_ok,
-  avg(help_quality_score) OVER (PARTITION BY video_id, grp) AS q, count(*) OVER (PARTITION BY video_id, grp) AS n FROM ({_islands("video_id", f"(SELECT *, {RULE_HELP_SQL} AS ok FROM records WHERE category = 'Help')")})))) WHERE grp = bg"""))
+  avg(help_quality_score) OVER (PARTITION BY video_id, grp) AS q, count(*) OVER (PARTITION BY video_id, grp) AS n FROM ({_islands("video_id", f"(SELECT *, {RULE_HELP_SQL} AS ok FROM records WHERE category = 'Help')")})))) WHERE CASE WHEN n_web >= 3 THEN ok AND record_web_chrome ELSE grp = bg END"""))
 def _(spark, sf):
     d = records(spark, sf, "plain_rule_help", "record_web_chrome").where("category = 'Help'")
     return SE.help_candidates(d.select(*KEYS, "help_quality_score", "sig_plain_rule_help", "sig_record_web_chrome"), GAP).select(*KEYS, "grp")
@@ -352,10 +353,11 @@ def _(spark, sf):
 
 @query("k19_visual_similarity", """SELECT vec_id, round(mad,6) AS mad, round(corr,6) AS corr, mad <= 0.006 AND corr >= 0.995 AS same FROM (
   SELECT vec_id, avg(abs(ga::DOUBLE - gb::DOUBLE)) FILTER (i <= 32) AS mad, corr(ga::DOUBLE, gb::DOUBLE) FILTER (i > 32) AS corr FROM (SELECT a.vec_id, unnest(a.embedding) AS ga, unnest(b.embedding) AS gb, unnest(range(1,65)) AS i
-  FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1) GROUP BY 1)""")
+  FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + CASE WHEN a.vec_id % 3 = 0 THEN 0 ELSE 1 END) GROUP BY 1)""")
 def _(spark, sf):
     e = fx.table(spark, sf, "embeddings").selectExpr("vec_id", "slice(embedding, 1, 32) AS g", "transform(slice(embedding, 33, 32), v -> CAST(v AS DOUBLE)) AS h")
-    j = e.join(e.selectExpr("vec_id - 1 AS vec_id", "g AS g2", "h AS h2"), "vec_id")
+    # every third with itself
+    j = e.withColumn("partner", F.expr("vec_id + IF(vec_id % 3 = 0, 0, 1)")).join(e.selectExpr("vec_id AS partner", "g AS g2", "h AS h2"), "partner")
     return j.selectExpr("vec_id", r6(X.mean_abs_diff("g", "g2"), "mad"), r6(X.correlation("h", "h2"), "corr"), f"{X.visually_same('g', 'g2', 'h', 'h2')} AS same")
 
 

@@ -56,7 +56,7 @@ def result_rows(spark, sf):
         "level AS confidence_level", "format_string('%.3f', conf_score) AS confidence_score")
 
 
-@query("io9_read_result_csv", with_sql("confident ocr_fx", """SELECT video_id, frame_idx, category AS final_category, top_score, round(basegame_ui_score,1)::DOUBLE AS basegame_ui, level, conf_score, 6::BIGINT AS n_texts, 900::INTEGER AS roi_h FROM confident"""))
+@query("io9_read_result_csv", with_sql("confident ocr_fx", """SELECT video_id, frame_idx, category AS final_category, top_score, round(basegame_ui_score,1)::DOUBLE AS basegame_ui, level, conf_score, (SELECT count(*) FROM ocr_fx o WHERE o.video_id = confident.video_id AND o.frame_idx = confident.frame_idx) AS n_texts, 900::INTEGER AS roi_h FROM confident"""))
 def _(spark, sf):
     """Result table written as text and read back."""
     path = scratch(spark)
