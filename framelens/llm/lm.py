@@ -75,6 +75,27 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word binary, rare int, c long").groupBy("word").agg(F.first("rare").alias("rare"), F.sum("c").alias("c"))
 
 
+def head_words(counts: DataFrame, head: int) -> tuple[list[bytes], np.ndarray]:
+    """The most frequent words with their counts, at most ``head`` of them, by count and then by word.
+
+    A histogram of the logarithms of the counts (a row per sixteenth of a doubling)
+    gives the count from which the words fit; a filter then finds them, so no task
+    sees more than its own share of the words.
+    """
+    level = "CAST(floor(log2(c) * 16) AS INT)"
+    sizes = sorted(((r.level, r["count"]) for r in counts.groupBy(F.expr(f"{level} AS level")).count().collect()), reverse=True)
+    least, n = None, 0
+    for at, size in sizes:
+        if n + size > head:
+            break
+        least, n = at, n + size
+    if least is None:
+        return [], np.empty(0)
+    top = counts.where(f"{level} >= {least}").select("word", "c").toArrow()
+    rows = sorted(zip(top.column("word").to_pylist(), top.column("c").to_pylist()), key=lambda r: (-r[1], r[0]))
+    return [w for w, _ in rows], np.array([c for _, c in rows], np.float64)
+
+
 class Vocabulary:
     """Counts of the head words, places of the frequent ones and masses of the rare classes."""
 
@@ -144,8 +165,7 @@ def score(docs: DataFrame, held_out: str, train_docs: int = TRAIN_DOCS, head: in
     ends = training.count()
     n_words, n_kinds = counts.selectExpr("coalesce(sum(c), 0)", "count(*)").first()
     total, kinds = n_words + ends, n_kinds + (ends > 0)
-    top = counts.orderBy(F.desc("c"), "word").limit(head).select("word", "c").toArrow()  # at most HEAD rows
-    words, freq = top.column("word").to_pylist(), np.array(top.column("c").to_pylist(), np.float64)
+    words, freq = head_words(counts, head)
     # masses of the rare classes: all words less the frequent ones, and a place for unseen words
     frequent = words[:CLASSES * PLACES - 1]
     mass = np.full(RARE, ALPHA)
