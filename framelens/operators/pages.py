@@ -148,14 +148,14 @@ def merge_stacked(df: DataFrame, boxes: str, image_w: float, image_h: float) ->
 
 
 # --- collection budgets ----------------------------------------------------------------------------
-def round_robin(df: DataFrame, group: list[str], page: str, pos: str, cap: int = 1200) -> DataFrame:
-    """i-th row of every page before the (i+1)-th of any, at most ``cap`` rows per group."""
+def round_robin(df: DataFrame, group: list[str], page: str, pos: str, cap: int | None = 1200) -> DataFrame:
+    """i-th row of every page before the (i+1)-th of any, at most ``cap`` rows per group (None: all)."""
     rows = top_k(df, [*group, page], pos, cap, "turn")
     return top_k(rows, group, f"turn, {page}, {pos}", cap, "collect_rank")
 
 
-def sequential_budget(df: DataFrame, group: list[str], page: str, pos: str, cap: int = 40) -> DataFrame:
-    """Whole pages in order until the cap; pages of an even count of at least 8 go first if there are any."""
+def sequential_budget(df: DataFrame, group: list[str], page: str, pos: str, cap: int | None = 40) -> DataFrame:
+    """Whole pages in order until the cap (None: all); pages of an even count of at least 8 go first if there are any."""
     sizes = df.groupBy(*group, page).agg(F.count(F.lit(1)).alias("n_page"))
     any_even = sizes.groupBy(*group).agg(F.expr("bool_or(n_page % 2 = 0 AND n_page >= 8)").alias("has_even"))
     chosen = sizes.join(any_even, group).where("NOT has_even OR (n_page % 2 = 0 AND n_page >= 8)").select(*group, page)

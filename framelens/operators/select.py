@@ -21,7 +21,8 @@ from .windows import exact_rank, gap_groups, top_k
 KEY = ["video_id", "frame_idx"]
 CLUSTERS, PER_CLUSTER = 3, 3
 POOL = CLUSTERS * PER_CLUSTER
-HELP_PAGES, PAYTABLE_PAGES = 32, 24
+# the product's own limits; callers may pass others, None for all rows
+HELP_PAGES, PAYTABLE_PAGES, FALLBACK_PAGES, SPLASH_ROWS = 32, 24, 3, 3
 
 
 def top_k_for(category: str) -> str:
@@ -29,8 +30,10 @@ def top_k_for(category: str) -> str:
     return f"CASE {category} " + " ".join(f"WHEN {lit(c)} THEN {k}" for c, k in R.TOP_K.items()) + f" ELSE {R.TOP_K_DEFAULT} END"
 
 
-def top_k_per_category(df: DataFrame, order: str = "top_score DESC, frame_idx") -> DataFrame:
-    """Plain top-k by score with the category's own k."""
+def top_k_per_category(df: DataFrame, order: str = "top_score DESC, frame_idx", capped: bool = True) -> DataFrame:
+    """Plain top-k by score with the category's own k; all rows, ranked, without caps."""
+    if not capped:
+        return top_k(df, ["video_id", "category"], order, None)
     most = max([*R.TOP_K.values(), R.TOP_K_DEFAULT])
     return top_k(df, ["video_id", "category"], order, most).where(f"rank <= {top_k_for('category')}")
 
@@ -46,8 +49,8 @@ def best_per_event(df: DataFrame, keys: list[str], order: list[tuple[str, bool]]
     return df.groupBy(*keys, group).agg(F.expr(f"max_by(frame_idx, {rank_struct(order)})").alias("frame_idx"))
 
 
-def fill_to_k(df: DataFrame, winners: DataFrame, keys: list[str], order: list[tuple[str, bool]], k: int) -> DataFrame:
-    """Event winners by rank, then the remaining rows by rank, k rows per key."""
+def fill_to_k(df: DataFrame, winners: DataFrame, keys: list[str], order: list[tuple[str, bool]], k: int | None) -> DataFrame:
+    """Event winners by rank, then the remaining rows by rank, k rows per key (None: all)."""
     marks = winners.select(*keys, "frame_idx").withColumn("is_winner", F.lit(1))
     by = ", ".join(["is_winner DESC"] + [f"{e} {'DESC' if desc else 'ASC'}" for e, desc in order] + ["frame_idx"])
     flagged = df.join(marks, [*keys, "frame_idx"], "left").fillna(0, ["is_winner"])
@@ -59,11 +62,11 @@ TRANSITION_ORDER = [("CAST(sig_record_award AS INT)", True), ("CAST(sig_record_s
                     ("transition_keep_score", True), ("noise_score", False), ("top_score", True)]
 
 
-def select_transition(df: DataFrame, gap: int = R.EVENT_GAP["Transition"]) -> DataFrame:
+def select_transition(df: DataFrame, gap: int = R.EVENT_GAP["Transition"], k: int | None = R.TOP_K["Transition"]) -> DataFrame:
     df = durable(df)
     events = gap_groups(df, ["video_id"], "frame_idx", gap)
     winners = best_per_event(events, ["video_id"], TRANSITION_ORDER)
-    return fill_to_k(df, winners, ["video_id"], TRANSITION_ORDER, R.TOP_K["Transition"])
+    return fill_to_k(df, winners, ["video_id"], TRANSITION_ORDER, k)
 
 
 # --- big win -------------------------------------------------------------------------
@@ -78,9 +81,8 @@ def bigwin_tiers(df: DataFrame) -> DataFrame:
         "THEN 'big_win' ELSE '' END AS tier")
 
 
-def select_bigwin(df: DataFrame, gap: int = R.EVENT_GAP["BigWin"]) -> DataFrame:
+def select_bigwin(df: DataFrame, gap: int = R.EVENT_GAP["BigWin"], k: int | None = R.TOP_K["BigWin"]) -> DataFrame:
     """Best row per tier and event in tier order, then the best remaining rows."""
-    k = R.TOP_K["BigWin"]
     # four branches read these rows; writing them once keeps the text rules from running four times
     df = durable(df)
     rows = bigwin_tiers(df).selectExpr("*", f"{V.bigwin_keep_score()} AS keep_score")
@@ -93,12 +95,12 @@ def select_bigwin(df: DataFrame, gap: int = R.EVENT_GAP["BigWin"]) -> DataFrame:
 
 
 # --- loading -----------------------------------------------------------------------------
-def select_loading(df: DataFrame, scores: str = "category_scores", hits: str = "loading_hits") -> DataFrame:
-    """Up to three earliest splash rows, then the best by keep score, six in all."""
-    k = R.TOP_K["loading"]
+def select_loading(df: DataFrame, scores: str = "category_scores", hits: str = "loading_hits", k: int | None = R.TOP_K["loading"],
+                   splash_rows: int | None = SPLASH_ROWS) -> DataFrame:
+    """The earliest ``splash_rows`` splash rows, then the best by keep score, ``k`` in all (None: no limit)."""
     rows = df.selectExpr("*", f"{V.loading_keep_score(scores, hits)} AS keep_score", f"{V.competing_score(scores, base=False)} AS competing",
                          f"contains(lower(array_join({hits}, ' ')), 'loading_splash_visual') AS splash")
-    first = top_k(rows.where("splash"), ["video_id"], "frame_idx, competing DESC, noise_score DESC", 3, "splash_rank").select(*KEY, "splash_rank")
+    first = top_k(rows.where("splash"), ["video_id"], "frame_idx, competing DESC, noise_score DESC", splash_rows, "splash_rank").select(*KEY, "splash_rank")
     return top_k(rows.join(first, KEY, "left"), ["video_id"], "splash_rank IS NULL, splash_rank, keep_score DESC, frame_idx", k, "keep_rank")
 
 
@@ -205,16 +207,20 @@ def anti_keep(df: DataFrame, kept: DataFrame) -> DataFrame:
     return df.join(kept.select(*KEY), KEY, "left_anti")
 
 
-def select_help(df: DataFrame, gap: int = R.EVENT_GAP["Help"]) -> DataFrame:
-    """Help pages per video: rule pages, up to 24 paytable pages, else up to three fallback pages.
+def select_help(df: DataFrame, gap: int = R.EVENT_GAP["Help"], pages: int | None = HELP_PAGES, paytable_pages: int | None = PAYTABLE_PAGES,
+                fallback_pages: int | None = FALLBACK_PAGES) -> DataFrame:
+    """Help pages per video: rule pages, up to ``paytable_pages`` paytable pages, else up to ``fallback_pages`` fallback pages.
 
-    At most 32 pages in all; a page that repeats a kept one (token sets alike at
+    At most ``pages`` pages in all; None lifts a limit.  A page that repeats a kept one (token sets alike at
     0.985) is passed over.  The stages are one greedy walk each; a later stage
     starts with the pages kept before it.
     """
+    def most(limit: int | None, n: str) -> str:
+        return n if limit is None else f"least({limit}, {n})"
+
     rows = help_candidates(df, gap)
     sizes = rows.groupBy("video_id").agg(F.count(F.lit(1)).alias("n_rows"))
-    rows = durable(rows.join(sizes, "video_id")).withColumn("k_", F.expr(f"CAST(least({HELP_PAGES}, n_rows) AS INT)"))
+    rows = durable(rows.join(sizes, "video_id")).withColumn("k_", F.expr(f"CAST({most(pages, 'n_rows')} AS INT)"))
     same = f"{jaccard('r.help_tokens', 'k.help_tokens')} >= 0.985D"
 
     def walk(part: DataFrame, order: list[str], limit: str) -> DataFrame:
@@ -228,9 +234,9 @@ def select_help(df: DataFrame, gap: int = R.EVENT_GAP["Help"]) -> DataFrame:
     later = durable(later)
     table = later.where("help_paytable_score >= 2.0D AND help_quality_score >= 2.5D AND k_ > n_rule_")
     table_order = ["help_paytable_score DESC", *HELP_ORDER[:2], "frame_idx"]
-    pay = durable(walk(table, table_order, f"least({PAYTABLE_PAGES}, k_ - n_rule_)"))
+    pay = durable(walk(table, table_order, most(paytable_pages, "k_ - n_rule_")))
     none = later.where("n_rule_ = 0 AND help_quality_score >= 2.5D").join(pay.select("video_id").distinct(), "video_id", "left_anti")
-    rest = walk(none, HELP_ORDER, "least(3, k_)")
+    rest = walk(none, HELP_ORDER, most(fallback_pages, "k_"))
     staged = [rule.withColumn("stage", F.lit("rule")), pay.join(n_rule, "video_id", "left").fillna(0, ["n_rule_"]).withColumn(
         "keep_rank", F.col("keep_rank") + F.col("n_rule_")).drop("n_rule_").withColumn("stage", F.lit("paytable")), rest.withColumn("stage", F.lit("fallback"))]
     return staged[0].unionByName(staged[1]).unionByName(staged[2])

@@ -29,8 +29,8 @@ def category_counts(df: DataFrame) -> DataFrame:
     return wide.selectExpr("video_id", f"stack({len(R.SUMMARY_CATEGORIES)}, {pairs}) AS (category, n)")
 
 
-def infer_title(df: DataFrame, first: int = 80, default: str = "Unknown Game") -> DataFrame:
-    """Most common plausible text of each video's first rows; first seen wins ties."""
+def infer_title(df: DataFrame, first: int | None = 80, default: str = "Unknown Game") -> DataFrame:
+    """Most common plausible text of each video's ``first`` rows (None: all); first seen wins ties."""
     head = top_k(df.select("video_id", "frame_idx", "items"), ["video_id"], "frame_idx", first, "row_no")
     items = head.selectExpr("video_id", "row_no", "posexplode(items) AS (pos, i)").selectExpr("video_id", "row_no", "pos", "trim(i.text) AS raw", "i.score AS score")
     ok = (f"length(raw) >= 3 AND score >= 0.65D AND NOT raw RLIKE '[0-9]' AND NOT {some_term(normalize_plain('raw'), R.IGNORED_TITLE_WORDS)}")
@@ -39,8 +39,8 @@ def infer_title(df: DataFrame, first: int = 80, default: str = "Unknown Game") -
     return df.select("video_id").distinct().join(best, "video_id", "left").fillna(default, ["title"])
 
 
-def tier_list(df: DataFrame, limit: int = 12) -> DataFrame:
-    """Tier of the first big-win rows of each video."""
+def tier_list(df: DataFrame, limit: int | None = 12) -> DataFrame:
+    """Tier of the first ``limit`` big-win rows of each video (None: all)."""
     text = squeeze(f"array_join(transform(items, i -> {normalize_plain('i.text')}), ' ')")
     rows = top_k(df.where("category = 'BigWin'").select("video_id", "frame_idx", "items"), ["video_id"], "frame_idx", limit, "pos")
     return rows.selectExpr("video_id", "frame_idx", "pos", f"{bigwin_tier_plain(text)} AS tier")
@@ -56,8 +56,8 @@ def infer_mechanics(df: DataFrame) -> DataFrame:
     return flags.selectExpr("video_id", f"stack({len(MECHANICS)}, {pairs}) AS (pos, mechanic, present)").where("present").drop("present")
 
 
-def unique_lines(df: DataFrame, group: list[str], order: str, text: str, limit: int = 30) -> DataFrame:
-    """First ``limit`` lines per group that are new by their plain normal form (length >= 4)."""
+def unique_lines(df: DataFrame, group: list[str], order: str, text: str, limit: int | None = 30) -> DataFrame:
+    """First ``limit`` lines per group (None: all) that are new by their plain normal form (length >= 4)."""
     parts = df.selectExpr(*group, order, f"posexplode(split({text}, r'[\\n\\r]+| {{2,}}')) AS (pos, part)")
     cleaned = parts.selectExpr(*group, order, "pos", "trim(regexp_replace(part, r'\\s+', ' ')) AS line")
     keyed = cleaned.selectExpr("*", f"{normalize_plain('line')} AS line_key").where("length(line_key) >= 4")

@@ -19,9 +19,10 @@ def _csv(names) -> str:
     return ", ".join(names)
 
 
-def top_k(df: DataFrame, keys: list[str], order: str, k: int, rank: str = "rank") -> DataFrame:
-    """First k rows per key; Spark limits each group before the shuffle as well."""
-    return df.selectExpr("*", f"row_number() OVER (PARTITION BY {_csv(keys)} ORDER BY {order}) AS {rank}").where(f"{rank} <= {k}")
+def top_k(df: DataFrame, keys: list[str], order: str, k: int | None, rank: str = "rank") -> DataFrame:
+    """First k rows per key (None: all rows, ranked); Spark limits each group before the shuffle as well."""
+    ranked = df.selectExpr("*", f"row_number() OVER (PARTITION BY {_csv(keys)} ORDER BY {order}) AS {rank}")
+    return ranked if k is None else ranked.where(f"{rank} <= {k}")
 
 
 def gap_groups(df: DataFrame, keys: list[str], pos: str, gap: float, out: str = "grp", width: int = SEGMENT) -> DataFrame:

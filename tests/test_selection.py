@@ -43,3 +43,17 @@ def test_checkpoint_folder_comes_from_the_session(spark):
     from framelens.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(spark)
     assert spark.sparkContext.getCheckpointDir()
+
+
+def test_limits_can_be_lifted(spark, sf):
+    from framelens.operators import pages as P
+    from framelens.operators import select as SE
+    from framelens.operators import summary as SU
+    from framelens.plans import fixtures as fx
+    d = fx.scores(spark, sf).selectExpr("*", "false AS sig_record_award", "false AS sig_record_settings", "0.0D AS transition_keep_score").where("category = 'Transition'")
+    assert SE.select_transition(d, 50, k=None).count() == d.count() > SE.select_transition(d, 50).count()
+    assert SE.top_k_per_category(d, capped=False).count() == d.count()
+    e = fx.table(spark, sf, "events").selectExpr("event_id % 2 AS vid", "event_id % 7 AS page", "event_id")
+    assert P.round_robin(e, ["vid"], "page", "event_id", None).count() == e.count() > P.round_robin(e, ["vid"], "page", "event_id", 40).count()
+    frames = fx.frames(spark, sf)
+    assert SU.tier_list(frames, None).count() == frames.where("category = 'BigWin'").count()
