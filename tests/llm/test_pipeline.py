@@ -13,6 +13,11 @@ from test_simhash import brute as simhash_brute
 import __spark_entry__
 
 
+@pytest.fixture(scope="module")
+def sf():
+    return "/root/testdata/sf0.01"  # smaller tables have too few toxic labels to learn from
+
+
 @pytest.fixture(scope="module")
 def steps(spark, sf, tmp_path_factory):
     """Input and output of every stage, written and read again."""
