@@ -13,6 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..operators.fold import EMPTY, OUTPUT, STATE, SampleConfig, fold_input, walk
+from ..operators.windows import gap_groups
 from ..session import path_exists
 from ..sources.cache import cache_split
 
@@ -41,12 +42,25 @@ def stream_sample_frames(frames: DataFrame, cfg: SampleConfig = SampleConfig())
         step, f"video_id bigint, {OUTPUT}", f"seen bigint, {STATE}", "append", GroupStateTimeout.NoTimeout)
 
 
-def event_groups(events: DataFrame, key: str, ts: str, gap: str, watermark: str | None = None) -> DataFrame:
-    """Runs of events whose distance stays at or below the gap; same code for batch and stream.
+DAY = 86_400_000_000
+
+
+def event_groups(events: DataFrame, key: str, ts: str, gap_micros: int, width: int = DAY) -> DataFrame:
+    """Runs of events of a table whose distance stays at or below the gap.
+
+    A key's time axis is cut into segments of ``width`` microseconds, so a key with
+    most of the events is spread over many tasks.
+    """
+    runs = gap_groups(events.withColumn("us_", F.unix_micros(ts)), [key], "us_", gap_micros, "grp_", width)
+    return runs.groupBy(key, "grp_").agg(F.min(ts).alias("start"), F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_id")).drop("grp_")
+
+
+def stream_event_groups(events: DataFrame, key: str, ts: str, gap: str, watermark: str) -> DataFrame:
+    """The same runs over a stream, as session windows; only runs that the watermark has closed come out.
 
     A session closes at the gap itself, so callers pass the strict limit plus one microsecond.
     """
-    source = events.withWatermark(ts, watermark) if watermark else events
+    source = events.withWatermark(ts, watermark)
     return source.groupBy(F.session_window(ts, gap).alias("w"), key).agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_id")).select(
         key, F.col("w.start").alias("start"), "n", "first_id")
 
