@@ -27,6 +27,7 @@ from __future__ import annotations
 import os
 import re
 import struct
+from array import array
 from dataclasses import dataclass, field
 from itertools import chain
 
@@ -41,7 +42,7 @@ from .registry import query
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = range(1, 7)
-SLICE, CACHED_WORDS, CACHED_PAIRS = 256, 1 << 18, 1 << 20
+SLICE, CACHED_WORDS, CACHED_PAIRS = 512, 1 << 19, 1 << 18
 _WORDS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
@@ -94,6 +95,7 @@ class PieceModel:
         self.byte_ids = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k == _BYTE}
         self.unknown = self.kinds.index(_UNKNOWN)
         self.longest = max(map(len, self.ids), default=1)
+        self.endings = {p[k:] for p in self.ids for k in range(len(p))}  # what a piece can end with
         crossing = [p for p in self.ids if MARK in p.lstrip(MARK)]
         if crossing:
             raise ValueError(f"pieces across words: {crossing[:3]}")
@@ -129,16 +131,25 @@ class PieceModel:
 
     def merged(self, word: str) -> list[str]:
         """Pieces by the merge rule itself: the best-scored adjacent pair first, the leftmost among equals."""
-        parts = list(word)
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                k = self.ids.get(parts[i] + parts[i + 1])
-                if k is not None and (best is None or self.scores[k] > best):
-                    best, at = self.scores[k], i
-            if at < 0:
+        parts, ids, scores = list(word), self.ids, self.scores
+        none = float("-inf")
+
+        def pair(i: int) -> float:
+            k = ids.get(parts[i] + parts[i + 1])
+            return none if k is None else scores[k]
+
+        value = [pair(i) for i in range(len(parts) - 1)]
+        while value:
+            best = max(value)
+            if best == none:
                 break
+            at = value.index(best)
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
+            del value[at]
+            if at:
+                value[at - 1] = pair(at - 1)
+            if at < len(value):
+                value[at] = pair(at)
         return parts
 
 
@@ -155,37 +166,49 @@ class TrieEncoder:
         out: dict[str, tuple[int, ...]] = {}
         last: list[str] = [""]
         score: list[float] = [0.0]
-        before = ""
+        before, ids = "", self.model.ids
         for word in sorted(words):
-            shared = 0
-            for x, y in zip(before, word):
-                if x != y:
-                    break
-                shared += 1
+            shared = min(len(before), len(word))
+            while before[:shared] != word[:shared]:
+                shared -= 1
             del last[shared + 1:], score[shared + 1:]
             for end in range(shared + 1, len(word) + 1):
                 step(word, end, last, score)
-            parts, end = [], len(word)
+            found, end = [], len(word)
             while end:
-                parts.append(last[end])
-                end -= len(last[end])
-            out[word] = tuple(chain.from_iterable(map(self.model.symbol_ids, reversed(parts))))
+                piece = last[end]
+                k = ids.get(piece)
+                if k is None:
+                    found += reversed(self.model.symbol_ids(piece))
+                else:
+                    found.append(k)
+                end -= len(piece)
+            found.reverse()
+            out[word] = tuple(found)
             before = word
         return out
 
     def _fits(self, left: str, right: str) -> bool:
-        known = self.fits.get((left, right))
-        if known is None:
-            if len(self.fits) >= CACHED_PAIRS:
-                self.fits.clear()
-            known = self.fits[left, right] = self.model.merged(left + right) == ([left, right] if left else [right])
+        if len(self.fits) >= CACHED_PAIRS:
+            self.fits.clear()
+        known = self.fits[left, right] = self.model.merged(left + right) == ([left, right] if left else [right])
         return known
 
     def _merge_step(self, word: str, end: int, last: list[str], score: list[float]) -> None:
-        ids = self.model.ids
-        for start in range(max(0, end - self.model.longest), end):
+        ids, endings, fits = self.model.ids, self.model.endings, self.fits
+        starts, start = [], end - 1
+        while start >= 0 and word[start:end] in endings:
+            if word[start:end] in ids:
+                starts.append(start)
+            start -= 1
+        if not starts or starts[0] != end - 1:
+            starts.insert(0, end - 1)  # a character without a piece
+        for start in reversed(starts):
             piece = word[start:end]
-            if (piece in ids or end - start == 1) and self._fits(last[start], piece):
+            known = fits.get((last[start], piece))
+            if known is None:
+                known = self._fits(last[start], piece)
+            if known:
                 last.append(piece)
                 score.append(score[start] + 1)
                 return
@@ -222,8 +245,9 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
                 words = [marked_words(t or "", model.dummy_prefix) for t in part.column(1).to_pylist()]
                 if len(known) >= CACHED_WORDS:
                     known = {}
-                known.update(coder.encode(set(chain.from_iterable(words)).difference(known)))
-                ids = [np.fromiter(chain.from_iterable(map(known.__getitem__, w)), np.int32) for w in words]
+                fresh = coder.encode(set(chain.from_iterable(words)).difference(known))
+                known.update((w, array("i", ids).tobytes()) for w, ids in fresh.items())  # packed: many words are held
+                ids = [np.frombuffer(b"".join(map(known.__getitem__, w)), np.int32) for w in words]
                 ends = np.cumsum([0, *map(len, ids)])
                 yield pa.record_batch([part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids)))], ["doc_id", "ids"])
 
