@@ -12,6 +12,11 @@ Large meeting groups are cut into chunks, and chunk pairs are compared in
 groups of their own; each comparison returns one link per member (to the
 smallest of its local group), never all pairs.
 
+``one_per_likeness`` groups by the Jaccard similarity of the shingle sets, which no
+radius of a 64-bit fingerprint covers (pairs at 0.8 differ in up to 13 bits and
+more): texts that share a band of MinHash lanes meet, lanes estimate their
+similarity, and every link is checked on the shingle sets themselves.
+
 Defined cases: null text is the empty text, and texts without words have
 fingerprint zero; equal fingerprints are linked; a row without doc_id gets a
 fingerprint and no component; repeated rows stay; other columns are not looked
@@ -35,6 +40,9 @@ from .registry import query
 SHINGLE, SEED, RADIUS = 4, 42, 4
 SEGMENTS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 CHUNK = 1024
+# likeness: BANDS * BAND lanes; a pair at 0.8 shares no band with probability (1 - 0.8 ** 5) ** 25 = 5e-5.
+# Estimates under LOW are dropped (0.8 is four deviations away); above SURE, rows follow one leader.
+LIKE_SHINGLE, LIKE, BANDS, BAND, LOW, SURE = 5, 0.8, 25, 5, 0.65, 0.9
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -213,6 +221,108 @@ def one_per_group(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return docs.join(drop, F.expr("doc_id = drop_"), "left_anti")
 
 
+def lanes(hashes: np.ndarray) -> np.ndarray:
+    """Sixteen bits of the smallest of each of ``BANDS * BAND`` permutations of the hashes."""
+    rng = np.random.default_rng(SEED)
+    a, b = rng.integers(0, 1 << 63, (2, BANDS * BAND), dtype=np.uint64)
+    least = np.full(BANDS * BAND, _FULL)
+    for at in range(0, len(hashes), 2048):
+        np.minimum(least, (hashes[at:at + 2048, None] * (a * np.uint64(2) + np.uint64(1)) + b).min(axis=0), out=least)
+    return (least >> np.uint64(48)).astype(np.uint16)
+
+
+def _shingles(docs: DataFrame, shingle: int, kind: str, row) -> DataFrame:
+    """``docs(doc_id, text)`` by ``row`` of each text's sorted distinct shingle hashes."""
+    def run(batches):
+        for b in batches:
+            for at in range(0, len(b), 256):
+                part = b.slice(at, 256)
+                sets = [np.unique(shingle_hashes(t or b"", shingle)) for t in part.column(1).cast(pa.binary()).to_pylist()]
+                yield pa.record_batch([part.column(0), *row(sets)], ["doc_id", *[c.split()[0] for c in kind.split(", ")]])
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {kind}")
+
+
+def lane_pairs(sig: np.ndarray, ids: np.ndarray):
+    """Pairs to check among rows of lanes: each leader with all rows near it, and across clusters each row with its best match."""
+    open_, out_a, out_b, clusters = np.ones(len(sig), bool), [], [], []
+    for i in range(len(sig)):
+        if not open_[i]:
+            continue
+        e = (sig == sig[i]).mean(axis=1)
+        e[i] = 0
+        near = np.flatnonzero(e >= LOW)
+        members = np.append(np.flatnonzero(open_ & (e >= SURE)), i)
+        open_[members] = False
+        out_a.append(ids[near])
+        out_b.append(np.full(len(near), ids[i]))
+        # members at 0.9 of their leaders can be alike at 0.8 only if the leaders are at 0.6; with four deviations of the estimate
+        for lead, rows in clusters:
+            if (len(rows) > 1 or len(members) > 1) and e[lead] >= 0.4:
+                few, many = sorted((rows, members), key=len)
+                for x in few:
+                    m = (sig[many] == sig[x]).mean(axis=1)
+                    if m.max() >= LOW:
+                        out_a.append(ids[[x]])
+                        out_b.append(ids[[many[m.argmax()]]])
+        clusters.append((i, members))
+    return out_a, out_b
+
+
+def like_links(sets: DataFrame, chunk: int = CHUNK // 2) -> DataFrame:
+    """``(a, b)`` pairs of ``sets(node, sig)`` that share a band and whose lanes are near."""
+    keys = ", ".join(f"xxhash64({c}, substring(sig, {1 + 2 * BAND * c}, {2 * BAND}))" for c in range(BANDS))
+    rows = sets.selectExpr("node", f"explode(array({keys})) AS key")
+    many = rows.groupBy("key").count().where("count > 1").selectExpr("key", f"CAST(ceil(count / {chunk}) AS INT) AS chunks")
+    met = rows.join(many, "key").withColumn("own", F.expr("CAST(pmod(xxhash64(node, key), chunks) AS INT)")).join(sets, "node")
+    dealt = met.selectExpr("key", "own", "node", "sig", "explode(sequence(0, chunks - 1)) AS other").selectExpr(
+        "key", "least(own, other) AS lo", "greatest(own, other) AS hi", "node", "sig")
+
+    def run(batches):
+        held, at = [], None
+        for b in batches:
+            for key, lo, hi, node, sig in zip(*(c.to_pylist() for c in b.columns)):
+                if (key, lo, hi) != at:
+                    yield from compared(held)
+                    held, at = [], (key, lo, hi)
+                held.append((node, sig))
+        yield from compared(held)
+
+    def compared(held):
+        if len(held) > 1:
+            ids = np.array([n for n, _ in held], np.int64)
+            sig = np.frombuffer(b"".join(s for _, s in held), np.uint16).reshape(len(ids), -1)
+            a, b = (np.concatenate(x) for x in lane_pairs(sig, ids))
+            yield pa.record_batch([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
+
+    return dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node").mapInArrow(run, "a long, b long").distinct()
+
+
+def one_per_likeness(docs: DataFrame, shingle: int = LIKE_SHINGLE, least: float = LIKE) -> DataFrame:
+    """The rows of ``docs`` that stand for their group of texts with shingle sets alike at ``least``: the smallest doc_id of each, and rows without doc_id."""
+    if least < LIKE:
+        raise ValueError(f"the bands are laid out for similarities from {LIKE}")
+    scratch = Scratch(docs.sparkSession)
+    texts = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
+    own = scratch.keep(_shingles(texts, shingle, "digest long, sig binary", lambda sets: (
+        pa.array([xxhash.xxh64_intdigest(s.tobytes(), seed=SEED) for s in sets], pa.uint64()).to_numpy().view(np.int64),
+        pa.array([lanes(s).tobytes() for s in sets], pa.binary()))))
+    sets = scratch.keep(own.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig")), own.count())
+    pairs = scratch.keep(like_links(sets.select("node", "sig")))
+    asked = pairs.selectExpr("a AS id_").union(pairs.selectExpr("b AS id_")).distinct()
+    # rows that share an id have texts of their own: a node's set is that of its digest
+    wanted = texts.join(asked, F.expr("doc_id = id_"), "left_semi")
+    hashes = _shingles(wanted, shingle, "digest long, hashes array<bigint>", lambda sets: (
+        pa.array([xxhash.xxh64_intdigest(s.tobytes(), seed=SEED) for s in sets], pa.uint64()).to_numpy().view(np.int64),
+        pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))))
+    hashes = scratch.keep(hashes.join(sets.selectExpr("node", "digest"), "digest").where("doc_id = node").groupBy("node").agg(F.first("hashes").alias("hashes")))
+    both = pairs.join(hashes.selectExpr("node AS a", "hashes AS x"), "a").join(hashes.selectExpr("node AS b", "hashes AS y"), "b")
+    both = both.selectExpr("a", "b", "size(x) + size(y) AS n", "size(array_intersect(x, y)) AS common")
+    roots = components(both.where(f"common >= {least}D * (n - common)").select("a", "b"), scratch, sets.count()).withColumnRenamed("node", "n_")
+    of = sets.join(roots, F.expr("node = n_"), "left").selectExpr("digest", "coalesce(root, node) AS root_")
+    drop = own.join(of, "digest").where("doc_id <> root_").selectExpr("doc_id AS drop_").distinct()
+    return docs.join(drop, F.expr("doc_id = drop_"), "left_anti")
+
+
 @query("op2_simhash")
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and group of every document."""

@@ -73,3 +73,33 @@ def test_defined_cases(spark):
     assert all(f == "0" * 16 for i, f, _ in got if i in (1, 2, 3))
     assert sorted(r.doc_id or 0 for r in S.one_per_group(df).collect()) == [0, 1, 4, 6]
     assert S.near_duplicates(df.where("false")).count() == 0
+
+
+def test_likeness_against_all_pairs(spark):
+    rng = np.random.default_rng(3)
+    words = [f"w{k}" for k in range(3000)]
+    rows = []
+    for i in range(60):  # copies with more and more words changed: some links at 0.8 lie far beyond four bits
+        base = rng.choice(words, 200)
+        for share in (0, 1, 2, 4, 6, 12):
+            text = base.copy()
+            text[rng.choice(200, share, replace=False)] = rng.choice(words, share)
+            rows.append((len(rows) + 1, " ".join(text)))
+    grams = {i: {tuple(w[k:k + 5]) for k in range(len(w) - 4)} for i, t in rows for w in [t.split()]}
+    root = {i: i for i in grams}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+    direct = 0
+    for i in grams:
+        for j in range(i + 1, len(rows) + 1):
+            if len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j]):
+                direct += 1
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOC)
+    got = {r.doc_id for r in S.one_per_likeness(docs).collect()}
+    assert direct and got == {i for i in grams if find(i) == i}
+    assert got < {r.doc_id for r in S.one_per_group(docs).collect()}
