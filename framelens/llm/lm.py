@@ -10,9 +10,11 @@ Each token's count is needed in the scan.  The ``HEAD`` most frequent words
 travel with the tasks (a bounded table); for the rest, a task sends one row per
 document and word, which is joined with the counts and summed by document.
 
-The network learns from about ``TRAIN_DOCS`` whole training documents, in
-``ROUNDS`` rounds of one pass by ``SHARDS`` tasks whose parameters are averaged;
-its first predictions are the corpus counts of all training documents.
+The network learns from all training documents (an argument takes a sample), in
+``ROUNDS`` rounds of one pass over each shard of about ``SHARD_DOCS`` documents, so
+shards grow with the rows; Spark adds up the parameters of the shards and the mean
+starts the next round.  The first predictions are the corpus counts of all training
+documents.
 
 Defined cases: null text is the empty text, which is one end token; rows without
 doc_id are held in; repeated rows are scored each; with no training document
@@ -39,7 +41,8 @@ from .registry import query
 
 HEAD = 1 << 18
 CLASSES, PLACES, RARE, HIDDEN = 16, 32, 48, 16
-TRAIN_DOCS, SHARDS, ROUNDS, RATE = 1024, 4, 3, 0.02
+SHARD_DOCS, SHARDS, ROUNDS, RATE = 1024, 4, 3, 0.02
+UNIT = float(1 << 32)  # parameters are added up as whole multiples of 1 / UNIT, so that no order of addition shows
 ALPHA = 0.1
 SLICE = 256
 _KEY = "xxhash64(doc_id, coalesce(text, ''))"
@@ -133,30 +136,36 @@ class Vocabulary:
         return np.concatenate([[self.end], model[:-1]]), cls.astype(np.int64), np.where(frequent, model % PLACES, 0).astype(np.int64)
 
 
-def train(docs: DataFrame, vocab: Vocabulary, train_docs: int = TRAIN_DOCS, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
-    """Parameters after rounds of one local pass per shard and averaging."""
+def train(docs: DataFrame, vocab: Vocabulary, train_docs: int | None = None, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
+    """Parameters after rounds of one local pass per shard and averaging; ``train_docs``: about so many documents, None for all."""
     p = gru.start(np.random.default_rng(7), CLASSES * PLACES + RARE, HIDDEN, vocab.class_log, vocab.word_log)
     n = docs.count()
     if not n:
         return p
-    some = docs.where(f"pmod({_KEY}, 1048576) < {min(1.0, train_docs / n)} * 1048576").selectExpr("text", f"CAST(pmod(xxhash64({_KEY}, 1), {SHARDS}) AS INT) AS shard")
+    some = docs
+    if train_docs is not None:
+        some, n = docs.where(f"pmod({_KEY}, 1048576) < {min(1.0, train_docs / n)} * 1048576"), min(n, train_docs)
+    shards = max(SHARDS, -(-n // SHARD_DOCS))
+    some = some.selectExpr("text", f"CAST(pmod(xxhash64({_KEY}, 1), {shards}) AS INT) AS shard")
+
     def learner(p, k):
         def learn(rows: pd.DataFrame) -> pd.DataFrame:
             texts = [vocab.sequence(vocab.read(tokens(t.encode()))[0]) for t in sorted(rows.text.fillna(""))]
             np.random.default_rng(k).shuffle(texts)
             q = gru.train_epoch(p, texts, RATE / (1 + k))
-            return pd.DataFrame({"name": list(q), "value": [v.astype(np.float32).tobytes() for v in q.values()]})
+            return pd.DataFrame({"name": list(q), "value": [np.rint(v.ravel().astype(np.float64) * UNIT).astype(np.int64) for v in q.values()]})
         return learn
 
     for k in range(rounds):
-        got = some.groupBy("shard").applyInPandas(learner(p, k), "name string, value binary").toPandas()
-        if got.empty:
+        learned = some.groupBy("shard").applyInPandas(learner(p, k), "name string, value array<bigint>")
+        sums = learned.selectExpr("name", "posexplode(value) AS (at, v)").groupBy("name", "at").agg(F.sum("v").alias("v"), F.count("*").alias("n")).toPandas()
+        if sums.empty:
             return p
-        p = {k: np.mean([np.frombuffer(v, np.float32).reshape(p[k].shape) for v in g.value], axis=0) for k, g in got.sort_values("value").groupby("name")}
+        p = {name: (g.v.to_numpy() / g.n.to_numpy() / UNIT).astype(np.float32).reshape(p[name].shape) for name, g in sums.sort_values("at").groupby("name")}
     return p
 
 
-def score(docs: DataFrame, held_out: str, train_docs: int = TRAIN_DOCS, head: int = HEAD) -> DataFrame:
+def score(docs: DataFrame, held_out: str, train_docs: int | None = None, head: int = HEAD) -> DataFrame:
     """Per row: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``."""
     scratch = Scratch(docs.sparkSession)
     own = docs.select("doc_id", "text")

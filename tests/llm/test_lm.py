@@ -90,3 +90,23 @@ def test_defined_cases(spark):
     assert len(got) == 7
     assert M.score(df.where("false"), "false").count() == 0
     assert {r.n_known for r in M.score(df, "true").collect()} == {0}
+
+
+def test_network_learns_from_every_training_document(spark, monkeypatch):
+    monkeypatch.setattr(M, "SHARD_DOCS", 300)
+    docs = spark.range(1500).selectExpr("id AS doc_id", "concat('w', id % 7, ' w', id % 5) AS text")
+    seen = spark.sparkContext.accumulator(0)
+    shards = spark.sparkContext.accumulator(0)
+    plain_epoch = gru.train_epoch
+
+    def epoch(p, texts, rate):
+        seen.add(len(texts))
+        shards.add(1)
+        return plain_epoch(p, texts, rate)
+    words = [f"w{k}".encode() for k in range(7)]
+    vocab = M.Vocabulary(words, np.full(7, 400.0), 1500, np.full(M.RARE, M.ALPHA))
+    # the learner's module travels by value, so its name for the pass is set where the task looks it up
+    monkeypatch.setattr(M, "gru", type("Gru", (), {"start": staticmethod(gru.start), "train_epoch": staticmethod(epoch)}))
+    p = M.train(docs, vocab, rounds=2)
+    assert seen.value == 2 * 1500 and shards.value == 2 * 5
+    assert all(np.isfinite(v).all() and v.dtype == np.float32 for v in p.values())
