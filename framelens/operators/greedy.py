@@ -13,13 +13,19 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.vectors import jaccard
 from ..session import durable
-from .windows import top_k
+from .windows import exact_rank, top_k
 
 SALTS = 16
+# sets alike at ALIKE or more share no band with probability (1 - ALIKE ** BAND) ** BANDS, 3e-16 at 0.985;
+# an estimate of the lanes MARGIN below the asked similarity is five deviations away
+BANDS, BAND, MARGIN, ALIKE, BLOCK = 20, 12, 0.04, 0.985, 512
 
 
 def join_small(df: DataFrame, small: DataFrame, keys: list[str], spread_by: str, how: str = "inner", salts: int = SALTS) -> DataFrame:
@@ -67,6 +73,86 @@ def greedy_keep(df: DataFrame, keys: list[str], row_id: str, order: list[str], p
             return found
 
 
+def _lanes(tokens: np.ndarray) -> bytes:
+    """Sixteen bits of the smallest of each of ``BANDS * BAND`` permutations of the token hashes."""
+    a, b = np.random.default_rng(42).integers(0, 1 << 63, (2, BANDS * BAND), dtype=np.uint64)
+    least = np.full(BANDS * BAND, np.uint64(0xFFFFFFFFFFFFFFFF))
+    for at in range(0, len(tokens), 1024):
+        np.minimum(least, (tokens[at:at + 1024, None] * (a * np.uint64(2) + np.uint64(1)) + b).min(axis=0), out=least)
+    return (least >> np.uint64(48)).astype(np.uint16).tobytes()
+
+
+def alike_pairs(sets: DataFrame, least: float) -> DataFrame:
+    """Pairs ``(a, b)`` with ``a < b`` of ``sets(part, node, tokens)``, token hashes of distinct sets, with Jaccard similarity ``least`` or more within a part."""
+    def sign(batches):
+        for b in batches:
+            sig = [_lanes(np.array(t, np.int64).view(np.uint64)) for t in b.column(2).to_pylist()]
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(sig, pa.binary())], ["part", "node", "sig"])
+
+    signed = durable(sets.select("part", "node", "tokens").mapInArrow(sign, "part long, node long, sig binary"))
+    keys = ", ".join(f"xxhash64(part, {c}, substring(sig, {1 + 2 * BAND * c}, {2 * BAND}))" for c in range(BANDS))
+    rows = signed.selectExpr("part", "node", f"explode(array({keys})) AS key")
+    many = rows.groupBy("key").count().where("count > 1").selectExpr("key", f"CAST(ceil(count / {BLOCK}) AS INT) AS chunks")
+    met = rows.join(many, "key").withColumn("own", F.expr("CAST(pmod(xxhash64(node, key), chunks) AS INT)")).join(signed, ["part", "node"])
+    dealt = met.selectExpr("key", "part", "own", "node", "sig", "explode(sequence(0, chunks - 1)) AS other").selectExpr(
+        "key", "least(own, other) AS lo", "greatest(own, other) AS hi", "part", "node", "sig")
+
+    def compare(batches):
+        held, at = [], None
+        for b in batches:
+            for key, lo, hi, part, node, sig in zip(*(c.to_pylist() for c in b.columns)):
+                if (key, lo, hi, part) != at:
+                    yield from compared(held)
+                    held, at = [], (key, lo, hi, part)
+                held.append((part, node, sig))
+        yield from compared(held)
+
+    def compared(held):
+        if len(held) < 2:
+            return
+        node = np.array([n for _, n, _ in held], np.int64)
+        sig = np.frombuffer(b"".join(s for _, _, s in held), np.uint16).reshape(len(held), -1)
+        for i in range(len(held) - 1):
+            near = i + 1 + np.flatnonzero((sig[i + 1:] == sig[i]).mean(axis=1) >= least - MARGIN)
+            if len(near):
+                yield pa.record_batch([pa.array(np.full(len(near), held[i][0], np.int64)), pa.array(np.minimum(node[i], node[near])), pa.array(np.maximum(node[i], node[near]))],
+                                      ["part", "a", "b"])
+
+    pairs = dealt.repartition("key", "lo", "hi", "part").sortWithinPartitions("key", "lo", "hi", "part", "node").mapInArrow(compare, "part long, a long, b long").distinct()
+    pairs = durable(pairs)
+    x, y = (sets.selectExpr("part", f"node AS {c}", f"tokens AS {c}_tokens") for c in "ab")
+    return pairs.join(x, ["part", "a"]).join(y, ["part", "b"]).where(f"{jaccard('a_tokens', 'b_tokens')} >= {least}D").select("part", "a", "b")
+
+
+def greedy_distinct(df: DataFrame, keys: list[str], row_id: str, order: list[str], tokens: str, least: float = ALIKE) -> DataFrame:
+    """All rows the greedy walk keeps, with their ``keep_rank``: a row leaves if its token set is alike at ``least`` to a kept one's.
+
+    ``tokens`` holds distinct 64-bit hashes.  Rows of equal sets are one node, the
+    first of them; conflicts come from banded MinHash with an exact check, and a
+    round settles every row whose earlier conflicts are settled, so the number of
+    rounds is the length of the longest chain of conflicts and not that of a group.
+    """
+    if least < ALIKE:
+        raise ValueError(f"the bands are laid out for similarities from {ALIKE}")
+    named = df.selectExpr(*dict.fromkeys([*keys, row_id, *[o.split()[0] for o in order]]), f"array_sort({tokens}) AS tokens", f"xxhash64({', '.join(keys)}) AS part")
+    rows = durable(exact_rank(named, ["part"], order, "rank_").selectExpr(*keys, row_id, "CAST(rank_ AS BIGINT) AS node", "tokens", "part", "size(tokens) > 0 AS full_"))
+    empty = rows.where("NOT coalesce(full_, false)").select("part", "node")
+    first = durable(rows.where("full_").groupBy("part", "tokens").agg(F.min("node").alias("node")))
+    edges = durable(alike_pairs(first, least))
+    kept = first.select("part", "node").join(edges.selectExpr("part", "b AS node"), ["part", "node"], "left_anti").unionByName(empty)
+    settled = kept
+    while not edges.isEmpty():
+        # rows without an open earlier conflict are kept; their later conflicts leave with all their links
+        sure = edges.selectExpr("part", "a AS node").distinct().join(edges.selectExpr("part", "b AS node"), ["part", "node"], "left_anti")
+        out = durable(edges.join(sure.withColumnRenamed("node", "a"), ["part", "a"], "left_semi").selectExpr("part", "b AS node").distinct())
+        rest = edges.join(out.withColumnRenamed("node", "b"), ["part", "b"], "left_anti")
+        freed = rest.join(out.withColumnRenamed("node", "a"), ["part", "a"], "left_semi").selectExpr("part", "b AS node").distinct()
+        edges = durable(rest.join(out.withColumnRenamed("node", "a"), ["part", "a"], "left_anti"))
+        settled = settled.unionByName(durable(freed.join(edges.selectExpr("part", "b AS node"), ["part", "node"], "left_anti")))
+    picked = durable(rows.join(settled, ["part", "node"], "left_semi").select(*keys, row_id, "node", "part"))
+    return exact_rank(picked, ["part"], ["node"], "keep_rank").selectExpr(*keys, row_id, "CAST(keep_rank AS INT) AS keep_rank")
+
+
 def leader_groups(df: DataFrame, keys: list[str], row_id: str, order: list[str], payload: list[str], conflict: str,
                   batch: int = 256) -> DataFrame:
     """Assign each row to the first leader it matches; leaders are the rows the greedy walk keeps.

@@ -333,10 +333,10 @@ def _(spark, sf):
 
 @query("k17_greedy_dedup")
 def _(spark, sf):
-    """First 32 documents per language, longest first, that are not near copies of a kept one."""
+    """All documents of each language, longest first, that are not near copies of a kept one."""
     d = fx.spread(fx.table(spark, sf, "documents").select("doc_id", "lang", "n_chars", "text")).selectExpr(
         "doc_id", "lang", "n_chars", f"transform({T.token_set('array(text)')}, t -> xxhash64(t)) AS tokens")
-    return G.greedy_keep(d, ["lang"], "doc_id", ["n_chars DESC", "doc_id"], ["tokens"], f"{X.jaccard('r.tokens', 'k.tokens')} >= 0.985D", limit="32", batch=64)
+    return G.greedy_distinct(d, ["lang"], "doc_id", ["n_chars DESC", "doc_id"], "tokens", 0.985)
 
 
 cte("doc_tokens", "", f"""SELECT doc_id, list_distinct(list_filter(string_split(n,' '), lambda t: len(t) >= 3 AND NOT regexp_full_match(t,'[0-9]+'))) AS toks

@@ -228,3 +228,26 @@ def test_near_duplicate_groups_need_hash_and_pixels(spark):
     same = f"{X.mean_abs_diff('r.pix', 'k.pix')} <= 0.05D"
     got = {r.id: r.group_no for r in I.near_duplicate_groups(df, ["g"], "id", ["id"], same).collect()}
     assert got == {0: 0, 1: 0, 2: 1, 3: 2}
+
+
+def test_greedy_distinct_equals_walk_over_all_rows(spark):
+    rng = random.Random(5)
+    rows = []
+    for base in range(40):
+        tokens = rng.sample(range(1, 10_000), rng.choice([3, 60, 150, 400]))
+        for _ in range(5):  # chains: each copy changes up to three tokens of the one before
+            rows.append((base % 2, len(rows), rng.randrange(50), list(tokens)))
+            for k in rng.sample(range(len(tokens)), min(len(tokens), rng.randrange(4))):
+                tokens[k] = 10_000 + rng.randrange(1 << 40)
+    rows += [(0, 1000, 1, []), (0, 1001, 1, None), (1, 1002, 1, []), (None, 1003, 2, [1, 2]), (None, 1004, 1, [1, 2]), (None, 1005, 1, [1])]
+    df = spark.createDataFrame(rows, "g long, id long, score long, x array<long>")
+    got = sorted((-1 if r.g is None else r.g, r.keep_rank, r.id) for r in G.greedy_distinct(df, ["g"], "id", ["score DESC", "id"], "x").collect())
+    want = []
+    for g in (-1, 0, 1):
+        kept = []
+        for _, i, _, x in sorted((r for r in rows if (-1 if r[0] is None else r[0]) == g), key=lambda r: (-r[2], r[1])):
+            x = set(x or [])
+            if not any(x and k and len(x & k) / len(x | k) >= 0.985 for _, k in kept):
+                kept.append((i, x))
+        want += [(g, n + 1, i) for n, (i, _) in enumerate(kept)]
+    assert got == want and 64 < len(want) < len(rows)
