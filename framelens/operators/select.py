@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import rules as R
 from ..functions import scores as V
 from ..functions.text import lit
-from ..functions.vectors import jaccard
+from ..functions.vectors import jaccard, visually_same
 from ..session import durable
 from .greedy import greedy_keep
 from .windows import exact_rank, gap_groups, top_k
@@ -212,7 +212,8 @@ def select_help(df: DataFrame, gap: int = R.EVENT_GAP["Help"], pages: int | None
     """Help pages per video: rule pages, up to ``paytable_pages`` paytable pages, else up to ``fallback_pages`` fallback pages.
 
     At most ``pages`` pages in all; None lifts a limit.  A page that repeats a kept one (token sets alike at
-    0.985) is passed over.  The stages are one greedy walk each; a later stage
+    0.985, or gray and histogram arrays of equal sizes that look the same) is passed over; rows without the
+    columns ``help_gray`` and ``help_hist``, or with null or empty arrays, are compared by tokens alone.  The stages are one greedy walk each; a later stage
     starts with the pages kept before it.
     """
     def most(limit: int | None, n: str) -> str:
@@ -221,16 +222,27 @@ def select_help(df: DataFrame, gap: int = R.EVENT_GAP["Help"], pages: int | None
     rows = help_candidates(df, gap)
     sizes = rows.groupBy("video_id").agg(F.count(F.lit(1)).alias("n_rows"))
     rows = durable(rows.join(sizes, "video_id")).withColumn("k_", F.expr(f"CAST({most(pages, 'n_rows')} AS INT)"))
-    same = f"{jaccard('r.help_tokens', 'k.help_tokens')} >= 0.985D"
+    looks = {"help_gray", "help_hist"} <= set(df.columns)
+    payload = ["help_tokens", *["help_gray", "help_hist"] * looks]
+
+    def alike(a: str, b: str) -> str:
+        tokens = f"{jaccard(f'{a}.help_tokens', f'{b}.help_tokens')} >= 0.985D"
+        if not looks:
+            return f"coalesce({tokens}, false)"
+        there = " AND ".join(f"coalesce(size({a}.{c}), 0) > 0 AND size({a}.{c}) = size({b}.{c})" for c in payload[1:])
+        seen = visually_same(f"{a}.help_gray", f"{b}.help_gray", f"{a}.help_hist", f"{b}.help_hist")
+        return f"(coalesce({tokens}, false) OR coalesce({there} AND {seen}, false))"
+    same = alike("r", "k")
 
     def walk(part: DataFrame, order: list[str], limit: str) -> DataFrame:
-        return greedy_keep(part, ["video_id"], "frame_idx", order, ["help_tokens"], same, limit=limit, batch=128)
+        return greedy_keep(part, ["video_id"], "frame_idx", order, payload, same, limit=limit, batch=128)
 
     rule = durable(walk(rows.where("sig_plain_rule_help"), HELP_ORDER, "k_"))
     n_rule = rule.groupBy("video_id").agg(F.count(F.lit(1)).cast("int").alias("n_rule_"))
-    kept = rule.join(rows.select(*KEY, "help_tokens"), KEY).groupBy("video_id").agg(F.collect_list("help_tokens").alias("seen_"))
-    later = (rows.join(n_rule, "video_id", "left").join(kept, "video_id", "left").join(rule.select(*KEY), KEY, "left_anti")
-             .where(f"seen_ IS NULL OR NOT exists(seen_, s -> {jaccard('s', 'help_tokens')} >= 0.985D)").fillna(0, ["n_rule_"]))
+    kept = rule.join(rows.select(*KEY, *payload), KEY).groupBy("video_id").agg(F.collect_list(F.struct(*payload)).alias("seen_"))
+    own = f"named_struct({', '.join(f'{c!r}, {c}' for c in payload)})"
+    later = (rows.join(n_rule, "video_id", "left").join(kept, "video_id", "left").join(rule.select(*KEY), KEY, "left_anti").withColumn("own_", F.expr(own))
+             .where(f"seen_ IS NULL OR NOT exists(seen_, s -> {alike('own_', 's')})").drop("own_").fillna(0, ["n_rule_"]))
     later = durable(later)
     table = later.where("help_paytable_score >= 2.0D AND help_quality_score >= 2.5D AND k_ > n_rule_")
     table_order = ["help_paytable_score DESC", *HELP_ORDER[:2], "frame_idx"]

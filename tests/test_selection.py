@@ -57,3 +57,18 @@ def test_limits_can_be_lifted(spark, sf):
     assert P.round_robin(e, ["vid"], "page", "event_id", None).count() == e.count() > P.round_robin(e, ["vid"], "page", "event_id", 40).count()
     frames = fx.frames(spark, sf)
     assert SU.tier_list(frames, None).count() == frames.where("category = 'BigWin'").count()
+
+
+def test_help_pages_that_look_alike_are_passed_over(spark):
+    from framelens.operators import select as SE
+    gray, other = [0.1 * k for k in range(16)], [1.6 - 0.1 * k for k in range(16)]
+    # frame, rule page, paytable score, gray, histogram: no page has tokens
+    rows = [(1, True, 0.0, gray, gray), (2, True, 0.0, [v + 0.001 for v in gray], gray), (3, True, 0.0, other, other), (4, True, 0.0, None, None), (5, True, 0.0, None, None),
+            (6, True, 0.0, gray, other), (7, False, 3.0, gray, gray), (8, False, 3.0, [2 * v for v in gray], gray)]
+    df = spark.createDataFrame(rows, "frame_idx long, sig_plain_rule_help boolean, help_paytable_score double, help_gray array<double>, help_hist array<double>").selectExpr(
+        "1L AS video_id", "*", "false AS sig_record_web_chrome", "1.0D AS help_score", "3.0D AS help_quality_score", "1.0D AS blur_score", "1.0D AS noise_score", "1.0D AS top_score",
+        "CAST(array() AS array<string>) AS help_tokens")
+    got = {r.frame_idx: r.stage for r in SE.select_help(df, 40).collect()}
+    assert got == {1: "rule", 3: "rule", 4: "rule", 5: "rule", 6: "rule", 8: "paytable"}
+    plain = {r.frame_idx for r in SE.select_help(df.drop("help_gray", "help_hist"), 40).collect()}
+    assert plain == set(range(1, 9))
