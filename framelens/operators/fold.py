@@ -1,13 +1,21 @@
-"""Frame sampling as an ordered fold with carried state.
+"""Frame sampling as an ordered fold, cut into segments whose summaries compose.
 
 Whether a frame is kept depends on the last processed frame and on windows that
-earlier frames opened, so the walk over a video is sequential.  The operator
-cuts every video into bounded segments of frame numbers and folds all segments
-at once from an empty state.  Segments whose true entry state (the exit state of
-the segment before) differs are folded again until nothing changes.  A forced
-frame resets what the walk remembers, so the states agree after a round or two;
-a video inside one segment needs a single pass.  The result equals the plain
-walk, and no task ever holds more than one segment.
+earlier frames opened, so the walk over a video is sequential.  Videos are cut
+into segments of frame numbers.
+
+1. What came before reaches a segment through few states: the last processed
+   frame, if the first frame here is not due anyway, or the ends of the open
+   windows.  All of them come from the frames of a bounded reach before the
+   segment, so one task walks the segment from every possible state at once.
+   The walks meet soon (a forced frame, a closed window), and then go on as one.
+   The summary maps each entry state to the exit state.
+2. The summaries of a video are composed in order; each is a small map.
+3. Every segment is walked once more from its true entry state, with the gray
+   array of the last processed frame fetched by its number.
+
+That is two passes over the rows whatever the length of a video, one for a video
+inside one segment; no task holds more than a segment and its reach.
 """
 
 from __future__ import annotations
@@ -15,7 +23,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,68 +45,178 @@ class SampleConfig:
     exposure_max: float = R.EXPOSURE_MAX
     exposure_extra: float = R.EXPOSURE_DENSE_EXTRA
 
+    @property
+    def reach(self) -> int:
+        """Frames further back than this neither hold a window open nor keep a frame from being due."""
+        return max(self.force_every, *self.dense_after.values())
+
 
-INPUT = "video_id bigint, frame_idx bigint, gray array<float>, blurred boolean, exposure double, noisy boolean, help_len int, transition_len int, feature_len int"
-STATE = "last_idx bigint, last_gray array<float>, help_until bigint, transition_until bigint, feature_until bigint"
+INPUT = ["frame_idx", "gray", "blurred", "exposure", "noisy", "open_len", "relaxed_len"]
+INPUT_SCHEMA = pa.schema(list(zip(INPUT, [pa.int64(), pa.list_(pa.float32()), pa.bool_(), pa.float64(), pa.bool_(), pa.int32(), pa.int32()])))
+STATE = "last_idx bigint, last_gray array<float>, open_until bigint, relaxed_until bigint"
 OUTPUT = "frame_idx bigint, outcome string, diff double"
-EMPTY = (None, None, -1, -1, -1)
+# last processed frame, its gray array, end of any window, end of the windows that relax the exposure limit
+EMPTY = (None, None, -1, -1)
 
 
 def fold_input(df: DataFrame, cfg: SampleConfig) -> DataFrame:
     """Columns of the walk; everything that needs no state is decided here, in the JVM."""
     length = lambda c: f"CASE WHEN category = {lit(c)} THEN {cfg.dense_after[c]} ELSE 0 END"
     shell = f"CASE WHEN category = 'Help' OR (help_shell AND help_quality_score >= 3.0D) THEN {cfg.dense_after['Help']} ELSE 0 END"
+    relaxed = f"greatest({length('Transition')}, {length('Feature game')})"
     return df.where(f"frame_idx % {cfg.interval} = 0 OR frame_idx % {cfg.step} = 0").selectExpr(
-        "video_id", "frame_idx", "transform(gray, g -> CAST(g AS FLOAT)) AS gray", f"blur_score < {cfg.blur_min}D AS blurred", "exposure_score AS exposure",
-        f"NOT ({noise_keep()}) AS noisy", f"CAST({shell} AS INT) AS help_len", f"CAST({length('Transition')} AS INT) AS transition_len",
-        f"CAST({length('Feature game')} AS INT) AS feature_len")
-
-
-def walk(rows: pd.DataFrame, state: tuple, cfg: SampleConfig) -> tuple[list[tuple], tuple]:
-    """Outcome and difference of each frame in order, and the state after the last one."""
-    last_idx, last_gray, help_until, trans_until, feat_until = state
-    out = []
-    for r in rows.sort_values("frame_idx").itertuples(index=False):
-        f = r.frame_idx
-        dense = f <= help_until or f <= trans_until or f <= feat_until
-        if f % cfg.interval and not (dense and f % cfg.step == 0):
-            out.append((f, "stride", 0.0))
-            continue
-        gray = np.asarray(r.gray, dtype=np.float64)
-        same_shape = last_gray is not None and gray.size == last_gray.size and gray.size > 0
-        diff = float(np.abs(gray - last_gray).mean()) if same_shape else 0.0
-        forced = last_idx is None or f - last_idx >= cfg.force_every or dense
-        if last_gray is not None and diff < cfg.diff_threshold and not forced:
-            out.append((f, "unchanged", diff))
-            continue
-        last_idx, last_gray = f, gray
-        limit = cfg.exposure_max + (cfg.exposure_extra if f <= trans_until or f <= feat_until else 0.0)
-        if r.blurred:
-            out.append((f, "blurred", diff))
-        elif r.exposure >= limit:
-            out.append((f, "overexposed", diff))
+        "video_id", "frame_idx", "transform(gray, g -> CAST(g AS FLOAT)) AS gray", f"coalesce(blur_score < {cfg.blur_min}D, false) AS blurred",
+        "coalesce(exposure_score, 0.0D) AS exposure", f"coalesce(NOT ({noise_keep()}), false) AS noisy",
+        f"CAST(greatest({shell}, {relaxed}) AS INT) AS open_len", f"CAST({relaxed} AS INT) AS relaxed_len")
+
+
+class Frames:
+    """A stretch of frames of one video in order."""
+
+    def __init__(self, table: pa.Table | pa.RecordBatch, entry_gray: np.ndarray | None = None):
+        column = lambda c: table.column(c).combine_chunks() if isinstance(table, pa.Table) else table.column(c)
+        frame = column("frame_idx").to_numpy(zero_copy_only=False)
+        order = np.argsort(frame, kind="stable")
+        take = lambda c: column(c).to_numpy(zero_copy_only=False)[order]
+        self.frame, self.blurred, self.exposure, self.noisy = frame[order], take("blurred"), take("exposure"), take("noisy")
+        self.open_end, self.relaxed_end = (np.where(take(c) > 0, self.frame + take(c), -1) for c in ("open_len", "relaxed_len"))
+        gray = column("gray").take(pa.array(order))
+        sizes = np.asarray(gray.value_lengths().fill_null(0))
+        values = gray.flatten().cast(pa.float64()).fill_null(0.0).to_numpy()
+        self.gray = np.split(values, np.cumsum(sizes)[:-1]) if len(sizes) else []
+        if entry_gray is not None:  # reached as frame -1
+            self.gray.append(entry_gray)
+        n, even = len(self.frame), len(sizes) > 1 and sizes[0] > 0 and (sizes == sizes[0]).all()
+        if even:
+            grid = values.reshape(n, sizes[0])
+            self.near = [0.0, *np.abs(grid[1:] - grid[:-1]).mean(axis=1).tolist()]
         else:
-            help_until = max(help_until, f + r.help_len) if r.help_len else help_until
-            trans_until = max(trans_until, f + r.transition_len) if r.transition_len else trans_until
-            feat_until = max(feat_until, f + r.feature_len) if r.feature_len else feat_until
-            out.append((f, "noisy" if r.noisy else "kept", diff))
-    return out, (last_idx, last_gray, help_until, trans_until, feat_until)
-
-
-def _frame(key: tuple, out: list[tuple], state: tuple) -> pd.DataFrame:
-    """Outcomes plus one row (no frame) that carries the exit state."""
-    rows = pd.DataFrame(out, columns=["frame_idx", "outcome", "diff"]).astype({"frame_idx": "Int64"})
-    tail = pd.DataFrame({"frame_idx": pd.array([None], dtype="Int64"), "outcome": ["state"], "diff": [0.0]})
-    both = pd.concat([rows, tail], ignore_index=True)
-    both.insert(0, "video_id", key[0])
-    both.insert(1, "seg", key[1])
-    n = len(both)
-    values = [pd.array([None] * (n - 1) + [state[0]], dtype="Int64"),
-              [None] * (n - 1) + [None if state[1] is None else state[1].astype(np.float32).tolist()],
-              *[pd.array([None] * (n - 1) + [v], dtype="Int64") for v in state[2:]]]
-    for name, v in zip(["last_idx", "last_gray", "help_until", "transition_until", "feature_until"], values):
-        both[name] = v
-    return both
+            self.near = [0.0, *(self._diff(i - 1, i) for i in range(1, n))]
+
+    def _diff(self, i: int, j: int) -> float:
+        a, b = self.gray[i], self.gray[j]
+        return float(np.abs(a - b).mean()) if len(a) == len(b) and len(a) else 0.0
+
+    def diff(self, i: int, j: int) -> float:
+        """Mean absolute difference of two frames; most often the frame before, which is at hand."""
+        return self.near[j] if i == j - 1 and i >= 0 else self._diff(i, j)
+
+    def walk(self, cfg: SampleConfig, last_idx: int | None, last: int | None, open_until: int, relaxed_until: int, begin: int = 0):
+        """Outcome and difference of each frame from ``begin`` on, and the state after the last one.
+
+        ``last`` is the place of the last processed frame here, None where its gray array is not known.
+        """
+        outcomes, diffs = [], []
+        columns = zip(range(begin, len(self.frame)), *(x[begin:].tolist() for x in (self.frame, self.blurred, self.exposure, self.noisy, self.open_end, self.relaxed_end)))
+        for i, f, blurred, exposure, noisy, open_end, relaxed_end in columns:
+            dense = f <= open_until
+            if f % cfg.interval and not dense:
+                outcomes.append("stride")
+                diffs.append(0.0)
+                continue
+            diff = 0.0 if last is None else self.diff(last, i)
+            diffs.append(diff)
+            if last_idx is not None and diff < cfg.diff_threshold and not dense and f - last_idx < cfg.force_every:
+                outcomes.append("unchanged")
+                continue
+            last_idx, last = f, i
+            if blurred:
+                outcomes.append("blurred")
+            elif exposure >= cfg.exposure_max + (cfg.exposure_extra if f <= relaxed_until else 0.0):
+                outcomes.append("overexposed")
+            else:
+                outcomes.append("noisy" if noisy else "kept")
+                open_until, relaxed_until = max(open_until, open_end), max(relaxed_until, relaxed_end)
+        return outcomes, diffs, (last_idx, last, open_until, relaxed_until)
+
+    def exits(self, cfg: SampleConfig, begin: int) -> tuple[list[tuple], list[tuple]]:
+        """Every state in which frame ``begin`` can be entered, and the state after the last frame for each.
+
+        The frames before ``begin`` are the reach.  A state is (last processed
+        frame or None: the first frame in turn is processed, ends of the windows).
+        """
+        first = int(self.frame[begin])
+        opened = np.unique(np.concatenate([self.open_end[:begin], self.relaxed_end[:begin]]))
+        relaxed = np.unique(self.relaxed_end[:begin])
+        entries = [(None, -1, -1), *((int(f), -1, -1) for f in self.frame[:begin] if first - f < cfg.force_every)]
+        for d in opened[opened >= first].tolist():
+            entries += [(None, d, -1), *((None, d, e) for e in relaxed[(relaxed >= first) & (relaxed <= d)].tolist())]
+        places = {int(f): i for i, f in enumerate(self.frame[:begin].tolist())}
+        states = np.array([(-1 if r is None else places[r], d, e) for r, d, e in entries], np.int64)
+        of = np.arange(len(states))
+        i = begin
+        while i < len(self.frame) and len(states) > 1:
+            f = int(self.frame[i])
+            last, opened, relaxed = states.T
+            dense = f <= opened
+            turn = dense | (f % cfg.interval == 0)
+            due = dense | (last < 0) | (f - self.frame[last] >= cfg.force_every)
+            for r in np.unique(last[turn & ~due]).tolist():
+                if self.diff(r, i) >= cfg.diff_threshold:
+                    due |= last == r
+            done = turn & due
+            fine = done & ~self.blurred[i] & ~(self.exposure[i] >= cfg.exposure_max + np.where(f <= relaxed, cfg.exposure_extra, 0.0))
+            opened = np.where(fine, np.maximum(opened, self.open_end[i]), opened)
+            relaxed = np.where(fine, np.maximum(relaxed, self.relaxed_end[i]), relaxed)
+            # a window that has closed makes no difference any more
+            states = np.stack([np.where(done, i, last), np.where(opened > f, opened, -1), np.where(relaxed > f, relaxed, -1)], axis=1)
+            states, back = np.unique(states, axis=0, return_inverse=True)
+            of = back.reshape(-1)[of]
+            i += 1
+        ends = []
+        for last, opened, relaxed in states.tolist():
+            *_, (idx, _, opened, relaxed) = self.walk(cfg, None if last < 0 else int(self.frame[last]), None if last < 0 else last, opened, relaxed, i)
+            ends.append((idx, opened, relaxed))
+        return entries, [ends[k] for k in of.tolist()]
+
+
+def entry_of(state: tuple, first: int, cfg: SampleConfig) -> tuple:
+    """The entry state of a segment that starts with frame ``first`` as its summary lists it."""
+    last, opened, relaxed = state
+    if opened >= first:
+        return None, opened, relaxed if relaxed >= first else -1
+    return (last if last is not None and first - last < cfg.force_every else None), -1, -1
+
+
+_SUMMARY = "video_id bigint, seg bigint, nxt bigint, first bigint, " + ", ".join(f"{c} array<bigint>" for c in ("last", "opened", "relaxed", "to_last", "to_opened", "to_relaxed"))
+_ENTRY = "video_id bigint, seg bigint, last_idx bigint, open_until bigint, relaxed_until bigint"
+
+
+def _summaries(rows: DataFrame, followed: DataFrame, cfg: SampleConfig, width: int) -> DataFrame:
+    """The map from entry to exit states of every segment that another one follows."""
+    def summary(key, table):
+        video, seg, nxt = (k.as_py() for k in key)
+        frames = Frames(table)
+        begin = int(np.searchsorted(frames.frame, seg * width))
+        if begin == len(frames.frame):
+            return pa.table({}, schema=schema)
+        entries, exits = frames.exits(cfg, begin)
+        lists = [[list(c)] for c in (*zip(*entries), *zip(*exits))]
+        return pa.table([[video], [seg], [nxt], [int(frames.frame[begin])], *lists], schema=schema)
+
+    names = [c.split() for c in _SUMMARY.split(", ")]
+    schema = pa.schema([(n, pa.list_(pa.int64()) if k.startswith("array") else pa.int64()) for n, k in names])
+    reached = rows.selectExpr(*[c for c in rows.columns if c != "seg"], f"explode(sequence(seg, CAST(floor((frame_idx + {cfg.reach}) / {width}) AS BIGINT))) AS seg")
+    return reached.join(followed, ["video_id", "seg"]).groupBy("video_id", "seg", "nxt").applyInArrow(summary, _SUMMARY)
+
+
+def _composed(summaries: DataFrame, cfg: SampleConfig) -> DataFrame:
+    """The true entry state of every segment but the first of its video."""
+    def run(batches):
+        video, state = None, None
+        for b in batches:
+            out = []
+            for v, _, nxt, first, last, opened, relaxed, *to in zip(*(c.to_pylist() for c in b.columns)):
+                if v != video or state is None:
+                    video, state = v, (None, -1, -1)
+                k = list(zip(last, opened, relaxed)).index(entry_of(state, first, cfg))
+                idx, opened, relaxed = (t[k] for t in to)
+                state = (state[0] if idx is None else idx, opened, relaxed)
+                out.append((v, nxt, *state))
+            if out:
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out)], [c.split()[0] for c in _ENTRY.split(", ")])
+
+    return summaries.repartition("video_id").sortWithinPartitions("video_id", "seg").mapInArrow(run, _ENTRY)
 
 
 def sample_frames(df: DataFrame, cfg: SampleConfig = SampleConfig(), width: int = SEGMENT) -> DataFrame:
@@ -108,35 +226,26 @@ def sample_frames(df: DataFrame, cfg: SampleConfig = SampleConfig(), width: int
     columns of the filters.
     """
     keys = ["video_id", "seg"]
-    schema = f"video_id bigint, seg bigint, {OUTPUT}, {STATE}"
     rows = durable(fold_input(df, cfg).selectExpr("*", f"CAST(floor(frame_idx / {width}) AS BIGINT) AS seg"))
+    followed = durable(rows.select(*keys).distinct().selectExpr(*keys, "lead(seg) OVER (PARTITION BY video_id ORDER BY seg) AS nxt").where("nxt IS NOT NULL"))
+    schema = pa.schema([("video_id", pa.int64()), ("frame_idx", pa.int64()), ("outcome", pa.string()), ("diff", pa.float64())])
+
+    def walked(key, table, entry=None):
+        last_idx, gray, opened, relaxed = EMPTY
+        if entry is not None and entry.num_rows:
+            last_idx, gray, opened, relaxed = (entry.column(c)[0].as_py() for c in ("last_idx", "last_gray", "open_until", "relaxed_until"))
+        frames = Frames(table, None if last_idx is None else np.array(gray or [], np.float64))
+        outcomes, diffs, _ = frames.walk(cfg, last_idx, None if last_idx is None else -1, opened, relaxed)
+        return pa.table([pa.array(np.full(len(diffs), key[0].as_py())), frames.frame, outcomes, diffs], schema=schema)
 
-    def first(key, pdf):
-        return _frame(key, *walk(pdf, EMPTY, cfg))
-
-    def again(key, pdf, entry):
-        e = entry.iloc[0]
-        state = (None if pd.isna(e.last_idx) else int(e.last_idx), None if e.last_gray is None else np.asarray(e.last_gray, dtype=np.float64),
-                 int(e.help_until), int(e.transition_until), int(e.feature_until))
-        return _frame(key, *walk(pdf, state, cfg))
-
-    state_names = [s.split()[0] for s in STATE.split(", ")]
-    packed = "struct(" + ", ".join(state_names) + ")"
-    result = durable(rows.groupBy(*keys).applyInPandas(first, schema))
-    used = None
-    while True:
-        exits = result.where("outcome = 'state'").selectExpr(*keys, f"{packed} AS exit_")
-        entry = exits.selectExpr(*keys, "lag(exit_) OVER (PARTITION BY video_id ORDER BY seg) AS entry_").where("entry_ IS NOT NULL")
-        stale = entry if used is None else entry.join(used.withColumnRenamed("entry_", "old_"), keys, "left").where("NOT entry_ <=> old_").drop("old_")
-        stale = durable(stale)
-        if stale.isEmpty():
-            break
-        redo = rows.join(stale.select(*keys), keys, "left_semi").groupBy(*keys).cogroup(
-            stale.selectExpr(*keys, "entry_.*").groupBy(*keys)).applyInPandas(again, schema)
-        kept = result.join(stale.select(*keys), keys, "left_anti")
-        used = stale if used is None else durable(used.join(stale.select(*keys), keys, "left_anti").unionByName(stale))
-        result = durable(kept.unionByName(redo))
-    return result.where("outcome <> 'state'").select("video_id", "frame_idx", "outcome", "diff")
+    out = f"video_id bigint, {OUTPUT}"
+    if followed.isEmpty():
+        return rows.groupBy(*keys).applyInArrow(lambda key, table: walked(key, table), out)
+    entries = durable(_composed(_summaries(rows, followed, cfg, width), cfg))
+    seen = rows.selectExpr("video_id", "frame_idx AS last_idx", "gray AS last_gray").join(entries.where("last_idx IS NOT NULL"), ["video_id", "last_idx"])
+    unseen = entries.where("last_idx IS NULL").selectExpr("*", "CAST(NULL AS array<float>) AS last_gray")
+    states = seen.unionByName(unseen).withColumnsRenamed({"video_id": "of_video", "seg": "of_seg"})
+    return rows.groupBy(*keys).cogroup(states.groupBy("of_video", "of_seg")).applyInArrow(walked, out)
 
 
 def change_filter(df: DataFrame, threshold: float = R.DIFF_THRESHOLD, force_every: int = R.FORCE_EVERY, width: int = SEGMENT) -> DataFrame:

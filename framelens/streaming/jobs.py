@@ -6,13 +6,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from ..operators.fold import EMPTY, OUTPUT, STATE, SampleConfig, fold_input, walk
+from ..operators.fold import EMPTY, INPUT, INPUT_SCHEMA, OUTPUT, STATE, Frames, SampleConfig, fold_input
 from ..operators.windows import gap_groups
 from ..session import path_exists
 from ..sources.cache import cache_split
@@ -26,17 +27,15 @@ def stream_sample_frames(frames: DataFrame, cfg: SampleConfig = SampleConfig())
     """
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState):
         pdf = pd.concat(list(batches), ignore_index=True)
-        seen, held = -1, EMPTY
-        if state.exists:
-            seen, last, gray, *untils = state.get
-            held = (last, None if gray is None else np.asarray(gray, dtype=np.float64), *untils)
-        late = pdf[pdf.frame_idx <= seen]
-        out, now = walk(pdf[pdf.frame_idx > seen], held, cfg)
-        gray = None if now[1] is None else [float(v) for v in now[1]]
-        state.update((max(seen, int(pdf.frame_idx.max())), None if now[0] is None else int(now[0]), gray, *[int(v) for v in now[2:]]))
-        rows = pd.DataFrame(out + [(f, "late", 0.0) for f in late.frame_idx], columns=["frame_idx", "outcome", "diff"])
-        rows.insert(0, "video_id", key[0])
-        yield rows
+        seen, (last_idx, gray, opened, relaxed) = state.get[:1] + (state.get[1:],) if state.exists else (-1, EMPTY)
+        late = pdf.frame_idx <= seen
+        now = Frames(pa.Table.from_pandas(pdf.loc[~late, INPUT], INPUT_SCHEMA, preserve_index=False), None if last_idx is None else np.array(gray or [], np.float64))
+        outcomes, diffs, (idx, last, opened, relaxed) = now.walk(cfg, last_idx, None if last_idx is None else -1, opened, relaxed)
+        if idx != last_idx:
+            gray = now.gray[last].tolist()
+        state.update((max(seen, int(pdf.frame_idx.max())), idx, gray, opened, relaxed))
+        yield pd.DataFrame({"video_id": key[0], "frame_idx": [*now.frame.tolist(), *pdf.frame_idx[late]], "outcome": [*outcomes, *["late"] * int(late.sum())],
+                            "diff": [*diffs, *[0.0] * int(late.sum())]})
 
     return fold_input(frames, cfg).groupBy("video_id").applyInPandasWithState(
         step, f"video_id bigint, {OUTPUT}", f"seen bigint, {STATE}", "append", GroupStateTimeout.NoTimeout)
