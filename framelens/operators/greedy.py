@@ -12,6 +12,7 @@ always kept, so every round makes progress and the result equals the walk.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -36,13 +37,15 @@ def join_small(df: DataFrame, small: DataFrame, keys: list[str], spread_by: str,
 
 
 def greedy_keep(df: DataFrame, keys: list[str], row_id: str, order: list[str], payload: list[str], conflict: str,
-                limit: str | None = None, batch: int = 256) -> DataFrame:
+                limit: str | None = None, batch: int = 256, beyond: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Rows kept by the greedy walk with their ``keep_rank``.
 
     ``order`` lists columns (``"name"`` or ``"name DESC"``) and must be total
     together with ``row_id``.  ``conflict`` is an expression over ``r`` (a row)
     and ``k`` (a kept row), structs of ``payload``.  ``limit`` is an expression
-    over the keys: the number of rows to keep per group.
+    over the keys: the number of rows to keep per group.  ``beyond`` settles what the
+    first batch of a large group leaves open, without a limit, in place of further
+    batches: from rows ``(part, node, r)`` in order of ``node`` to the kept ``(part, node)``.
     """
     k = ", ".join(keys)
     names = [o.split()[0] for o in order]
@@ -71,28 +74,103 @@ def greedy_keep(df: DataFrame, keys: list[str], row_id: str, order: list[str], p
         pending = durable(rest.where(f"NOT {clash}").selectExpr(*keys, *[f"o{i}_" for i in range(len(order))], "id_", "r", "cap_", "now_ AS kept_before_"))
         if pending.isEmpty():
             return found
+        if beyond is not None and limit is None:
+            ranked = exact_rank(pending.withColumn("part", F.expr(f"xxhash64({k})")), ["part"], [s.strip() for s in sort.split(",")], "node")
+            ranked = durable(ranked.withColumn("node", F.col("node").cast("bigint")))
+            rest = ranked.join(beyond(ranked.select("part", "node", "r")), ["part", "node"], "left_semi")
+            late = exact_rank(rest, ["part"], ["node"], "late_").selectExpr(*keys, f"id_ AS {row_id}", "CAST(kept_before_ + late_ AS INT) AS keep_rank")
+            return found.unionByName(late)
 
 
-def _lanes(tokens: np.ndarray) -> bytes:
-    """Sixteen bits of the smallest of each of ``BANDS * BAND`` permutations of the token hashes."""
-    a, b = np.random.default_rng(42).integers(0, 1 << 63, (2, BANDS * BAND), dtype=np.uint64)
-    least = np.full(BANDS * BAND, np.uint64(0xFFFFFFFFFFFFFFFF))
-    for at in range(0, len(tokens), 1024):
-        np.minimum(least, (tokens[at:at + 1024, None] * (a * np.uint64(2) + np.uint64(1)) + b).min(axis=0), out=least)
-    return (least >> np.uint64(48)).astype(np.uint16).tobytes()
+def least_lanes(hashes: np.ndarray, lanes: int, seed: int = 42) -> np.ndarray:
+    """Sixteen bits of the smallest of each of ``lanes`` permutations of the hashes.
 
+    They are the low bits of the product: a minimum of many values starts with
+    zeros whatever the set is, its low bits are those of one hash of the set.
+    """
+    a, b = np.random.default_rng(seed).integers(0, 1 << 63, (2, lanes), dtype=np.uint64)
+    least = np.full(lanes, np.uint64(0xFFFFFFFFFFFFFFFF))
+    for at in range(0, len(hashes), 1024):
+        np.minimum(least, (hashes[at:at + 1024, None] * (a * np.uint64(2) + np.uint64(1)) + b).min(axis=0), out=least)
+    return (least & np.uint64(0xFFFF)).astype(np.uint16)
 
-def alike_pairs(sets: DataFrame, least: float) -> DataFrame:
-    """Pairs ``(a, b)`` with ``a < b`` of ``sets(part, node, tokens)``, token hashes of distinct sets, with Jaccard similarity ``least`` or more within a part."""
+
+def _signed(sets: DataFrame) -> DataFrame:
     def sign(batches):
         for b in batches:
-            sig = [_lanes(np.array(t, np.int64).view(np.uint64)) for t in b.column(2).to_pylist()]
+            sig = [least_lanes(np.array(t, np.int64).view(np.uint64), BANDS * BAND).tobytes() for t in b.column(2).to_pylist()]
             yield pa.record_batch([b.column(0), b.column(1), pa.array(sig, pa.binary())], ["part", "node", "sig"])
 
-    signed = durable(sets.select("part", "node", "tokens").mapInArrow(sign, "part long, node long, sig binary"))
+    return durable(sets.select("part", "node", "tokens").mapInArrow(sign, "part long, node long, sig binary"))
+
+
+def _met(signed: DataFrame) -> DataFrame:
+    """``(key, part, node)`` of the bands that several nodes share."""
     keys = ", ".join(f"xxhash64(part, {c}, substring(sig, {1 + 2 * BAND * c}, {2 * BAND}))" for c in range(BANDS))
     rows = signed.selectExpr("part", "node", f"explode(array({keys})) AS key")
-    many = rows.groupBy("key").count().where("count > 1").selectExpr("key", f"CAST(ceil(count / {BLOCK}) AS INT) AS chunks")
+    return durable(rows.join(rows.groupBy("key").count().where("count > 1").select("key"), "key"))
+
+
+def _like(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    x, y = (sets.selectExpr("part", f"node AS {c}", f"tokens AS {c}_tokens") for c in "ab")
+    return pairs.join(x, ["part", "a"]).join(y, ["part", "b"]).where(f"{jaccard('a_tokens', 'b_tokens')} >= {least}D").select("part", "a", "b")
+
+
+def settled_by_heads(met: DataFrame, verify: Callable[[DataFrame], DataFrame], few: int = 10_000) -> tuple[DataFrame, DataFrame]:
+    """Rows that rounds of heads settle: ``(kept, open)``; all rows of ``met`` in neither are dropped.
+
+    ``met(key, part, node)`` lists the rows of a block in which conflicts can lie,
+    ``verify`` keeps the conflicts among pairs ``(part, a, b)``.  The head of a block is
+    its first open row.  A row that heads all its blocks is kept; every other open
+    row meets the kept heads of its blocks, and leaves if it conflicts with one.  So a
+    family of near copies ends after one round with one pair a row, and no row is
+    still open that a kept one has not met.  Rounds go on while each halves what is
+    open, down to ``few`` rows of ``met``.
+    """
+    kept, rows = None, None
+    while True:
+        heads = met.groupBy("key").agg(F.min("node").alias("head"))
+        seen = durable(met.join(heads, "key").groupBy("part", "node").agg(F.expr("bool_and(node = head)").alias("top"), F.expr("collect_set(IF(node = head, NULL, head))").alias("heads")))
+        now = seen.where("top").select("part", "node")
+        asked = seen.where("NOT top").selectExpr("part", "node AS b", "explode(heads) AS a").join(now.withColumnRenamed("node", "a"), ["part", "a"], "left_semi")
+        dropped = verify(asked.select("part", "a", "b")).selectExpr("part", "b AS node").distinct()
+        kept = now if kept is None else kept.unionByName(now)
+        met = durable(met.join(durable(now.unionByName(dropped)), ["part", "node"], "left_anti"))
+        rows, before = met.count(), rows
+        if rows <= few or (before is not None and 2 * rows > before):
+            break
+    return kept, met.select("part", "node").distinct()
+
+
+def walk_kept(nodes: DataFrame, met: DataFrame, verify: Callable[[DataFrame], DataFrame], conflicts: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``(part, node)`` that the greedy walk in order of ``node`` keeps.
+
+    ``conflicts(open)`` gives all conflicts ``(part, a, b)``, a before b, among the rows
+    the heads leave open; a round settles every row whose earlier conflicts are
+    settled, so the rounds are the longest chain of conflicts and not a group's size.
+    """
+    alone = nodes.select("part", "node").join(met.select("part", "node").distinct(), ["part", "node"], "left_anti")
+    kept, open_ = settled_by_heads(met, verify)
+    settled, open_ = alone.unionByName(kept), durable(open_)
+    if open_.isEmpty():
+        return settled
+    edges = durable(conflicts(open_))
+    settled = settled.unionByName(open_.join(edges.selectExpr("part", "b AS node"), ["part", "node"], "left_anti"))
+    while not edges.isEmpty():
+        # rows without an open earlier conflict are kept; their later conflicts leave with all their links
+        sure = edges.selectExpr("part", "a AS node").distinct().join(edges.selectExpr("part", "b AS node"), ["part", "node"], "left_anti")
+        out = durable(edges.join(sure.withColumnRenamed("node", "a"), ["part", "a"], "left_semi").selectExpr("part", "b AS node").distinct())
+        rest = edges.join(out.withColumnRenamed("node", "b"), ["part", "b"], "left_anti")
+        freed = rest.join(out.withColumnRenamed("node", "a"), ["part", "a"], "left_semi").selectExpr("part", "b AS node").distinct()
+        edges = durable(rest.join(out.withColumnRenamed("node", "a"), ["part", "a"], "left_anti"))
+        settled = settled.unionByName(durable(freed.join(edges.selectExpr("part", "b AS node"), ["part", "node"], "left_anti")))
+    return settled
+
+
+def alike_pairs(sets: DataFrame, signed: DataFrame, least: float) -> DataFrame:
+    """Pairs ``(a, b)`` with ``a < b`` of ``sets(part, node, tokens)``, token hashes of distinct sets, with Jaccard similarity ``least`` or more within a part."""
+    rows = _met(signed)
+    many = rows.groupBy("key").count().selectExpr("key", f"CAST(ceil(count / {BLOCK}) AS INT) AS chunks")
     met = rows.join(many, "key").withColumn("own", F.expr("CAST(pmod(xxhash64(node, key), chunks) AS INT)")).join(signed, ["part", "node"])
     dealt = met.selectExpr("key", "part", "own", "node", "sig", "explode(sequence(0, chunks - 1)) AS other").selectExpr(
         "key", "least(own, other) AS lo", "greatest(own, other) AS hi", "part", "node", "sig")
@@ -119,9 +197,7 @@ def alike_pairs(sets: DataFrame, least: float) -> DataFrame:
                                       ["part", "a", "b"])
 
     pairs = dealt.repartition("key", "lo", "hi", "part").sortWithinPartitions("key", "lo", "hi", "part", "node").mapInArrow(compare, "part long, a long, b long").distinct()
-    pairs = durable(pairs)
-    x, y = (sets.selectExpr("part", f"node AS {c}", f"tokens AS {c}_tokens") for c in "ab")
-    return pairs.join(x, ["part", "a"]).join(y, ["part", "b"]).where(f"{jaccard('a_tokens', 'b_tokens')} >= {least}D").select("part", "a", "b")
+    return _like(durable(pairs), sets, least)
 
 
 def greedy_distinct(df: DataFrame, keys: list[str], row_id: str, order: list[str], tokens: str, least: float = ALIKE) -> DataFrame:
@@ -134,25 +210,70 @@ def greedy_distinct(df: DataFrame, keys: list[str], row_id: str, order: list[str
     """
     if least < ALIKE:
         raise ValueError(f"the bands are laid out for similarities from {ALIKE}")
-    named = df.selectExpr(*dict.fromkeys([*keys, row_id, *[o.split()[0] for o in order]]), f"array_sort({tokens}) AS tokens", f"xxhash64({', '.join(keys)}) AS part")
+    # written before the ranking: its range sample would make the tokens a second time
+    named = durable(df.selectExpr(*dict.fromkeys([*keys, row_id, *[o.split()[0] for o in order]]), f"array_sort({tokens}) AS tokens", f"xxhash64({', '.join(keys)}) AS part"))
     rows = durable(exact_rank(named, ["part"], order, "rank_").selectExpr(*keys, row_id, "CAST(rank_ AS BIGINT) AS node", "tokens", "part", "size(tokens) > 0 AS full_"))
     empty = rows.where("NOT coalesce(full_, false)").select("part", "node")
     first = durable(rows.where("full_").groupBy("part", "tokens").agg(F.min("node").alias("node")))
-    edges = durable(alike_pairs(first, least))
-    kept = first.select("part", "node").join(edges.selectExpr("part", "b AS node"), ["part", "node"], "left_anti").unionByName(empty)
-    settled = kept
-    while not edges.isEmpty():
-        # rows without an open earlier conflict are kept; their later conflicts leave with all their links
-        sure = edges.selectExpr("part", "a AS node").distinct().join(edges.selectExpr("part", "b AS node"), ["part", "node"], "left_anti")
-        out = durable(edges.join(sure.withColumnRenamed("node", "a"), ["part", "a"], "left_semi").selectExpr("part", "b AS node").distinct())
-        rest = edges.join(out.withColumnRenamed("node", "b"), ["part", "b"], "left_anti")
-        freed = rest.join(out.withColumnRenamed("node", "a"), ["part", "a"], "left_semi").selectExpr("part", "b AS node").distinct()
-        edges = durable(rest.join(out.withColumnRenamed("node", "a"), ["part", "a"], "left_anti"))
-        settled = settled.unionByName(durable(freed.join(edges.selectExpr("part", "b AS node"), ["part", "node"], "left_anti")))
-    picked = durable(rows.join(settled, ["part", "node"], "left_semi").select(*keys, row_id, "node", "part"))
+    signed = _signed(first)
+    settled = walk_kept(first, _met(signed), lambda pairs: _like(pairs, first, least), lambda open_: alike_pairs(
+        first.join(open_, ["part", "node"], "left_semi"), signed.join(open_, ["part", "node"], "left_semi"), least))
+    return _ranked(rows, settled.unionByName(empty), keys, row_id)
+
+
+def _ranked(rows: DataFrame, settled: DataFrame, keys: list[str], row_id: str) -> DataFrame:
+    picked = rows.join(settled, ["part", "node"], "left_semi").select(*keys, row_id, "node", "part")
     return exact_rank(picked, ["part"], ["node"], "keep_rank").selectExpr(*keys, row_id, "CAST(keep_rank AS INT) AS keep_rank")
 
 
+def _segments(rows: DataFrame, max_bits: int) -> list[int]:
+    """Masks of ``max_bits + 1`` segments of the bits in which the hashes differ at all."""
+    low, high = rows.agg(F.bit_and("hash"), F.bit_or("hash")).first()
+    places = [i for i in range(64) if ((low or 0) ^ (high or 0)) >> i & 1]
+    masks = [sum(1 << i for i in part.tolist()) for part in np.array_split(np.array(places, int), min(max_bits + 1, max(len(places), 1)))]
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
+
+
+def hamming_leaders(df: DataFrame, keys: list[str], row_id: str, order: list[str], payload: list[str], same: str, max_bits: int) -> DataFrame:
+    """``leader_groups`` for rows whose ``hash`` differs in at most ``max_bits`` bits and for which ``same`` holds.
+
+    Of ``max_bits + 1`` segments of the hash one is equal, so rows meet where a
+    segment is, in the first such segment alone; nothing holds all leaders of a key.
+    Rows without a hash match nothing.
+    """
+    named = df.selectExpr(*keys, f"{row_id} AS id_", "hash", *[f"{o.split()[0]} AS o{i}_" for i, o in enumerate(order)],
+                          f"struct({', '.join(dict.fromkeys(payload))}) AS r", f"xxhash64({', '.join(keys)}) AS part")
+    sort = [f"o{i}_{' DESC' if o.endswith(' DESC') else ''}" for i, o in enumerate(order)] + ["id_"]
+    rows = exact_rank(named, ["part"], sort, "node_").selectExpr(*keys, "id_", "part", "CAST(node_ AS BIGINT) AS node", "hash", "r")
+    rows = durable(rows)
+    masks = _segments(rows, max_bits)
+    blocks = rows.where("hash IS NOT NULL").selectExpr("part", "node", "hash", "r", f"posexplode(array({', '.join(f'hash & {m}L' for m in masks)})) AS (seg, value)")
+    first = " AND ".join(["true", *[f"(a.seg <= {i} OR (a.hash ^ b.hash) & {m}L <> 0)" for i, m in enumerate(masks[:-1])]])
+    near = f"bit_count(a.hash ^ b.hash) <= {max_bits}"
+    clash = re.sub(r"\bk\.", "a.r.", re.sub(r"\br\.", "b.r.", same))
+
+    def pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+        met = left.alias("a").join(right.alias("b"), F.expr("a.part = b.part AND a.seg = b.seg AND a.value = b.value AND a.node < b.node"))
+        return met.where(f"{first} AND {near}").where(f"coalesce({clash}, false)").selectExpr("a.part AS part", "a.node AS a", "b.node AS b")
+
+    def verify(asked: DataFrame) -> DataFrame:
+        x, y = (rows.selectExpr("part", f"node AS {c}", f"struct(hash, r) AS {c}_") for c in "ab")
+        both = asked.join(x, ["part", "a"]).join(y, ["part", "b"])
+        test = re.sub(r"\b([ab])\.(hash|r)\b", r"\1_.\2", f"{near} AND coalesce({clash}, false)")
+        return both.where(test).select("part", "a", "b")
+
+    keyed = blocks.selectExpr("xxhash64(part, seg, value) AS key", "part", "node")
+    met = durable(keyed.join(keyed.groupBy("key").count().where("count > 1").select("key"), "key"))
+    open_pairs = lambda open_: (lambda b: pairs(b, b))(blocks.join(open_, ["part", "node"], "left_semi"))
+    kept = durable(walk_kept(rows, met, verify, open_pairs))
+    numbered = durable(exact_rank(rows.join(kept, ["part", "node"], "left_semi").select("part", "node", "id_"), ["part"], ["node"], "no_"))
+    rest = blocks.join(kept, ["part", "node"], "left_anti")
+    joined = pairs(blocks.join(kept, ["part", "node"], "left_semi"), rest).groupBy("part", "b").agg(F.min("a").alias("leader")).withColumnRenamed("b", "node")
+    all_ = kept.selectExpr("part", "node", "node AS leader").unionByName(joined)
+    return rows.select(*keys, "id_", "part", "node").join(all_, ["part", "node"]).join(
+        numbered.selectExpr("part", "node AS leader", "CAST(no_ - 1 AS INT) AS group_no", "id_ AS best_id"), ["part", "leader"]).selectExpr(*keys, f"id_ AS {row_id}", "group_no", "best_id")
+
+
 def leader_groups(df: DataFrame, keys: list[str], row_id: str, order: list[str], payload: list[str], conflict: str,
                   batch: int = 256) -> DataFrame:
     """Assign each row to the first leader it matches; leaders are the rows the greedy walk keeps.

@@ -11,7 +11,7 @@ from ..functions.scores import icon_quality
 from ..functions.text import lit
 from ..functions.vectors import hamming, mean_abs_diff
 from ..session import durable
-from .greedy import join_small, leader_groups
+from .greedy import hamming_leaders, join_small
 from .windows import position
 
 
@@ -197,8 +197,8 @@ def near_duplicate_groups(df: DataFrame, keys: list[str], row_id: str, order: li
     ``df`` has ``hash`` (BIGINT) and the columns ``same`` reads as ``r.`` and ``k.``.
     """
     names = re.findall(r"\b[rk]\.(\w+)", same)
-    payload = list(dict.fromkeys(["hash", *names]))
-    return leader_groups(df, keys, row_id, order, payload, f"{hamming('r.hash', 'k.hash')} <= {max_bits} AND {same}")
+    payload = list(dict.fromkeys(names))
+    return hamming_leaders(df, keys, row_id, order, payload, same, max_bits)
 
 
 def best_of_group(df: DataFrame, keys: list[str], group: str, row_id: str, order: list[str]) -> DataFrame:

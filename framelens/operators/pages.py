@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,9 +11,9 @@ from ..functions import rules as R
 from ..functions import scores as V
 from ..functions.signals import game_rules_text, reason_count
 from ..functions.text import both, either, lit, some_term
-from ..functions.vectors import box_iou
+from ..functions.vectors import box_area, box_iou
 from ..session import durable
-from .greedy import greedy_keep
+from .greedy import greedy_keep, walk_kept
 from .windows import running, top_k
 
 
@@ -121,10 +123,44 @@ def page_decisions(scanned: DataFrame, selected: DataFrame) -> DataFrame:
 
 
 # --- boxes ------------------------------------------------------------------------------------
-def suppress_boxes(df: DataFrame, keys: list[str], box_id: str, threshold: float = 0.42) -> DataFrame:
-    """Boxes kept by area-descending suppression; ``df`` has x1, y1, x2, y2."""
+def suppress_boxes(df: DataFrame, keys: list[str], box_id: str, threshold: float = 0.42, batch: int = 256) -> DataFrame:
+    """Boxes kept by area-descending suppression; ``df`` has x1, y1, x2, y2.
+
+    A page's first ``batch`` boxes are walked inside a row.  What they leave of a larger
+    page is keyed by the grid cells a box touches: boxes alike at the threshold
+    have areas alike as well, so they meet in the grid of the larger one's size.
+    """
     rows = df.selectExpr(*keys, box_id, "x1", "y1", "x2", "y2", "greatest(0.0D, x2 - x1) * greatest(0.0D, y2 - y1) AS area")
-    return greedy_keep(rows, keys, box_id, ["area DESC", box_id], ["x1", "y1", "x2", "y2"], f"{box_iou('k', 'r')} >= {threshold}D")
+    # levels apart that areas of ratio ``threshold`` can be
+    levels = math.ceil(math.log2(1 / threshold) / 2) + 1
+
+    def cells(part: DataFrame) -> DataFrame:
+        """A row for each cell touched, in the grid of the box's own size and those of larger ones; boxes without area overlap nothing."""
+        sized = part.where("r.x2 > r.x1 AND r.y2 > r.y1").selectExpr("part", "node", "r", f"CAST(ceil(log2({box_area('r')}) / 2) AS INT) AS own")
+        at = sized.selectExpr("*", f"explode(sequence(own, own + {levels})) AS level").selectExpr("*", "pow(2.0D, level) AS side")
+        across = at.selectExpr("*", "explode(sequence(CAST(floor(r.x1 / side) AS BIGINT), CAST(floor(r.x2 / side) AS BIGINT))) AS cx")
+        return across.selectExpr("*", "explode(sequence(CAST(floor(r.y1 / side) AS BIGINT), CAST(floor(r.y2 / side) AS BIGINT))) AS cy")
+
+    def beyond(part: DataFrame) -> DataFrame:
+        touched = durable(cells(part))
+        keyed = touched.selectExpr("xxhash64(part, level, cx, cy) AS key", "part", "node")
+        met = durable(keyed.join(keyed.groupBy("key").count().where("count > 1").select("key"), "key").distinct())
+
+        def verify(asked: DataFrame) -> DataFrame:
+            x, y = (part.selectExpr("part", f"node AS {c}", f"r AS {c}_") for c in "ab")
+            return asked.join(x, ["part", "a"]).join(y, ["part", "b"]).where(f"{box_iou('a_', 'b_')} >= {threshold}D").select("part", "a", "b")
+
+        def conflicts(open_: DataFrame) -> DataFrame:
+            left = touched.join(open_, ["part", "node"], "left_semi")
+            same = " AND ".join(f"a.{c} = b.{c}" for c in ("part", "level", "cx", "cy"))
+            # in the grid of the larger box, at the cell of the intersection's corner: once
+            once = "a.level = greatest(a.own, b.own) AND a.cx = floor(greatest(a.r.x1, b.r.x1) / a.side) AND a.cy = floor(greatest(a.r.y1, b.r.y1) / a.side)"
+            return left.alias("a").join(left.alias("b"), F.expr(f"{same} AND a.node < b.node")).where(f"{once} AND {box_iou('a.r', 'b.r')} >= {threshold}D").selectExpr(
+                "a.part AS part", "a.node AS a", "b.node AS b")
+
+        return walk_kept(part, met, verify, conflicts)
+
+    return greedy_keep(rows, keys, box_id, ["area DESC", box_id], ["x1", "y1", "x2", "y2"], f"{box_iou('k', 'r')} >= {threshold}D", batch=batch, beyond=beyond)
 
 
 def merge_stacked(df: DataFrame, boxes: str, image_w: float, image_h: float) -> DataFrame:

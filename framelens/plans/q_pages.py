@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions import scores as V
@@ -13,7 +15,7 @@ from . import fixtures as fx
 from . import icon_sql as SQL
 from .q_classify import ICON_QUALITY_SQL, KEYS, PAGE_TEXT_SQL, VISUAL_SQL, page_text, r6
 from .registry import query
-from .sqlkit import cte, q, substr_sql, with_sql
+from .sqlkit import cte, greedy_sql, q, substr_sql, with_sql
 
 
 def pages(spark, sf):
@@ -94,12 +96,19 @@ def crowded(spark, sf):
   FROM box_fx a JOIN box_fx b ON a.video_id = b.video_id AND a.frame_idx = b.frame_idx AND b.line_no = a.line_no + 1"""))
 def _(spark, sf):
     """Each box against the next one of its frame."""
-    box = crowded(spark, sf).selectExpr(*KEYS, "line_no", "named_struct('x1', x1, 'y1', y1, 'x2', x2, 'y2', y2) AS a")
-    nxt = box.selectExpr(*KEYS, "line_no - 1 AS line_no", "a AS b")
-    return box.join(nxt, [*KEYS, "line_no"]).selectExpr(*KEYS, "line_no", r6(X.box_iou("a", "b"), "iou"), r6(X.box_overlap_min("a", "b"), "overlap"))
+    of_line = lambda e: re.sub(r"\b([xy][12])\b", r"t.\1", e)
+    box = ", ".join(f"'{c}', CAST({of_line(e)} AS DOUBLE)" for c, e in _CROWDED.items())
+    boxes = fx.frames(spark, sf).selectExpr(*KEYS, f"transform(items, t -> named_struct('line_no', t.line_no, 'a', named_struct({box}))) AS boxes")
+    # the lines of a frame are one array in order, so the next one needs no join
+    both = boxes.selectExpr(*KEYS, "inline(transform(slice(boxes, 1, size(boxes) - 1), (b, i) -> named_struct('line_no', b.line_no, 'a', b.a, 'b', boxes[i + 1].a)))")
+    return both.selectExpr(*KEYS, "line_no", r6(X.box_iou("a", "b"), "iou"), r6(X.box_overlap_min("a", "b"), "overlap"))
+
+
+cte("box_rank", "box_fx", "SELECT *, video_id * 1000000000 + frame_idx AS part, row_number() OVER (PARTITION BY video_id, frame_idx ORDER BY (x2-x1)*(y2-y1) DESC, line_no) AS n FROM box_fx")
+_P7 = greedy_sql("SELECT part, n FROM box_rank", f"SELECT a.part, a.n AS a, b.n AS b FROM box_rank a JOIN box_rank b ON a.part = b.part AND a.n < b.n WHERE {_INTER}/({_AA}+{_AB}-{_INTER}) >= 0.42")
 
 
-@query("p7_suppress_boxes")
+@query("p7_suppress_boxes", with_sql("box_rank", f"SELECT video_id, frame_idx, line_no, CAST(keep_rank AS INTEGER) AS keep_rank FROM ({_P7}) JOIN box_rank USING (part, n)"))
 def _(spark, sf):
     return P.suppress_boxes(crowded(spark, sf), KEYS, "line_no").select(*KEYS, "line_no", "keep_rank")
 
@@ -206,7 +215,16 @@ def _(spark, sf):
 NEAR = f"{X.mean_abs_diff('r.embedding', 'k.embedding')} <= 0.11D"
 
 
-@query("p19_near_dup_groups")
+cte("hash_rank", "hashes", "SELECT *, label AS part, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM hashes")
+_SAME = """bit_count(xor(a.hash, b.hash)) <= 14 AND list_avg(list_transform(list_zip(a.embedding, b.embedding), lambda p: abs(p[1]::DOUBLE - p[2]::DOUBLE))) <= 0.11"""
+cte("hash_pairs", "hash_rank", f"SELECT a.part, a.n AS a, b.n AS b FROM hash_rank a JOIN hash_rank b ON a.part = b.part AND a.n < b.n WHERE {_SAME}")
+_P19 = greedy_sql("SELECT part, n FROM hash_rank", "SELECT * FROM hash_pairs")
+
+
+@query("p19_near_dup_groups", with_sql("hash_rank hash_pairs", f""", lead AS MATERIALIZED ({_P19}),
+  best AS (SELECT part, b AS n, min(a) AS l FROM hash_pairs JOIN lead ON lead.part = hash_pairs.part AND lead.n = a GROUP BY 1, 2)
+  SELECT r.label, r.vec_id, CAST(l.keep_rank - 1 AS INTEGER) AS group_no, x.vec_id AS best_id FROM hash_rank r LEFT JOIN lead own USING (part, n) LEFT JOIN best USING (part, n)
+  JOIN lead l ON l.part = r.part AND l.n = CASE WHEN own.n IS NOT NULL THEN r.n ELSE best.l END JOIN hash_rank x ON x.part = l.part AND x.n = l.n""".replace("hash_pairs JOIN lead ON lead.part = hash_pairs.part", "hash_pairs p JOIN lead ON lead.part = p.part").replace("SELECT part, b AS n, min(a)", "SELECT p.part, b AS n, min(a)")))
 def _(spark, sf):
     """Leader groups per label: hashes within 14 bits and close vectors."""
     return I.near_duplicate_groups(hashed(spark, sf), ["label"], "vec_id", ["vec_id"], NEAR, max_bits=14)

@@ -20,7 +20,7 @@ from . import fixtures as fx
 from .q_classify import KEYS, r6, whens, with_confidence
 from .q_text import RULE_HELP_SQL, docs
 from .registry import query
-from .sqlkit import cte, norm_sql, with_sql
+from .sqlkit import cte, greedy_sql, norm_sql, with_sql
 
 GAP = 40  # gap limit of the fixture frames
 
@@ -331,7 +331,17 @@ def _(spark, sf):
     return SE.feature_pool(d).selectExpr(*KEYS, "CAST(pool_rank AS BIGINT) AS pool_rank", "final")
 
 
-@query("k17_greedy_dedup")
+cte("doc_tokens", "", f"""SELECT doc_id, list_distinct(list_filter(string_split(n,' '), lambda t: len(t) >= 3 AND NOT regexp_full_match(t,'[0-9]+'))) AS toks
+  FROM (SELECT doc_id, {norm_sql('text')} AS n FROM documents)""")
+
+
+cte("doc_rank", "doc_tokens", "SELECT lang AS part, doc_id, lang, toks, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS n FROM doc_tokens JOIN documents USING (doc_id)")
+_K17 = greedy_sql("SELECT part, n FROM doc_rank", """SELECT a.part, a.n AS a, b.n AS b FROM doc_rank a JOIN doc_rank b ON a.part = b.part AND a.n < b.n
+  AND len(a.toks) > 0 AND len(b.toks) BETWEEN 0.985 * len(a.toks) AND len(a.toks) / 0.985
+  WHERE len(list_intersect(a.toks, b.toks)) >= 0.985 * (len(a.toks) + len(b.toks) - len(list_intersect(a.toks, b.toks)))""")
+
+
+@query("k17_greedy_dedup", with_sql("doc_rank", f"SELECT r.lang, r.doc_id, CAST(k.keep_rank AS INTEGER) AS keep_rank FROM ({_K17}) k JOIN doc_rank r ON r.part = k.part AND r.n = k.n"))
 def _(spark, sf):
     """All documents of each language, longest first, that are not near copies of a kept one."""
     d = fx.spread(fx.table(spark, sf, "documents").select("doc_id", "lang", "n_chars", "text")).selectExpr(
@@ -339,10 +349,6 @@ def _(spark, sf):
     return G.greedy_distinct(d, ["lang"], "doc_id", ["n_chars DESC", "doc_id"], "tokens", 0.985)
 
 
-cte("doc_tokens", "", f"""SELECT doc_id, list_distinct(list_filter(string_split(n,' '), lambda t: len(t) >= 3 AND NOT regexp_full_match(t,'[0-9]+'))) AS toks
-  FROM (SELECT doc_id, {norm_sql('text')} AS n FROM documents)""")
-
-
 @query("k18_jaccard", with_sql("doc_tokens", """SELECT a.doc_id, round(CASE WHEN len(a.toks) = 0 OR len(b.toks) = 0 THEN 0 ELSE len(list_intersect(a.toks,b.toks))::DOUBLE
   / (len(a.toks) + len(b.toks) - len(list_intersect(a.toks,b.toks))) END, 6)::DOUBLE AS jaccard FROM doc_tokens a JOIN doc_tokens b ON b.doc_id = a.doc_id + 1"""))
 def _(spark, sf):

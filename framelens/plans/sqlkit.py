@@ -241,3 +241,12 @@ def with_sql(names: str, body: str, extra: dict[str, str] | None = None) -> str:
 
 def cte(name: str, deps: str, sql: str) -> None:
     CTES[name] = (tuple(deps.split()), sql)
+
+
+def greedy_sql(nodes: str, pairs: str) -> str:
+    """The greedy walk spelled out: of ``nodes(part, n)``, n from 1, those without a kept earlier conflict in ``pairs(part, a, b)``, one row of every part a step."""
+    return f"""SELECT * FROM (WITH RECURSIVE node_ AS MATERIALIZED ({nodes}), conf_ AS MATERIALIZED (SELECT part, b AS n, list(a) AS before FROM ({pairs}) GROUP BY 1, 2),
+  seq_ AS MATERIALIZED (SELECT part, n, coalesce(before, []) AS before FROM node_ LEFT JOIN conf_ USING (part, n)),
+  walk_(part, n, ids) AS (SELECT DISTINCT part, CAST(0 AS BIGINT), CAST([] AS BIGINT[]) FROM node_ UNION ALL
+    SELECT s.part, s.n, CASE WHEN list_has_any(w.ids, s.before) THEN w.ids ELSE list_append(w.ids, s.n) END FROM walk_ w JOIN seq_ s ON s.part = w.part AND s.n = w.n + 1)
+  SELECT part, unnest(ids) AS n, generate_subscripts(ids, 1) AS keep_rank FROM (SELECT part, arg_max(ids, n) AS ids FROM walk_ GROUP BY part))"""

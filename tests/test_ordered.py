@@ -230,6 +230,62 @@ def test_near_duplicate_groups_need_hash_and_pixels(spark):
     assert got == {0: 0, 1: 0, 2: 1, 3: 2}
 
 
+def test_hamming_leaders_equal_the_walk(spark):
+    rnd = random.Random(11)
+    rows = []
+    for i in range(400):
+        base = rnd.choice([0, 0b1011 << 20, rnd.getrandbits(40)])
+        h = base ^ sum(1 << b for b in rnd.sample(range(40), rnd.choice([0, 0, 1, 3, 4])))
+        rows.append((i % 2, i, rnd.randrange(5), None if i % 50 == 7 else h, float(rnd.randrange(3))))
+    rows += [(2, 1000 + i, 0, -1 - (i % 3), 1.0) for i in range(60)]  # negative hashes, a family of copies
+    df = spark.createDataFrame(rows, "g int, id bigint, score int, hash bigint, x double")
+    for bits in (0, 3, 5):
+        got = {r.id: (r.group_no, r.best_id) for r in G.hamming_leaders(df, ["g"], "id", ["score DESC", "id"], ["x"], "abs(r.x - k.x) <= 1.0D", bits).collect()}
+        want = {}
+        for g in (0, 1, 2):
+            leaders = []
+            for _, i, _, h, x in sorted((r for r in rows if r[0] == g), key=lambda r: (-r[2], r[1])):
+                at = next((n for n, (_, lh, lx) in enumerate(leaders) if h is not None and lh is not None and ((h ^ lh) & (1 << 64) - 1).bit_count() <= bits and abs(x - lx) <= 1), None)
+                if at is None:
+                    leaders.append((i, h, x))
+                    at = len(leaders) - 1
+                want[i] = (at, leaders[at][0])
+        assert got == want
+
+
+def test_large_pages_of_boxes_meet_in_grid_cells(spark):
+    rnd = random.Random(3)
+    boxes = []
+    for i in range(500):
+        w, h, x, y = rnd.choice([4, 9, 30, 200]), rnd.choice([3, 10, 40]), rnd.randrange(-60, 300), rnd.randrange(-60, 200)
+        boxes.append((i % 2, i, float(x), float(y), float(x + w), float(y + h)))
+    boxes += [(0, 1000 + i, 5.0, 5.0, 25.0 + i % 2, 25.0) for i in range(80)] + [(1, 2000, 3.0, 3.0, 3.0, 9.0), (1, 2001, 3.0, 3.0, 3.0, 9.0)]
+    df = spark.createDataFrame(boxes, "page int, id bigint, x1 double, y1 double, x2 double, y2 double")
+    got = {(r.page, r.keep_rank): r.id for r in P.suppress_boxes(df, ["page"], "id", batch=7).collect()}
+    area = lambda b: max(0, b[4] - b[2]) * max(0, b[5] - b[3])
+    want = {}
+    for page in (0, 1):
+        kept = []
+        for b in sorted((b for b in boxes if b[0] == page), key=lambda b: (-area(b), b[1])):
+            both = lambda k: max(0, min(b[4], k[4]) - max(b[2], k[2])) * max(0, min(b[5], k[5]) - max(b[3], k[3]))
+            if not any(both(k) > 0 and both(k) / (area(b) + area(k) - both(k)) >= 0.42 for k in kept):
+                kept.append(b)
+                want[(page, len(kept))] = b[1]
+    assert got == want
+
+
+def test_a_family_of_near_copies_ends_after_a_round(spark, monkeypatch):
+    rng = random.Random(8)
+    base = [rng.getrandbits(60) for _ in range(400)]
+    rows = [(0, i, [*base[:i % 400], rng.getrandbits(60), *base[i % 400 + 1:]]) for i in range(600)]
+    asked = []
+    like = G._like
+    monkeypatch.setattr(G, "_like", lambda pairs, sets, least: (asked.append(pairs.count()), like(pairs, sets, least))[1])
+    df = spark.createDataFrame(rows, "g long, id long, x array<long>")
+    assert [r.id for r in G.greedy_distinct(df, ["g"], "id", ["id"], "x").collect()] == [0]
+    assert sum(asked) <= 3 * len(rows)
+
+
 def test_greedy_distinct_equals_walk_over_all_rows(spark):
     rng = random.Random(5)
     rows = []
