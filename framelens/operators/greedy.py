@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import jaccard
 from ..session import durable
-from .windows import exact_rank, top_k
+from .windows import exact_rank, split_by_size, top_k
 
 SALTS = 16
 # sets alike at ALIKE or more share no band with probability (1 - ALIKE ** BAND) ** BANDS, 3e-16 at 0.985;
@@ -234,13 +234,21 @@ def _segments(rows: DataFrame, max_bits: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def hamming_leaders(df: DataFrame, keys: list[str], row_id: str, order: list[str], payload: list[str], same: str, max_bits: int) -> DataFrame:
+def hamming_leaders(df: DataFrame, keys: list[str], row_id: str, order: list[str], payload: list[str], same: str, max_bits: int, small: int = 1024) -> DataFrame:
     """``leader_groups`` for rows whose ``hash`` differs in at most ``max_bits`` bits and for which ``same`` holds.
 
     Of ``max_bits + 1`` segments of the hash one is equal, so rows meet where a
     segment is, in the first such segment alone; nothing holds all leaders of a key.
-    Rows without a hash match nothing.
+    Keys of at most ``small`` rows are walked inside a row, with equal results.  Rows
+    without a hash match nothing.
     """
+    few, many = split_by_size(df, keys, small)
+    near = f"bit_count(r.hash ^ k.hash) <= {max_bits} AND {same}"
+    walked = leader_groups(few, keys, row_id, order, list(dict.fromkeys(["hash", *payload])), near, batch=small + 1)
+    return walked if many is None else walked.unionByName(_blocked_leaders(many, keys, row_id, order, payload, same, max_bits))
+
+
+def _blocked_leaders(df: DataFrame, keys: list[str], row_id: str, order: list[str], payload: list[str], same: str, max_bits: int) -> DataFrame:
     named = df.selectExpr(*keys, f"{row_id} AS id_", "hash", *[f"{o.split()[0]} AS o{i}_" for i, o in enumerate(order)],
                           f"struct({', '.join(dict.fromkeys(payload))}) AS r", f"xxhash64({', '.join(keys)}) AS part")
     sort = [f"o{i}_{' DESC' if o.endswith(' DESC') else ''}" for i, o in enumerate(order)] + ["id_"]

@@ -75,3 +75,13 @@ def exact_rank(df: DataFrame, keys: list[str], order: list[str], out: str = "ran
     offsets = counts.selectExpr(*keys, "part_", f"coalesce(sum(count) OVER (PARTITION BY {k} ORDER BY part_ ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base_")
     local = parts.selectExpr("*", f"row_number() OVER (PARTITION BY {k}, part_ ORDER BY {_csv(order)}) AS rn_")
     return local.join(offsets, [*keys, "part_"]).selectExpr(*[f"`{c}`" for c in df.columns], f"base_ + rn_ AS {out}")
+
+
+def split_by_size(df: DataFrame, keys: list[str], limit: int, measure: str = "1L") -> tuple[DataFrame, DataFrame | None]:
+    """Rows of the keys whose sum of ``measure`` is within ``limit``, and those of the larger keys (None: there are none)."""
+    sizes = df.groupBy(*keys).agg(F.expr(f"sum({measure})").alias("size_")).where(f"size_ > {limit}").drop("size_")
+    large = durable(sizes.withColumnsRenamed({c: f"large_{c}" for c in keys}))
+    if large.isEmpty():
+        return df, None
+    same = F.expr(" AND ".join(f"{c} <=> large_{c}" for c in keys))
+    return df.join(large, same, "left_anti"), df.join(large, same, "left_semi")

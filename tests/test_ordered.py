@@ -190,13 +190,14 @@ def plain_kmeans(x, k):
     return labels
 
 
-def test_kmeans_equals_plain_lloyd_per_group(spark):
+@pytest.mark.parametrize("small", [0, 100, 1 << 22])
+def test_kmeans_equals_plain_lloyd_per_group(spark, small):
     rng = np.random.default_rng(9)
     groups = {0: rng.normal(size=(120, 5)), 1: np.concatenate([rng.normal(size=(30, 5)) + 6, rng.normal(size=(10, 5))]),
               2: np.ones((7, 5)), 3: rng.normal(size=(2, 5)), 4: rng.normal(size=(1, 5))}
     data = [(g, i, [float(v) for v in row]) for g, x in groups.items() for i, row in enumerate(x)]
     df = spark.createDataFrame(data, "g int, id bigint, vec array<double>")
-    got = {(r.g, r.id): r.cluster for r in CL.labels(df, ["g"], "id", "vec", 3).collect()}
+    got = {(r.g, r.id): r.cluster for r in CL.labels(df, ["g"], "id", "vec", 3, small).collect()}
     for g, x in groups.items():
         assert [got[(g, i)] for i in range(len(x))] == plain_kmeans(x, 3).tolist()
 
@@ -239,8 +240,8 @@ def test_hamming_leaders_equal_the_walk(spark):
         rows.append((i % 2, i, rnd.randrange(5), None if i % 50 == 7 else h, float(rnd.randrange(3))))
     rows += [(2, 1000 + i, 0, -1 - (i % 3), 1.0) for i in range(60)]  # negative hashes, a family of copies
     df = spark.createDataFrame(rows, "g int, id bigint, score int, hash bigint, x double")
-    for bits in (0, 3, 5):
-        got = {r.id: (r.group_no, r.best_id) for r in G.hamming_leaders(df, ["g"], "id", ["score DESC", "id"], ["x"], "abs(r.x - k.x) <= 1.0D", bits).collect()}
+    for bits, small in ((0, 1), (3, 100), (5, 1), (5, 1000)):
+        got = {r.id: (r.group_no, r.best_id) for r in G.hamming_leaders(df, ["g"], "id", ["score DESC", "id"], ["x"], "abs(r.x - k.x) <= 1.0D", bits, small).collect()}
         want = {}
         for g in (0, 1, 2):
             leaders = []
