@@ -10,11 +10,10 @@ Each token's count is needed in the scan.  The ``HEAD`` most frequent words
 travel with the tasks (a bounded table); for the rest, a task sends one row per
 document and word, which is joined with the counts and summed by document.
 
-The network learns from all training documents (an argument takes a sample), in
-``ROUNDS`` rounds of one pass over each shard of about ``SHARD_DOCS`` documents, so
-shards grow with the rows; Spark adds up the parameters of the shards and the mean
-starts the next round.  The first predictions are the corpus counts of all training
-documents.
+The first predictions of the network are the corpus counts of all training
+documents.  It then learns from all of them, in ``ROUNDS`` passes over shards of about
+``SHARD_BYTES``, whose number grows with the rows; Spark adds up the parameters of
+the shards, and the mean starts the next round.
 
 Defined cases: null text is the empty text, which is one end token; rows without
 doc_id are held in; repeated rows are scored each; with no training document
@@ -41,7 +40,7 @@ from .registry import query
 
 HEAD = 1 << 18
 CLASSES, PLACES, RARE, HIDDEN = 16, 32, 48, 16
-SHARD_DOCS, SHARDS, ROUNDS, RATE = 1024, 4, 3, 0.02
+SHARD_BYTES, SHARDS, ROUNDS, RATE = 1 << 23, 4, 1, 0.02
 UNIT = float(1 << 32)  # parameters are added up as whole multiples of 1 / UNIT, so that no order of addition shows
 ALPHA = 0.1
 SLICE = 256
@@ -136,17 +135,13 @@ class Vocabulary:
         return np.concatenate([[self.end], model[:-1]]), cls.astype(np.int64), np.where(frequent, model % PLACES, 0).astype(np.int64)
 
 
-def train(docs: DataFrame, vocab: Vocabulary, train_docs: int | None = None, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
-    """Parameters after rounds of one local pass per shard and averaging; ``train_docs``: about so many documents, None for all."""
+def train(docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
+    """Parameters after rounds of one local pass per shard and averaging."""
     p = gru.start(np.random.default_rng(7), CLASSES * PLACES + RARE, HIDDEN, vocab.class_log, vocab.word_log)
-    n = docs.count()
-    if not n:
-        return p
-    some = docs
-    if train_docs is not None:
-        some, n = docs.where(f"pmod({_KEY}, 1048576) < {min(1.0, train_docs / n)} * 1048576"), min(n, train_docs)
-    shards = max(SHARDS, -(-n // SHARD_DOCS))
-    some = some.selectExpr("text", f"CAST(pmod(xxhash64({_KEY}, 1), {shards}) AS INT) AS shard")
+    size = docs.agg(F.expr("sum(octet_length(text))")).first()[0] or 0
+    shards = max(SHARDS, math.ceil(size / SHARD_BYTES))
+    # a number given is not coalesced: shards that are small in bytes are long in work
+    dealt = docs.selectExpr("text", f"CAST(pmod(xxhash64({_KEY}, 1), {shards}) AS INT) AS shard").repartition(shards, "shard")
 
     def learner(p, k):
         def learn(rows: pd.DataFrame) -> pd.DataFrame:
@@ -157,7 +152,7 @@ def train(docs: DataFrame, vocab: Vocabulary, train_docs: int | None = None, rou
         return learn
 
     for k in range(rounds):
-        learned = some.groupBy("shard").applyInPandas(learner(p, k), "name string, value array<bigint>")
+        learned = dealt.groupBy("shard").applyInPandas(learner(p, k), "name string, value array<bigint>")
         sums = learned.selectExpr("name", "posexplode(value) AS (at, v)").groupBy("name", "at").agg(F.sum("v").alias("v"), F.count("*").alias("n")).toPandas()
         if sums.empty:
             return p
@@ -165,7 +160,7 @@ def train(docs: DataFrame, vocab: Vocabulary, train_docs: int | None = None, rou
     return p
 
 
-def score(docs: DataFrame, held_out: str, train_docs: int | None = None, head: int = HEAD) -> DataFrame:
+def score(docs: DataFrame, held_out: str, head: int = HEAD) -> DataFrame:
     """Per row: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``."""
     scratch = Scratch(docs.sparkSession)
     own = docs.select("doc_id", "text")
@@ -183,7 +178,7 @@ def score(docs: DataFrame, held_out: str, train_docs: int | None = None, head: i
     for w, c in zip(frequent, freq):
         mass[rare_class(w)] -= c + ALPHA
     vocab = Vocabulary(words, freq, ends, np.maximum(mass, ALPHA))
-    params = train(training, vocab, train_docs)
+    params = train(training, vocab)
     log_total = math.log10(total + ALPHA * (kinds + 1))
     log_mass = np.log(vocab.rare_mass)
 

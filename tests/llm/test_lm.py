@@ -27,7 +27,7 @@ def test_whole_table(spark, sf, head):
     held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
     n, want = plain(rows, held)
     want = {i: w for (i, _), w in zip(rows, want.values())}
-    got = M.score(docs, M.held_out_sql(10), train_docs=60, head=head).collect()
+    got = M.score(docs, M.held_out_sql(10), head=head).collect()
     assert len(got) == len(rows)
     for r in got:
         a, b, c = want[r.doc_id]
@@ -93,7 +93,7 @@ def test_defined_cases(spark):
 
 
 def test_network_learns_from_every_training_document(spark, monkeypatch):
-    monkeypatch.setattr(M, "SHARD_DOCS", 300)
+    monkeypatch.setattr(M, "SHARD_BYTES", 1500)  # of texts of five bytes
     docs = spark.range(1500).selectExpr("id AS doc_id", "concat('w', id % 7, ' w', id % 5) AS text")
     seen = spark.sparkContext.accumulator(0)
     shards = spark.sparkContext.accumulator(0)
