@@ -137,7 +137,7 @@ class Adam:
             p[k] -= self.rate * (self.m[k] / (1 - 0.9 ** self.t)) / (np.sqrt(self.v[k] / (1 - 0.99 ** self.t)) + 1e-6)
 
 
-def train_epoch(p, texts, rate: float, window: int = 16, streams: int = 256):
+def train_epoch(p, texts, rate: float, window: int = 16, streams: int = 512):
     """One pass over ``texts`` of (inputs, classes, places), one behind the other in ``streams`` equal lanes; every text starts with a fresh state."""
     p = {k: v.copy() for k, v in p.items()}
     x, cls, place = (np.concatenate([t[k] for t in texts] or [np.empty(0, np.int64)]) for k in range(3))

@@ -26,7 +26,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -113,6 +113,7 @@ class Vocabulary:
         # number of a head word -> model number (its own, or that of its rare class)
         self.model = np.array([place_of.get(w, CLASSES * PLACES + rare_class(w)) for w in words] + [0], np.int32)
         self.rare_mass = rare_mass
+        self.rare_of: dict[bytes, int] = {}
         freq = np.zeros(CLASSES * PLACES)
         freq[:len(model)] = [c + ALPHA for _, c in model]
         logs = np.log(np.maximum(freq, 1e-9)).reshape(CLASSES, PLACES)
@@ -122,10 +123,13 @@ class Vocabulary:
 
     def read(self, words: list[bytes]):
         """Model numbers of the words and the end; head numbers (-1 for tail words)."""
-        head = np.fromiter(map(self.number.get, words, [-1] * len(words)), np.int64, len(words))
-        model = np.append(self.model[head], self.end).astype(np.int32)
-        for i in np.flatnonzero(head < 0).tolist():
-            model[i] = CLASSES * PLACES + rare_class(words[i])
+        head = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
+        model = np.append(self.model[head], self.end)
+        tail = np.flatnonzero(head < 0)
+        if len(tail):
+            ends, known = [words[i][-3:] for i in tail.tolist()], self.rare_of
+            known.update((e, CLASSES * PLACES + rare_class(e)) for e in set(ends) - known.keys())
+            model[tail] = [known[e] for e in ends]
         return model, head
 
     def sequence(self, model: np.ndarray):
