@@ -34,6 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.greedy import least_lanes
 from .common import Scratch, components, table
 from .registry import query
 
@@ -41,7 +42,7 @@ SHINGLE, SEED, RADIUS = 4, 42, 4
 SEGMENTS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 CHUNK = 1024
 # likeness: BANDS * BAND lanes; a pair at 0.8 shares no band with probability (1 - 0.8 ** 5) ** 25 = 5e-5.
-# Estimates under LOW are dropped (0.8 is four deviations away); above SURE, rows follow one leader.
+# A lane is a byte: unlike ones agree in 1 of 256.  Estimates under LOW are dropped (0.8 is four deviations away); above SURE, rows follow one leader.
 LIKE_SHINGLE, LIKE, BANDS, BAND, LOW, SURE = 5, 0.8, 25, 5, 0.65, 0.9
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -221,16 +222,6 @@ def one_per_group(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return docs.join(drop, F.expr("doc_id = drop_"), "left_anti")
 
 
-def lanes(hashes: np.ndarray) -> np.ndarray:
-    """Sixteen bits of the smallest of each of ``BANDS * BAND`` permutations of the hashes."""
-    rng = np.random.default_rng(SEED)
-    a, b = rng.integers(0, 1 << 63, (2, BANDS * BAND), dtype=np.uint64)
-    least = np.full(BANDS * BAND, _FULL)
-    for at in range(0, len(hashes), 2048):
-        np.minimum(least, (hashes[at:at + 2048, None] * (a * np.uint64(2) + np.uint64(1)) + b).min(axis=0), out=least)
-    return (least >> np.uint64(48)).astype(np.uint16)
-
-
 def _shingles(docs: DataFrame, shingle: int, kind: str, row) -> DataFrame:
     """``docs(doc_id, text)`` by ``row`` of each text's sorted distinct shingle hashes."""
     def run(batches):
@@ -242,15 +233,23 @@ def _shingles(docs: DataFrame, shingle: int, kind: str, row) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {kind}")
 
 
-def lane_pairs(sig: np.ndarray, ids: np.ndarray):
-    """Pairs to check among rows of lanes: each leader with all rows near it, and across clusters each row with its best match."""
+def lane_pairs(sig: np.ndarray, ids: np.ndarray, band: int):
+    """Pairs to check among rows of lanes that meet in ``band``: each leader with all rows near it, and across clusters each row with its best match.
+
+    A pair that an earlier band brings together is left to that one.
+    """
+    def first(at: np.ndarray, i: int) -> np.ndarray:
+        """Of the rows ``at``, those that share no earlier band with row i."""
+        same = (sig[at, :band * BAND] == sig[i, :band * BAND]).reshape(len(at), band, BAND).all(axis=2).any(axis=1)
+        return at[~same]
+
     open_, out_a, out_b, clusters = np.ones(len(sig), bool), [], [], []
     for i in range(len(sig)):
         if not open_[i]:
             continue
         e = (sig == sig[i]).mean(axis=1)
         e[i] = 0
-        near = np.flatnonzero(e >= LOW)
+        near = first(np.flatnonzero(e >= LOW), i)
         members = np.append(np.flatnonzero(open_ & (e >= SURE)), i)
         open_[members] = False
         out_a.append(ids[near])
@@ -270,28 +269,28 @@ def lane_pairs(sig: np.ndarray, ids: np.ndarray):
 
 def like_links(sets: DataFrame, chunk: int = CHUNK // 2) -> DataFrame:
     """``(a, b)`` pairs of ``sets(node, sig)`` that share a band and whose lanes are near."""
-    keys = ", ".join(f"xxhash64({c}, substring(sig, {1 + 2 * BAND * c}, {2 * BAND}))" for c in range(BANDS))
-    rows = sets.selectExpr("node", f"explode(array({keys})) AS key")
+    keys = ", ".join(f"xxhash64({c}, substring(sig, {1 + BAND * c}, {BAND}))" for c in range(BANDS))
+    rows = sets.selectExpr("node", f"posexplode(array({keys})) AS (band, key)")
     many = rows.groupBy("key").count().where("count > 1").selectExpr("key", f"CAST(ceil(count / {chunk}) AS INT) AS chunks")
     met = rows.join(many, "key").withColumn("own", F.expr("CAST(pmod(xxhash64(node, key), chunks) AS INT)")).join(sets, "node")
-    dealt = met.selectExpr("key", "own", "node", "sig", "explode(sequence(0, chunks - 1)) AS other").selectExpr(
-        "key", "least(own, other) AS lo", "greatest(own, other) AS hi", "node", "sig")
+    dealt = met.selectExpr("key", "band", "own", "node", "sig", "explode(sequence(0, chunks - 1)) AS other").selectExpr(
+        "key", "band", "least(own, other) AS lo", "greatest(own, other) AS hi", "node", "sig")
 
     def run(batches):
         held, at = [], None
         for b in batches:
-            for key, lo, hi, node, sig in zip(*(c.to_pylist() for c in b.columns)):
+            for key, band, lo, hi, node, sig in zip(*(c.to_pylist() for c in b.columns)):
                 if (key, lo, hi) != at:
                     yield from compared(held)
                     held, at = [], (key, lo, hi)
-                held.append((node, sig))
+                held.append((band, node, sig))
         yield from compared(held)
 
     def compared(held):
         if len(held) > 1:
-            ids = np.array([n for n, _ in held], np.int64)
-            sig = np.frombuffer(b"".join(s for _, s in held), np.uint16).reshape(len(ids), -1)
-            a, b = (np.concatenate(x) for x in lane_pairs(sig, ids))
+            ids = np.array([n for _, n, _ in held], np.int64)
+            sig = np.frombuffer(b"".join(s for *_, s in held), np.uint8).reshape(len(ids), -1)
+            a, b = (np.concatenate(x) for x in lane_pairs(sig, ids, held[0][0]))
             yield pa.record_batch([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
 
     return dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node").mapInArrow(run, "a long, b long").distinct()
@@ -305,7 +304,7 @@ def one_per_likeness(docs: DataFrame, shingle: int = LIKE_SHINGLE, least: float
     texts = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
     own = scratch.keep(_shingles(texts, shingle, "digest long, sig binary", lambda sets: (
         pa.array([xxhash.xxh64_intdigest(s.tobytes(), seed=SEED) for s in sets], pa.uint64()).to_numpy().view(np.int64),
-        pa.array([lanes(s).tobytes() for s in sets], pa.binary()))))
+        pa.array([least_lanes(s, BANDS * BAND, SEED).astype(np.uint8).tobytes() for s in sets], pa.binary()))))
     sets = scratch.keep(own.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig")), own.count())
     pairs = scratch.keep(like_links(sets.select("node", "sig")))
     asked = pairs.selectExpr("a AS id_").union(pairs.selectExpr("b AS id_")).distinct()
