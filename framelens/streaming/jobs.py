@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
@@ -54,14 +55,84 @@ def event_groups(events: DataFrame, key: str, ts: str, gap_micros: int, width: i
     return runs.groupBy(key, "grp_").agg(F.min(ts).alias("start"), F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_id")).drop("grp_")
 
 
-def stream_event_groups(events: DataFrame, key: str, ts: str, gap: str, watermark: str) -> DataFrame:
-    """The same runs over a stream, as session windows; only runs that the watermark has closed come out.
+GROUP = "start_us long, last_us long, n long, first_id long"
 
-    A session closes at the gap itself, so callers pass the strict limit plus one microsecond.
+
+class GroupRuns(StatefulProcessor):
+    """Open runs of each key as typed list state; an event-time timer closes those the watermark has passed.
+
+    Rows are taken chunk by chunk: a chunk is first reduced to its own runs, which
+    then join the open ones.  The open runs of a key span the watermark's delay
+    and a gap, so the list is short however many events there are.
     """
-    source = events.withWatermark(ts, watermark)
-    return source.groupBy(F.session_window(ts, gap).alias("w"), key).agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_id")).select(
-        key, F.col("w.start").alias("start"), "n", "first_id")
+
+    def __init__(self, gap_micros: int):
+        self.gap = gap_micros
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getListState("open", GROUP)
+
+    def _joined(self, runs: list[tuple]) -> list[tuple]:
+        out: list[tuple] = []
+        for run in sorted(runs):
+            if out and run[0] - out[-1][1] <= self.gap:
+                start, last, n, first = out[-1]
+                out[-1] = (start, max(last, run[1]), n + run[2], min(first, run[3]))
+            else:
+                out.append(run)
+        return out
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        runs = [tuple(r) for r in self.open.get()] if self.open.exists() else []
+        for part in rows:
+            part = part.sort_values("us")
+            us, ids = part["us"].to_numpy(), part["event_id"].to_numpy()
+            cut = np.concatenate([[0], np.flatnonzero(np.diff(us) > self.gap) + 1])
+            ends = np.append(cut[1:], len(us))
+            runs = self._joined(runs + list(zip(us[cut].tolist(), us[ends - 1].tolist(), (ends - cut).tolist(), np.minimum.reduceat(ids, cut).tolist())))
+        yield from self._settled(key, runs, timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._settled(key, [tuple(r) for r in self.open.get()] if self.open.exists() else [], timerValues)
+
+    def _settled(self, key, runs: list[tuple], timers) -> Iterator[pd.DataFrame]:
+        """Runs that no event still to come can join leave the state; a timer waits for the first of the others."""
+        now = timers.getCurrentWatermarkInMs()
+        closed = [r for r in runs if self._end(r) <= now]
+        left = [r for r in runs if self._end(r) > now]
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        if left:
+            self.open.put(left)
+            self.handle.registerTimer(min(map(self._end, left)))
+        else:
+            self.open.clear()
+        if closed:
+            start, last, n, first = zip(*closed)
+            yield pd.DataFrame({"key": key[0], "start_us": start, "n": n, "first_id": first})
+
+    def _end(self, run: tuple) -> int:
+        return (run[1] + self.gap) // 1000 + 1
+
+    def close(self) -> None:
+        pass
+
+
+def stream_event_groups(events: DataFrame, key: str, ts: str, gap_micros: int, watermark: str) -> DataFrame:
+    """The same runs over a stream: those the watermark has closed come out; ``open_event_groups`` reads the others when the stream is at rest."""
+    # list state and timers need this store
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    kind = events.schema[key].dataType.simpleString()
+    rows = events.withWatermark(ts, watermark).select(F.col(key).alias("key"), "event_id", F.unix_micros(ts).alias("us"), ts)
+    runs = rows.groupBy("key").transformWithStateInPandas(GroupRuns(gap_micros), f"key {kind}, start_us bigint, n bigint, first_id bigint", "append", "eventtime")
+    return runs.selectExpr(f"key AS {key}", "timestamp_micros(start_us) AS start", "n", "first_id")
+
+
+def open_event_groups(spark: SparkSession, checkpoint: str, key: str) -> DataFrame:
+    """Runs still open in the state a stopped ``stream_event_groups`` query left in its checkpoint."""
+    state = spark.read.format("statestore").option("stateVarName", "open").load(checkpoint)
+    return state.selectExpr(f"key.key AS {key}", "timestamp_micros(list_element.start_us) AS start", "list_element.n AS n", "list_element.first_id AS first_id")
 
 
 def _write_table(path: str, partition_by: list[str]) -> Callable[[DataFrame, int], None]:
