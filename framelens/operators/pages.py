@@ -14,7 +14,7 @@ from ..functions.text import both, either, lit, some_term
 from ..functions.vectors import box_area, box_iou
 from ..session import durable
 from .greedy import greedy_keep, walk_kept
-from .windows import running, top_k
+from .windows import SEGMENT, running, split_by_size, top_k
 
 
 def has_reason(reasons: str, prefix: str) -> str:
@@ -241,12 +241,43 @@ def local_maxima(df: DataFrame, keys: list[str], pos: str, value: str, min_heigh
             .where(f"{value} > before_ AND {value} > after_ AND {value} >= {min_height}D").drop("before_", "after_"))
 
 
-def spaced_peaks(maxima: DataFrame, keys: list[str], pos: str, value: str, min_dist: int) -> DataFrame:
+def spaced_peaks(maxima: DataFrame, keys: list[str], pos: str, value: str, min_dist: int, small: int = 1 << 16) -> DataFrame:
     """Left-to-right spacing: a close maximum replaces the last peak when it is taller.
 
-    The maxima of one profile fold inside one row; a profile is already
-    aggregated to a bounded axis.
+    Profiles of at most ``small`` maxima fold inside a row.  In longer ones every
+    maximum gets the one that would follow it as the last peak: the first taller one
+    closer than ``min_dist``, else the first that is not closer.  What the walk visits
+    is then found by jumps of doubling length, from the maxima with none close before them.
     """
+    few, many = split_by_size(maxima, keys, small)
+    folded = _folded_peaks(few, keys, pos, value, min_dist)
+    return folded if many is None else folded.unionByName(_linked_peaks(many, keys, pos, value, min_dist))
+
+
+def _linked_peaks(maxima: DataFrame, keys: list[str], pos: str, value: str, min_dist: int, width: int = SEGMENT) -> DataFrame:
+    k, far = ", ".join(keys), 2 * min_dist
+    rows = maxima.selectExpr(*keys, f"CAST({pos} AS BIGINT) AS p", f"CAST({value} AS DOUBLE) AS v")
+    # segments of the axis with what lies within reach on both sides; a window holds at most that reach
+    near = rows.selectExpr("*", f"explode(sequence(CAST(floor((p - {far}) / {width}) AS BIGINT), CAST(floor((p + {far}) / {width}) AS BIGINT))) AS seg")
+    line = f"OVER (PARTITION BY {k}, seg ORDER BY p RANGE BETWEEN"
+    seen = near.selectExpr("*", f"count(*) {line} {min_dist - 1} PRECEDING AND 1 PRECEDING) AS close_", f"collect_list(struct(p, v)) {line} 1 FOLLOWING AND {far} FOLLOWING) AS ahead")
+    own = seen.where(f"seg = floor(p / {width})")
+    following = f"array_min(transform(filter(ahead, x -> x.v > v OR x.p - p >= {min_dist}), x -> x.p))"
+    nodes = durable(own.selectExpr(*keys, "p", "v", "close_ = 0 AS root", f"{following} AS nxt"))
+    visited, jumps = nodes.where("root").select(*keys, "p"), nodes.where("nxt IS NOT NULL").select(*keys, "p", "nxt")
+    n = visited.count()
+    while True:
+        visited = durable(visited.unionByName(visited.join(jumps, [*keys, "p"]).select(*keys, F.col("nxt").alias("p"))).distinct())
+        before, n = n, visited.count()
+        if n == before:
+            break
+        onward = jumps.select(*keys, F.col("p").alias("nxt"), F.col("nxt").alias("then_"))
+        jumps = durable(jumps.join(onward, [*keys, "nxt"]).select(*keys, "p", F.col("then_").alias("nxt")))
+    # a visited peak stays unless a close one takes its place
+    return nodes.join(visited, [*keys, "p"], "left_semi").where(f"nxt IS NULL OR nxt - p >= {min_dist}").selectExpr(*keys, f"p AS {pos}", f"v AS {value}")
+
+
+def _folded_peaks(maxima: DataFrame, keys: list[str], pos: str, value: str, min_dist: int) -> DataFrame:
     walk = maxima.groupBy(*keys).agg(F.expr(f"array_sort(collect_list(struct({pos} AS p, CAST({value} AS DOUBLE) AS v))) AS walk"))
     far = f"size(acc) = 0 OR m.p - element_at(acc, -1).p >= {min_dist}"
     swap = "m.v > element_at(acc, -1).v"

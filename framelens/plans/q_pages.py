@@ -309,7 +309,16 @@ def _(spark, sf):
     return P.local_maxima(hours(spark, sf), ["event_type"], "hr", "n", 2.0)
 
 
-@query("p29_spaced_peaks")
+cte("maxima", "hours", "SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY hr) AS i FROM (SELECT event_type, hr, n FROM hours WINDOW w AS (PARTITION BY event_type ORDER BY hr) QUALIFY n > lag(n) OVER w AND n > lead(n) OVER w AND n >= 2)")
+_PEAKS = """SELECT * FROM (WITH RECURSIVE pw(event_type, i, p, v, out) AS (SELECT DISTINCT event_type, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT) FROM maxima
+    UNION ALL SELECT m.event_type, m.i, CASE WHEN p IS NULL OR m.hr - p >= 6 OR m.n > v THEN m.hr ELSE p END, CASE WHEN p IS NULL OR m.hr - p >= 6 OR m.n > v THEN m.n ELSE v END,
+      CASE WHEN m.hr - p >= 6 THEN p END FROM pw JOIN maxima m ON m.event_type = pw.event_type AND m.i = pw.i + 1)
+  SELECT event_type, out AS hr FROM pw WHERE out IS NOT NULL UNION ALL SELECT event_type, arg_max(p, i) FROM pw WHERE i > 0 GROUP BY 1)"""
+
+
+@query("p29_spaced_peaks", with_sql("maxima", f"""SELECT l.event_type, l.hr AS left_peak, l.nx AS right_peak, arg_min(h.hr, (h.n, h.hr)) AS valley
+  FROM (SELECT event_type, hr, lead(hr) OVER (PARTITION BY event_type ORDER BY hr) AS nx FROM ({_PEAKS})) l JOIN hours h ON h.event_type = l.event_type AND h.hr BETWEEN l.hr AND l.nx
+  WHERE l.nx IS NOT NULL GROUP BY 1, 2, 3"""))
 def _(spark, sf):
     h = hours(spark, sf)
     peaks = P.spaced_peaks(P.local_maxima(h, ["event_type"], "hr", "n", 2.0), ["event_type"], "hr", "n", 6)

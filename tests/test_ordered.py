@@ -165,8 +165,11 @@ def test_spaced_peaks(spark):
             elif profile[i] > profile[peaks[-1]]:
                 peaks[-1] = i
     df = spark.createDataFrame([(0, i, v) for i, v in enumerate(profile)], "g int, pos bigint, v bigint")
-    top = P.spaced_peaks(P.local_maxima(df, ["g"], "pos", "v", 5.0), ["g"], "pos", "v", 6)
+    maxima = P.local_maxima(df, ["g"], "pos", "v", 5.0)
+    top = P.spaced_peaks(maxima, ["g"], "pos", "v", 6)
     assert sorted(r.pos for r in top.collect()) == peaks
+    for width in (16, 1000):
+        assert sorted((r.pos, r.v) for r in P._linked_peaks(maxima, ["g"], "pos", "v", 6, width).collect()) == [(p, profile[p]) for p in peaks]
     got = {(r.left_peak, r.right_peak): r.valley for r in P.valleys_between(df, top, ["g"], "pos", "v").collect()}
     assert got == {(a, b): a + int(np.argmin(profile[a:b + 1])) for a, b in zip(peaks, peaks[1:])}
 
