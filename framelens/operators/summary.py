@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import rules as R
 from ..functions.signals import bigwin_tier_plain
 from ..functions.text import lit, normalize_plain, some_term, squeeze
+from ..session import durable
+from .greedy import join_small
 from .windows import position, top_k
 
 # --- fixed values: summary sentences and the words behind them ------------------------
@@ -140,10 +142,37 @@ def projection(df: DataFrame, keys: list[str], cells: str, columns: int, axis: s
     return long.groupBy(*keys, F.expr(place).alias(axis)).agg(F.expr("avg(CAST(v AS DOUBLE))").alias("mean"))
 
 
+def order_statistics(df: DataFrame, keys: list[str], value: str, share: float, bins: int = 256) -> DataFrame:
+    """Exact percentile per key (between the two nearest ranks in proportion), without sorting a key: ``quantile``, ``peak``.
+
+    Every round counts the values of the open range in ``bins`` equal parts and goes
+    on with the part that holds the rank, between the least and the greatest value
+    found in it, until that is one value.  All that is shuffled are counts.
+    """
+    rows = df.selectExpr(*keys, f"CAST({value} AS DOUBLE) AS v_").where("v_ IS NOT NULL")
+    ends = durable(rows.groupBy(*keys).agg(F.count("*").alias("n_"), F.min("v_").alias("lo"), F.max("v_").alias("hi")).selectExpr("*", f"{share}D * (n_ - 1) AS at_"))
+    k = ", ".join(keys)
+    open_ = ends.selectExpr(*keys, "explode(array_distinct(array(CAST(floor(at_) AS BIGINT), CAST(ceil(at_) AS BIGINT)))) AS rank_", "lo", "hi", "0L AS below")
+    found = None
+    while True:
+        open_ = durable(open_)
+        settled = open_.where("lo = hi").selectExpr(*keys, "rank_", "lo AS v_")
+        found = settled if found is None else found.unionByName(settled)
+        rest = open_.where("lo < hi")
+        if rest.isEmpty():
+            break
+        inside = join_small(rows, rest, keys, "v_").where("v_ BETWEEN lo AND hi").selectExpr(
+            "*", f"CAST(least(floor((v_ - lo) / (hi - lo) * {bins}), {bins - 1}) AS INT) AS bin")
+        parts = inside.groupBy(*keys, "rank_", "below", "bin").agg(F.count("*").alias("c"), F.min("v_").alias("lo"), F.max("v_").alias("hi"))
+        upto = parts.selectExpr("*", f"below + sum(c) OVER (PARTITION BY {k}, rank_ ORDER BY bin) AS upto")
+        open_ = upto.where("upto > rank_ AND upto - c <= rank_").selectExpr(*keys, "rank_", "lo", "hi", "upto - c AS below")
+    pair = found.groupBy(*keys).agg(F.expr("min_by(v_, rank_)").alias("a_"), F.expr("max_by(v_, rank_)").alias("b_"))
+    return ends.join(pair, keys).selectExpr(*keys, "a_ + (b_ - a_) * (at_ - floor(at_)) AS quantile", "hi AS peak")
+
+
 def profile_threshold(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Larger of the 72nd percentile and 0.38 of the maximum of a profile."""
-    return df.groupBy(*keys).agg(F.expr(f"percentile({value}, 0.72)").alias("p72"), F.expr(f"max({value})").alias("peak")).selectExpr(
-        *keys, "p72", "CAST(peak AS DOUBLE) AS peak", "greatest(p72, peak * 0.38D) AS threshold")
+    return order_statistics(df, keys, value, 0.72).selectExpr(*keys, "quantile AS p72", "peak", "greatest(quantile, peak * 0.38D) AS threshold")
 
 
 def run_summary(df: DataFrame) -> DataFrame:

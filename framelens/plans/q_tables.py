@@ -362,10 +362,12 @@ def _(spark, sf):
     return d.selectExpr("label", "x", r6("mean", "mean"))
 
 
-@query("a11_profile_threshold", with_sql("hours", "SELECT event_type, round(p72,6) AS p72, peak, round(greatest(p72, peak*0.38),6)::DOUBLE AS threshold FROM (SELECT event_type, quantile_cont(n, 0.72)::DOUBLE AS p72, max(n)::DOUBLE AS peak FROM hours GROUP BY 1)"))
+@query("a11_profile_threshold", with_sql("hours", "SELECT event_type, round(p72,6) AS p72, peak, round(greatest(p72, peak*0.38),6)::DOUBLE AS threshold FROM (SELECT event_type, quantile_cont(m, 0.72)::DOUBLE AS p72, max(m)::DOUBLE AS peak FROM (SELECT event_type, CAST(n * ((hr * 31) % (11 + 13 * length(event_type))) AS DOUBLE) / 8 AS m FROM hours) GROUP BY 1)"))
 def _(spark, sf):
     from .q_pages import hours
-    return SU.profile_threshold(hours(spark, sf), ["event_type"], "n").selectExpr("event_type", r6("p72", "p72"), "peak", r6("threshold", "threshold"))
+    # levels of a range of their own for each type
+    levels = hours(spark, sf).selectExpr("event_type", "CAST(n * ((hr * 31) % (11 + 13 * length(event_type))) AS DOUBLE) / 8 AS m")
+    return SU.profile_threshold(levels, ["event_type"], "m").selectExpr("event_type", r6("p72", "p72"), "peak", r6("threshold", "threshold"))
 
 
 @query("a12_run_summary", with_sql("frames_fx", "SELECT video_id, count(*) AS saved, count(*) FILTER (top_score >= 6) AS kept, min(frame_idx) AS first_frame, max(frame_idx) AS last_frame, count(DISTINCT category) AS categories FROM frames_fx GROUP BY 1"))

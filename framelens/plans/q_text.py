@@ -128,7 +128,7 @@ def _(spark, sf):
     return d.selectExpr(*KEYS, "CAST(size(k) AS BIGINT) AS n_kept", "round(aggregate(k, 0.0D, (a, i) -> a + i.score), 6) AS score_sum")
 
 
-@query("f12_flatten_items")
+@query("f12_flatten_items", with_sql("ocr_fx", "SELECT video_id, frame_idx, trim(text) AS text, round(ocr_score, 6) AS score FROM ocr_fx WHERE NOT (frame_idx % 5 = 0 AND line_no = 3)"))
 def _(spark, sf):
     """Items wrapped in an extra list level, with a malformed score every fifth frame."""
     raw = fx.frames(spark, sf).selectExpr(*KEYS, """array(transform(items, i -> named_struct(

@@ -311,3 +311,16 @@ def test_greedy_distinct_equals_walk_over_all_rows(spark):
                 kept.append((i, x))
         want += [(g, n + 1, i) for n, (i, _) in enumerate(kept)]
     assert got == want and 64 < len(want) < len(rows)
+
+
+def test_order_statistics_equal_sorted_ranks(spark):
+    from framelens.operators import summary as SU
+    rng = np.random.default_rng(12)
+    groups = {"a": rng.normal(size=3000), "b": np.repeat([1.0, 2.0], [7, 3]), "c": np.array([5.0]), "d": np.concatenate([rng.exponential(size=400) ** 9, [-1e12, 1e12]])}
+    rows = [(g, float(v)) for g, x in groups.items() for v in x] + [("a", None)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    for share in (0.0, 0.5, 0.72, 1.0):
+        got = {r.g: (r.quantile, r.peak) for r in SU.order_statistics(df, ["g"], "x", share, 16).collect()}
+        assert set(got) == set(groups)
+        for g, x in groups.items():
+            assert np.isclose(got[g][0], np.quantile(x, share), rtol=1e-12, atol=1e-12) and got[g][1] == x.max()
