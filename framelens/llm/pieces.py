@@ -33,6 +33,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +43,7 @@ from .registry import query
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = range(1, 7)
+NO_PAIR = float("-inf")
 SLICE, CACHED_WORDS, CACHED_PAIRS = 512, 1 << 19, 1 << 18
 _WORDS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
@@ -95,7 +97,6 @@ class PieceModel:
         self.byte_ids = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k == _BYTE}
         self.unknown = self.kinds.index(_UNKNOWN)
         self.longest = max(map(len, self.ids), default=1)
-        self.endings = {p[k:] for p in self.ids for k in range(len(p))}  # what a piece can end with
         crossing = [p for p in self.ids if MARK in p.lstrip(MARK)]
         if crossing:
             raise ValueError(f"pieces across words: {crossing[:3]}")
@@ -129,20 +130,20 @@ class PieceModel:
             return (self.unknown,)
         return tuple(self.byte_ids[b] for b in symbol.encode())
 
-    def merged(self, word: str) -> list[str]:
-        """Pieces by the merge rule itself: the best-scored adjacent pair first, the leftmost among equals."""
+    def merges(self, word: str):
+        """The merge rule itself, the best-scored adjacent pair first, the leftmost among equals: (score of the next merge, parts) until none is left."""
         parts, ids, scores = list(word), self.ids, self.scores
-        none = float("-inf")
 
         def pair(i: int) -> float:
             k = ids.get(parts[i] + parts[i + 1])
-            return none if k is None else scores[k]
+            return NO_PAIR if k is None else scores[k]
 
         value = [pair(i) for i in range(len(parts) - 1)]
         while value:
             best = max(value)
-            if best == none:
+            if best == NO_PAIR:
                 break
+            yield best, parts
             at = value.index(best)
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
             del value[at]
@@ -150,83 +151,140 @@ class PieceModel:
                 value[at - 1] = pair(at - 1)
             if at < len(value):
                 value[at] = pair(at)
-        return parts
+        yield NO_PAIR, parts
 
 
 class TrieEncoder:
-    """Depth-first forward pass over sorted distinct words."""
+    """Depth-first forward pass over sorted distinct words.
+
+    Pieces are held by number; a character without a piece has a number behind the pieces.
+    """
 
     def __init__(self, model: PieceModel):
         self.model = model
-        self.fits: dict[tuple[str, str], bool] = {}
         self.floor = min(model.scores, default=0.0) - 10.0  # score of a character without a piece
-
-    def encode(self, words) -> dict[str, tuple[int, ...]]:
-        step = self._merge_step if self.model.algorithm == BPE else self._best_step
-        out: dict[str, tuple[int, ...]] = {}
-        last: list[str] = [""]
-        score: list[float] = [0.0]
-        before, ids = "", self.model.ids
+        self.spelled = list(model.pieces)
+        self.strange: dict[str, int] = {}
+        self.fits: dict[int, bool] = {}
+        self.edges: dict[tuple[int, int], list[tuple[float, str]]] = {}
+        # the longest ending of a prefix that begins a piece, and where each letter leads from there
+        self.begin = {p[:k] for p in model.ids for k in range(1, len(p) + 1)}
+        self.endings, self.ending_of, self.moves, self.n_moves = [""], {"": 0}, [{}], 0
+
+    def encode(self, words) -> dict[str, array]:
+        grow = self._grow_merges if self.model.algorithm == BPE else self._grow_best
+        out: dict[str, array] = {}
+        last, value = [-1], [0]
+        before, spelled, n_pieces = "", self.spelled, len(self.model.pieces)
         for word in sorted(words):
             shared = min(len(before), len(word))
             while before[:shared] != word[:shared]:
                 shared -= 1
-            del last[shared + 1:], score[shared + 1:]
-            for end in range(shared + 1, len(word) + 1):
-                step(word, end, last, score)
+            del last[shared + 1:], value[shared + 1:]
+            grow(word, shared, last, value)
             found, end = [], len(word)
             while end:
                 piece = last[end]
-                k = ids.get(piece)
-                if k is None:
-                    found += reversed(self.model.symbol_ids(piece))
+                if piece < n_pieces:
+                    found.append(piece)
                 else:
-                    found.append(k)
-                end -= len(piece)
+                    found += reversed(self.model.symbol_ids(spelled[piece]))
+                end -= len(spelled[piece])
             found.reverse()
-            out[word] = tuple(found)
+            out[word] = array("i", found)
             before = word
         return out
 
-    def _fits(self, left: str, right: str) -> bool:
+    def _number(self, symbol: str) -> int:
+        known = self.model.ids.get(symbol)
+        if known is None:
+            known = self.strange.get(symbol)
+            if known is None:
+                known = self.strange[symbol] = len(self.spelled)
+                self.spelled.append(symbol)
+        return known
+
+    def _move(self, at: int, letter: str) -> tuple[int, tuple[tuple[int, int], ...]]:
+        """From ending ``at`` by ``letter``: the new ending and the pieces that the prefix ends with, longest first."""
+        if self.n_moves >= CACHED_PAIRS:
+            self.moves, self.n_moves = [{} for _ in self.moves], 0
+        text = self.endings[at] + letter
+        while text and text not in self.begin:
+            text = text[1:]
+        to = self.ending_of.get(text)
+        if to is None:
+            to = self.ending_of[text] = len(self.endings)
+            self.endings.append(text)
+            self.moves.append({})
+        ends = [text[k:] for k in range(len(text)) if text[k:] in self.model.ids]
+        if letter not in self.model.ids:
+            ends.append(letter)
+        known = self.moves[at][letter] = to, tuple((len(e), self._number(e)) for e in ends)
+        self.n_moves += 1
+        return known
+
+    def _edge(self, piece: int, side: int) -> list[tuple[float, str]]:
+        """While ``piece`` is merged: the score of its next merge and its part at the left (0) or right (-1) edge."""
+        known = self.edges.get((piece, side))
+        if known is None:
+            known = self.edges[piece, side] = [(score, parts[side]) for score, parts in self.model.merges(self.spelled[piece])]
+        return known
+
+    def _fits(self, left: int, right: int) -> bool:
+        """Whether two pieces side by side merge into themselves: no pair across their border is ever the best one."""
         if len(self.fits) >= CACHED_PAIRS:
             self.fits.clear()
-        known = self.fits[left, right] = self.model.merged(left + right) == ([left, right] if left else [right])
+        ids, scores = self.model.ids, self.model.scores
+        known, j, after = True, 0, self._edge(right, 0)
+        if after[-1][1] != self.spelled[right]:
+            known = False  # a piece its own merges do not give
+        elif left >= 0:
+            i, before = 0, self._edge(left, -1)
+            while known:
+                (x, a), (y, b) = before[i], after[j]
+                k = ids.get(a + b)
+                if k is not None and scores[k] > x and scores[k] >= y:
+                    known = False
+                elif x == y == NO_PAIR:
+                    break
+                elif x >= y:
+                    i += 1
+                else:
+                    j += 1
+        self.fits[left << 32 | right] = known
         return known
 
-    def _merge_step(self, word: str, end: int, last: list[str], score: list[float]) -> None:
-        ids, endings, fits = self.model.ids, self.model.endings, self.fits
-        starts, start = [], end - 1
-        while start >= 0 and word[start:end] in endings:
-            if word[start:end] in ids:
-                starts.append(start)
-            start -= 1
-        if not starts or starts[0] != end - 1:
-            starts.insert(0, end - 1)  # a character without a piece
-        for start in reversed(starts):
-            piece = word[start:end]
-            known = fits.get((last[start], piece))
-            if known is None:
-                known = self._fits(last[start], piece)
-            if known:
-                last.append(piece)
-                score.append(score[start] + 1)
-                return
-        raise ValueError(f"no last piece for {word[:end]!r}")
-
-    def _best_step(self, word: str, end: int, last: list[str], score: list[float]) -> None:
+    def _grow_merges(self, word: str, shared: int, last: list[int], value: list[int]) -> None:
+        """Last pieces of the prefixes longer than ``shared``; ``value`` holds their endings."""
+        fits, at = self.fits, value[shared]
+        for end in range(shared + 1, len(word) + 1):
+            at, ends = self.moves[at].get(word[end - 1]) or self._move(at, word[end - 1])
+            for n, piece in ends:
+                left = last[end - n]
+                known = fits.get(left << 32 | piece)
+                if known is None:
+                    known = self._fits(left, piece)
+                if known:
+                    last.append(piece)
+                    value.append(at)
+                    break
+            else:
+                raise ValueError(f"no last piece for {word[:end]!r}")
+
+    def _grow_best(self, word: str, shared: int, last: list[int], value: list[float]) -> None:
+        """Last pieces of the prefixes longer than ``shared``; ``value`` holds their best scores."""
         ids, scores = self.model.ids, self.model.scores
-        best, choice = None, ""
-        for start in range(max(0, end - self.model.longest), end):
-            piece = word[start:end]
-            k = ids.get(piece)
-            if k is None and end - start > 1:
-                continue
-            s = score[start] + (self.floor if k is None else scores[k])
-            if best is None or s > best:
-                best, choice = s, piece
-        last.append(choice)
-        score.append(best)
+        for end in range(shared + 1, len(word) + 1):
+            best, choice = None, -1
+            for start in range(max(0, end - self.model.longest), end):
+                k = ids.get(word[start:end])
+                if k is None and end - start > 1:
+                    continue
+                s = value[start] + (self.floor if k is None else scores[k])
+                if best is None or s > best:
+                    best, choice = s, self._number(word[end - 1]) if k is None else k
+            last.append(choice)
+            value.append(best)
 
 
 def marked_words(text: str, dummy_prefix: bool = True) -> list[str]:
@@ -246,7 +304,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
                 if len(known) >= CACHED_WORDS:
                     known = {}
                 fresh = coder.encode(set(chain.from_iterable(words)).difference(known))
-                known.update((w, array("i", ids).tobytes()) for w, ids in fresh.items())  # packed: many words are held
+                known.update((w, ids.tobytes()) for w, ids in fresh.items())  # packed: many words are held
                 ids = [np.frombuffer(b"".join(map(known.__getitem__, w)), np.int32) for w in words]
                 ends = np.cumsum([0, *map(len, ids)])
                 yield pa.record_batch([part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids)))], ["doc_id", "ids"])
@@ -262,14 +320,24 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
                for p, k in zip(model.pieces, model.kinds)]
 
     def run(batches):
+        # each piece, then each without the space that the mark in front of a text stands for
+        letters = pa.array(spelled + [x.removeprefix(b" ") for x in spelled], pa.binary())
+        some = np.array([len(x) > 0 for x in spelled])
         for b in batches:
             for at in range(0, len(b), SLICE):
                 part = b.slice(at, SLICE)
-                texts = []
-                for ids in part.column(1):
-                    raw = b"".join(map(spelled.__getitem__, ids.values.to_numpy().tolist())) if ids.is_valid else b""
-                    texts.append(raw.removeprefix(b" ").decode(errors="replace") if model.dummy_prefix else raw.decode(errors="replace"))
-                yield pa.record_batch([part.column(0), part.column(1), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
+                ids = part.column(1).flatten().to_numpy().copy()
+                ends = np.concatenate([[0], np.cumsum(pc.list_value_length(part.column(1)).fill_null(0).to_numpy())])
+                if model.dummy_prefix:
+                    spelt = np.append(np.flatnonzero(some[ids]), len(ids))
+                    first = spelt[np.searchsorted(spelt, ends[:-1])]
+                    ids[first[first < ends[1:]]] += len(spelled)
+                raw = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), letters.take(pa.array(ids))), b"")
+                try:
+                    texts = raw.cast(pa.string())
+                except pa.ArrowInvalid:  # byte pieces that are no UTF-8
+                    texts = pa.array([r.decode(errors="replace") for r in raw.to_pylist()], pa.string())
+                yield pa.record_batch([part.column(0), part.column(1), texts], ["doc_id", "ids", "text"])
 
     rows = encoded.select("doc_id", "ids")
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>, text string")
