@@ -17,6 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is not in ``ids(doc_id)``, whatever their other columns are called; rows without doc_id stay."""
+    return docs.join(ids.select("doc_id"), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 class Scratch:
     """Tables in the folder of ``spark.checkpoint.dir``; ``free`` removes those no later step reads."""
 

@@ -4,10 +4,11 @@ Equal vectors are one node with a weight.  k-means gives every node a home
 cell; a node near the border of another cell also visits that one, so a pair
 on both sides of a border meets.  Two unit vectors at the threshold are
 ``delta`` apart; a pair is missed only if its difference, measured across the
-border, exceeds twice ``margin``.  The margin is two standard deviations of
-that measure for a difference of any direction, ``2 * delta / sqrt(dim)``, and
-at most ``delta / 2``, where nothing can be missed (dim <= 16); tests measure
-the recall.  Cells of any size are cut into blocks, and block pairs are
+border, exceeds twice ``margin``.  The margin is ``delta / 2``, where nothing
+can be missed.  A ``spread`` narrows it to that many standard deviations of the
+measure for a difference of random direction, ``spread * delta / sqrt(dim)``;
+that loses pairs whose differences share a direction, so it is off unless asked
+for.  Cells of any size are cut into blocks, and block pairs are
 compared in groups of their own.
 
 Defined cases: vectors that are null, zero, empty or hold null or non-finite
@@ -29,7 +30,7 @@ from .registry import query
 
 THRESHOLD = 0.95
 CELL_ROWS, MAX_CELLS, STEPS, BLOCK = 250, 4096, 4, 1024
-SPREAD = 2.0
+SPREAD = None
 _FINITE = ("embedding IS NOT NULL AND exists(embedding, x -> x <> 0) AND "
            "forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('infinity'))")
 
@@ -92,7 +93,7 @@ def kmeans(found: DataFrame, cells: int, steps: int = STEPS) -> dict[int, np.nda
     return centres
 
 
-def memberships(found: DataFrame, centres: dict[int, np.ndarray], threshold: float, spread: float) -> DataFrame:
+def memberships(found: DataFrame, centres: dict[int, np.ndarray], threshold: float, spread: float | None) -> DataFrame:
     """Rows ``(d, cell, home, visits, node, w, vec)``: each node in its home cell and in the cells it visits."""
     delta = np.sqrt(2 - 2 * threshold)
 
@@ -106,7 +107,7 @@ def memberships(found: DataFrame, centres: dict[int, np.ndarray], threshold: flo
                 else:
                     gap = np.sqrt(np.maximum(2 - 2 * np.clip(c @ c.T, -1, 1), 1e-18))
                 own = p.argmax(axis=1)
-                margin = min(delta / 2, spread * delta / np.sqrt(d)) + 1e-9
+                margin = (delta / 2 if spread is None else min(delta / 2, spread * delta / np.sqrt(d))) + 1e-9
                 near = (p[np.arange(len(x)), own][:, None] - p) <= margin * gap[own]
                 near[np.arange(len(x)), own] = True
                 i, k = np.nonzero(near)
@@ -178,7 +179,7 @@ def cell_links(members: DataFrame, sizes: dict[tuple[int, int], int], threshold:
     return dealt.groupBy("d", "cell", "lo", "hi").applyInPandas(compare, f"node {node_type}, links long, root {node_type}")
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, spread: float = SPREAD) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, spread: float | None = SPREAD) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` for every row of ``vectors``."""
     scratch = Scratch(vectors.sparkSession)
     found = scratch.keep(nodes(vectors))

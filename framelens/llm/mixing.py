@@ -104,10 +104,13 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """
     plan = mix(docs, **options).groupBy("doc_id").agg(F.sum("taken").alias("taken_"), F.count("*").alias("rows_"), F.max("size").alias("size_"))
     plan = plan.selectExpr("doc_id AS id_", "taken_ DIV rows_ AS taken_", "size_").where("taken_ > 0")
-    joined = docs.join(plan, F.expr("doc_id <=> id_"))
+    others = [f"`{c}`" for c in docs.columns if c != "text"]
+    rows = docs.selectExpr(f"struct({', '.join(others)}) AS row_", "doc_id", "text")
+    joined = rows.join(plan, F.expr("doc_id <=> id_"))
     part = f"array_join(slice(regexp_extract_all(text, r'{WORD}', 0), 1, CAST(left_ AS INT)), ' ')"
     copies = joined.withColumn("left_", F.expr("explode(transform(sequence(0L, (taken_ - 1) DIV size_), i -> least(size_, taken_ - i * size_)))"))
-    return copies.withColumn("text", F.expr(f"IF(left_ < size_, {part}, text)")).select(*docs.columns)
+    text = F.expr(f"IF(left_ < size_, {part}, text)").alias("text")
+    return copies.select(*[text if c == "text" else F.col("row_").getField(c).alias(c) for c in docs.columns])
 
 
 SQL = f"""

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.greedy import least_lanes
-from .common import Scratch, components, table
+from .common import Scratch, components, table, without_ids
 from .registry import query
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
@@ -218,8 +218,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def one_per_group(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` that stand for their group: the smallest doc_id of each, and rows without doc_id."""
-    drop = near_duplicates(docs, radius).where("doc_id <> component_id").selectExpr("doc_id AS drop_").distinct()
-    return docs.join(drop, F.expr("doc_id = drop_"), "left_anti")
+    return without_ids(docs, near_duplicates(docs, radius).where("doc_id <> component_id").select("doc_id").distinct())
 
 
 def _shingles(docs: DataFrame, shingle: int, kind: str, row) -> DataFrame:
@@ -316,10 +315,13 @@ def one_per_likeness(docs: DataFrame, shingle: int = LIKE_SHINGLE, least: float
     hashes = scratch.keep(hashes.join(sets.selectExpr("node", "digest"), "digest").where("doc_id = node").groupBy("node").agg(F.first("hashes").alias("hashes")))
     both = pairs.join(hashes.selectExpr("node AS a", "hashes AS x"), "a").join(hashes.selectExpr("node AS b", "hashes AS y"), "b")
     both = both.selectExpr("a", "b", "size(x) + size(y) AS n", "size(array_intersect(x, y)) AS common")
-    roots = components(both.where(f"common >= {least}D * (n - common)").select("a", "b"), scratch, sets.count()).withColumnRenamed("node", "n_")
+    links = scratch.keep(both.where(f"common >= {least}D * (n - common)").select("a", "b"))
+    scratch.free(pairs, hashes)
+    roots = components(links, scratch, sets.count()).withColumnRenamed("node", "n_")
     of = sets.join(roots, F.expr("node = n_"), "left").selectExpr("digest", "coalesce(root, node) AS root_")
-    drop = own.join(of, "digest").where("doc_id <> root_").selectExpr("doc_id AS drop_").distinct()
-    return docs.join(drop, F.expr("doc_id = drop_"), "left_anti")
+    drop = scratch.keep(own.join(of, "digest").where("doc_id <> root_").select("doc_id").distinct(), own.count())
+    scratch.free(own, sets, links)
+    return without_ids(docs, drop)
 
 
 @query("op2_simhash")

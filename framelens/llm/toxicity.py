@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, table, without_ids
 from .registry import query
 
 SAMPLE = 4096
@@ -226,8 +226,7 @@ def score(docs: DataFrame, labels: DataFrame, held_out: str, sample: int = SAMPL
 
 def without_toxic(docs: DataFrame, labels: DataFrame, held_out: str) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic."""
-    out = score(docs, labels, held_out).where("predicted = 1 AND doc_id IS NOT NULL").selectExpr("doc_id AS drop_").distinct()
-    return docs.join(out, F.expr("doc_id = drop_"), "left_anti")
+    return without_ids(docs, score(docs, labels, held_out).where("predicted = 1 AND doc_id IS NOT NULL").select("doc_id").distinct())
 
 
 @query("op10_toxicity")

@@ -44,6 +44,17 @@ def test_recall_against_all_pairs(spark):
             assert got == want
 
 
+def test_differences_of_one_direction(spark):
+    rng = np.random.default_rng(384)
+    base, shift = rng.normal(size=(400, 384)), rng.normal(size=384)
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    moved = base + 0.3 * shift / np.linalg.norm(shift)
+    vecs = {i: np.float32(v) for i, v in enumerate(np.concatenate([base, moved]))}
+    want = brute(vecs)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in E.near_duplicates(frame(spark, vecs)).collect()}
+    assert sum(n for n, _ in want.values()) >= 700 and got == want
+
+
 def test_small_blocks_give_the_same(spark):
     vecs = {i: np.float32(v) for i, v in clustered(400, 16, 5, 0.2).items()}
     found = Scratch(spark).keep(E.nodes(frame(spark, vecs)))

@@ -43,3 +43,18 @@ def test_defined_cases(spark):
     out = M.mixed_documents(df)
     assert out.columns == df.columns and sum(len(r.text.split()) for r in out.collect()) > 0
     assert M.mix(df.where("false")).count() == 0 and M.mixed_documents(df.where("false")).count() == 0
+
+
+def test_columns_named_like_helpers(spark):
+    from framelens.llm import simhash, toxicity
+    text = "one two three four five six seven eight nine ten"
+    names = ["id_", "drop_", "left_", "taken_", "size_", "row_", "root_", "node", "digest"]
+    docs = spark.createDataFrame([(i, text if i < 3 else f"{text} {i}", "a", *[f"{n}{i}" for n in names]) for i in range(6)],
+                                 f"doc_id long, text string, source string, {', '.join(f'{n} string' for n in names)}")
+    given = {r["doc_id"]: r.asDict() for r in docs.collect()}
+    labels = spark.createDataFrame([(i, i % 2) for i in range(6)], "doc_id long, toxic int")
+    mixed = M.mixed_documents(docs)
+    for out in (mixed, simhash.one_per_group(docs), simhash.one_per_likeness(docs), toxicity.without_toxic(docs, labels, toxicity.held_out_sql(5))):
+        assert out.columns == docs.columns
+        for r in out.collect():
+            assert all(r[c] == given[r["doc_id"]][c] for c in docs.columns if c != "text" or out is not mixed)
