@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # --- fixed values: column order of the result table ---------------------------
 RESULT_COLUMNS = ["video_name", "frame_idx", "final_category", "diff_score", "blur_score", "top_score",
@@ -41,10 +42,46 @@ def row_items(e: str) -> str:
             "'score', coalesce(try_cast(p[1] AS DOUBLE), 0.0D))), i -> i.text <> '')")
 
 
+def csv_records(spark: SparkSession, path: str) -> DataFrame:
+    """``(record)``: the text of every record of UTF-8 CSV files but the header of each; cells may hold line ends.
+
+    Files are read as lines in byte ranges, so one large file is many tasks.  A
+    line end is inside a cell if an odd number of quotes stands before it; a range
+    counts its own quotes and tells its last record start for either parity it can
+    be entered with, and these summaries are carried from range to range.  Lines
+    that are whole records stay where they are; only the others are put together.
+
+    Empty records are skipped; a last record whose quote is never closed ends with
+    its file; no file rows give no records.
+    """
+    lines = spark.read.text(path, lineSep="\n").selectExpr(
+        "_metadata.file_path AS file", "_metadata.file_block_start AS part", "monotonically_increasing_id() AS id", "value",
+        "length(value) - length(replace(value, chr(34), '')) AS quotes")
+    within = "PARTITION BY file, part ORDER BY id"
+    placed = lines.selectExpr(
+        "file", "part", f"CAST(row_number() OVER ({within}) AS BIGINT) AS line", "value", "quotes",
+        f"pmod(coalesce(sum(quotes) OVER ({within} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 2) AS odd")
+    parts = placed.groupBy("file", "part").agg(
+        F.expr("pmod(sum(quotes), 2)").alias("odd_part"), F.expr("max(line) FILTER (WHERE odd = 0)").alias("start_even"), F.expr("max(line) FILTER (WHERE odd = 1)").alias("start_odd"))
+    before = "PARTITION BY file ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    entered = parts.selectExpr("*", f"pmod(coalesce(sum(odd_part) OVER ({before}), 0), 2) AS enter").selectExpr(
+        "*", "IF(enter = 0, start_even, start_odd) AS own_start").selectExpr(
+        "file", "part", "enter", f"last(IF(own_start IS NULL, NULL, struct(part AS part, own_start AS line)), true) OVER ({before}) AS open")
+    known = placed.join(entered, ["file", "part"]).selectExpr("*", "pmod(odd + enter, 2) = 0 AS starts", "pmod(odd + enter + quotes, 2) = 0 AS closes")
+    body = known.where("NOT (part = 0 AND line = 1 AND closes)")
+    whole = body.where("starts AND closes").selectExpr("value AS record")
+    start = "last(IF(starts, struct(part AS part, line AS line), NULL), true) OVER (PARTITION BY file, part ORDER BY line)"
+    pieces = known.where("NOT (starts AND closes)").selectExpr("file", "part", "line", "value", f"coalesce({start}, open) AS start")
+    joined = pieces.groupBy("file", "start").agg(F.sort_array(F.collect_list(F.struct("part", "line", "value"))).alias("held")).where(
+        "NOT (start.part = 0 AND start.line = 1)").selectExpr("array_join(transform(held, h -> h.value), '\n') AS record")
+    return whole.unionAll(joined).selectExpr("regexp_replace(record, '\\r$', '') AS record").where("record <> ''")
+
+
 def read_results(spark: SparkSession, path: str) -> DataFrame:
     """Result CSV (UTF-8 with byte order mark) with typed scalars and parsed maps and lists."""
     schema = ", ".join(f"{c} STRING" for c in RESULT_COLUMNS)
-    raw = spark.read.csv(path, schema=schema, header=True, multiLine=True, escape='"', quote='"', encoding="UTF-8")
+    options = {"quote": '"', "escape": '"', "maxCharsPerColumn": "-1"}
+    raw = csv_records(spark, path).select(F.from_csv("record", schema, options).alias("r")).select("r.*")
     doubles = ["diff_score", "blur_score", "top_score"]
     return raw.selectExpr(
         "video_name", "try_cast(frame_idx AS BIGINT) AS frame_idx", "final_category", *[f"try_cast({c} AS DOUBLE) AS {c}" for c in doubles],
