@@ -141,6 +141,14 @@ def _(spark, sf):
     return L.even_sample(d, ["source"], "doc_id", 10).select("source", "doc_id", "position")
 
 
+@query("io7_even_sample_truncated", """WITH d AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS p, count(*) OVER (PARTITION BY source) AS n FROM documents),
+  w AS (SELECT DISTINCT source, CASE WHEN i = 7 THEN n - 1 ELSE CAST(floor(i * ((n - 1) / 7.0::DOUBLE)) AS BIGINT) END AS p FROM (SELECT DISTINCT source, n FROM d), range(8) t(i) WHERE n > 8)
+  SELECT source, doc_id, p AS position FROM d WHERE n <= 8 UNION ALL SELECT d.source, doc_id, d.p FROM d JOIN w ON d.source = w.source AND d.p = w.p""")
+def _(spark, sf):
+    d = fx.table(spark, sf, "documents").select("source", "doc_id")
+    return L.even_sample(d, ["source"], "doc_id", 8, truncate=True).select("source", "doc_id", "position")
+
+
 @query("io8_all_help", with_sql("frames_fx", "SELECT video_id, frame_idx FROM frames_fx WHERE category = 'Help' ORDER BY video_id, frame_idx"))
 def _(spark, sf):
     return fx.scores(spark, sf).where("category = 'Help'").select(*KEYS).orderBy(*KEYS)

@@ -32,15 +32,19 @@ def topup_from_fallback(primary: DataFrame, fallback: DataFrame, group: list[str
     return first.unionByName(extra).where(f"n_ <= {cap}").withColumnRenamed("n_", "pos")
 
 
-def even_sample(df: DataFrame, group: list[str], pos: str, n: int) -> DataFrame:
+def even_sample(df: DataFrame, group: list[str], pos: str, n: int, truncate: bool = False) -> DataFrame:
     """Rows at positions ``round(i * (N - 1) / (n - 1))``; all rows when N <= n.
 
+    With ``truncate`` positions are cut instead of rounded; the last row stays in.
     ``pos`` is a unique integer per group and gives the order.
     """
     placed = position(df, group, pos, "position")
     sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("size_"))
+    place = f"i * ((size_ - 1) / {max(n - 1, 1)}D)"
+    # the last of several is the end itself, whatever the product comes to
+    place = f"IF(i > 0 AND i = {n - 1}, size_ - 1, floor({place}))" if truncate else f"bround({place}, 0)"
     wanted = sizes.where(f"size_ > {n}").selectExpr(
         *group, f"explode(sequence(0, {n - 1})) AS i", "size_").selectExpr(
-        *group, f"CAST(bround(i * ((size_ - 1) / {max(n - 1, 1)}D), 0) AS BIGINT) AS position").distinct()
+        *group, f"CAST({place} AS BIGINT) AS position").distinct()
     small = placed.join(sizes.where(f"size_ <= {n}"), group).drop("size_")
     return small.unionByName(placed.join(wanted, [*group, "position"]).select(small.columns))
