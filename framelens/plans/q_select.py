@@ -106,6 +106,27 @@ def _(spark, sf):
         *KEYS, "category", "replaced", "w", "h", "help_score")
 
 
+@query("f14_replace_crop", with_sql("frames_fx ocr_fx", """SELECT video_id, frame_idx, category, r AS replaced, CASE WHEN r THEN fw ELSE 400 END::INTEGER AS roi_w, CASE WHEN r THEN b_top ELSE top_score END::DOUBLE AS top_score,
+  CASE WHEN r THEN greatest(b_top, 12.0) ELSE top_score END::DOUBLE AS help_score, round(CASE WHEN r THEN b_ui ELSE feature_ui_score END, 6)::DOUBLE AS feature_ui, round(CASE WHEN r THEN b_q ELSE help_quality_score END, 2)::DOUBLE AS quality,
+  CASE WHEN r THEN b_cat || '|web_full_page_crop_forced' ELSE category END AS hits, (SELECT count(*) FROM ocr_fx o WHERE o.frame_idx = CASE WHEN r THEN p.frame_idx + 1 ELSE p.frame_idx END) AS n_items
+  FROM (SELECT *, coalesce(category = 'Help' AND fw / 900.0 >= 1.25 AND fw > 540 AND (b_cat = 'Help' OR b_q >= 8 OR b_p >= 2 OR b_q >= 2)
+   AND (b_cat NOT IN ('Feature Buy','BigWin','Result','loading') OR (b_cat = 'Result' AND b_p >= 2 AND b_q >= 6) OR b_q >= 2), FALSE) AS r
+  FROM (SELECT a.*, CASE WHEN a.frame_idx % 2 = 0 THEN 1000 ELSE 1600 END AS fw, b.category AS b_cat, b.help_quality_score AS b_q, b.help_paytable_score AS b_p, b.top_score AS b_top, b.feature_ui_score AS b_ui
+   FROM frames_fx a LEFT JOIN frames_fx b ON b.frame_idx = a.frame_idx + 1)) p"""))
+def _(spark, sf):
+    """Records whose crop is replaced by the full page, here the next frame's record, with all that was measured on it."""
+    shown = ["category", "roi_w", "roi_h", "top_score", "items", "feature_ui_score", "help_quality_score", "help_paytable_score",
+             "map('Help', top_score, 'FeatureUI', feature_ui_score) AS category_scores", "map('Help', array(category)) AS matched_keywords"]
+    f = fx.frames(spark, sf)
+    fw = "CASE WHEN frame_idx % 2 = 0 THEN 1000 ELSE 1600 END"
+    records = f.selectExpr(*KEYS, *shown, f"{fw} AS frame_w", "900 AS frame_h")
+    pages = f.withColumn("frame_idx", F.expr("frame_idx - 1")).withColumns({"roi_w": F.expr(fw), "roi_h": F.lit(837)}).selectExpr(
+        "frame_idx", *shown, "help_quality_score >= 8.0D AS help_like", "help_paytable_score >= 2.0D AS rules_like")
+    return SA.replace_crop(records, pages, ["frame_idx"]).selectExpr(
+        *KEYS, "category", "replaced", "roi_w", "top_score", "category_scores['Help'] AS help_score", "round(feature_ui_score, 6) AS feature_ui",
+        "round(help_quality_score, 2) AS quality", "array_join(matched_keywords['Help'], '|') AS hits", "CAST(size(items) AS BIGINT) AS n_items")
+
+
 # --- IO: lists ----------------------------------------------------------------------------------------
 @query("io4_first_n_per_category", with_sql("frames_fx", """SELECT video_id, category, frame_idx FROM frames_fx
   QUALIFY row_number() OVER (PARTITION BY video_id, category ORDER BY lpad(frame_idx::VARCHAR, 8, '0')) <= 6"""))
