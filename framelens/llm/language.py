@@ -8,8 +8,9 @@ language is a sum over its bytes; the shortest code wins.
 
 The contexts of all languages share tables: one row per (context, byte) with the
 exact code length in every language, escapes included, so a byte is one lookup.
-Trees are learned from a bounded sample, about ``SAMPLE`` documents for each of
-the ``MAX_LANGUAGES`` most frequent languages.
+Trees are learned from a bounded sample, about ``SAMPLE`` documents for each
+language; every ``TABLE_LANGUAGES`` languages have tables of their own, and the
+shortest code over all of them wins.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0, and
 so is every text if there is nothing to learn from; rows without doc_id are not
@@ -28,7 +29,7 @@ from .common import table
 from .registry import query
 
 ORDER = 3
-SAMPLE, MAX_LANGUAGES = 400, 256
+SAMPLE, TABLE_LANGUAGES = 400, 256
 SLICE = 64
 PAD = b"\n" * ORDER
 UNKNOWN = "und"
@@ -119,12 +120,16 @@ class ContextTrees:
         return np.add.reduceat(self._lengths(ORDER, np.concatenate(parts)), starts, axis=0)
 
 
-def train(docs: DataFrame, held_out: str, sample: int = SAMPLE) -> ContextTrees | None:
-    """Trees of the languages of the rows that are not held out; counts are added up in Spark, the driver receives the distinct ones."""
+def train(docs: DataFrame, held_out: str, sample: int = SAMPLE, languages: int = TABLE_LANGUAGES) -> list[ContextTrees]:
+    """Trees of every language of the rows that are not held out, ``languages`` to a table; counts are added up in Spark, the driver receives the distinct ones."""
     rows = docs.select("doc_id", "lang", "text").where(f"lang IS NOT NULL AND text IS NOT NULL AND NOT coalesce({held_out}, false)")
-    per = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    if not per:
-        return None
+    per = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
+    tables = [_trees(rows, per[k:k + languages], sample) for k in range(0, len(per), languages)]
+    return [t for t in tables if t is not None]
+
+
+def _trees(rows: DataFrame, per: list, sample: int) -> ContextTrees | None:
+    """Trees of the languages of ``per(lang, count)``; None if none of their texts has a letter."""
     languages = sorted(r.lang for r in per)
     rate = F.create_map(*[F.lit(x) for r in per for x in (r.lang, min(1.0, sample / r["count"]))])
     picked = rows.withColumn("rate_", rate[F.col("lang")]).where("pmod(xxhash64(doc_id, 1), 1048576) < rate_ * 1048576").select("lang", "text")
@@ -150,25 +155,42 @@ def train(docs: DataFrame, held_out: str, sample: int = SAMPLE) -> ContextTrees
     return ContextTrees([languages[i] for i in learned], found.lang.map(renumber).to_numpy(), found.key.to_numpy(), found.n.to_numpy())
 
 
-def predict(docs: DataFrame, trees: ContextTrees | None, held_out: str) -> DataFrame:
-    """Per row: ``doc_id, held_out, lang_pred, score``; score is the posterior of the language from the code lengths."""
+def predict(docs: DataFrame, tables: list[ContextTrees] | None, held_out: str) -> DataFrame:
+    """Per row: ``doc_id, held_out, lang_pred, score``; score is the posterior of the language from the code lengths, over all tables.
+
+    Each table is a pass that hands on the best language so far (of equal ones the
+    first in order), its bits, and the sum of all likelihoods against it.
+    """
+    rows = docs.selectExpr("doc_id", f"coalesce({held_out}, false) AS held_out", "text", f"'{UNKNOWN}' AS lang_pred", "double('infinity') AS bits", "0.0D AS total")
+    for trees in tables or []:
+        rows = _compared(rows, trees)
+    return rows.selectExpr("doc_id", "held_out", "lang_pred", "IF(total > 0, 1 / total, 0.0D) AS score")
+
+
+def _compared(rows: DataFrame, trees: ContextTrees) -> DataFrame:
     def run(batches):
         for b in batches:
             for at in range(0, len(b), SLICE):
                 part = b.slice(at, SLICE)
                 texts = part.column(2).to_pylist()
-                known = [i for i, t in enumerate(texts) if trees is not None and has_letter(t)]
-                lang, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
+                lang, least, total = (part.column(c).to_pylist() for c in (3, 4, 5))
+                known = [i for i, t in enumerate(texts) if has_letter(t)]
                 if known:
                     bits = trees.code_lengths([texts[i].encode().lower() for i in known])
                     best = bits.argmin(axis=1)
-                    sure = 1 / np.exp2(np.minimum(bits[np.arange(len(best)), best][:, None] - bits, 0)).sum(axis=1)
-                    for i, k, p in zip(known, best.tolist(), sure.tolist()):
-                        lang[i], score[i] = trees.languages[k], p
-                yield pa.record_batch([part.column(0), part.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
-
-    rows = docs.selectExpr("doc_id", f"coalesce({held_out}, false) AS held_out", "text")
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
+                    low = bits[np.arange(len(best)), best]
+                    sums = np.exp2(np.minimum(low[:, None] - bits, 0)).sum(axis=1)
+                    for i, k, x, n in zip(known, best.tolist(), low.tolist(), sums.tolist()):
+                        y, m, name = least[i], total[i], trees.languages[k]
+                        if m and (y, lang[i]) < (x, name):
+                            total[i] = m + n * 2.0 ** (y - x)
+                        else:
+                            lang[i], least[i], total[i] = name, x, n + (m * 2.0 ** (x - y) if m else 0.0)
+                yield pa.record_batch([*part.columns[:3], pa.array(lang, pa.string()), pa.array(least, pa.float64()), pa.array(total, pa.float64())],
+                                      ["doc_id", "held_out", "text", "lang_pred", "bits", "total"])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, text string, lang_pred string, bits double, total double")
 
 
 @query("op8_language")

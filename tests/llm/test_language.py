@@ -77,3 +77,15 @@ def test_defined_cases(spark):
     assert got == [(1, "en"), (2, "de"), (4, "und"), (5, "und"), (None, "und"), (6, "en"), (6, "en"), (7, "en")]
     assert {r.lang_pred for r in L.predict(df, L.train(df.where("false"), "false"), "false").collect()} == {"und"}
     assert L.predict(df.where("false"), None, "false").count() == 0
+
+
+def test_languages_over_several_tables(spark):
+    words = {f"l{k}": [chr(97 + (7 * k + 3 * j) % 26) * (1 + j % 2) for j in range(6)] for k in range(7)}
+    df = spark.createDataFrame([(10 * k + n, lang, " ".join(w[(n + i) % 6] for i in range(12))) for k, (lang, w) in enumerate(words.items()) for n in range(6)],
+                               "doc_id long, lang string, text string")
+    one, many = L.train(df, "false"), L.train(df, "false", languages=2)
+    assert len(one) == 1 and len(many) == 4
+    a, b = ({r.doc_id: (r.lang_pred, r.score) for r in L.predict(df, t, "false").collect()} for t in (one, many))
+    truth = {r.doc_id: r.lang for r in df.collect()}
+    assert {i: x[0] for i, x in a.items()} == {i: x[0] for i, x in b.items()} == truth
+    assert all(0 < b[i][1] <= 1 for i in b)
