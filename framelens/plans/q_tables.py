@@ -148,7 +148,7 @@ def _(spark, sf):
     return fx.table(spark, sf, "pages").selectExpr("page_id", f"{NA.safe_short_name('url', 24)} AS safe")
 
 
-@query("io18_output_path", with_sql("frames_fx", "SELECT video_id, frame_idx, 'root/v' || video_id || '/' || category || '/clip_frame_' || lpad(frame_idx::VARCHAR, 6, '0') || '.jpg' AS path FROM frames_fx"))
+@query("io18_output_path", with_sql("frames_fx", "SELECT video_id, frame_idx, 'root/v' || video_id || '/' || category || '/clip_frame_' || lpad(frame_idx::VARCHAR, greatest(6, length(frame_idx::VARCHAR))::INTEGER, '0') || '.jpg' AS path FROM frames_fx"))
 def _(spark, sf):
     return fx.scores(spark, sf).selectExpr(*KEYS, f"{NA.output_path(chr(39) + 'root' + chr(39), 'concat(' + chr(39) + 'v' + chr(39) + ', video_id)', 'category', chr(39) + 'clip' + chr(39), 'frame_idx')} AS path")
 

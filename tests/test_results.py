@@ -3,7 +3,10 @@
 import csv
 import random
 
+import duckdb
+import oracle
 from pyspark.sql import functions as F
+from framelens.plans import catalog
 from framelens.sources import results as RE
 
 
@@ -38,3 +41,12 @@ def test_cells_with_line_ends(spark, tmp_path):
     write(tmp_path / "r.csv", [RE.RESULT_COLUMNS, [row[c] for c in RE.RESULT_COLUMNS]], "\n")
     (got,) = RE.read_results(spark, str(tmp_path)).collect()
     assert (got.video_name, got.frame_idx, got.save_path, got.top_score) == ("v\n1", 7, 'a "b", c', None)
+
+
+def test_frame_numbers_of_seven_digits_keep_all_digits(spark, tmp_path):
+    spark.sql("SELECT id AS event_id, id % 50 AS user_id, 'view' AS event_type FROM VALUES (7L), (999999L), (1000000L), (1000001L), (12345678L) AS t(id)").write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    out = catalog.QUERIES["io18_output_path"](spark, str(tmp_path))
+    assert oracle.compare(out, con, catalog.ORACLES["io18_output_path"]) == []
+    assert [r.path.rsplit("_", 1)[1] for r in out.orderBy("frame_idx").collect()] == ["000007.jpg", "999999.jpg", "1000000.jpg", "1000001.jpg", "12345678.jpg"]
