@@ -117,6 +117,15 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
+def dealt(df: DataFrame, by: str, rows: int = 50_000) -> DataFrame:
+    """Deal a narrow table by its unique column ``by`` into tasks of about ``rows`` rows, at least one for each core.
+
+    The number of splits of a scan says nothing about its tasks: a split without
+    the start of a row group reads no row.  So the rows are counted, which reads footers only.
+    """
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows)), by)
+
+
 _ITEM = """named_struct('line_no', n,
   'text', array({texts})[CAST((frame_idx * 3 + n * 7 + video_id) % 37 AS INT)],
   'x1', CAST((frame_idx * 37 + n * 11) % 300 AS DOUBLE), 'y1', CAST((frame_idx * 53 + n * 97) % 800 AS DOUBLE),
@@ -132,7 +141,7 @@ def frames(spark: SparkSession, sf_dir: str, parallel: bool = True) -> DataFrame
     """
     cols = {**_KEYS, "category": CATEGORY, **SCORES, **METRICS, "roi_w": ROI_W, "roi_h": ROI_H}
     events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
-    df = (spread(events) if parallel else events).selectExpr(*[f"{e} AS {n}" for n, e in cols.items()])
+    df = (dealt(events, "event_id") if parallel else events).selectExpr(*[f"{e} AS {n}" for n, e in cols.items()])
     return df.selectExpr("*", f"transform(sequence(0, {LINES} - 1), n -> {_ITEM}) AS items")
 
 

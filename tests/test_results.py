@@ -7,6 +7,7 @@ import duckdb
 import oracle
 from pyspark.sql import functions as F
 from framelens.plans import catalog
+from framelens.plans import fixtures as fx
 from framelens.sources import results as RE
 
 
@@ -50,3 +51,21 @@ def test_frame_numbers_of_seven_digits_keep_all_digits(spark, tmp_path):
     out = catalog.QUERIES["io18_output_path"](spark, str(tmp_path))
     assert oracle.compare(out, con, catalog.ORACLES["io18_output_path"]) == []
     assert [r.path.rsplit("_", 1)[1] for r in out.orderBy("frame_idx").collect()] == ["000007.jpg", "999999.jpg", "1000000.jpg", "1000001.jpg", "12345678.jpg"]
+
+
+def test_frames_of_one_row_group_are_dealt_evenly(spark, tmp_path):
+    """A file of many splits of which one holds the only row group: no task gets all frames, and grouping frames needs no other shuffle."""
+    rows = spark.range(0, 200_000, 1, 1).selectExpr("id AS event_id", "id % 50 AS user_id", "sha2(CAST(id AS STRING), 256) AS event_type")
+    rows.write.parquet(str(tmp_path / "events.parquet"))
+    before = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for c in before:
+            spark.conf.set(c, "200k")
+        assert spark.read.parquet(str(tmp_path / "events.parquet")).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+        sizes = fx.frames(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()
+        assert max(r["count"] for r in sizes) < 60_000 and sum(r["count"] for r in sizes) == 200_000
+        plan = catalog.QUERIES["v18_motion_region_score"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
