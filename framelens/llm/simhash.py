@@ -12,10 +12,13 @@ Large meeting groups are cut into chunks, and chunk pairs are compared in
 groups of their own; each comparison returns one link per member (to the
 smallest of its local group), never all pairs.
 
-``one_per_likeness`` groups by the Jaccard similarity of the shingle sets, which no
-radius of a 64-bit fingerprint covers (pairs at 0.8 differ in up to 13 bits and
-more): texts that share a band of MinHash lanes meet, lanes estimate their
-similarity, and every link is checked on the shingle sets themselves.
+``one_per_likeness`` groups by the Jaccard similarity of the shingle sets.  Rows
+meet by their fingerprints first, and every link is checked on the shingle sets
+themselves.  No radius of a 64-bit fingerprint covers the similarity (pairs at 0.8
+differ in up to 13 bits and more), so texts that share a band of MinHash lanes
+meet as well: once with the head of their band, and then only with rows that no
+link has joined to them yet, so a family of near copies gives no pairs in the
+square of its size.
 
 Defined cases: null text is the empty text, and texts without words have
 fingerprint zero; equal fingerprints are linked; a row without doc_id gets a
@@ -232,13 +235,20 @@ def _shingles(docs: DataFrame, shingle: int, kind: str, row) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {kind}")
 
 
-def lane_pairs(sig: np.ndarray, ids: np.ndarray, band: int):
+def head_pairs(sig: np.ndarray, ids: np.ndarray, band: int, root: np.ndarray):
+    """Pairs to check of the first row with all rows near it."""
+    near = 1 + np.flatnonzero((sig[1:] == sig[0]).mean(axis=1) >= LOW)
+    return [ids[near]], [np.full(len(near), ids[0])]
+
+
+def lane_pairs(sig: np.ndarray, ids: np.ndarray, band: int, root: np.ndarray):
     """Pairs to check among rows of lanes that meet in ``band``: each leader with all rows near it, and across clusters each row with its best match.
 
-    A pair that an earlier band brings together is left to that one.
+    A pair that an earlier band brings together is left to that one; rows of one ``root`` are joined already.
     """
     def first(at: np.ndarray, i: int) -> np.ndarray:
-        """Of the rows ``at``, those that share no earlier band with row i."""
+        """Of the rows ``at``, those of other roots that share no earlier band with row i."""
+        at = at[root[at] != root[i]]
         same = (sig[at, :band * BAND] == sig[i, :band * BAND]).reshape(len(at), band, BAND).all(axis=2).any(axis=1)
         return at[~same]
 
@@ -258,7 +268,7 @@ def lane_pairs(sig: np.ndarray, ids: np.ndarray, band: int):
             if (len(rows) > 1 or len(members) > 1) and e[lead] >= 0.4:
                 few, many = sorted((rows, members), key=len)
                 for x in few:
-                    m = (sig[many] == sig[x]).mean(axis=1)
+                    m = (sig[many] == sig[x]).mean(axis=1) * (root[many] != root[x])
                     if m.max() >= LOW:
                         out_a.append(ids[[x]])
                         out_b.append(ids[[many[m.argmax()]]])
@@ -266,61 +276,83 @@ def lane_pairs(sig: np.ndarray, ids: np.ndarray, band: int):
     return out_a, out_b
 
 
-def like_links(sets: DataFrame, chunk: int = CHUNK // 2) -> DataFrame:
-    """``(a, b)`` pairs of ``sets(node, sig)`` that share a band and whose lanes are near."""
+def like_links(sets: DataFrame, pairs_of=lane_pairs, chunk: int = CHUNK // 2) -> DataFrame:
+    """``(a, b)`` pairs of ``sets(node, sig, root)`` of different roots that share a band and whose lanes are near; ``head_pairs`` looks within chunks alone."""
     keys = ", ".join(f"xxhash64({c}, substring(sig, {1 + BAND * c}, {BAND}))" for c in range(BANDS))
-    rows = sets.selectExpr("node", f"posexplode(array({keys})) AS (band, key)")
-    many = rows.groupBy("key").count().where("count > 1").selectExpr("key", f"CAST(ceil(count / {chunk}) AS INT) AS chunks")
-    met = rows.join(many, "key").withColumn("own", F.expr("CAST(pmod(xxhash64(node, key), chunks) AS INT)")).join(sets, "node")
-    dealt = met.selectExpr("key", "band", "own", "node", "sig", "explode(sequence(0, chunks - 1)) AS other").selectExpr(
-        "key", "band", "least(own, other) AS lo", "greatest(own, other) AS hi", "node", "sig")
+    rows = sets.selectExpr("node", "root", f"posexplode(array({keys})) AS (band, key)")
+    many = rows.groupBy("key").agg(F.count(F.lit(1)).alias("count"), F.expr("min(root) <> max(root)").alias("apart")).where("apart").selectExpr(
+        "key", f"CAST(ceil(count / {chunk}) AS INT) AS chunks")
+    met = rows.drop("root").join(many, "key").withColumn("own", F.expr("CAST(pmod(xxhash64(node, key), chunks) AS INT)")).join(sets, "node")
+    others = "sequence(own, own)" if pairs_of is head_pairs else "sequence(0, chunks - 1)"
+    dealt = met.selectExpr("key", "band", "own", "node", "sig", "root", f"explode({others}) AS other").selectExpr(
+        "key", "band", "least(own, other) AS lo", "greatest(own, other) AS hi", "node", "sig", "root")
 
     def run(batches):
         held, at = [], None
         for b in batches:
-            for key, band, lo, hi, node, sig in zip(*(c.to_pylist() for c in b.columns)):
+            for key, band, lo, hi, node, sig, root in zip(*(c.to_pylist() for c in b.columns)):
                 if (key, lo, hi) != at:
                     yield from compared(held)
                     held, at = [], (key, lo, hi)
-                held.append((band, node, sig))
+                held.append((band, node, sig, root))
         yield from compared(held)
 
     def compared(held):
-        if len(held) > 1:
-            ids = np.array([n for _, n, _ in held], np.int64)
-            sig = np.frombuffer(b"".join(s for *_, s in held), np.uint8).reshape(len(ids), -1)
-            a, b = (np.concatenate(x) for x in lane_pairs(sig, ids, held[0][0]))
+        root = np.array([r for *_, r in held], np.int64)
+        if len(held) > 1 and (root != root[0]).any():
+            ids = np.array([n for _, n, *_ in held], np.int64)
+            sig = np.frombuffer(b"".join(s for _, _, s, _ in held), np.uint8).reshape(len(ids), -1)
+            a, b = (np.concatenate(x) for x in pairs_of(sig, ids, held[0][0], root))
             yield pa.record_batch([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
 
     return dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node").mapInArrow(run, "a long, b long").distinct()
 
 
+def fingerprint_links(sets: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``(a, b)`` pairs of ``sets(node, fp)``: each row with the first of its fingerprint, and those with the smallest node their fingerprints lead to in a table."""
+    first = sets.groupBy("fp").agg(F.min("node").alias("node"))
+    same = sets.select("node", "fp").join(first.selectExpr("fp", "node AS b"), "fp").where("node <> b").selectExpr("node AS a", "b")
+    return links(first, radius).distinct().unionByName(same)
+
+
 def one_per_likeness(docs: DataFrame, shingle: int = LIKE_SHINGLE, least: float = LIKE) -> DataFrame:
     """The rows of ``docs`` that stand for their group of texts with shingle sets alike at ``least``: the smallest doc_id of each, and rows without doc_id."""
     if least < LIKE:
         raise ValueError(f"the bands are laid out for similarities from {LIKE}")
     scratch = Scratch(docs.sparkSession)
     texts = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
-    own = scratch.keep(_shingles(texts, shingle, "digest long, sig binary", lambda sets: (
-        pa.array([xxhash.xxh64_intdigest(s.tobytes(), seed=SEED) for s in sets], pa.uint64()).to_numpy().view(np.int64),
+    digests = lambda sets: pa.array([xxhash.xxh64_intdigest(s.tobytes(), seed=SEED) for s in sets], pa.uint64()).to_numpy().view(np.int64)
+    own = scratch.keep(_shingles(texts, shingle, "digest long, fp long, sig binary", lambda sets: (
+        digests(sets), pa.array([majority(s) for s in sets], pa.int64()),
         pa.array([least_lanes(s, BANDS * BAND, SEED).astype(np.uint8).tobytes() for s in sets], pa.binary()))))
-    sets = scratch.keep(own.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig")), own.count())
-    pairs = scratch.keep(like_links(sets.select("node", "sig")))
-    asked = pairs.selectExpr("a AS id_").union(pairs.selectExpr("b AS id_")).distinct()
-    # rows that share an id have texts of their own: a node's set is that of its digest
-    wanted = texts.join(asked, F.expr("doc_id = id_"), "left_semi")
-    hashes = _shingles(wanted, shingle, "digest long, hashes array<bigint>", lambda sets: (
-        pa.array([xxhash.xxh64_intdigest(s.tobytes(), seed=SEED) for s in sets], pa.uint64()).to_numpy().view(np.int64),
-        pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))))
-    hashes = scratch.keep(hashes.join(sets.selectExpr("node", "digest"), "digest").where("doc_id = node").groupBy("node").agg(F.first("hashes").alias("hashes")))
-    both = pairs.join(hashes.selectExpr("node AS a", "hashes AS x"), "a").join(hashes.selectExpr("node AS b", "hashes AS y"), "b")
-    both = both.selectExpr("a", "b", "size(x) + size(y) AS n", "size(array_intersect(x, y)) AS common")
-    links = scratch.keep(both.where(f"common >= {least}D * (n - common)").select("a", "b"))
-    scratch.free(pairs, hashes)
-    roots = components(links, scratch, sets.count()).withColumnRenamed("node", "n_")
-    of = sets.join(roots, F.expr("node = n_"), "left").selectExpr("digest", "coalesce(root, node) AS root_")
+    sets = scratch.keep(own.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp"), F.first("sig").alias("sig")), own.count())
+    count = sets.count()
+
+    def checked(found: DataFrame) -> DataFrame:
+        """The pairs ``(a, b)`` whose shingle sets are alike."""
+        pairs = scratch.keep(found)
+        asked = pairs.selectExpr("a AS id_").union(pairs.selectExpr("b AS id_")).distinct()
+        # rows that share an id have texts of their own: a node's set is that of its digest
+        wanted = texts.join(asked, F.expr("doc_id = id_"), "left_semi")
+        hashes = _shingles(wanted, shingle, "digest long, hashes array<bigint>", lambda sets: (
+            digests(sets), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))))
+        hashes = scratch.keep(hashes.join(sets.selectExpr("node", "digest"), "digest").where("doc_id = node").groupBy("node").agg(F.first("hashes").alias("hashes")))
+        both = pairs.join(hashes.selectExpr("node AS a", "hashes AS x"), "a").join(hashes.selectExpr("node AS b", "hashes AS y"), "b")
+        both = both.selectExpr("a", "b", "size(x) + size(y) AS n", "size(array_intersect(x, y)) AS common")
+        out = scratch.keep(both.where(f"common >= {least}D * (n - common)").select("a", "b"))
+        scratch.free(pairs, hashes)
+        return out
+
+    def rooted(links: DataFrame) -> DataFrame:
+        roots = components(links, scratch, count).withColumnRenamed("node", "n_")
+        return sets.join(roots, F.expr("node = n_"), "left").selectExpr("node", "digest", "sig", "coalesce(root, node) AS root")
+
+    met = checked(fingerprint_links(sets).unionByName(like_links(sets.selectExpr("node", "sig", "node AS root"), head_pairs)).distinct())
+    joined = scratch.keep(rooted(met), count)
+    rest = checked(like_links(joined.select("node", "sig", "root")))
+    of = rooted(joined.selectExpr("node AS a", "root AS b").where("a <> b").unionByName(rest)).select("digest", F.col("root").alias("root_"))
     drop = scratch.keep(own.join(of, "digest").where("doc_id <> root_").select("doc_id").distinct(), own.count())
-    scratch.free(own, sets, links)
+    scratch.free(own, sets, met, joined, rest)
     return without_ids(docs, drop)
 
 

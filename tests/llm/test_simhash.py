@@ -1,5 +1,7 @@
 """SimHash groups against all pairs; bit-sliced distances against counting; defined cases."""
 
+import random
+
 import numpy as np
 import pytest
 import xxhash
@@ -103,3 +105,25 @@ def test_likeness_against_all_pairs(spark):
     got = {r.doc_id for r in S.one_per_likeness(docs).collect()}
     assert direct and got == {i for i in grams if find(i) == i}
     assert got < {r.doc_id for r in S.one_per_group(docs).collect()}
+
+
+def test_family_of_near_copies_gives_few_links(spark, monkeypatch):
+    """Texts that are all between 0.8 and 0.9 alike: links grow with the texts, not with their pairs, and fingerprints find some of them."""
+    n, rng = 300, random.Random(5)
+    base = [f"w{rng.randrange(10 ** 6)}" for _ in range(150)]
+    rows = [(i, " ".join(f"x{i}" if k == 5 + i % 140 else w for k, w in enumerate(base)), None, None, None) for i in range(n)]
+    counts, by_fingerprint = [], []
+    whole, found = S.components, getattr(S, "fingerprint_links", None)
+
+    def counted(edges, scratch, nodes):
+        counts.append(edges.count())
+        return whole(edges, scratch, nodes)
+
+    def seen(sets):
+        by_fingerprint.append(found(sets).count())
+        return found(sets)
+
+    monkeypatch.setattr(S, "components", counted)
+    monkeypatch.setattr(S, "fingerprint_links", seen, raising=False)
+    assert [r.doc_id for r in S.one_per_likeness(spark.createDataFrame(rows, DOC)).collect()] == [0]
+    assert sum(counts) < 30 * n and sum(by_fingerprint) > 0
