@@ -184,3 +184,10 @@ def test_numbered_names_pass_over_taken_ones(spark):
     taken = spark.createDataFrame([("o/a.jpg",), ("o/a_1.jpg",), ("o/a_3.jpg",)], "target string")
     got = [r.unique_target for r in NA.unique_targets(df, "target", "id", taken).orderBy("id").collect()]
     assert got == ["o/a_2.jpg", "o/a_4.jpg", "o/a_5.jpg", "o/a_6.jpg", "o/b.jpg"]
+
+
+def test_page_text_and_ranked_scores_are_made_once_a_frame():
+    assert "transform(lines" not in S.rules_page("a", "b", "c") + S._REGISTRY["help_page"][1]
+    assert K.confidence("category", "top", "scores", "hits").count("sort_array") == 1
+    entries, per_category = K._reason_map([]).split("map_from_arrays")
+    assert "trace" in entries and "trace" not in per_category
