@@ -65,6 +65,26 @@ def test_small_blocks_give_the_same(spark):
     assert sums[0] == sums[1]
 
 
+def test_guests_travel_once_for_a_chunk_at_home(spark):
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(1500, 16))
+    vecs = {i: np.float32(v) for i, v in enumerate(np.concatenate([base, base[:100] + 0.05]))}
+    found = Scratch(spark).keep(E.nodes(frame(spark, vecs)))
+    members = Scratch(spark).keep(E.memberships(found, E.kmeans(found, 8), 0.95, None))
+    counted = members.groupBy("d", "cell").agg({"*": "count"}).collect()
+    sizes = {(r.d, r.cell): r["count(1)"] for r in counted}
+    homes = {(r.d, r.cell): r["count"] for r in members.where("home = cell").groupBy("d", "cell").count().collect()}
+    rows, block = sum(sizes.values()), 128
+    assert rows > 2 * len(vecs)
+    chunks = {k: (-(-homes[k] // block), -(-(n - homes[k]) // block)) for k, n in sizes.items()}
+    assert E.dealt(members, sizes, homes, block).count() == sum(homes[k] * (h + g) + (sizes[k] - homes[k]) * h for k, (h, g) in chunks.items())
+    got = {r.node: r.n for r in E.cell_links(members, sizes, block=block, homes=homes).groupBy("node").agg({"links": "sum"}).withColumnRenamed("sum(links)", "n").collect()}
+    want = brute(vecs)
+    assert got == {i: n for i, (n, _) in want.items() if n} and len(got) >= 200
+    assert len(members.where("visits IS NULL").take(1)) and not members.where("home = cell AND visits IS NULL").take(1)
+    assert members.selectExpr("max(length(vec)) AS n").first().n == 16 * 4
+
+
 def test_defined_cases(spark):
     inf, nan = float("inf"), float("nan")
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [1.0, 0.0]), (4, None), (5, [0.0, 0.0]), (6, [inf, 1.0]), (7, [nan, 1.0]), (8, [None, 1.0]), (9, []), (10, [1.0, 0.0, 0.0]),
