@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +23,18 @@ def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(ids.select("doc_id"), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+def tidy(run):
+    """``run`` over batches; what Arrow has freed goes back after each batch, or a Python worker keeps it through later stages, beside the executor's heap."""
+    def tidied(batches):
+        def given():
+            for b in batches:
+                yield b
+                pa.default_memory_pool().release_unused()
+        yield from run(given())
+        pa.default_memory_pool().release_unused()
+    return tidied
+
+
 class Scratch:
     """Tables in the folder of ``spark.checkpoint.dir``; ``free`` removes those no later step reads."""
 

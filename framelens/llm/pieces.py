@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, tidy
 from .registry import query
 
 MARK = "▁"
@@ -291,9 +291,8 @@ def marked_words(text: str, dummy_prefix: bool = True) -> list[str]:
     return _WORDS.findall((MARK if dummy_prefix else "") + text.replace(" ", MARK)) if text else []
 
 
-def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """``(doc_id, ids)`` for every row of ``docs(doc_id, text)``."""
-    model = PieceModel.read(path or model_path())
+def _encoder(model: PieceModel):
+    """Batches ``(doc_id, text)`` to batches ``(doc_id, ids)``."""
 
     def run(batches):
         coder, known = TrieEncoder(model), {}
@@ -309,13 +308,17 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
                 ends = np.cumsum([0, *map(len, ids)])
                 yield pa.record_batch([part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids)))], ["doc_id", "ids"])
 
+    return run
+
+
+def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """``(doc_id, ids)`` for every row of ``docs(doc_id, text)``."""
     rows = docs.select("doc_id", "text")
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+    return rows.mapInArrow(_encoder(PieceModel.read(path or model_path())), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
 
-def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """``(doc_id, ids, text)``: the text of each row's pieces."""
-    model = PieceModel.read(path or model_path())
+def _decoder(model: PieceModel):
+    """Batches ``(doc_id, ids)`` to batches ``(doc_id, ids, text)``."""
     spelled = [b"" if k == _CONTROL else " ⁇ ".encode() if k == _UNKNOWN else bytes([int(p[3:5], 16)]) if k == _BYTE else p.replace(MARK, " ").encode()
                for p, k in zip(model.pieces, model.kinds)]
 
@@ -339,15 +342,23 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
                     texts = pa.array([r.decode(errors="replace") for r in raw.to_pylist()], pa.string())
                 yield pa.record_batch([part.column(0), part.column(1), texts], ["doc_id", "ids", "text"])
 
+    return run
+
+
+def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
+    """``(doc_id, ids, text)``: the text of each row's pieces."""
     rows = encoded.select("doc_id", "ids")
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>, text string")
+    return rows.mapInArrow(_decoder(PieceModel.read(path or model_path())), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>, text string")
 
 
 def with_pieces(docs: DataFrame, path: str | None = None) -> DataFrame:
     """All columns of ``docs`` with ``text`` as its pieces decode, and ``ids`` (in place of a column of that name)."""
     others = [f"`{c}`" for c in docs.columns if c != "text"]
     rows = docs.selectExpr(f"struct({', '.join(others)}) AS doc_id" if others else "0 AS doc_id", "text")
-    done = decode(encode(rows, path), path)
+    model = PieceModel.read(path or model_path())
+    there, back = _encoder(model), _decoder(model)
+    # both ways in one Python worker: two at a time for a core hold the model and its caches twice
+    done = rows.mapInArrow(tidy(lambda batches: back(there(batches))), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>, text string")
     return done.select(*[F.col("text") if c == "text" else F.col("doc_id").getField(c).alias(c) for c in docs.columns if c != "ids"], "ids")
 
 

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.greedy import least_lanes
-from .common import Scratch, components, table, without_ids
+from .common import Scratch, components, table, tidy, without_ids
 from .registry import query
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
@@ -232,12 +232,18 @@ def _shingles(docs: DataFrame, shingle: int, kind: str, row) -> DataFrame:
                 part = b.slice(at, 256)
                 sets = [np.unique(shingle_hashes(t or b"", shingle)) for t in part.column(1).cast(pa.binary()).to_pylist()]
                 yield pa.record_batch([part.column(0), *row(sets)], ["doc_id", *[c.split()[0] for c in kind.split(", ")]])
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {kind}")
+    return docs.mapInArrow(tidy(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {kind}")
+
+
+def _met_before(sig: np.ndarray, one: np.ndarray, band: int) -> np.ndarray:
+    """Which of the rows share a band before ``band`` with ``one``."""
+    return (sig[:, :band * BAND] == one[:band * BAND]).reshape(len(sig), band, BAND).all(axis=2).any(axis=1)
 
 
 def head_pairs(sig: np.ndarray, ids: np.ndarray, band: int, root: np.ndarray):
-    """Pairs to check of the first row with all rows near it."""
+    """Pairs to check of the first row with all rows near it; those that share an earlier band with it have met there."""
     near = 1 + np.flatnonzero((sig[1:] == sig[0]).mean(axis=1) >= LOW)
+    near = near[~_met_before(sig[near], sig[0], band)]
     return [ids[near]], [np.full(len(near), ids[0])]
 
 
@@ -249,8 +255,7 @@ def lane_pairs(sig: np.ndarray, ids: np.ndarray, band: int, root: np.ndarray):
     def first(at: np.ndarray, i: int) -> np.ndarray:
         """Of the rows ``at``, those of other roots that share no earlier band with row i."""
         at = at[root[at] != root[i]]
-        same = (sig[at, :band * BAND] == sig[i, :band * BAND]).reshape(len(at), band, BAND).all(axis=2).any(axis=1)
-        return at[~same]
+        return at[~_met_before(sig[at], sig[i], band)]
 
     open_, out_a, out_b, clusters = np.ones(len(sig), bool), [], [], []
     for i in range(len(sig)):
@@ -280,8 +285,9 @@ def like_links(sets: DataFrame, pairs_of=lane_pairs, chunk: int = CHUNK // 2) ->
     """``(a, b)`` pairs of ``sets(node, sig, root)`` of different roots that share a band and whose lanes are near; ``head_pairs`` looks within chunks alone."""
     keys = ", ".join(f"xxhash64({c}, substring(sig, {1 + BAND * c}, {BAND}))" for c in range(BANDS))
     rows = sets.selectExpr("node", "root", f"posexplode(array({keys})) AS (band, key)")
-    many = rows.groupBy("key").agg(F.count(F.lit(1)).alias("count"), F.expr("min(root) <> max(root)").alias("apart")).where("apart").selectExpr(
-        "key", f"CAST(ceil(count / {chunk}) AS INT) AS chunks")
+    # written: most keys stand alone, so the rows need not be dealt by key once more while the others are few
+    many = Scratch(sets.sparkSession).keep(rows.groupBy("key").agg(F.count(F.lit(1)).alias("count"), F.expr("min(root) <> max(root)").alias("apart")).where("apart").selectExpr(
+        "key", f"CAST(ceil(count / {chunk}) AS INT) AS chunks"))
     met = rows.drop("root").join(many, "key").withColumn("own", F.expr("CAST(pmod(xxhash64(node, key), chunks) AS INT)")).join(sets, "node")
     others = "sequence(own, own)" if pairs_of is head_pairs else "sequence(0, chunks - 1)"
     dealt = met.selectExpr("key", "band", "own", "node", "sig", "root", f"explode({others}) AS other").selectExpr(
@@ -331,16 +337,18 @@ def one_per_likeness(docs: DataFrame, shingle: int = LIKE_SHINGLE, least: float
     def checked(found: DataFrame) -> DataFrame:
         """The pairs ``(a, b)`` whose shingle sets are alike."""
         pairs = scratch.keep(found)
-        asked = pairs.selectExpr("a AS id_").union(pairs.selectExpr("b AS id_")).distinct()
+        ids = pairs.selectExpr("a AS id_").union(pairs.selectExpr("b AS id_")).distinct()
         # rows that share an id have texts of their own: a node's set is that of its digest
-        wanted = texts.join(asked, F.expr("doc_id = id_"), "left_semi")
+        asked = scratch.keep(ids.join(sets.selectExpr("node", "digest"), F.expr("id_ = node")).selectExpr("id_", "digest AS digest_"))
+        wanted = texts.join(asked, F.expr("doc_id = id_")).selectExpr("struct(doc_id, digest_) AS doc_id", "text")
         hashes = _shingles(wanted, shingle, "digest long, hashes array<bigint>", lambda sets: (
             digests(sets), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))))
-        hashes = scratch.keep(hashes.join(sets.selectExpr("node", "digest"), "digest").where("doc_id = node").groupBy("node").agg(F.first("hashes").alias("hashes")))
-        both = pairs.join(hashes.selectExpr("node AS a", "hashes AS x"), "a").join(hashes.selectExpr("node AS b", "hashes AS y"), "b")
+        hashes = scratch.keep(hashes.where("digest = doc_id.digest_").groupBy(F.expr("doc_id.doc_id AS node")).agg(F.first("hashes").alias("hashes")))
+        heads = hashes.join(pairs.selectExpr("b AS head_").distinct(), F.expr("node = head_"), "left_semi")
+        both = pairs.join(hashes.selectExpr("node AS a", "hashes AS x"), "a").join(heads.selectExpr("node AS b", "hashes AS y"), "b")
         both = both.selectExpr("a", "b", "size(x) + size(y) AS n", "size(array_intersect(x, y)) AS common")
         out = scratch.keep(both.where(f"common >= {least}D * (n - common)").select("a", "b"))
-        scratch.free(pairs, hashes)
+        scratch.free(pairs, asked, hashes)
         return out
 
     def rooted(links: DataFrame) -> DataFrame:

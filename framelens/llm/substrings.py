@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, table, tidy
 from .registry import query
 
 WINDOW, KMER = 50, 25
@@ -136,7 +136,7 @@ def _profiles(docs: DataFrame, window: int, kmer: int) -> DataFrame:
                                        pa.array(mins, pa.list_(pa.int64()))], ["doc_id", "tkey", "n", "digest", "mins"])
 
     rows = docs.where("doc_id IS NOT NULL").selectExpr("doc_id", f"{_TEXT_KEY} AS tkey", "text")
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, tkey long, n int, digest binary, mins array<long>")
+    return rows.mapInArrow(tidy(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, tkey long, n int, digest binary, mins array<long>")
 
 
 def _edges(docs: DataFrame, wanted: DataFrame, window: int, kmer: int) -> DataFrame:
@@ -174,7 +174,7 @@ def _edges(docs: DataFrame, wanted: DataFrame, window: int, kmer: int) -> DataFr
 
     keyed = docs.where("doc_id IS NOT NULL").selectExpr("doc_id", f"{_TEXT_KEY} AS tkey", "text").join(wanted, ["doc_id", "tkey"])
     return keyed.select("doc_id", "tkey", "text", "mins").mapInArrow(
-        run, f"h long, check long, doc_id {keyed.schema['doc_id'].dataType.simpleString()}, tkey long, pos int")
+        tidy(run), f"h long, check long, doc_id {keyed.schema['doc_id'].dataType.simpleString()}, tkey long, pos int")
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) -> DataFrame:
@@ -235,7 +235,7 @@ def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     keyed = docs.selectExpr(f"struct({', '.join(others)}) AS row", "text", "doc_id AS d_", f"{_TEXT_KEY} AS t_")
     joined = keyed.join(spans, F.expr("d_ = doc_id AND t_ = tkey"), "left").select("row", "text", "first", "last")
     kinds = joined.schema
-    return joined.mapInArrow(run, f"row {kinds['row'].dataType.simpleString()}, text string, n_words long, n_removed long, kept_sha256 string")
+    return joined.mapInArrow(tidy(run), f"row {kinds['row'].dataType.simpleString()}, text string, n_words long, n_removed long, kept_sha256 string")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:

@@ -226,7 +226,9 @@ def score(docs: DataFrame, labels: DataFrame, held_out: str, sample: int = SAMPL
 
 def without_toxic(docs: DataFrame, labels: DataFrame, held_out: str) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic."""
-    return without_ids(docs, score(docs, labels, held_out).where("predicted = 1 AND doc_id IS NOT NULL").select("doc_id").distinct())
+    gone = score(docs, labels, held_out).where("predicted = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
+    # written, so that Spark knows how few they are before it deals the texts
+    return without_ids(docs, Scratch(docs.sparkSession).keep(gone))
 
 
 @query("op10_toxicity")

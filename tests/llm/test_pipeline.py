@@ -121,3 +121,15 @@ def test_empty_and_odd_tables(spark, sf):
             after = stage(spark, docs, sf)
             assert after.columns == [*docs.columns, *(["ids"] if name == "pieces" else [])]
             assert (after.count() > 0) == (docs.count() > 0)
+
+
+def planned(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_stay_where_they_are_while_toxic_ids_are_few(spark, sf):
+    assert "hashpartitioning" not in planned(C.toxic_out(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf))
+
+
+def test_pieces_take_one_python_worker_a_core(spark, sf):
+    assert planned(pieces.with_pieces(spark.read.parquet(f"{sf}/documents.parquet"))).count("MapInArrow") == 1

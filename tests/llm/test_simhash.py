@@ -127,3 +127,10 @@ def test_family_of_near_copies_gives_few_links(spark, monkeypatch):
     monkeypatch.setattr(S, "fingerprint_links", seen, raising=False)
     assert [r.doc_id for r in S.one_per_likeness(spark.createDataFrame(rows, DOC)).collect()] == [0]
     assert sum(counts) < 30 * n and sum(by_fingerprint) > 0
+
+
+def test_a_row_meets_one_head_once():
+    sig = np.tile(np.arange(S.BANDS * S.BAND, dtype=np.uint8), (4, 1))
+    sig[3, :5] = 255  # shares every band but the first
+    pairs = [(int(b), int(a)) for band in range(S.BANDS) for a, b in zip(*(np.concatenate(x) for x in S.head_pairs(sig[[0, 1, 2] if band == 0 else [0, 1, 2, 3]], np.arange(4), band, np.arange(4))))]
+    assert sorted(pairs) == [(0, 1), (0, 2), (0, 3)]
