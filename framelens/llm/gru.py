@@ -13,6 +13,12 @@ def sigmoid(x):
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
+def product(x, w, offset):
+    out = x @ w
+    out += offset
+    return out
+
+
 def exps(x):
     """exp(x) and its sums over the last axis; x is a logarithm plus a small term, so only runaway values need a bound."""
     e = np.exp(np.minimum(x, 60, out=x), out=x)
@@ -54,12 +60,12 @@ def step(p, xw, h):
 
 def log_probability(p, h, cls, place):
     """Natural log probability of each target given its state; places of rare classes are not read."""
-    out = chosen_log(h @ p["c"] + p["cb"], cls).astype(np.float64)
+    out = chosen_log(product(h, p["c"], p["cb"]), cls).astype(np.float64)
     order = np.argsort(cls.astype(np.int16), kind="stable")
     ends = np.searchsorted(cls[order], np.arange(len(p["w"]) + 1))
     for k in np.flatnonzero(np.diff(ends)):
         at = order[ends[k]:ends[k + 1]]
-        out[at] += chosen_log(h[at] @ p["w"][k] + p["wb"][k], place[at])
+        out[at] += chosen_log(product(h[at], p["w"][k], p["wb"][k]), place[at])
     return out
 
 
@@ -86,12 +92,12 @@ def gradients(p, x, cls, place, mask, h0, fresh=None):
     order = np.argsort(c.astype(np.int16), kind="stable")
     s, c, w = s[order], c[order], w[order]
     ends = np.searchsorted(c, np.arange(len(p["w"]) + 1))
-    loss, dc = softmax_loss(s @ p["c"] + p["cb"], c)
+    loss, dc = softmax_loss(product(s, p["c"], p["cb"]), c)
     g["c"], g["cb"] = s.T @ dc, np.ones(len(dc), dc.dtype) @ dc
     ds = dc @ p["c"].T
     for k in np.flatnonzero(np.diff(ends)):
         part = slice(ends[k], ends[k + 1])
-        more, dw = softmax_loss(s[part] @ p["w"][k] + p["wb"][k], w[part])
+        more, dw = softmax_loss(product(s[part], p["w"][k], p["wb"][k]), w[part])
         loss += more
         g["w"][k], g["wb"][k] = s[part].T @ dw, np.ones(len(dw), dw.dtype) @ dw
         ds[part] += dw @ p["w"][k].T

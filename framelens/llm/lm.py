@@ -7,7 +7,7 @@ letters, and has there the share of its count:
 (c + 0.1) / sum over the class of (c + 0.1), with one place for unseen words.
 
 Each token's count is needed in the scan.  The ``HEAD`` most frequent words
-travel with the tasks (a bounded table); for the rest, a task sends one row per
+travel with the tasks (a bounded table); the others are listed by the scan, a row per
 document and word, which is joined with the counts and summed by document.
 
 The first predictions of the network are the corpus counts of all training
@@ -72,9 +72,10 @@ def word_counts(docs: DataFrame) -> DataFrame:
         yield rows(counts)
 
     def rows(counts):
-        return pa.record_batch([pa.array(list(counts), pa.binary()), pa.array(list(map(rare_class, counts)), pa.int32()), pa.array(list(counts.values()), pa.int64())], ["word", "rare", "c"])
+        return pa.record_batch([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "c"])
 
-    return docs.select("text").mapInArrow(run, "word binary, rare int, c long").groupBy("word").agg(F.first("rare").alias("rare"), F.sum("c").alias("c"))
+    sums = docs.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return sums.selectExpr("word", f"CAST(crc32(substring(word, -3, 3)) % {RARE} AS INT) AS rare", "c")
 
 
 def head_words(counts: DataFrame, head: int) -> tuple[list[bytes], np.ndarray]:
@@ -103,7 +104,7 @@ class Vocabulary:
 
     def __init__(self, words: list[bytes], counts: np.ndarray, ends: int, rare_mass: np.ndarray):
         frequent = CLASSES * PLACES - 1
-        self.counts = np.append(counts, 0).astype(np.float64)
+        self.logs = np.log10(np.asarray(counts, np.float64) + ALPHA)
         self.number = {w: i for i, w in enumerate(words)}
         # the end token and the most frequent words, in order of frequency, PLACES to a class
         model = [("", ends), *zip(words[:frequent], counts[:frequent])]
@@ -132,8 +133,14 @@ class Vocabulary:
             model[tail] = [known[e] for e in ends]
         return model, head
 
+    def read_texts(self, texts: list[list[bytes]]):
+        """Words of the texts one behind the other, their head numbers, the model numbers with an end after each text, and tokens per text."""
+        words, n = list(chain.from_iterable(texts)), np.fromiter(map(len, texts), np.int64, len(texts))
+        model, head = self.read(words)
+        return words, head, np.insert(model[:-1], np.cumsum(n), self.end), n + 1
+
     def sequence(self, model: np.ndarray):
-        """Inputs (the token before, the end first), classes and places."""
+        """Inputs (the token before, the end first), classes and places; an end goes before each text but the first anyway."""
         frequent = model < CLASSES * PLACES
         cls = np.where(frequent, model // PLACES, model - CLASSES * PLACES + CLASSES)
         return np.concatenate([[self.end], model[:-1]]), cls.astype(np.int64), np.where(frequent, model % PLACES, 0).astype(np.int64)
@@ -149,7 +156,8 @@ def train(docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> dict[str,
 
     def learner(p, k):
         def learn(rows: pd.DataFrame) -> pd.DataFrame:
-            texts = [vocab.sequence(vocab.read(tokens(t.encode()))[0]) for t in sorted(rows.text.fillna(""))]
+            *_, model, n = vocab.read_texts([tokens(t.encode()) for t in sorted(rows.text.fillna(""))])
+            texts = list(zip(*(np.split(x, np.cumsum(n)[:-1]) for x in vocab.sequence(model))))
             np.random.default_rng(k).shuffle(texts)
             q = gru.train_epoch(p, texts, RATE / (1 + k))
             return pd.DataFrame({"name": list(q), "value": [np.rint(v.ravel().astype(np.float64) * UNIT).astype(np.int64) for v in q.values()]})
@@ -186,41 +194,38 @@ def score(docs: DataFrame, held_out: str, head: int = HEAD) -> DataFrame:
     log_total = math.log10(total + ALPHA * (kinds + 1))
     log_mass = np.log(vocab.rare_mass)
 
-    def tail(batches):
-        for b in batches:
-            for at in range(0, len(b), SLICE):
-                part = b.slice(at, SLICE)
-                keys, found, n = [], [], []
-                for key, text in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist()):
-                    rest = Counter(w for w in tokens(text) if w not in vocab.number)
-                    keys += [key] * len(rest)
-                    found += rest
-                    n += rest.values()
-                yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(found, pa.binary()), pa.array(n, pa.int64())], ["key", "word", "n"])
-
     def scan(batches):
         for b in batches:
-            texts, base, known, n_tokens, rare = [], [], [], [], []
+            texts, base, known, n_tokens, rare, rest, times = [], [], [], [], [], [], []
             for at in range(0, len(b), SLICE):
-                for text in b.column(3).slice(at, SLICE).cast(pa.binary()).to_pylist():
-                    model, at_head = vocab.read(tokens(text))
-                    c = vocab.counts[at_head[at_head >= 0]]
-                    base.append(float(np.log10(c + ALPHA).sum()) + math.log10(ends + ALPHA) - len(model) * log_total)
-                    known.append(len(c) + (ends > 0))
-                    n_tokens.append(len(model))
-                    cls = model[model >= CLASSES * PLACES] - CLASSES * PLACES
-                    # share within the rare class; the tail's counts come from the join
-                    in_head = at_head[(model[:-1] >= CLASSES * PLACES) & (at_head >= 0)]
-                    rare.append(float(np.log(vocab.counts[in_head] + ALPHA).sum() - log_mass[cls].sum()))
-                    texts.append(tuple(x.astype(y) for x, y in zip(vocab.sequence(model), (np.int16, np.int16, np.int16))))
+                words, head, model, n = vocab.read_texts(list(map(tokens, b.column(3).slice(at, SLICE).cast(pa.binary()).to_pylist())))
+                per = lambda of, values: np.bincount(of, values, len(n))
+                owner, ends_at = np.repeat(np.arange(len(n)), n - 1), np.cumsum(n)[:-1]
+                there = head >= 0
+                logs = vocab.logs[head[there]]
+                base.append(per(owner[there], logs) + math.log10(ends + ALPHA) - n * log_total)
+                known.append(np.bincount(owner[there], minlength=len(n)) + (ends > 0))
+                n_tokens.append(n)
+                # share within the rare class; the tail's counts come from the join
+                cls = np.delete(model, np.cumsum(n) - 1) - CLASSES * PLACES
+                low = cls >= 0
+                rare.append(per(owner[there], np.where(low[there], logs * math.log(10), 0)) - per(owner[low], log_mass[cls[low]]))
+                texts += zip(*(np.split(x.astype(np.int16), ends_at) for x in vocab.sequence(model)))
+                tail = np.flatnonzero(~there)
+                for own_tail in np.split(tail, np.searchsorted(tail, np.cumsum(n - 1)[:-1])):
+                    found = Counter(map(words.__getitem__, own_tail.tolist()))
+                    rest.append(list(found))
+                    times.append(list(found.values()))
             model_score = gru.score_texts(params, texts) if texts else np.empty(0)
-            yield pa.record_batch([b.column(0), b.column(1), b.column(2), pa.array(n_tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()),
-                                   pa.array((model_score + np.array(rare)) / math.log(10), pa.float64())], ["doc_id", "held_out", "key", "n_tokens", "known", "base", "model"])
+            base, known, n_tokens, rare = (np.concatenate(x or [np.empty(0)]) for x in (base, known, n_tokens, rare))
+            yield pa.record_batch([b.column(0), b.column(1), b.column(2), pa.array(n_tokens.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base, pa.float64()),
+                                   pa.array((model_score + rare) / math.log(10), pa.float64()), pa.array(rest, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))],
+                                  ["doc_id", "held_out", "key", "n_tokens", "known", "base", "model", "rest", "times"])
 
     keyed = own.selectExpr("doc_id", f"{held_out} AS held_out", f"{_KEY} AS key", "text")
     id_type = keyed.schema["doc_id"].dataType.simpleString()
-    scanned = scratch.keep(keyed.mapInArrow(scan, f"doc_id {id_type}, held_out boolean, key long, n_tokens long, known long, base double, model double"))
-    rest = keyed.select("key", "text").mapInArrow(tail, "key long, word binary, n long")
+    scanned = scratch.keep(keyed.mapInArrow(scan, f"doc_id {id_type}, held_out boolean, key long, n_tokens long, known long, base double, model double, rest array<binary>, times array<bigint>"))
+    rest = scanned.selectExpr("key", "inline(arrays_zip(rest, times)) AS (word, n)")
     joined = rest.join(counts.select("word", "c"), "word", "left")
     sums = joined.groupBy("key").agg(F.expr(f"sum(n * log10(coalesce(c, 0) + {ALPHA}D))").alias("log_"), F.expr("sum(IF(c IS NULL, 0, n))").alias("known_"))
     # rows with equal id and text share a key, and their words were added up together

@@ -110,3 +110,19 @@ def test_network_learns_from_every_training_document(spark, monkeypatch):
     p = M.train(docs, vocab, rounds=2)
     assert seen.value == 2 * 1500 and shards.value == 2 * 5
     assert all(np.isfinite(v).all() and v.dtype == np.float32 for v in p.values())
+
+
+def test_texts_read_together_equal_texts_read_alone():
+    texts = [b"a b tail".split(), [], b"b unknown b".split(), [], b"a".split()]
+    vocab = M.Vocabulary([b"b", b"a", b"tail"], np.array([5.0, 3.0, 1.0]), 4, np.full(M.RARE, 2.0))
+    words, head, model, n = vocab.read_texts(texts)
+    assert words == sum(texts, []) and n.tolist() == [4, 1, 4, 1, 2] and (head >= 0).tolist() == [w != b"unknown" for w in words]
+    parts = zip(*(np.split(x, np.cumsum(n)[:-1]) for x in vocab.sequence(model)))
+    for text, got in zip(texts, parts):
+        assert all((x == y).all() for x, y in zip(got, vocab.sequence(vocab.read(text)[0])))
+
+
+def test_rare_classes_of_counts_are_those_of_the_words(spark):
+    docs = spark.createDataFrame([("a bc def ghij ä äöü xß a",), (None,)], "text string")
+    got = {bytes(r.word): (r.rare, r.c) for r in M.word_counts(docs).collect()}
+    assert len(got) == 7 and got == {w: (M.rare_class(w), 2 if w == b"a" else 1) for w in got}
