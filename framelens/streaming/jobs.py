@@ -19,24 +19,39 @@ from ..operators.windows import gap_groups
 from ..session import path_exists
 from ..sources.cache import cache_split
 
+STRETCH = 1 << 14  # frames a streaming task walks at a time
 
-def stream_sample_frames(frames: DataFrame, cfg: SampleConfig = SampleConfig()) -> DataFrame:
+
+def stream_sample_frames(frames: DataFrame, cfg: SampleConfig = SampleConfig(), width: int = STRETCH) -> DataFrame:
     """Sampling with the state of each video carried between micro-batches.
 
     Frames of a video arrive in order of their number; within a batch any order
     is sorted.  A frame at or before the last batch's end is reported as late.
+    A task holds the new frames of one video as Arrow data, walks them ``width`` at
+    a time in order and hands on each stretch before the next.
     """
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState):
-        pdf = pd.concat(list(batches), ignore_index=True)
         seen, (last_idx, gray, opened, relaxed) = state.get[:1] + (state.get[1:],) if state.exists else (-1, EMPTY)
-        late = pdf.frame_idx <= seen
-        now = Frames(pa.Table.from_pandas(pdf.loc[~late, INPUT], INPUT_SCHEMA, preserve_index=False), None if last_idx is None else np.array(gray or [], np.float64))
-        outcomes, diffs, (idx, last, opened, relaxed) = now.walk(cfg, last_idx, None if last_idx is None else -1, opened, relaxed)
-        if idx != last_idx:
-            gray = now.gray[last].tolist()
-        state.update((max(seen, int(pdf.frame_idx.max())), idx, gray, opened, relaxed))
-        yield pd.DataFrame({"video_id": key[0], "frame_idx": [*now.frame.tolist(), *pdf.frame_idx[late]], "outcome": [*outcomes, *["late"] * int(late.sum())],
-                            "diff": [*diffs, *[0.0] * int(late.sum())]})
+        held = []
+        for pdf in batches:
+            late = pdf.frame_idx <= seen
+            if late.any():
+                yield pd.DataFrame({"video_id": key[0], "frame_idx": pdf.frame_idx[late], "outcome": "late", "diff": 0.0})
+            if not late.all():
+                held.append(pa.RecordBatch.from_pandas(pdf.loc[~late, INPUT].sort_values("frame_idx", kind="stable"), INPUT_SCHEMA, preserve_index=False))
+        places = [b.column("frame_idx").to_numpy() for b in held]
+        numbers = np.sort(np.concatenate(places)) if places else np.array([], np.int64)
+        # frames of one number stay in one stretch
+        edges = np.unique(numbers[::width])
+        cuts = [[*np.searchsorted(p, edges), len(p)] for p in places]
+        for n in range(len(edges)):
+            part = pa.Table.from_batches([b.slice(c[n], c[n + 1] - c[n]) for b, c in zip(held, cuts)], INPUT_SCHEMA)
+            now = Frames(part, None if last_idx is None else np.array([] if gray is None else gray, np.float64))
+            outcomes, diffs, (idx, last, opened, relaxed) = now.walk(cfg, last_idx, None if last_idx is None else -1, opened, relaxed)
+            if idx != last_idx:
+                last_idx, gray = idx, now.gray[last].tolist()
+            yield pd.DataFrame({"video_id": key[0], "frame_idx": now.frame, "outcome": outcomes, "diff": diffs})
+        state.update((int(numbers[-1]) if len(numbers) else seen, last_idx, gray, opened, relaxed))
 
     return fold_input(frames, cfg).groupBy("video_id").applyInPandasWithState(
         step, f"video_id bigint, {OUTPUT}", f"seen bigint, {STATE}", "append", GroupStateTimeout.NoTimeout)
