@@ -191,3 +191,13 @@ def test_page_text_and_ranked_scores_are_made_once_a_frame():
     assert K.confidence("category", "top", "scores", "hits").count("sort_array") == 1
     entries, per_category = K._reason_map([]).split("map_from_arrays")
     assert "trace" in entries and "trace" not in per_category
+
+
+def test_reasons_are_listed_by_compiled_code(spark):
+    """Conditions that are false or unknown and codes without a value add nothing; nothing is evaluated node by node."""
+    from framelens.functions import scores as V
+    terms = [V.Term("a > 1", 1, "first"), V.Term("b > 1", 1, "concat('b:', c)"), V.Term("a > 0", 1, None), V.Term("a > 0", 1, "last")]
+    df = spark.sql("SELECT * FROM VALUES (1, 2, 'x'), (2, NULL, 'x'), (2, 2, NULL), (0, 0, 'y') AS t(a, b, c)").selectExpr(f"{V.reasons(terms)} AS r")
+    assert [r.r for r in df.collect()] == [["b:x", "last"], ["first", "last"], ["first", "last"], []]
+    assert "lambda" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in spark.range(1).selectExpr(f"{V.present([], 'string')} AS r")._jdf.queryExecution().analyzed().toString()
