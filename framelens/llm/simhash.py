@@ -16,9 +16,11 @@ smallest of its local group), never all pairs.
 meet by their fingerprints first, and every link is checked on the shingle sets
 themselves.  No radius of a 64-bit fingerprint covers the similarity (pairs at 0.8
 differ in up to 13 bits and more), so texts that share a band of MinHash lanes
-meet as well: once with the head of their band, and then only with rows that no
-link has joined to them yet, so a family of near copies gives no pairs in the
-square of its size.
+meet as well: once with the head of their band, and then with rows that no link
+has joined to them yet.  The latter are compared where they meet, shingle set by
+shingle set, and a comparison returns the links that join its rows, never all
+pairs; so a family whose members are nearly alike gives no rows in the square of
+its size.
 
 Defined cases: null text is the empty text, and texts without words have
 fingerprint zero; equal fingerprints are linked; a row without doc_id gets a
@@ -45,8 +47,8 @@ SHINGLE, SEED, RADIUS = 4, 42, 4
 SEGMENTS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 CHUNK = 1024
 # likeness: BANDS * BAND lanes; a pair at 0.8 shares no band with probability (1 - 0.8 ** 5) ** 25 = 5e-5.
-# A lane is a byte: unlike ones agree in 1 of 256.  Estimates under LOW are dropped (0.8 is four deviations away); above SURE, rows follow one leader.
-LIKE_SHINGLE, LIKE, BANDS, BAND, LOW, SURE = 5, 0.8, 25, 5, 0.65, 0.9
+# A lane is a byte: unlike ones agree in 1 of 256.  Estimates under LOW are dropped (0.8 is four deviations away).
+LIKE_SHINGLE, LIKE, BANDS, BAND, LOW = 5, 0.8, 25, 5, 0.65
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -247,71 +249,113 @@ def head_pairs(sig: np.ndarray, ids: np.ndarray, band: int, root: np.ndarray):
     return [ids[near]], [np.full(len(near), ids[0])]
 
 
-def lane_pairs(sig: np.ndarray, ids: np.ndarray, band: int, root: np.ndarray):
-    """Pairs to check among rows of lanes that meet in ``band``: each leader with all rows near it, and across clusters each row with its best match.
+def open_rows(sig: np.ndarray, side: np.ndarray, band: int, root: np.ndarray):
+    """Each row ``i`` with the rows near it to be compared with it in ``band``; rows of two sides are compared across.
 
-    A pair that an earlier band brings together is left to that one; rows of one ``root`` are joined already.
+    A pair that an earlier band brings together is left to that one; rows of one ``root``, which may change on the way, are joined already.
     """
-    def first(at: np.ndarray, i: int) -> np.ndarray:
-        """Of the rows ``at``, those of other roots that share no earlier band with row i."""
+    rows = np.arange(len(sig))
+    across = side.min() < side.max()
+    for i in rows[side == side.min()] if across else rows:
+        at = rows[side != side[i]] if across else rows[i + 1:]
         at = at[root[at] != root[i]]
-        return at[~_met_before(sig[at], sig[i], band)]
-
-    open_, out_a, out_b, clusters = np.ones(len(sig), bool), [], [], []
-    for i in range(len(sig)):
-        if not open_[i]:
-            continue
-        e = (sig == sig[i]).mean(axis=1)
-        e[i] = 0
-        near = first(np.flatnonzero(e >= LOW), i)
-        members = np.append(np.flatnonzero(open_ & (e >= SURE)), i)
-        open_[members] = False
-        out_a.append(ids[near])
-        out_b.append(np.full(len(near), ids[i]))
-        # members at 0.9 of their leaders can be alike at 0.8 only if the leaders are at 0.6; with four deviations of the estimate
-        for lead, rows in clusters:
-            if (len(rows) > 1 or len(members) > 1) and e[lead] >= 0.4:
-                few, many = sorted((rows, members), key=len)
-                for x in few:
-                    m = (sig[many] == sig[x]).mean(axis=1) * (root[many] != root[x])
-                    if m.max() >= LOW:
-                        out_a.append(ids[[x]])
-                        out_b.append(ids[[many[m.argmax()]]])
-        clusters.append((i, members))
-    return out_a, out_b
-
-
-def like_links(sets: DataFrame, pairs_of=lane_pairs, chunk: int = CHUNK // 2) -> DataFrame:
-    """``(a, b)`` pairs of ``sets(node, sig, root)`` of different roots that share a band and whose lanes are near; ``head_pairs`` looks within chunks alone."""
+        at = at[(sig[at] == sig[i]).mean(axis=1) >= LOW]
+        at = at[~_met_before(sig[at], sig[i], band)]
+        if len(at):
+            yield i, at
+
+
+def set_links(sets: list[np.ndarray], sig: np.ndarray, side: np.ndarray, band: int, root: np.ndarray, least: float = LIKE):
+    """Links among the open rows whose ``sets`` are alike at ``least``: as many as join what their pairs join."""
+    size = np.array([len(x) for x in sets])
+    ends = np.cumsum(size)
+    values, place = np.unique(np.concatenate(sets), return_inverse=True)
+    places = [place[e - n:e] for e, n in zip(ends, size)]
+    root, marked, out = root.copy(), np.zeros(len(values), bool), []
+    for i, at in open_rows(sig, side, band, root):
+        marked[places[i]] = True
+        common = np.array([np.count_nonzero(marked[places[j]]) for j in at])
+        marked[places[i]] = False
+        for j in at[common >= least * (size[i] + size[at] - common)]:
+            if root[j] != root[i]:
+                out.append((i, j))
+                root[root == root[j]] = root[i]
+    return np.array(out, np.int64).reshape(-1, 2)
+
+
+def band_rows(sets: DataFrame, heads: bool, chunk: int = CHUNK // 2) -> DataFrame:
+    """Rows of ``sets(node, sig, root)`` in the groups ``(key, lo, hi)`` of the bands they share with other roots: pairs of chunks, or for ``heads`` chunks alone."""
     keys = ", ".join(f"xxhash64({c}, substring(sig, {1 + BAND * c}, {BAND}))" for c in range(BANDS))
     rows = sets.selectExpr("node", "root", f"posexplode(array({keys})) AS (band, key)")
     # written: most keys stand alone, so the rows need not be dealt by key once more while the others are few
     many = Scratch(sets.sparkSession).keep(rows.groupBy("key").agg(F.count(F.lit(1)).alias("count"), F.expr("min(root) <> max(root)").alias("apart")).where("apart").selectExpr(
         "key", f"CAST(ceil(count / {chunk}) AS INT) AS chunks"))
     met = rows.drop("root").join(many, "key").withColumn("own", F.expr("CAST(pmod(xxhash64(node, key), chunks) AS INT)")).join(sets, "node")
-    others = "sequence(own, own)" if pairs_of is head_pairs else "sequence(0, chunks - 1)"
-    dealt = met.selectExpr("key", "band", "own", "node", "sig", "root", f"explode({others}) AS other").selectExpr(
-        "key", "band", "least(own, other) AS lo", "greatest(own, other) AS hi", "node", "sig", "root")
+    others = "sequence(own, own)" if heads else "sequence(0, chunks - 1)"
+    return met.select("key", "band", "own", "node", "sig", "root", F.expr(f"explode({others}) AS other")).selectExpr(
+        "key", "least(own, other) AS lo", "greatest(own, other) AS hi", "band", "own", "node", "sig", "root")
+
+
+def _column(c: pa.Array) -> list:
+    if not pa.types.is_list(c.type):
+        return c.to_pylist()
+    flat, ends = c.flatten().to_numpy(), np.cumsum(c.value_lengths().to_numpy())
+    return np.split(flat, ends[:-1])
+
+
+def grouped(rows: DataFrame, of, kind: str) -> DataFrame:
+    """What ``of(key, lo, hi, columns)`` makes of each group of ``band_rows``, by node; columns are band, own, node, sig, root as arrays, and lists of what follows them."""
+    names = [c.split()[0] for c in kind.split(", ")]
+
+    def made(at, held):
+        band, own, node, sig, root, *more = zip(*held)
+        root = np.array(root, np.int64)
+        if (root != root[0]).any():
+            sig = np.frombuffer(b"".join(sig), np.uint8).reshape(len(node), -1)
+            out = of(at, band[0], np.array(own), np.array(node, np.int64), sig, root, *more)
+            if len(out[0]):
+                yield pa.record_batch([pa.array(c) for c in out], names)
 
     def run(batches):
         held, at = [], None
         for b in batches:
-            for key, band, lo, hi, node, sig, root in zip(*(c.to_pylist() for c in b.columns)):
+            for key, lo, hi, *row in zip(*(_column(c) for c in b.columns)):
                 if (key, lo, hi) != at:
-                    yield from compared(held)
+                    if held:
+                        yield from made(at, held)
                     held, at = [], (key, lo, hi)
-                held.append((band, node, sig, root))
-        yield from compared(held)
+                held.append(row)
+        if held:
+            yield from made(at, held)
+
+    return rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node").mapInArrow(tidy(run), kind)
+
+
+def head_links(sets: DataFrame) -> DataFrame:
+    """``(a, b)`` pairs of ``sets(node, sig, root)``: rows near the first row of a band's chunk, with that row."""
+    def of(at, band, own, node, sig, root):
+        (a,), (b,) = head_pairs(sig, node, band, root)
+        return a, b
+    return grouped(band_rows(sets, True), of, "a long, b long").distinct()
 
-    def compared(held):
-        root = np.array([r for *_, r in held], np.int64)
-        if len(held) > 1 and (root != root[0]).any():
-            ids = np.array([n for _, n, *_ in held], np.int64)
-            sig = np.frombuffer(b"".join(s for _, _, s, _ in held), np.uint8).reshape(len(ids), -1)
-            a, b = (np.concatenate(x) for x in pairs_of(sig, ids, held[0][0], root))
-            yield pa.record_batch([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
 
-    return dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node").mapInArrow(run, "a long, b long").distinct()
+def like_rows(sets: DataFrame) -> DataFrame:
+    """The rows of ``band_rows`` that have open rows near them in their group."""
+    def of(at, band, own, node, sig, root):
+        near = np.zeros(len(node), bool)
+        for i, rows in open_rows(sig, own, band, root):
+            near[i] = near[rows] = True
+        n = np.count_nonzero(near)
+        return *(np.full(n, x, t) for x, t in zip((*at, band), (np.int64, np.int32, np.int32, np.int32))), own[near].astype(np.int32), node[near], list(map(bytes, sig[near])), root[near]
+    return grouped(band_rows(sets, False), of, "key long, lo int, hi int, band int, own int, node long, sig binary, root long")
+
+
+def like_links(rows: DataFrame, least: float = LIKE) -> DataFrame:
+    """``(a, b)`` links among the rows of ``like_rows`` with their ``hashes``: a group gives as many as join its rows."""
+    def of(at, band, own, node, sig, root, hashes):
+        links = node[set_links(hashes, sig, own, band, root, least)]
+        return links.max(axis=1), links.min(axis=1)
+    return grouped(rows.select("key", "lo", "hi", "band", "own", "node", "sig", "root", "hashes"), of, "a long, b long").distinct()
 
 
 def fingerprint_links(sets: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -334,30 +378,43 @@ def one_per_likeness(docs: DataFrame, shingle: int = LIKE_SHINGLE, least: float
     sets = scratch.keep(own.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp"), F.first("sig").alias("sig")), own.count())
     count = sets.count()
 
-    def checked(found: DataFrame) -> DataFrame:
-        """The pairs ``(a, b)`` whose shingle sets are alike."""
-        pairs = scratch.keep(found)
-        ids = pairs.selectExpr("a AS id_").union(pairs.selectExpr("b AS id_")).distinct()
+    def hashes_of(ids: DataFrame) -> DataFrame:
+        """``(node, hashes)`` of the nodes ``ids(id_)``."""
         # rows that share an id have texts of their own: a node's set is that of its digest
-        asked = scratch.keep(ids.join(sets.selectExpr("node", "digest"), F.expr("id_ = node")).selectExpr("id_", "digest AS digest_"))
+        asked = scratch.keep(ids.distinct().join(sets.selectExpr("node", "digest"), F.expr("id_ = node")).selectExpr("id_", "digest AS digest_"))
         wanted = texts.join(asked, F.expr("doc_id = id_")).selectExpr("struct(doc_id, digest_) AS doc_id", "text")
         hashes = _shingles(wanted, shingle, "digest long, hashes array<bigint>", lambda sets: (
             digests(sets), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))))
-        hashes = scratch.keep(hashes.where("digest = doc_id.digest_").groupBy(F.expr("doc_id.doc_id AS node")).agg(F.first("hashes").alias("hashes")))
+        out = scratch.keep(hashes.where("digest = doc_id.digest_").groupBy(F.expr("doc_id.doc_id AS node")).agg(F.first("hashes").alias("hashes")))
+        scratch.free(asked)
+        return out
+
+    def checked(found: DataFrame) -> DataFrame:
+        """The pairs ``(a, b)`` whose shingle sets are alike."""
+        pairs = scratch.keep(found)
+        hashes = hashes_of(pairs.selectExpr("a AS id_").union(pairs.selectExpr("b AS id_")))
         heads = hashes.join(pairs.selectExpr("b AS head_").distinct(), F.expr("node = head_"), "left_semi")
         both = pairs.join(hashes.selectExpr("node AS a", "hashes AS x"), "a").join(heads.selectExpr("node AS b", "hashes AS y"), "b")
         both = both.selectExpr("a", "b", "size(x) + size(y) AS n", "size(array_intersect(x, y)) AS common")
         out = scratch.keep(both.where(f"common >= {least}D * (n - common)").select("a", "b"))
-        scratch.free(pairs, asked, hashes)
+        scratch.free(pairs, hashes)
+        return out
+
+    def compared(joined: DataFrame) -> DataFrame:
+        """Links of alike shingle sets among rows that no link has joined."""
+        rows = scratch.keep(like_rows(joined.select("node", "sig", "root")))
+        hashes = hashes_of(rows.selectExpr("node AS id_"))
+        out = scratch.keep(like_links(rows.join(hashes, "node"), least))
+        scratch.free(rows, hashes)
         return out
 
     def rooted(links: DataFrame) -> DataFrame:
         roots = components(links, scratch, count).withColumnRenamed("node", "n_")
         return sets.join(roots, F.expr("node = n_"), "left").selectExpr("node", "digest", "sig", "coalesce(root, node) AS root")
 
-    met = checked(fingerprint_links(sets).unionByName(like_links(sets.selectExpr("node", "sig", "node AS root"), head_pairs)).distinct())
+    met = checked(fingerprint_links(sets).unionByName(head_links(sets.selectExpr("node", "sig", "node AS root"))).distinct())
     joined = scratch.keep(rooted(met), count)
-    rest = checked(like_links(joined.select("node", "sig", "root")))
+    rest = compared(joined)
     of = rooted(joined.selectExpr("node AS a", "root AS b").where("a <> b").unionByName(rest)).select("digest", F.col("root").alias("root_"))
     drop = scratch.keep(own.join(of, "digest").where("doc_id <> root_").select("doc_id").distinct(), own.count())
     scratch.free(own, sets, met, joined, rest)

@@ -134,3 +134,33 @@ def test_a_row_meets_one_head_once():
     sig[3, :5] = 255  # shares every band but the first
     pairs = [(int(b), int(a)) for band in range(S.BANDS) for a, b in zip(*(np.concatenate(x) for x in S.head_pairs(sig[[0, 1, 2] if band == 0 else [0, 1, 2, 3]], np.arange(4), band, np.arange(4))))]
     assert sorted(pairs) == [(0, 1), (0, 2), (0, 3)]
+
+
+def test_family_without_links_gives_no_pairs(spark, monkeypatch):
+    """Texts that are nearly all at 0.65 to 0.8 of each other: no table of the stage holds their pairs, and the few links are found."""
+    n, rng = 300, random.Random(9)
+    base = [f"w{k}" for k in range(200)]
+    texts = []
+    for i in range(n):
+        words = base.copy()
+        for k in rng.sample(range(200), 3):
+            words[k] = f"x{i}"
+        texts.append(" ".join(words))
+    grams = [{tuple(w[k:k + 5]) for k in range(196)} for w in map(str.split, texts)]
+    root = list(range(n))
+    for i in range(n):
+        for j in range(i):
+            if len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j]):
+                lo, hi = sorted((root[i], root[j]))
+                root = [lo if r == hi else r for r in root]
+    written, keep = [], S.Scratch.keep
+
+    def counted(self, df, rows=None):
+        out = keep(self, df, rows)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(S.Scratch, "keep", counted)
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], DOC)
+    assert {r.doc_id for r in S.one_per_likeness(docs).collect()} == set(root) and 1 < len(set(root)) < n
+    assert max(written) <= S.BANDS * n
