@@ -42,7 +42,6 @@ WINDOW, KMER = 50, 25
 SLICE = 128
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_TEXT_KEY = "xxhash64(coalesce(text, ''))"
 _BYTE_BASE, _WORD_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 
@@ -119,7 +118,14 @@ class WindowHashes:
         return self.words.hashes(words, at, at + self.window)
 
 
-def _profiles(docs: DataFrame, window: int, kmer: int) -> DataFrame:
+def _keyed(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """``docs`` with ``tkey``, which tells rows that share a doc_id by their text; 0 where the doc_id stands alone, so that it costs nothing to move."""
+    # written: next to none, so texts need not be dealt by id for it
+    again = scratch.keep(docs.groupBy(F.col("doc_id").alias("again_")).count().where("count > 1 AND again_ IS NOT NULL").select("again_"))
+    return docs.join(again, F.expr("doc_id = again_"), "left").withColumn("tkey", F.expr("IF(again_ IS NULL, 0L, xxhash64(coalesce(text, '')))")).drop("again_")
+
+
+def _profiles(keyed: DataFrame, window: int, kmer: int) -> DataFrame:
     """Per row: doc_id, text key, number of words, digest of the word sequence, distinct minimisers."""
     def run(batches):
         hashes = WindowHashes(window, kmer)
@@ -135,11 +141,11 @@ def _profiles(docs: DataFrame, window: int, kmer: int) -> DataFrame:
                 yield pa.record_batch([part.column(0), part.column(1), pa.array(counts, pa.int32()), pa.array(digests, pa.binary()),
                                        pa.array(mins, pa.list_(pa.int64()))], ["doc_id", "tkey", "n", "digest", "mins"])
 
-    rows = docs.where("doc_id IS NOT NULL").selectExpr("doc_id", f"{_TEXT_KEY} AS tkey", "text")
+    rows = keyed.where("doc_id IS NOT NULL").select("doc_id", "tkey", "text")
     return rows.mapInArrow(tidy(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, tkey long, n int, digest binary, mins array<long>")
 
 
-def _edges(docs: DataFrame, wanted: DataFrame, window: int, kmer: int) -> DataFrame:
+def _edges(keyed: DataFrame, wanted: DataFrame, window: int, kmer: int) -> DataFrame:
     """Edge rows of the windows whose minimiser is in the document's ``mins``."""
     def run(batches):
         hashes = WindowHashes(window, kmer)
@@ -172,15 +178,16 @@ def _edges(docs: DataFrame, wanted: DataFrame, window: int, kmer: int) -> DataFr
                 yield pa.record_batch([pa.array(hashes.edges(words, at).view(np.int64)), pa.array(checks.view(np.int64)), part.column(0).take(pa.array(doc)),
                                        part.column(1).take(pa.array(doc)), pa.array((at - first[doc]).astype(np.int32))], ["h", "check", "doc_id", "tkey", "pos"])
 
-    keyed = docs.where("doc_id IS NOT NULL").selectExpr("doc_id", f"{_TEXT_KEY} AS tkey", "text").join(wanted, ["doc_id", "tkey"])
-    return keyed.select("doc_id", "tkey", "text", "mins").mapInArrow(
-        tidy(run), f"h long, check long, doc_id {keyed.schema['doc_id'].dataType.simpleString()}, tkey long, pos int")
+    asked = keyed.where("doc_id IS NOT NULL").select("doc_id", "tkey", "text").join(wanted, ["doc_id", "tkey"])
+    return asked.select("doc_id", "tkey", "text", "mins").mapInArrow(
+        tidy(run), f"h long, check long, doc_id {asked.schema['doc_id'].dataType.simpleString()}, tkey long, pos int")
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) -> DataFrame:
     """``(doc_id, tkey, first, last)``: arrays of the first and last word of each compacted span that repeats a smaller doc_id."""
     scratch = Scratch(docs.sparkSession)
-    own = scratch.keep(_profiles(docs, window, kmer))
+    keyed = _keyed(docs.select("doc_id", "text"), scratch)
+    own = scratch.keep(_profiles(keyed, window, kmer))
     # whole copies: everything is covered
     firsts = own.where(f"n >= {window}").groupBy("digest").agg(F.min("doc_id").alias("first_"), F.count("*").alias("n_")).where("n_ > 1").drop("n_")
     copies = scratch.keep(own.where(f"n >= {window}").select("doc_id", "tkey", "n", "digest").join(firsts, "digest").where("doc_id > first_")
@@ -190,7 +197,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) -> D
     # written, as are the sources below, so that both sides of the join are dealt anew and a hot key can be split
     shared = scratch.keep(listed.groupBy("m").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("m"))
     wanted = listed.join(shared, "m").groupBy("doc_id", "tkey").agg(F.collect_list("m").alias("mins"))
-    edges = scratch.keep(_edges(docs, wanted, window, kmer))
+    edges = scratch.keep(_edges(keyed, wanted, window, kmer))
+    scratch.free(own, shared)
     sources = scratch.keep(edges.groupBy("h", "check").agg(F.min("doc_id").alias("src"), F.max("doc_id").alias("last_"), F.min_by("pos", "doc_id").alias("src_pos"))
                            .where("src < last_").drop("last_"))
     later = edges.join(sources, ["h", "check"]).where("doc_id > src")
@@ -201,7 +209,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) -> D
         F.min("pos").alias("a"), F.expr(f"max(pos) + {window - 1}").alias("b"))
     spans = paths.groupBy("doc_id", "tkey").agg(F.collect_list("a").alias("first"), F.collect_list("b").alias("last"))
     out = scratch.keep(spans.unionByName(copies.selectExpr("doc_id", "tkey", "array(0) AS first", "array(n - 1) AS last")))
-    scratch.free(edges, own, copies, shared, sources)
+    scratch.free(edges, copies, sources)
     return out
 
 
@@ -232,7 +240,8 @@ def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
                                   ["row", "text", "n_words", "n_removed", "kept_sha256"])
 
     others = [f"`{c}`" for c in docs.columns if c != "text"]
-    keyed = docs.selectExpr(f"struct({', '.join(others)}) AS row", "text", "doc_id AS d_", f"{_TEXT_KEY} AS t_")
+    keys = _keyed(docs.selectExpr(f"struct({', '.join(others)}) AS row", "doc_id", "text"), Scratch(docs.sparkSession))
+    keyed = keys.selectExpr("row", "text", "doc_id AS d_", "tkey AS t_")
     joined = keyed.join(spans, F.expr("d_ = doc_id AND t_ = tkey"), "left").select("row", "text", "first", "last")
     kinds = joined.schema
     return joined.mapInArrow(tidy(run), f"row {kinds['row'].dataType.simpleString()}, text string, n_words long, n_removed long, kept_sha256 string")

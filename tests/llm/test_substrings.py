@@ -57,3 +57,23 @@ def test_defined_cases(spark):
     assert out.columns == df.columns and out.count() == len(rows)
     assert {r.text for r in out.where("doc_id = 7").collect()} == {"start end", "tail"} and {r.text for r in out.where("doc_id IN (5, 9)").collect()} == {passage, None}
     assert P.deduplicated(df.where("false")).count() == 0
+
+
+def test_ids_that_stand_alone_move_no_text_key(spark, monkeypatch):
+    """Texts are told apart by a digest only where rows share a doc_id; profiles are gone before spans are made."""
+    text = " ".join(f"w{k}" for k in range(60))
+    docs = spark.createDataFrame([(1, text), (2, "x " + text), (3, "y " + text), (3, "z " + text), (None, text)], "doc_id long, text string")
+    held, keep = [], P.Scratch.keep
+
+    def seen(self, df, rows=None):
+        out = keep(self, df, rows)
+        held.append((set(out.columns), [set(t.columns) for t, _ in self.paths.values()], out))
+        return out
+
+    monkeypatch.setattr(P.Scratch, "keep", seen)
+    spans = P.repeated_spans(docs)
+    keys = {(r.doc_id, r.tkey) for r in spans.collect()}
+    assert {i for i, _ in keys} == {2, 3} and len(keys) == 3 and (2, 0) in keys and (3, 0) not in keys
+    assert not any("mins" in t for t in held[-1][1])
+    got = {(r.row.doc_id, r.text.split()[0], r.n_removed) for r in P.without_spans(docs, spans).collect()}
+    assert got == {(1, "w0", 0), (2, "x", 60), (3, "y", 60), (3, "z", 60), (None, "w0", 0)}
