@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
 import pyarrow as pa
@@ -23,15 +24,24 @@ def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(ids.select("doc_id"), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+def give_back() -> None:
+    """Return to the system what Arrow, numpy and Python objects of this process have freed."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
+
+
 def tidy(run):
-    """``run`` over batches; what Arrow has freed goes back after each batch, or a Python worker keeps it through later stages, beside the executor's heap."""
+    """``run`` over batches; what is freed goes back after each batch, or a Python worker keeps it through later stages, beside the executor's heap."""
     def tidied(batches):
         def given():
             for b in batches:
                 yield b
-                pa.default_memory_pool().release_unused()
+                del b
+                give_back()
         yield from run(given())
-        pa.default_memory_pool().release_unused()
+        give_back()
     return tidied
 
 

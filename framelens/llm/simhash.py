@@ -319,12 +319,13 @@ def grouped(rows: DataFrame, of, kind: str) -> DataFrame:
     def run(batches):
         held, at = [], None
         for b in batches:
-            for key, lo, hi, *row in zip(*(_column(c) for c in b.columns)):
-                if (key, lo, hi) != at:
-                    if held:
-                        yield from made(at, held)
-                    held, at = [], (key, lo, hi)
-                held.append(row)
+            for k in range(0, len(b), 256):  # few rows at a time as Python objects
+                for key, lo, hi, *row in zip(*(_column(c) for c in b.slice(k, 256).columns)):
+                    if (key, lo, hi) != at:
+                        if held:
+                            yield from made(at, held)
+                        held, at = [], (key, lo, hi)
+                    held.append(row)
         if held:
             yield from made(at, held)
 

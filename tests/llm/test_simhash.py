@@ -1,8 +1,10 @@
 """SimHash groups against all pairs; bit-sliced distances against counting; defined cases."""
 
+import os
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from framelens.llm import simhash as S
@@ -164,3 +166,20 @@ def test_family_without_links_gives_no_pairs(spark, monkeypatch):
     docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], DOC)
     assert {r.doc_id for r in S.one_per_likeness(docs).collect()} == set(root) and 1 < len(set(root)) < n
     assert max(written) <= S.BANDS * n
+
+
+def test_workers_give_back_what_they_freed():
+    from framelens.llm import common
+    size = lambda: int(open("/proc/self/statm").read().split()[1]) * os.sysconf("SC_PAGESIZE")
+
+    def batches():
+        for _ in range(2):
+            held = [np.ones(4000 + k % 7, np.uint8) for k in range(40_000)]  # small arrays come from the heap, not from Arrow
+            held = held[-1:]
+            yield pa.record_batch([pa.array([len(held[0])])], ["n"])
+            if _:
+                after.append(size())
+
+    before, after = size(), []
+    list(common.tidy(lambda given: given)(batches()))
+    assert after[-1] - before < 60e6
