@@ -291,8 +291,8 @@ def marked_words(text: str, dummy_prefix: bool = True) -> list[str]:
     return _WORDS.findall((MARK if dummy_prefix else "") + text.replace(" ", MARK)) if text else []
 
 
-def _encoder(model: PieceModel):
-    """Batches ``(doc_id, text)`` to batches ``(doc_id, ids)``."""
+def _encoder(model: PieceModel, held: int = CACHED_WORDS):
+    """Batches ``(doc_id, text)`` to batches ``(doc_id, ids)``; ``held`` words are remembered at a time."""
 
     def run(batches):
         coder, known = TrieEncoder(model), {}
@@ -300,7 +300,7 @@ def _encoder(model: PieceModel):
             for at in range(0, len(b), SLICE):  # few texts at a time as Python objects
                 part = b.slice(at, SLICE)
                 words = [marked_words(t or "", model.dummy_prefix) for t in part.column(1).to_pylist()]
-                if len(known) >= CACHED_WORDS:
+                if len(known) >= held:
                     known = {}
                 fresh = coder.encode(set(chain.from_iterable(words)).difference(known))
                 known.update((w, ids.tobytes()) for w, ids in fresh.items())  # packed: many words are held
@@ -356,7 +356,7 @@ def with_pieces(docs: DataFrame, path: str | None = None) -> DataFrame:
     others = [f"`{c}`" for c in docs.columns if c != "text"]
     rows = docs.selectExpr(f"struct({', '.join(others)}) AS doc_id" if others else "0 AS doc_id", "text")
     model = PieceModel.read(path or model_path())
-    there, back = _encoder(model), _decoder(model)
+    there, back = _encoder(model, CACHED_WORDS // 4), _decoder(model)  # stages before have filled the executor's heap
     # both ways in one Python worker: two at a time for a core hold the model and its caches twice
     done = rows.mapInArrow(tidy(lambda batches: back(there(batches))), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>, text string")
     return done.select(*[F.col("text") if c == "text" else F.col("doc_id").getField(c).alias(c) for c in docs.columns if c != "ids"], "ids")
