@@ -100,3 +100,32 @@ def test_help_pages_that_look_alike_are_passed_over(spark):
     assert got == {1: "rule", 3: "rule", 4: "rule", 5: "rule", 6: "rule", 8: "paytable"}
     plain = {r.frame_idx for r in SE.select_help(df.drop("help_gray", "help_hist"), 40).collect()}
     assert plain == set(range(1, 9))
+
+
+def test_texts_are_judged_once_each_with_equal_records(spark, sf):
+    """Frames that share their texts get the facts of the distinct texts; records equal those made frame by frame."""
+    from pyspark.sql import functions as F
+
+    from framelens.functions import rules as R
+    from framelens.operators import classify as K
+    from framelens.plans import fixtures as fx
+    from framelens.plans.records import score_records
+    frames = fx.frames(spark, sf).where("frame_idx < 300").drop(*[c for c in fx.SCORES if c != "blur_score"])
+    odd = frames.where("frame_idx < 3").withColumn("frame_idx", F.expr("frame_idx + 1000"))
+    kind = frames.schema["items"].dataType.simpleString()
+    odd = odd.withColumn("items", F.expr(f"CASE frame_idx WHEN 1000 THEN CAST(NULL AS {kind}) WHEN 1001 THEN CAST(array() AS {kind}) "
+                                         f"ELSE CAST(transform(items, i -> named_struct('line_no', i.line_no, 'text', CAST(NULL AS string), 'x1', i.x1, 'y1', i.y1, 'x2', i.x2, 'y2', i.y2, 'score', i.score)) AS {kind}) END"))
+    frames = frames.unionByName(odd)
+    twice = frames.unionByName(frames.withColumn("frame_idx", F.expr("frame_idx + 10000")))
+    columns = ["video_id", "frame_idx", "category", "top_score", "basegame_ui_score", "feature_ui_score", "feature_active_score", "feature_board_score", "bigwin_keep_signal",
+               "help_quality_score", "help_paytable_score", "transition_keep_score", "sort_array(map_entries(category_scores)) AS scores",
+               "matched_keywords['loading'] AS reasons", "record_lines", "page_lines"]
+    assert K.with_shared_text(twice)[1]
+    lone = twice.withColumn("items", F.expr("transform(items, i -> named_struct('line_no', i.line_no, 'text', concat(i.text, ' q', frame_idx), 'x1', i.x1, 'y1', i.y1, 'x2', i.x2, 'y2', i.y2, 'score', i.score))"))
+    lone = lone.where("size(items) > 0 AND frame_idx % 1000 <> 2")
+    assert K.with_shared_text(lone)[1] == {}
+    rows = lambda df, **o: [tuple(r) for r in score_records(df, **o).selectExpr(*columns).orderBy("frame_idx").collect()]
+    plain = rows(twice)
+    assert len(plain) == 606 and rows(twice, reasons_of=["loading"], share_text=True) == plain
+    assert rows(lone, reasons_of=["loading"], share_text=True) == rows(lone)
+    assert {r[2] for r in plain} <= set(R.CATEGORIES)
