@@ -129,3 +129,29 @@ def test_texts_are_judged_once_each_with_equal_records(spark, sf):
     assert len(plain) == 606 and rows(twice, reasons_of=["loading"], share_text=True) == plain
     assert rows(lone, reasons_of=["loading"], share_text=True) == rows(lone)
     assert {r[2] for r in plain} <= set(R.CATEGORIES)
+
+
+def test_refinement_reads_the_rows_that_can_move_alone(spark, sf, monkeypatch):
+    from framelens.plans import records as RC
+    seen, refine = [], RC.refine
+
+    def watched(rows, bottom=None):
+        seen.extend(r.category for r in rows.select("category").distinct().collect())
+        return refine(rows, bottom)
+    monkeypatch.setattr(RC, "refine", watched)
+    df = catalog.QUERIES["k28_keep_records"](spark, sf)
+    assert set(seen) <= {"Basegame", "Feature game", "Transition"}
+    assert {r.category for r in df.select("category").distinct().collect()} >= {"Help", "BigWin", "Other"}
+
+
+def test_help_candidates_are_browser_pages_or_the_best_run(spark):
+    from framelens.operators import select as SE
+    # video 1: three browser rule pages far apart and a longer run; video 2: two browser pages, the run from 100 on has more rule pages
+    rows = [(1, 10, True, True), (1, 500, True, True), (1, 900, True, True), (1, 905, False, True), (1, 910, False, True),
+            (2, 10, True, True), (2, 100, False, True), (2, 130, True, True), (2, 160, False, True), (2, 400, False, False)]
+    df = spark.createDataFrame(rows, "video_id long, frame_idx long, sig_record_web_chrome boolean, sig_plain_rule_help boolean").selectExpr(
+        "*", "array(concat('page', frame_idx), concat('v', video_id, 'xx', frame_idx)) AS help_tokens", "1.0D AS help_score", "3.0D AS help_quality_score",
+        "0.0D AS help_paytable_score", "1.0D AS blur_score", "1.0D AS noise_score", "1.0D AS top_score")
+    want = {(1, 10), (1, 500), (1, 900), (2, 100), (2, 130), (2, 160)}
+    assert {(r.video_id, r.frame_idx) for r in SE.help_candidates(df, 40).collect()} == want
+    assert {(r.video_id, r.frame_idx) for r in SE.select_help(df, 40).collect()} == want
