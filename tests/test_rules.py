@@ -201,3 +201,20 @@ def test_reasons_are_listed_by_compiled_code(spark):
     assert [r.r for r in df.collect()] == [["b:x", "last"], ["first", "last"], ["first", "last"], []]
     assert "lambda" not in df._jdf.queryExecution().optimizedPlan().toString()
     assert "lambda" not in spark.range(1).selectExpr(f"{V.present([], 'string')} AS r")._jdf.queryExecution().analyzed().toString()
+
+
+def test_every_match_of_a_pattern_has_a_substring_it_needs():
+    """Texts strung together from pieces of the patterns: whatever matches passes the cheaper search before it."""
+    import random
+    import re
+    rnd = random.Random(7)
+    pieces = ("free spin spins game games remaining remains remain last left until end of feature features activated all are chance chances to play win wim wn loin jumbo mega megawi "
+              "big super egawink legawin 3of10 win:25 congratulations youhavewon youwon freespin freespins chancestoplay total epic x b 1 25 300 12.50 3/10 / : . , of f start").split()
+    fired = set()
+    for _ in range(40_000):
+        text = rnd.choice(["", " "]).join(rnd.choice(pieces) for _ in range(rnd.randint(1, 5)))
+        for key, needs in R.PATTERN_NEEDS.items():
+            if any(re.search(p, text) for p in R.PATTERNS[key]):
+                fired.add(key)
+                assert any(n in text for n in needs), (key, text)
+    assert fired == set(R.PATTERN_NEEDS)
